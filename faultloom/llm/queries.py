@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import copies, survivors, terms
+from . import copies, neighbours, survivors, terms
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,12 +53,30 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _terms(spark, sf_dir).filter("mark <> 'useful'").select("field_name", "term", "mark")
 
 
+def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most similar other vectors of every vector, named by their cause cards."""
+    vectors = table(spark, sf_dir, "vectors", "vec_id", "vector", "cause_card_id")
+    found = neighbours.most_similar(vectors, "vec_id", "vector", label="p5")
+    names = vectors.select("vec_id", "cause_card_id")
+    named = found.join(names, "vec_id").join(names.toDF("other_id", "other_cause_card_id"), "other_id")
+    return named.select("vec_id", "cause_card_id", "other_id", "other_cause_card_id", "similarity", "rank")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of vectors of which one is among the five most similar to the other, at a cosine of at least 0.80."""
+    vectors = table(spark, sf_dir, "vectors", "vec_id", "vector")
+    found = neighbours.most_similar(vectors, "vec_id", "vector", k=5, least=0.80, label="p5")
+    return found.select(F.least("vec_id", "other_id").alias("vec_a"), F.greatest("vec_id", "other_id").alias("vec_b")).distinct()
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_label_records": p2_label_records,
     "p4_found": p4_found,
     "p4_terms": p4_terms,
+    "p5_found": p5_found,
+    "p5_neighbours": p5_neighbours,
 }
 
 _FIELD_TERMS = "\nUNION ALL\n".join(
