@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import copies, neighbours, survivors, terms
+from . import clusters, copies, neighbours, survivors, terms
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +69,22 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.least("vec_id", "other_id").alias("vec_a"), F.greatest("vec_id", "other_id").alias("vec_b")).distinct()
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of clusters of three or more vectors of which any two have a cosine of at least 0.70."""
+    members = clusters.similarity_clusters(table(spark, sf_dir, "vectors", "vec_id", "vector"), "vec_id", "vector", label="p7")
+    return clusters.tight_clusters(members).filter("vec_id <> cluster").select(F.col("cluster").alias("first_id"), "vec_id")
+
+
+def p7_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cluster with its size, its weight and its three most typical records."""
+    vectors = table(spark, sf_dir, "vectors", "vec_id", "record_id", "vector")
+    members = clusters.similarity_clusters(vectors, "vec_id", "vector", label="p7")
+    per_record = table(spark, sf_dir, "feature_rows", "record_id", "weight").groupBy("record_id").agg(F.max("weight").alias("weight"))
+    weights = vectors.select("vec_id", "record_id").join(per_record, "record_id").select("vec_id", "weight")
+    found = clusters.described(members, weights)
+    return found.join(vectors.select("vec_id", "record_id"), "vec_id").select(F.col("cluster").alias("first_id"), "size", "weight", "rank", "vec_id", "record_id")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -77,6 +93,8 @@ QUERIES = {
     "p4_terms": p4_terms,
     "p5_found": p5_found,
     "p5_neighbours": p5_neighbours,
+    "p7_clusters": p7_clusters,
+    "p7_found": p7_found,
 }
 
 _FIELD_TERMS = "\nUNION ALL\n".join(

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows of the sample on which a codebook or the first centroids may be fitted.
 FIT_ROWS = 20_000
-#: Most coarse cells; a codebook of so many 96-float centroids stays under 1 MB.
-MAX_CELLS = 1024
+#: Most coarse cells; a codebook of so many 96-float centroids stays under 7 MB.
+MAX_CELLS = 16_384
 
 
 def to_matrix(column: pa.ChunkedArray | pa.Array | pd.Series) -> np.ndarray:
