@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import clusters, copies, neighbours, survivors, terms
+from . import clusters, copies, leaks, neighbours, survivors, terms
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +85,16 @@ def p7_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(vectors.select("vec_id", "record_id"), "vec_id").select(F.col("cluster").alias("first_id"), "size", "weight", "rank", "vec_id", "record_id")
 
 
+def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of document words that repeat 16 or more consecutive words of an evaluation item."""
+    return leaks.leaked_spans(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "eval_items", "item_id", "text"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the evaluation items that they leak."""
+    return p8_spans(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -95,6 +105,8 @@ QUERIES = {
     "p5_neighbours": p5_neighbours,
     "p7_clusters": p7_clusters,
     "p7_found": p7_found,
+    "p8_found": p8_found,
+    "p8_spans": p8_spans,
 }
 
 _FIELD_TERMS = "\nUNION ALL\n".join(
