@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import skew
+from ..operators import drift, skew
 from ..sources.tables import table
 
 LABEL_KEYS = {"bug_id": ["case_id", "final_ground_truth_id"], "final_ground_truth_id": ["case_id", "bug_id"]}
@@ -29,7 +29,26 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skew.keys_holding(_label_counts(spark, sf_dir), total, 2).select("key_field", "key_value")
 
 
-QUERIES = {"p3_found": p3_found, "p3_per_key": p3_per_key}
+def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "raw_cause_cards", "raw_id", "producer", "file_seq", "body")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every change of a file's fields against its producer's file before."""
+    return drift.drift_log(_bodies(spark, sf_dir))
+
+
+def p6_lifespans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of files in which a producer's path has one type."""
+    return drift.lifespans(drift.file_catalogue(_bodies(spark, sf_dir)))
+
+
+def p6_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All readable cards in one consistent table."""
+    return drift.consistent_table(_bodies(spark, sf_dir))
+
+
+QUERIES = {"p3_found": p3_found, "p3_per_key": p3_per_key, "p6_found": p6_found, "p6_lifespans": p6_lifespans, "p6_table": p6_table}
 
 SQL = {
     "p3_per_key": """
