@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import clusters, copies, leaks, neighbours, survivors, terms
+from . import clusters, copies, leaks, mixing, neighbours, survivors, terms, truncation
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +95,27 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_spans(spark, sf_dir).select("doc_id", "item_id").distinct()
 
 
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mixture with the number of times each is used."""
+    return mixing.mixture(table(spark, sf_dir, "documents", "doc_id", "source", "text"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of every listed source."""
+    return mixing.mixture(table(spark, sf_dir, "documents", "doc_id", "source", "text"), table(spark, sf_dir, "mix_targets"))[1]
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose text was cut off."""
+    return truncation.truncation_scores(table(spark, sf_dir, "documents", "doc_id", "source", "text")).filter("cut").select("doc_id")
+
+
+def p10_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of cut texts of every source."""
+    scores = truncation.truncation_scores(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
+    return scores.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("cut").cast("int")).alias("n_cut"), F.avg(F.col("cut").cast("double")).alias("cut_share"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -107,6 +128,10 @@ QUERIES = {
     "p7_found": p7_found,
     "p8_found": p8_found,
     "p8_spans": p8_spans,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_sources": p10_sources,
 }
 
 _FIELD_TERMS = "\nUNION ALL\n".join(
