@@ -9,6 +9,9 @@ from pyspark.sql import types as T
 from ..session import materialize
 from .text import alnum
 
+#: Pieces of 32,768 bits in the bitmap of keys that occur twice: 2 MB in all.
+BITMAP_BUCKETS = 512
+
 
 def canonical_json(text: Column) -> Column:
     """Compact JSON text with every string reduced to lower-case letters and digits.
@@ -50,13 +53,12 @@ def member_fields(df: DataFrame, row_id: str, body: str) -> DataFrame:
     """``rid, field, raw`` for each member of each row's JSON object; broken bodies give no rows.
 
     Variants keep object members sorted by name at every level, so member order is gone here. A
-    JSON value that is no object, or an empty object, is one unnamed field.
+    JSON value that is no object, or an empty object, is one unnamed field. Bodies are parsed once.
     """
     doc = df.select(F.col(row_id).alias("rid"), parsed_body(F.col(body)).alias("doc")).filter("doc is not null")
-    objects = doc.filter("schema_of_variant(doc) LIKE 'OBJECT%'")
-    members = objects.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("doc").outer())).select("rid", F.col("key").alias("field"), F.to_json("value").alias("raw"))
-    whole = doc.filter("schema_of_variant(doc) NOT LIKE 'OBJECT%' OR to_json(doc) = '{}'").select("rid", F.lit("").alias("field"), F.expr("to_json(doc)").alias("raw"))
-    return members.unionByName(whole)
+    doc = doc.withColumn("members", F.expr("CASE WHEN schema_of_variant(doc) LIKE 'OBJECT%' THEN doc END"))
+    each = doc.lateralJoin(df.sparkSession.tvf.variant_explode_outer(F.col("members").outer()))
+    return each.select("rid", F.coalesce("key", F.lit("")).alias("field"), F.when(F.col("key").isNull(), F.to_json("doc")).otherwise(F.to_json("value")).alias("raw"))
 
 
 def value_dictionary(fields: DataFrame) -> DataFrame:
@@ -75,11 +77,21 @@ def record_tuples(fields: DataFrame) -> DataFrame:
     return ids.groupBy("rid").agg(F.array_sort(F.collect_list("value_id")).alias("record"))
 
 
-def possible_copies(df: DataFrame, row_id: str, key: Column) -> DataFrame:
-    """Rows that share a cheap key with another row. Copies have equal keys, so no copy is left out; a row alone with its key has none."""
-    keyed = df.withColumn("_key", F.xxhash64(key))
-    shared = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_key")
-    return keyed.join(shared, "_key", "left_semi").drop("_key")
+def possible_copies(df: DataFrame, key: Column) -> DataFrame:
+    """Rows that may share ``key`` with another row; rows surely alone with theirs are left out.
+
+    Copies have equal keys, so none is lost. Keys that occur twice set bits of a bitmap of fixed size
+    (``BITMAP_BUCKETS`` pieces of 4 kB), which is broadcast and tested in the scan, so rows without a copy are never
+    shuffled. The more bits are set, the more rows pass needlessly; all that pass are compared exactly afterwards.
+    """
+    slot = F.pmod(F.xxhash64(key), F.lit(BITMAP_BUCKETS * 32_768))
+    twice = df.select(F.xxhash64(key).alias("k"), slot.alias("slot")).groupBy("k", "slot").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    bitmap = twice.groupBy((F.col("slot") / 32_768).cast("int").alias("_bucket")).agg(F.bitmap_construct_agg((F.col("slot") % 32_768).cast("long")).alias("_bits"))
+    placed = df.withColumn("_slot", slot).withColumn("_bucket", (F.col("_slot") / 32_768).cast("int"))
+    place = (F.col("_slot") % 32_768).cast("int")
+    byte = F.conv(F.hex(F.substring("_bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.getbit(byte.cast("long"), (place % 8).cast("int")) == 1
+    return placed.join(F.broadcast(bitmap), "_bucket").filter(hit).drop("_slot", "_bucket", "_bits")
 
 
 def grouped_copies(tuples: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
@@ -106,9 +118,7 @@ def card_tuples(cards: DataFrame) -> DataFrame:
     """Record tuples of crash cards over all columns but their id, file and time of ingestion."""
     names = [c for c in cards.columns if c not in CARD_COLUMNS_IGNORED]
     key = F.concat_ws("|", *[alnum(F.col(c)) for c in ("case_id", "crash_uid", "kernel_commit", "normalized_report_digest")])
-    slim = cards.select("card_id", key.alias("key"))
-    twice = possible_copies(slim, "card_id", F.col("key")).select("card_id")
-    return record_tuples(column_fields(cards.join(twice, "card_id", "left_semi"), "card_id", names))
+    return record_tuples(materialize(column_fields(possible_copies(cards, key), "card_id", names), "p2-card-fields"))
 
 
 def label_tuples(labels: DataFrame) -> DataFrame:
@@ -118,4 +128,4 @@ def label_tuples(labels: DataFrame) -> DataFrame:
 
 def line_tuples(lines: DataFrame) -> DataFrame:
     """Record tuples of JSON lines over the members of their bodies."""
-    return record_tuples(member_fields(lines, "line_id", "body"))
+    return record_tuples(materialize(member_fields(lines, "line_id", "body"), "p2-line-fields"))
