@@ -19,6 +19,8 @@ BLOCK = 8192
 #: A pair stays for reranking if its approximate score is within so many standard errors of the k-th best.
 MARGIN = 3.0
 CENTRES = 16
+#: Pairs whose approximate, and whose exact scores a task holds at once; they bound its memory, not its result.
+SCANNED, RERANKED = 2_000_000, 40_000
 
 
 def _parallel_weight(dim: int, threshold: float = 0.2) -> float:
@@ -124,7 +126,7 @@ def search_block(
     err = (coder.scores(q[some], packed) + base[some, None]) - q[some] @ x.T
     sigma = float(err.std()) + 1e-6
     rows, cols, sims = [], [], []
-    step = max(1, min(len(q), 4_000_000 // max(1, len(x))))
+    step = max(1, min(len(q), 1024, SCANNED // max(1, len(x))))
     for i in range(0, len(q), step):
         part = q[i : i + step]
         approx = coder.scores(part, packed) + base[i : i + step, None]
@@ -132,8 +134,8 @@ def search_block(
         kth = np.partition(approx, -k, axis=1)[:, -k] if len(x) > k else np.full(len(part), -8.0)
         floor = np.maximum(np.maximum(kth - MARGIN * sigma, least - MARGIN * sigma), -8.0)
         a, b = np.nonzero(approx >= floor[:, None])
-        for j in range(0, len(a), 500_000):
-            aa, bb = a[j : j + 500_000], b[j : j + 500_000]
+        for j in range(0, len(a), RERANKED):
+            aa, bb = a[j : j + RERANKED], b[j : j + RERANKED]
             s = np.einsum("ij,ij->i", part[aa], x[bb])
             near = s >= least - 1e-5
             aa, bb = aa[near], bb[near]
