@@ -29,6 +29,11 @@ def split_lines(text: Column) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed, and standing in the plan, once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def no_strings() -> Column:
     return F.array().cast("array<string>")
 
@@ -89,7 +94,7 @@ def token_to_words(token: Column) -> Column:
 
 def ordered_unique(values: Column) -> Column:
     """Canonical tokens of an array, empty ones dropped, each at its first place; null gives an empty array."""
-    return F.array_distinct(keep(F.transform(values, canonical_token), lambda t: t != ""))
+    return F.array_distinct(keep(F.transform(values, lambda t: canonical_token(t)), lambda t: t != ""))
 
 
 def compact_sentence(label: str, x: Column, fold: bool = False) -> Column:

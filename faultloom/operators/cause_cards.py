@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_token, no_strings, strip
+from ..functions.text import clean_token, let, no_strings, strip
 from .quality import input_quality
 
 VERSION = "3.0-representation-normalized"
@@ -45,7 +45,7 @@ def extract_json(text: Column) -> Column:
     """The JSON in a model's answer as a variant: the whole text, else a fenced block, else the outermost braces; null if none parses."""
     def read(t: Column) -> Column:
         listed = F.try_parse_json(F.concat(F.lit("["), t, F.lit("]")))  # in brackets, so that nothing may follow the value
-        return F.when(F.try_variant_get(listed, "$[1]", "variant").isNull(), F.try_variant_get(listed, "$[0]", "variant"))
+        return let(listed, lambda x: F.when(F.try_variant_get(x, "$[1]", "variant").isNull(), F.try_variant_get(x, "$[0]", "variant")))
 
     return F.coalesce(read(text), read(F.nullif(F.regexp_extract(text, r"(?s)```(?:json)?\s*\n?(.*?)\n?```", 1), F.lit(""))), read(F.regexp_substr(text, F.lit(r"(?s)\{.*\}"))))
 
@@ -60,8 +60,7 @@ def is_object(v: Column, path: str = "$") -> Column:
 
 def text(v: Column, *paths: str) -> Column:
     """First member among paths that holds something, as text; null if none does."""
-    found = [F.try_variant_get(v, p, "string") for p in paths]
-    return F.coalesce(*[F.when((strip(x) != "") & ~x.isin("[]", "{}"), x) for x in found])
+    return F.coalesce(*[F.regexp_substr(F.try_variant_get(v, p, "string"), F.lit(r"(?s)^(?!\s*$|\[\]$|\{\}$).*$")) for p in paths])
 
 
 def entries(v: Column, path: str) -> Column:
@@ -82,13 +81,14 @@ def each_object(items: Column, build: Callable[[Column, Column], Column]) -> Col
 
 def rule(value: Column, rules: list[tuple[str, list[str]]], otherwise: str) -> Column:
     """Name of the first rule of which the text holds any word."""
-    out = None
-    for name, words in rules:
-        hit = value.contains(words[0])
-        for w in words[1:]:
-            hit = hit | value.contains(w)
-        out = F.when(hit, name) if out is None else out.when(hit, name)
-    return out.otherwise(otherwise)
+    def chosen(v: Column) -> Column:
+        out = None
+        for name, words in rules:
+            hit = v.rlike("|".join(r"\Q" + w + r"\E" for w in words))
+            out = F.when(hit, name) if out is None else out.when(hit, name)
+        return out.otherwise(otherwise)
+
+    return let(value, chosen)
 
 
 def fix_shape(summary: Column) -> Column:
@@ -96,8 +96,8 @@ def fix_shape(summary: Column) -> Column:
 
 
 def signal_type(name: Column, summary: Column) -> Column:
-    name = F.coalesce(name, F.lit(""))
-    return F.when(name.contains("->") | name.contains("."), "field").otherwise(rule(F.lower(F.concat_ws(" ", name, F.coalesce(summary, F.lit("")))), SIGNAL_TYPES, "object"))
+    both = F.struct(F.coalesce(name, F.lit("")).alias("name"), F.coalesce(summary, F.lit("")).alias("summary"))
+    return let(both, lambda x: F.when(x["name"].rlike(r"->|\."), "field").otherwise(rule(F.lower(F.concat_ws(" ", x["name"], x["summary"])), SIGNAL_TYPES, "object")))
 
 
 def _or(x: Column, default) -> Column:
@@ -107,9 +107,10 @@ def _or(x: Column, default) -> Column:
 def root_locations(raw: Column) -> Column:
     """Candidate source locations: a ``file:function:line`` text, one object or a list of them."""
     under = "$.root_cause"
-    nested = F.when(F.try_variant_get(raw, under, "variant").isNotNull(), F.try_variant_get(raw, under, "variant")).otherwise(F.try_variant_get(raw, "$.analysis.root_cause", "variant"))
     found = lambda v, p: F.when(text(v, p).isNotNull(), F.try_variant_get(v, p, "variant"))
-    loc = F.coalesce(found(raw, "$.root_cause_location"), found(nested, "$.root_cause_location"), found(nested, "$.location"))
+    nested = lambda at: F.coalesce(found(raw, f"{at}.root_cause_location"), found(raw, f"{at}.location"))
+    here = F.try_variant_get(raw, under, "variant").isNotNull()
+    where = F.coalesce(found(raw, "$.root_cause_location"), F.when(here, nested(under)).otherwise(nested("$.analysis.root_cause")))
 
     def place(x: Column, _n: Column) -> Column:
         return F.struct(
@@ -117,13 +118,17 @@ def root_locations(raw: Column) -> Column:
             _or(text(x, "$.role"), "root").alias("role"), _or(text(x, "$.description", "$.why_root", "$.code", "$.code_snippet"), "").alias("description"),
         )
 
-    parts = F.split(F.try_variant_get(loc, "$", "string"), ":")
-    whole = F.size(parts) >= 3
-    part = lambda i: F.when(whole, F.get(parts, F.lit(i))).otherwise("")
-    single = F.struct(part(0).alias("file"), part(1).alias("function"), F.when(whole, F.get(parts, F.lit(2))).otherwise(F.try_variant_get(loc, "$", "string")).alias("line"), F.lit("root").alias("role"), F.lit("").alias("description"))
-    listed = F.when(is_object(loc), F.array(loc)).otherwise(entries(loc, "$"))
+    def single(said: Column) -> Column:
+        parts = F.split(said, ":")
+        part = lambda i, other: F.when(F.size(parts) >= 3, F.get(parts, F.lit(i))).otherwise(other)
+        return F.struct(part(0, "").alias("file"), part(1, "").alias("function"), part(2, said).alias("line"), F.lit("root").alias("role"), F.lit("").alias("description"))
+
+    def made(loc: Column) -> Column:
+        listed = F.when(is_object(loc), F.array(loc)).otherwise(entries(loc, "$"))
+        return F.when(kind(loc) == "STRING", F.array(let(F.try_variant_get(loc, "$", "string"), single))).when(loc.isNotNull(), each_object(listed, place))
+
     none = F.array().cast("array<struct<file:string,function:string,line:string,role:string,description:string>>")
-    return F.coalesce(F.when(kind(loc) == "STRING", F.array(single)).when(loc.isNotNull(), each_object(listed, place)), none)
+    return F.coalesce(let(where, made), none)
 
 
 def source_evidence(raw: Column) -> Column:
@@ -138,10 +143,14 @@ def source_evidence(raw: Column) -> Column:
 def fix_semantics(raw: Column) -> Column:
     """``summary, shape, location`` of the suggested fix."""
     paths = ["$.fix_semantics", "$.fix_guidance", "$.fix_suggestion", "$.analysis.root_cause.missing_validation"]
-    fix = F.coalesce(*[F.when(text(raw, p).isNotNull(), F.try_variant_get(raw, p, "variant")) for p in paths])
-    said = lambda *p: F.when(is_object(fix), _or(text(fix, *p), "")).otherwise("")
-    summary = F.when(kind(fix) == "STRING", F.try_variant_get(fix, "$", "string")).otherwise(said("$.summary", "$.suggested_fix", "$.change"))
-    return F.struct(summary.alias("summary"), said("$.expected_shape", "$.expected_patch_shape").alias("shape"), said("$.affected_code", "$.affected_code_location", "$.file").alias("location"))
+    found = F.coalesce(*[F.when(text(raw, p).isNotNull(), F.try_variant_get(raw, p, "variant")) for p in paths])
+
+    def parts(fix: Column) -> Column:
+        said = lambda *p: F.when(is_object(fix), _or(text(fix, *p), "")).otherwise("")
+        summary = F.when(kind(fix) == "STRING", F.try_variant_get(fix, "$", "string")).otherwise(said("$.summary", "$.suggested_fix", "$.change"))
+        return F.struct(summary.alias("summary"), said("$.expected_shape", "$.expected_patch_shape").alias("shape"), said("$.affected_code", "$.affected_code_location", "$.file").alias("location"))
+
+    return let(found, parts)
 
 
 def dedup_fingerprint(raw: Column) -> Column:
@@ -154,10 +163,15 @@ def dedup_fingerprint(raw: Column) -> Column:
     return F.struct(semantic.alias("semantic_id"), F.when(plain, words).when(nested, F.concat(*lists)).otherwise(no_strings()).alias("tokens"))
 
 
+def own_or(own: Column, made: Column) -> Column:
+    """A section's own list unless it is empty."""
+    return let(own, lambda x: F.when(F.size(x) > 0, x).otherwise(made))
+
+
 def _first_kept(items: Column, *keys: str) -> Column:
     """Entries at their first occurrence by ``keys``."""
-    places = F.transform(items, lambda e: F.struct(*[e[k] for k in keys]))
-    return F.filter(items, lambda e, i: F.array_position(places, F.struct(*[e[k] for k in keys])) == i + 1)
+    key = lambda e: F.struct(*[e[k] for k in keys])
+    return let(items, lambda xs: F.filter(xs, lambda e, i: F.array_position(F.transform(xs, key), key(e)) == i + 1))
 
 
 def evidence_ledger(raw: Column, case_id: Column, title: Column, anchor: Column, locations: Column, evidence: Column) -> Column:
@@ -180,23 +194,22 @@ def evidence_ledger(raw: Column, case_id: Column, title: Column, anchor: Column,
     located = F.transform(locations, lambda x, i: entry(number(i + 2), F.lit("source_code"), place(x), F.when(strip(x["description"]) != "", x["description"]).otherwise("candidate source location"), F.lit("direct"), F.lit("high")))
     seen = F.transform(evidence, lambda x, i: entry(number(i + 2 + F.size(locations)), F.lit("source_code"), x["ref"], x["relevance"], F.lit("indirect"), F.lit("medium")))
     made = _first_kept(F.concat(F.array(first), located, seen), "source", "location", "content_summary")
-    return F.when(F.size(own) > 0, own).otherwise(made)
+    return own_or(own, made)
 
 
 def refined_name(name: Column, type_: Column, description: Column, evidence: Column, tokens: Column) -> Column:
     """A more telling name for a generic root object: a member access in the texts, a dotted token, or its struct."""
-    name = _or(name, "")
+    source = lambda x: x.rlike(r"(?:^|\.)[ch]$")
     said = F.array_join(F.concat(F.array(_or(description, "")), F.flatten(F.transform(evidence, lambda e: F.array(e["ref"], e["relevance"])))), "\n")
-    source = lambda x: F.element_at(F.split(x, r"\."), -1).isin("c", "h")
-    arrow = F.nullif(F.regexp_extract(said, r"([A-Za-z_][A-Za-z0-9_]*->[A-Za-z_][A-Za-z0-9_]*)", 1), F.lit(""))
-    dotted = F.nullif(F.regexp_extract(said, r"([A-Za-z_][A-Za-z0-9_]*\.[A-Za-z_][A-Za-z0-9_]{2,})", 1), F.lit(""))
-    token = F.get(F.filter(tokens, lambda t: t.contains(".") & ~source(t)), F.lit(0))
-    struct = F.when(type_.startswith("struct "), F.regexp_replace(type_, r"^struct\s+", ""))
-    better = F.coalesce(arrow, F.when(~source(dotted), dotted), token, F.when(struct.isNotNull(), F.concat_ws(".", struct, name)))
-    return F.when(name.isin(GENERIC_OBJECTS), F.coalesce(better, name)).when(name == "", _or(struct, "")).otherwise(name)
+    parts = F.struct(_or(name, "").alias("name"), F.regexp_extract(type_, r"^struct\s+(\S.*)$", 1).alias("struct"), said.alias("said"), F.get(F.filter(tokens, lambda t: t.contains(".") & ~source(t)), F.lit(0)).alias("token"))
 
+    def chosen(p: Column) -> Column:
+        arrow = F.nullif(F.regexp_extract(p["said"], r"([A-Za-z_][A-Za-z0-9_]*->[A-Za-z_][A-Za-z0-9_]*)", 1), F.lit(""))
+        dotted = let(F.regexp_extract(p["said"], r"([A-Za-z_][A-Za-z0-9_]*\.[A-Za-z_][A-Za-z0-9_]{2,})", 1), lambda x: F.when((x != "") & ~source(x), x))
+        better = F.coalesce(arrow, dotted, p["token"], F.when(p["struct"] != "", F.concat_ws(".", p["struct"], p["name"])))
+        return F.when(p["name"].isin(GENERIC_OBJECTS), F.coalesce(better, p["name"])).when(p["name"] == "", p["struct"]).otherwise(p["name"])
 
-SIGNAL = "struct<signal_id:string,signal_type:string,name:string,normalized_token:string,role:string,why_related:string,supporting_evidence:array<string>,contradicting_evidence:array<string>,stability:string,dedup_weight:string>"
+    return let(parts, chosen)
 
 
 def root_cause_signals(raw: Column, primary: Column, fingerprint: Column, locations: Column, evidence: Column, ledger: Column) -> Column:
@@ -213,26 +226,29 @@ def root_cause_signals(raw: Column, primary: Column, fingerprint: Column, locati
                       _or(text(x, "$.why_related", "$.summary"), ""), text_list(x, "$.supporting_evidence"), _or(text(x, "$.stability"), "stable"), _or(text(x, "$.dedup_weight"), "medium"), text_list(x, "$.contradicting_evidence"))
 
     own = each_object(entries(raw, "$.root_cause_signals"), completed)
-    ids = F.transform(ledger, lambda e: e["evidence_id"])
-    some = lambda a, b, c, d: F.when(F.size(ids) >= a, F.slice(ids, a, b)).otherwise(F.slice(ids, c, d))
-    high, medium = some(2, 2, 1, 1), some(3, 3, 1, 2)
-    object_at = F.when(is_object(raw, "$.root_object"), lit("r")).otherwise(lit("n"))
-    pick = lambda k: F.when(object_at == "r", text(raw, f"$.root_object.{k}")).otherwise(text(raw, f"$.root_cause.root_object.{k}"))
+    own_object = is_object(raw, "$.root_object")
+    pick = lambda k: F.when(own_object, text(raw, f"$.root_object.{k}")).otherwise(text(raw, f"$.root_cause.root_object.{k}"))
     named = F.coalesce(text(raw, "$.root_cause.object"), F.when(~is_object(raw, "$.root_cause.root_object"), text(raw, "$.root_cause.root_object")), pick("name"), pick("field"))
     described = _or(F.coalesce(pick("description"), text(raw, "$.root_cause.violated_invariant", "$.root_cause.missing_validation")), "")
-    name = refined_name(named, _or(F.coalesce(pick("type"), pick("field_type")), ""), described, evidence, fingerprint["tokens"])
-    why = F.when(described != "", described).otherwise("primary source-level object tied to the crash representation")
-    root = F.when(name != "", signal(lit("S1"), signal_type(name, described), name, clean_token(name), lit("candidate_root_signal"), why, high, lit("stable"), lit("high")))
     at = F.get(locations, lit(0))["description"]
-    done = F.coalesce(F.when(strip(at) != "", at), text(raw, "$.crash_surface.crash_operation"))
-    operation = F.when(done.isNotNull(), signal(lit("S?"), lit("source_operation"), done, F.left(clean_token(done), lit(96)), lit("proximal_signal"), lit("exact or near-exact source operation around the crash or candidate cause site"), high, lit("version_sensitive"), lit("high")))
-    old = F.transform(fingerprint["tokens"], lambda t: signal(lit("S?"), signal_type(clean_token(t), clean_token(t)), t, clean_token(t), lit("context_signal"), lit("legacy dedup token preserved during normalization"), medium, lit("stable"), lit("medium")))
-    before = _first_kept(F.filter(F.concat(F.array_compact(F.array(root, operation)), old), lambda s: s["normalized_token"] != ""), "normalized_token")
-    function = F.coalesce(F.when(strip(primary) != "", primary), text(raw, "$.analysis.crash_type"))
-    last = F.when(function.isNotNull(), signal(lit("S?"), lit("state"), function, F.concat(lit("function:"), clean_token(function)), lit("context_signal"), lit("subsystem-local function context from crash surface"), F.slice(ids, 1, 1), lit("stable"), lit("low")))
-    made = F.concat(before, F.array_compact(F.array(last)))
-    numbered = F.transform(made, lambda s, i: s.withField("signal_id", number(i + 1)))
-    return F.when(F.size(own) > 0, own).otherwise(numbered)
+    ids = F.transform(ledger, lambda e: e["evidence_id"])
+    facts = F.struct(
+        described.alias("why"), _or(F.coalesce(pick("type"), pick("field_type")), "").alias("type"), _or(named, "").alias("named"), ids.alias("ids"), fingerprint["tokens"].alias("tokens"),
+        F.coalesce(F.when(strip(at) != "", at), text(raw, "$.crash_surface.crash_operation")).alias("done"), F.coalesce(F.when(strip(primary) != "", primary), text(raw, "$.analysis.crash_type")).alias("function"),
+    )
+
+    def made(f: Column) -> Column:
+        some = lambda a, b, c, d: F.when(F.size(f["ids"]) >= a, F.slice(f["ids"], a, b)).otherwise(F.slice(f["ids"], c, d))
+        high, medium = some(2, 2, 1, 1), some(3, 3, 1, 2)
+        why = F.when(f["why"] != "", f["why"]).otherwise("primary source-level object tied to the crash representation")
+        root = let(refined_name(f["named"], f["type"], f["why"], evidence, f["tokens"]), lambda n: F.when(n != "", signal(lit("S?"), signal_type(n, f["why"]), n, clean_token(n), lit("candidate_root_signal"), why, high, lit("stable"), lit("high"))))
+        operation = F.when(f["done"].isNotNull(), signal(lit("S?"), lit("source_operation"), f["done"], F.left(clean_token(f["done"]), lit(96)), lit("proximal_signal"), lit("exact or near-exact source operation around the crash or candidate cause site"), high, lit("version_sensitive"), lit("high")))
+        old = F.transform(F.transform(f["tokens"], lambda t: F.struct(t.alias("t"), clean_token(t).alias("c"))), lambda t: signal(lit("S?"), signal_type(t["c"], t["c"]), t["t"], t["c"], lit("context_signal"), lit("legacy dedup token preserved during normalization"), medium, lit("stable"), lit("medium")))
+        before = _first_kept(F.filter(F.concat(F.array_compact(F.array(root, operation)), old), lambda s: s["normalized_token"] != ""), "normalized_token")
+        last = F.when(f["function"].isNotNull(), signal(lit("S?"), lit("state"), f["function"], F.concat(lit("function:"), clean_token(f["function"])), lit("context_signal"), lit("subsystem-local function context from crash surface"), F.slice(f["ids"], 1, 1), lit("stable"), lit("low")))
+        return F.transform(F.concat(before, F.array_compact(F.array(last))), lambda s, i: s.withField("signal_id", number(i + 1)))
+
+    return own_or(own, let(facts, made))
 
 
 def invariant_signals(raw: Column, ledger: Column) -> Column:
@@ -245,13 +261,17 @@ def invariant_signals(raw: Column, ledger: Column) -> Column:
         lambda x, n: invariant(_or(text(x, "$.invariant_id"), F.concat(F.lit("I"), n.cast("string"))), _or(text(x, "$.expected"), ""), _or(text(x, "$.observed_or_suspected_violation", "$.actual", "$.summary"), ""),
                                text_list(x, "$.source_basis"), _or(text(x, "$.evidence_level"), "indirect"), _or(text(x, "$.dedup_weight"), "medium")),
     )
-    expected, actual = text(raw, "$.violated_invariant.expected"), text(raw, "$.violated_invariant.actual")
-    both = F.when(expected.isNotNull() | actual.isNotNull(), F.concat(F.lit("expected: "), _or(expected, "None"), F.lit("; actual: "), _or(actual, "None")))
     plain = F.when(kind(raw, "$.violated_invariant") == "STRING", text(raw, "$.violated_invariant"))
-    stated = F.coalesce(text(raw, "$.violated_invariant.invariant", "$.violated_invariant.violated_invariant", "$.root_cause.violated_invariant", "$.root_cause.missing_validation"), both, plain)
+    said = text(raw, "$.violated_invariant.invariant", "$.violated_invariant.violated_invariant", "$.root_cause.violated_invariant", "$.root_cause.missing_validation")
+    facts = F.struct(text(raw, "$.violated_invariant.expected").alias("expected"), text(raw, "$.violated_invariant.actual").alias("actual"), said.alias("said"), plain.alias("plain"))
     basis = F.transform(F.slice(ledger, 1, 3), lambda e: e["evidence_id"])
-    made = F.array_compact(F.array(F.when(stated.isNotNull(), invariant(F.lit("I1"), _or(expected, stated), _or(actual, stated), basis, F.lit("indirect"), F.when(expected.isNotNull(), "high").otherwise("medium")))))
-    return F.when(F.size(own) > 0, own).otherwise(made)
+
+    def one(f: Column) -> Column:
+        both = F.when(f["expected"].isNotNull() | f["actual"].isNotNull(), F.concat(F.lit("expected: "), _or(f["expected"], "None"), F.lit("; actual: "), _or(f["actual"], "None")))
+        return let(F.coalesce(f["said"], both, f["plain"]), lambda s: F.when(s.isNotNull(), invariant(F.lit("I1"), _or(f["expected"], s), _or(f["actual"], s), basis, F.lit("indirect"), F.when(f["expected"].isNotNull(), "high").otherwise("medium"))))
+
+    made = F.array_compact(F.array(let(facts, one)))
+    return own_or(own, made)
 
 
 def propagation_signals(raw: Column, ledger: Column) -> Column:
@@ -274,7 +294,7 @@ def propagation_signals(raw: Column, ledger: Column) -> Column:
         return F.when(is_object(x), nested).when((kind(x) == "STRING") & (strip(F.try_variant_get(x, "$", "string")) != ""), plain)
 
     made = F.filter(F.transform(F.coalesce(path, F.array().cast("array<variant>")), old), lambda s: s.isNotNull())
-    return F.when(F.size(own) > 0, own).otherwise(made)
+    return own_or(own, made)
 
 
 def hypotheses(raw: Column, ledger: Column) -> Column:
@@ -289,8 +309,8 @@ def hypotheses(raw: Column, ledger: Column) -> Column:
     )
     summary = text(raw, "$.root_cause.root_cause_summary", "$.root_cause.violated_invariant", "$.root_cause.missing_validation", "$.violated_invariant.actual", "$.summary", "$.analysis_summary", "$.root_cause_hypothesis.summary", "$.analysis.summary")
     support = F.transform(F.slice(ledger, 1, 3), lambda e: e["evidence_id"])
-    one = hypothesis(F.lit("H1"), summary, F.lit("candidate_root_cause"), support, no_strings(), F.lower(_or(text(raw, "$.confidence", "$.analysis.confidence"), "medium")), F.lit(True))
-    return F.when(F.size(own) > 0, own).otherwise(F.array_compact(F.array(F.when(summary.isNotNull(), one))))
+    one = lambda s: hypothesis(F.lit("H1"), s, F.lit("candidate_root_cause"), support, no_strings(), F.lower(_or(text(raw, "$.confidence", "$.analysis.confidence"), "medium")), F.lit(True))
+    return own_or(own, F.array_compact(F.array(let(summary, lambda s: F.when(s.isNotNull(), one(s))))))
 
 
 def patch_hypotheses(raw: Column, ledger: Column) -> Column:
@@ -302,11 +322,13 @@ def patch_hypotheses(raw: Column, ledger: Column) -> Column:
         entries(raw, "$.patch_semantics_hypotheses"),
         lambda x, n: patch(F.coalesce(text(x, "$.shape"), fix_shape(text(x, "$.summary"))), _or(text(x, "$.target"), ""), _or(text(x, "$.summary"), ""), text_list(x, "$.supporting_evidence"), _or(text(x, "$.confidence"), "medium"), _or(text(x, "$.dedup_weight"), "medium")),
     )
-    fix = fix_semantics(raw)
     support = F.transform(F.slice(ledger, 1, 3), lambda e: e["evidence_id"])
-    shape = F.when(fix["shape"] != "", fix["shape"]).otherwise(fix_shape(fix["summary"]))
-    one = F.when((fix["summary"] != "") | (fix["shape"] != "") | (fix["location"] != ""), patch(shape, fix["location"], fix["summary"], support, F.lit("medium"), F.lit("medium")))
-    return F.when(F.size(own) > 0, own).otherwise(F.array_compact(F.array(one)))
+
+    def from_fix(fix: Column) -> Column:
+        shape = F.when(fix["shape"] != "", fix["shape"]).otherwise(fix_shape(fix["summary"]))
+        return F.when((fix["summary"] != "") | (fix["shape"] != "") | (fix["location"] != ""), patch(shape, fix["location"], fix["summary"], support, F.lit("medium"), F.lit("medium")))
+
+    return own_or(own, F.array_compact(F.array(let(fix_semantics(raw), from_fix))))
 
 
 def _objects_or_texts(raw: Column, path: str, nested, plain) -> Column:
@@ -435,7 +457,7 @@ def capped_by_quality(cards: DataFrame) -> DataFrame:
     lowered = active & (confidence_rank(conf["level"]) > confidence_rank(cap))
     note = F.concat(F.lit("input_quality cap applied: "), cap, F.lit("; tier="), F.col("input_quality.tier"), F.lit("; weak_evidence="), F.array_join("input_quality.missing_or_weak_evidence", ", "))
     reason = F.when(lowered, F.when(_or(conf["reason"], "") != "", F.concat_ws("; ", conf["reason"], note)).otherwise(note)).otherwise(conf["reason"])
-    part = lambda k: F.coalesce(rep[k], no_strings())
+    part = lambda k: F.coalesce(F.filter(F.transform(rep[k], strip), lambda x: x.isNotNull() & (x != "")), no_strings())
     weak = F.array_distinct(F.concat(part("weak_context_tokens"), part("must_match_tokens"), part("should_match_tokens"), part("primary_root_tokens")))
     emptied = ("must_match_tokens", "should_match_tokens", "primary_root_tokens")
     moved = rep.withField("weak_context_tokens", F.when(low, weak).otherwise(rep["weak_context_tokens"]))

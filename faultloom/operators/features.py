@@ -80,7 +80,7 @@ def token_fields(df: DataFrame) -> DataFrame:
     c = _Card(df)
     rep = lambda k: c.strings(f"dedup_representation.{k}")
     must = rep("must_match_tokens")
-    led = lambda field: F.filter(F.transform(must, canonical_token), lambda t: t.rlike("^(?:" + "|".join(LEADS[field]) + ")"))
+    led = lambda field: F.filter(F.transform(must, lambda t: canonical_token(t)), lambda t: t.rlike("^(?:" + "|".join(LEADS[field]) + ")"))
     signals = "root_cause_signals"
     token = lambda g: F.coalesce(F.when(g("normalized_token") != "", g("normalized_token")), g("name"))
     stable = lambda g: F.coalesce(g("stability") == "stable", F.lit(False))

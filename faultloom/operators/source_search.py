@@ -110,7 +110,7 @@ def function_bounds(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy("path").orderBy("lineno")
     code = _code(lines).withColumn("next10", F.array_join(F.collect_list("line").over(w.rowsBetween(0, 9)), "\n"))
-    call = lambda tail: F.col("line").rlike(F.concat(F.lit(r"\b\Q"), F.col("symbol"), F.lit(r"\E\s*\(" + tail)))
+    call = lambda tail: F.regexp_like("line", F.concat(F.lit(r"\b\Q"), F.col("symbol"), F.lit(r"\E\s*\(" + tail)))
     near = code.join(wanted, "path").filter(~F.col("skip") & call(""))
     strict = call("[^;]*$")
     loose = F.col("next10").contains("{") & ~F.substring_index("next10", "{", 1).contains(";")
