@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: What ends a line: the separators a text reader knows, not only the line feed.
 LINE_END = "\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85  ]"
@@ -61,7 +62,7 @@ def canon_func(x: Column) -> Column:
     return strip(name)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _folded(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t.replace("�", "")).replace("->", " -> ").encode("ascii", "ignore").decode("ascii"))
 

@@ -51,9 +51,9 @@ def crash_directories(spark: SparkSession, root: str, limit_bugs: int | None = N
 
 
 def csv_table(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file with header, all columns as text; a byte order mark is dropped."""
-    df = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"', emptyValue="", nullValue="\x00")
-    return df.toDF(*[c.lstrip("﻿") for c in df.columns])
+    """A CSV file with header, all columns as text, empty fields as empty texts; a byte order mark is dropped."""
+    df = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"')
+    return df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c.lstrip("﻿")) for c in df.columns])
 
 
 def ground_truth(spark: SparkSession, path: str | None) -> DataFrame:

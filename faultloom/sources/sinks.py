@@ -35,7 +35,7 @@ def sorted_struct(df: DataFrame) -> Column:
     return F.struct(*[ordered(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in sorted(df.schema.fields, key=lambda f: f.name)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _ascii(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else json.dumps(json.loads(t), ensure_ascii=True, sort_keys=True))
 

@@ -18,9 +18,10 @@ def first_deliveries(cards: DataFrame, time: str = "ingested_at", delay: str = "
     return cards.withWatermark(time, delay).dropDuplicatesWithinWatermark(["card_id"])
 
 
-def windowed_counts(cards: DataFrame, time: str = "ingested_at", width: str = "1 day", delay: str = "30 days") -> DataFrame:
-    """Cards per bug and time window; a window is final once the watermark has passed it."""
-    return cards.withWatermark(time, delay).groupBy(F.window(time, width).alias("w"), "big_bucket").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "big_bucket", "n")
+def windowed_counts(cards: DataFrame, time: str = "ingested_at", width: str = "1 day", delay: str | None = "30 days") -> DataFrame:
+    """Cards per bug and time window; a window is final once the watermark has passed it. ``delay`` is None for a stream that has a watermark."""
+    marked = cards.withWatermark(time, delay) if delay else cards
+    return marked.groupBy(F.window(time, width).alias("w"), "big_bucket").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "big_bucket", "n")
 
 
 def maintain_buckets(cards: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
