@@ -100,7 +100,7 @@ def test_sections(spark):
 
 @pytest.mark.parametrize(
     ("line", "func"),
-    [("<TASK>", None), ("RAX: 0000", None), ("", None), ("  do_it.isra.0+0x1/0x2", "do_it"), ("f.part.3.isra.0+0x1/0x2", "f.part.3"), ("f.cold+0x1/0x2", None), ("123abc x/y.c:3", None), ("PC: 00ff: where+0x1/0x2 a/b.c", "where"), ("(odd): a/b.c:1", "odd")],
+    [("<TASK>", None), ("RAX: 0000", None), ("", None), ("  do_it.isra.0+0x1/0x2", "do_it"), ("f.part.3.isra.0+0x1/0x2", "f"), ("f.cold+0x1/0x2", None), ("123abc x/y.c:3", None), ("PC: 00ff: where+0x1/0x2 a/b.c", "where"), ("(odd): a/b.c:1", "odd")],
 )
 def test_single_lines(spark, line, func):
     found = one(spark, fr.frames_of(F.array("r")), r=line)
