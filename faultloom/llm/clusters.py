@@ -25,7 +25,8 @@ def hashed_features(tokens: Column, dim: int = 96, weights: Column | None = None
     without vectors enter :func:`similarity_clusters` through this.
     """
     some = F.coalesce(tokens, F.array().cast("array<string>"))
-    paired = F.arrays_zip(some.alias("t"), (weights if weights is not None else F.transform(some, lambda t: F.lit(1.0))).alias("w"))
+    given = F.coalesce(weights, F.array().cast("array<double>")) if weights is not None else F.array().cast("array<double>")
+    paired = F.arrays_zip(some.alias("t"), given.alias("w"))
     zero = F.array_repeat(F.lit(0.0).cast("double"), dim)
 
     def add(acc: Column, p: Column) -> Column:
