@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import canon_func, first_position, strip
+from .text import canon_func, first_position, let, strip
 
 FRAME = "struct<func:string,file:string,line:int,inline:boolean,raw:string>"
 
@@ -89,13 +89,15 @@ def frames_of(lines: Column, limit: int = 64) -> Column:
 
 def trace_from(lines: Column, stops=None) -> Column:
     """Frames from the first line on, to a line that ends the trace or a blank line after the first frame."""
-    p = parsed(lines)
     end = stops or (lambda x: x["stops"])
-    first = first_position(p, lambda x: x["frame"].isNotNull())
-    blank = F.array_position(F.transform(p, lambda x, i: x["blank"] & (first > 0) & (i + 1 > first)), True)
-    stop = first_position(p, lambda x: ~x["blank"] & end(x))
-    last = F.least(*[F.when(x > 0, x - 1).otherwise(F.size(p)) for x in (blank, stop)])
-    return F.coalesce(F.filter(F.transform(F.slice(p, F.lit(1), last.cast("int")), lambda x: x["frame"]), lambda f: f.isNotNull()), no_frames())
+
+    def cut(p: Column, first: Column) -> Column:
+        blank = F.array_position(F.transform(p, lambda x, i: x["blank"] & (first > 0) & (i + 1 > first)), True)
+        stop = first_position(p, lambda x: ~x["blank"] & end(x))
+        last = F.least(*[F.when(x > 0, x - 1).otherwise(F.size(p)) for x in (blank, stop)])
+        return F.filter(F.transform(F.slice(p, F.lit(1), last.cast("int")), lambda x: x["frame"]), lambda f: f.isNotNull())
+
+    return F.coalesce(let(parsed(lines), lambda p: let(first_position(p, lambda x: x["frame"].isNotNull()), lambda first: cut(p, first))), no_frames())
 
 
 def after(lines: Column, place: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import frames as fr
-from .text import canon_func, first_position, split_lines, strip, unique_keep_order
+from .text import canon_func, first_position, let, split_lines, strip, unique_keep_order
 
 # Names and patterns that decide results.
 MAP_TYPES = {0x0: "UNSPEC", 0x1: "HASH", 0x2: "ARRAY", 0x3: "PROG_ARRAY", 0x4: "PERF_EVENT_ARRAY", 0x5: "PERCPU_HASH", 0x6: "PERCPU_ARRAY", 0x7: "STACK_TRACE", 0x8: "CGROUP_ARRAY",
@@ -106,8 +106,8 @@ def config_features(config: Column) -> Column:
     """The values of the known switches set in a kernel configuration; of a switch set twice the last."""
     pairs = F.transform(F.filter(split_lines(config), lambda x: x.startswith("CONFIG_") & x.contains("=")), lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.regexp_replace(x, r"^[^=]*=", "").alias("v")))
     known = F.array(*[F.lit(k) for k in CONFIG_KEYS])
-    last = F.transform(known, lambda k: F.struct(k.alias("key"), F.get(F.reverse(F.filter(pairs, lambda p: p["k"] == k)), F.lit(0))["v"].alias("value")))
-    return F.map_from_entries(F.filter(last, lambda e: e["value"].isNotNull()))
+    last = lambda ps: F.transform(known, lambda k: F.struct(k.alias("key"), F.get(F.filter(ps, lambda p: p["k"] == k), F.lit(0))["v"].alias("value")))
+    return F.map_from_entries(F.filter(let(F.reverse(F.filter(pairs, lambda p: p["k"].isin(CONFIG_KEYS))), last), lambda e: e["value"].isNotNull()))
 
 
 def syscall_hints(crash_log: Column) -> Column:
@@ -139,7 +139,7 @@ def reproducer_semantics(syz: Column, c_repro: Column) -> Column:
     programs = F.transform(loads, lambda x: F.coalesce(F.nullif(F.regexp_extract(x, direct, 1), F.lit("")), F.regexp_extract(x, nested, 1)))
     map_types, program_types = _type_names(maps, MAP_TYPES), _type_names(programs, PROGRAM_TYPES)
     points = unique_keep_order(F.filter(F.regexp_extract_all(both, F.lit(TRACEPOINT), 1), lambda t: t != "GPL"))
-    ops = F.filter(F.array(*[F.lit(o) for o in MAP_OPS]), lambda o: both.contains(o))
+    ops = let(both, lambda t: F.filter(F.array(*[F.lit(o) for o in MAP_OPS]), lambda o: t.contains(o)))
     derived = [
         (F.arrays_overlap(map_types, F.array(F.lit("SOCKMAP"), F.lit("SOCKHASH"))), "repro:sockmap_or_sockhash"),
         (F.size(program_types) > 0, "repro:bpf_program"),

@@ -171,7 +171,7 @@ def own_or(own: Column, made: Column) -> Column:
 def _first_kept(items: Column, *keys: str) -> Column:
     """Entries at their first occurrence by ``keys``."""
     key = lambda e: F.struct(*[e[k] for k in keys])
-    return let(items, lambda xs: F.filter(xs, lambda e, i: F.array_position(F.transform(xs, key), key(e)) == i + 1))
+    return let(items, lambda xs: let(F.transform(xs, key), lambda ks: F.filter(xs, lambda e, i: F.array_position(ks, F.get(ks, i)) == i + 1)))
 
 
 def evidence_ledger(raw: Column, case_id: Column, title: Column, anchor: Column, locations: Column, evidence: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import frames as fr
-from ..functions.text import no_strings, strip
+from ..functions.text import let, no_strings, strip
 
 TEXT_BUDGET = 28_000
 #: Traces in the order in which their frames count, and the reproducer's lists.
@@ -66,8 +66,8 @@ def _in_domain(frames: Column, prefix: Column) -> Column:
 def _distinct_places(frames: Column, *more: str) -> Column:
     """Keeps the first frame of each file, function and line (and of each value of ``more``)."""
     place = lambda f: F.struct(*[f[m] for m in more], strip(f["file"]), strip(f["func"]), f["line"])
-    places = F.transform(frames, place)
-    return F.filter(frames, lambda f, i: F.array_position(places, place(f)) == i + 1)
+    firsts = lambda fs: let(F.transform(fs, place), lambda ps: F.filter(fs, lambda f, i: F.array_position(ps, F.get(ps, i)) == i + 1))
+    return let(frames, firsts)
 
 
 def domain_frames(df: DataFrame, prefix: Column, most: int) -> Column:
