@@ -107,6 +107,32 @@ def linked_labels(edges: DataFrame, label: str) -> DataFrame:
             return labels
 
 
+def seed_groups(placed: DataFrame, least: float, label: str) -> DataFrame:
+    """``rep, label``: vectors of :func:`vectors.nearest_cells` grouped around seeds; the label is the smallest seed of a group.
+
+    Every cell, in blocks, draws seeds until each of its vectors is near one; a vector joins its nearest
+    seed. Seeds then meet in their nearest cells, and near ones join their groups. A vector near no other is alone.
+    """
+    home = placed.select("rep", "vector", F.col("cells")[0].alias("cell"))
+    blocks = _blocked(home.groupBy("cell").count(), "cell")
+    home = home.join(F.broadcast(blocks), "cell").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+
+    def grouped(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, x = pdf["rep"].to_numpy(), V.to_matrix(pdf["vector"])
+        return pd.DataFrame({"rep": ids, "seed": group_by_seeds(ids, x, least)})
+
+    own = materialize(home.select("rep", "vector", "cell", "block").groupBy("cell", "block").applyInPandas(grouped, "rep long, seed long"), f"{label}-seeds")
+    seeds = placed.join(own.filter("rep = seed").select("rep"), "rep", "left_semi")
+
+    def met(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = pdf["rep"].to_numpy()
+        return pd.DataFrame({"seed": ids, "star": join_near(ids, V.to_matrix(pdf["vector"]), least)})
+
+    # Seeds per cell are few: a cell with many vectors of one group has one seed of it per block.
+    edges = materialize(seeds.select("rep", "vector", F.explode("cells").alias("cell")).groupBy("cell").applyInPandas(met, "seed long, star long").distinct(), f"{label}-edges")
+    return own.join(linked_labels(edges, label), "seed").select("rep", "label")
+
+
 def similarity_clusters(df: DataFrame, vec_id: str, vector: str, least: float = 0.70, label: str = "clusters") -> DataFrame:
     """``vec_id, rep, cluster, vector``: every usable vector with its cluster, named by its smallest member.
 
@@ -132,24 +158,7 @@ def similarity_clusters(df: DataFrame, vec_id: str, vector: str, least: float =
     cells = V.lloyd(reps, V.seeded_cells(V.fit_sample(reps), V.cell_count(n)), 3)
     placed = materialize(V.nearest_cells(reps, cells, PROBES), f"{label}-cells")
 
-    home = placed.select("rep", "vector", F.col("cells")[0].alias("cell"))
-    blocks = _blocked(home.groupBy("cell").count(), "cell")
-    home = home.join(F.broadcast(blocks), "cell").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-
-    def grouped(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, x = pdf["rep"].to_numpy(), V.to_matrix(pdf["vector"])
-        return pd.DataFrame({"rep": ids, "seed": group_by_seeds(ids, x, least)})
-
-    own = materialize(home.select("rep", "vector", "cell", "block").groupBy("cell", "block").applyInPandas(grouped, "rep long, seed long"), f"{label}-seeds")
-    seeds = placed.join(own.filter("rep = seed").select("rep"), "rep", "left_semi")
-
-    def met(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = pdf["rep"].to_numpy()
-        return pd.DataFrame({"seed": ids, "star": join_near(ids, V.to_matrix(pdf["vector"]), least)})
-
-    # Seeds per cell are few: a cell with many vectors of one group has one seed of it per block.
-    edges = materialize(seeds.select("rep", "vector", F.explode("cells").alias("cell")).groupBy("cell").applyInPandas(met, "seed long, star long").distinct(), f"{label}-edges")
-    named = own.join(linked_labels(edges, label), "seed").select("rep", "label")
+    named = seed_groups(placed, least, label)
     unit = placed.select("rep", "vector").join(named, "rep")
     members = slim.join(reps, "vector").select("vec_id", "rep").join(unit, "rep")
     first = members.groupBy("label").agg(F.min("vec_id").alias("cluster"))

@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from . import clusters
 from . import vectors as V
 
 #: Nearest cells to which a vector is sent as a possible neighbour; its own search runs in the first.
 PROBES = 4
+#: Vectors this similar to a seed are gathered in one cell.
+GATHER = 0.70
 #: Queries of one cell that one task answers; larger cells are split into such blocks.
 BLOCK = 8192
 #: A pair stays for reranking if its approximate score is within so many standard errors of the k-th best.
@@ -164,9 +167,10 @@ def most_similar(df: DataFrame, vec_id: str, vector: str, k: int = 5, least: flo
     length than the most common one take no part. An empty table gives no rows.
 
     Distinct vectors are searched, not rows: equal vectors join in afterwards, each with its k + 1
-    smallest ids. Every vector goes to its ``probes`` nearest coarse cells as a possible neighbour and is
-    searched for in its nearest cell, so one task has all it needs and no candidate pairs are shuffled. Large cells
-    are split into blocks of ``BLOCK`` queries. Coarse cells and codebook are fitted on at most
+    smallest ids. Every vector goes to its ``probes`` nearest coarse cells as a possible neighbour, so one task has all it
+    needs and no candidate pairs are shuffled. A group of similar vectors (cosine of ``GATHER`` to a common seed) that lies
+    across a border of cells is searched for as a whole in the cell of its first seed, to which all its members go too; a vector
+    in no group is searched for in its nearest cell. Large cells are split into blocks of ``BLOCK`` queries. Coarse cells and codebook are fitted on at most
     ``FIT_ROWS`` vectors; all vectors are indexed and searched for.
     """
     spark = df.sparkSession
@@ -183,7 +187,11 @@ def most_similar(df: DataFrame, vec_id: str, vector: str, k: int = 5, least: flo
     cells = V.lloyd(reps, V.seeded_cells(sample, V.cell_count(n)), 2)
     home = (sample @ cells.T).argmax(1)
     coder = AnisotropicCodes.fit(sample - cells[home], sample)
-    placed = materialize(V.nearest_cells(reps, cells, probes), f"{label}-cells")
+    near = materialize(V.nearest_cells(reps, cells, max(probes, clusters.PROBES)), f"{label}-cells")
+    groups = clusters.seed_groups(near, GATHER, label)
+    first = near.select(F.col("rep").alias("label"), F.col("cells")[0].alias("home"))
+    sent_to = F.array_distinct(F.concat(F.array("home"), F.slice("cells", 1, probes)))
+    placed = materialize(near.join(groups, "rep").join(first, "label").select("rep", "vector", sent_to.alias("cells")), f"{label}-placed")
     shared = spark.sparkContext.broadcast((cells, coder))
 
     sizes = placed.groupBy(F.col("cells")[0].alias("cell")).count()  # at most MAX_CELLS rows
