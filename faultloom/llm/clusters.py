@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from . import vectors as V
 
-#: Cells to which a group's seed is sent to meet other seeds of the same group.
-PROBES = 4
+#: Nearest cells in which a seed meets others of its group; only seeds are sent, so many are cheap.
+PROBES = 12
 #: Vectors that one task groups or compares at once; larger cells and clusters are split.
 BLOCK = 8192
 
