@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -187,16 +188,22 @@ def find_containing_function(lines: DataFrame, places: DataFrame) -> DataFrame:
     return joined.select("file", "target_line", "function", F.when(holds, F.col("start_line")).otherwise(F.col("at")).alias("func_start"), F.when(holds, F.col("end_line")).alias("func_end"), note.alias("note"))
 
 
-def get_file_outline(lines: DataFrame, file: str, around: int | None = None, radius: int = 220, max_macros: int = 60, max_functions: int = 40) -> DataFrame:
-    """``kind, name, start_line, end_line, text, contains_target`` of the macros and functions of a file near a line.
+def file_outlines(lines: DataFrame, places: DataFrame, radius: int = 220, max_macros: int = 60, max_functions: int = 40) -> DataFrame:
+    """``file, around, kind, name, start_line, end_line, text, contains_target, place`` for each distinct ``file, around`` of ``places``.
 
-    The function around the line comes first, then macros and functions in order, each within the window, up to their limits.
+    Macros and functions of the window around a line (of the whole file if that is null): the function around the line comes
+    first, then macros and functions in order, each up to its limit; ``place`` numbers them. Lines of other files are not looked at.
     """
-    own = lines.filter(F.col("path") == file)
-    near = own.filter(F.col("lineno").between(around - radius, around + radius)) if around else own
+    spots = places.select(F.col("file"), F.col("around").cast("int").alias("around")).distinct()
+    own = lines.join(spots.select(F.col("file").alias("path")).distinct(), "path", "left_semi")
+    asked = spots.select(F.col("file").alias("path"), "around")
+    keys = ["path", "around"]
+    inside = F.col("around").isNull() | F.col("lineno").between(F.col("around") - radius, F.col("around") + radius)
     macro = r"^\s*#\s*define\s+([A-Za-z_][A-Za-z0-9_]*)\b"
-    macros = near.filter(F.col("line").rlike(macro)).orderBy("lineno").limit(max_macros)
-    macros = macros.select(F.lit(1).alias("rank"), F.lit("macro").alias("kind"), F.regexp_extract("line", macro, 1).alias("name"), F.col("lineno").alias("start_line"), F.col("lineno").alias("end_line"), strip(F.col("line")).alias("text"), F.lit(False).alias("contains_target"))
+    near = own.filter(F.col("line").rlike(macro)).join(asked, "path").filter(inside)
+    nth = lambda *order: F.row_number().over(Window.partitionBy("path", F.coalesce("around", F.lit(-1))).orderBy(*order))
+    macros = near.withColumn("n", nth("lineno")).filter(F.col("n") <= max_macros)
+    macros = macros.select(*keys, F.lit(1).alias("rank"), F.lit("macro").alias("kind"), F.regexp_extract("line", macro, 1).alias("name"), F.col("lineno").alias("start_line"), F.col("lineno").alias("end_line"), strip(F.col("line")).alias("text"), F.lit(False).alias("contains_target"))
     w = Window.partitionBy("path").orderBy("lineno")
     text8 = own.withColumn("next8", F.array_join(F.collect_list("line").over(w.rowsBetween(0, 7)), "\n"))
     head = r"\b([A-Za-z_][A-Za-z0-9_]*)\s*\([^;]*$"
@@ -204,13 +211,21 @@ def get_file_outline(lines: DataFrame, file: str, around: int | None = None, rad
     top = top.filter(F.col("next8").contains("{") & ~F.substring_index("next8", "{", 1).contains(";"))
     named = top.withColumn("symbol", F.regexp_extract("line", head, 1)).filter((F.col("symbol") != "") & ~F.col("symbol").isin(NOT_FUNCTIONS))
     bounds = function_bounds(own, named.select("path", "symbol", F.col("lineno").cast("int").alias("around"))).select("path", F.col("symbol").alias("name"), "start_line", "end_line").distinct()
-    if around:
-        bounds = bounds.filter((F.col("end_line") >= around - radius) & (F.col("start_line") <= around + radius))
     reach = F.max("end_line").over(Window.partitionBy("path").orderBy("start_line", "name").rowsBetween(Window.unboundedPreceding, -1))
-    outer = bounds.withColumn("_reach", reach).filter(F.col("_reach").isNull() | (F.col("start_line") >= F.col("_reach"))).orderBy("start_line").limit(max_functions)
-    target = F.col("start_line").isNotNull() & F.lit(around is not None) & F.lit(around or 0).between(F.col("start_line"), F.col("end_line"))
-    functions = outer.select(F.when(target, 0).otherwise(2).alias("rank"), F.lit("function").alias("kind"), "name", "start_line", "end_line", F.lit("").alias("text"), target.alias("contains_target"))
-    return macros.unionByName(functions).orderBy("rank", "start_line").drop("rank")
+    outer = bounds.withColumn("_reach", reach).filter(F.col("_reach").isNull() | (F.col("start_line") >= F.col("_reach"))).drop("_reach")
+    shown = outer.join(asked, "path").filter(F.col("around").isNull() | ((F.col("end_line") >= F.col("around") - radius) & (F.col("start_line") <= F.col("around") + radius)))
+    target = F.coalesce(F.col("around").between(F.col("start_line"), F.col("end_line")), F.lit(False))
+    functions = shown.withColumn("contains_target", target).withColumn("n", nth(F.desc("contains_target"), "start_line")).filter(F.col("n") <= max_functions)
+    functions = functions.select(*keys, F.when(F.col("contains_target"), 0).otherwise(2).alias("rank"), F.lit("function").alias("kind"), "name", "start_line", "end_line", F.lit("").alias("text"), "contains_target")
+    both = macros.unionByName(functions).withColumn("place", nth("rank", "start_line"))
+    return both.drop("rank").withColumnRenamed("path", "file")
+
+
+def get_file_outline(lines: DataFrame, file: str, around: int | None = None, radius: int = 220, max_macros: int = 60, max_functions: int = 40) -> DataFrame:
+    """:func:`file_outlines` of one place, in order."""
+    spot = lines.sparkSession.createDataFrame([(file, around)], "file string, around int")
+    found = file_outlines(lines, spot, radius, max_macros, max_functions)
+    return found.orderBy("place").select("kind", "name", "start_line", "end_line", "text", "contains_target")
 
 
 def transitive_callees(lines: DataFrame, symbol: str, depth: int) -> DataFrame:
@@ -259,6 +274,26 @@ def batch(lines: DataFrame, requests: list[dict]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "request int, op string, result string, error string")
 
 
+#: A model's tools by name, the operation each runs and its defaults.
+TOOLS = {
+    "code_searcher_line": ("line", {"before": 80, "after": 120}),
+    "code_searcher_function": ("function", {"before": 8, "after": 8}),
+    **{f"code_searcher_{op}": (op, {}) for op in ("callers", "callees", "grep", "struct", "field", "macro", "file_outline", "containing", "search_symbol")},
+}
+
+
+def execute_tool(lines: DataFrame, name: str, args: dict, limit: int = 24_000) -> str:
+    """What a model's tool call gets back: text of matching or numbered lines, JSON rows of other results, an error as JSON."""
+    try:
+        if name == "code_searcher_batch":
+            return tool_text(batch(lines, args["requests"]).select(F.to_json(F.struct("*")).alias("text")), limit=limit)
+        op, defaults = TOOLS[name]
+        rows = OPERATIONS[op](lines, defaults | args)
+        return tool_text(rows if "text" in rows.columns and op not in ("macro", "file_outline") else rows.select(F.to_json(F.struct("*")).alias("text")), limit=limit)
+    except Exception as e:  # noqa: BLE001 - the model is told
+        return json.dumps({"error": str(e), "tool": name})
+
+
 def tool_text(rows: DataFrame, column: Column | str = "text", limit: int = 24_000) -> str:
     """The text of a bounded result, as a model's tool call gets it: rows in order, cut at ``limit`` characters."""
     text = "\n".join(r[0] or "" for r in rows.select(column).limit(limit).toLocalIterator())
