@@ -35,16 +35,17 @@ class _Card:
         self.df = df
 
     def strings(self, path: str) -> Column:
-        return F.coalesce(F.col(path), no_strings()) if _type_at(self.df, path) is not None else no_strings()
+        return F.coalesce(F.col(path).cast("array<string>"), no_strings()) if isinstance(_type_at(self.df, path), T.ArrayType) else no_strings()
 
     def value(self, path: str, kind: str = "string") -> Column:
         return F.col(path).cast(kind) if _type_at(self.df, path) is not None else F.lit(None).cast(kind)
 
     def each(self, path: str, test, build) -> Column:
         """Texts built from each entry of a list that passes a test; ``build`` gives an array of texts."""
-        if _type_at(self.df, path) is None:
-            return no_strings()
-        have = set(_type_at(self.df, path).elementType.fieldNames())
+        kind = _type_at(self.df, path)
+        if not isinstance(kind, T.ArrayType) or not isinstance(kind.elementType, T.StructType):
+            return no_strings()  # also where an inferred schema knows only empty lists
+        have = set(kind.elementType.fieldNames())
         get = lambda e: lambda k: e[k].cast("string") if k in have else F.lit(None).cast("string")
         kept = F.filter(F.col(path), lambda e: e.isNotNull() & F.coalesce(test(get(e)), F.lit(False)))
         return F.coalesce(F.flatten(F.transform(kept, lambda e: F.filter(build(get(e)), lambda x: x.isNotNull() & (x != "")))), no_strings())

@@ -214,3 +214,38 @@ def test_env_and_api_files(tmp_path, monkeypatch):
     monkeypatch.delenv("FL_TEST_KEY")
     (tmp_path / "a").write_bytes("地址 https://host/v1 Bearer sk-abcdefgh12".encode("gbk"))
     assert models.load_api_file(str(tmp_path / "a")) == ("https://host/v1", "sk-abcdefgh12")
+
+
+def test_all_stages_on_files(spark, crash_root, tmp_path):
+    from faultloom.operators import source_search as ss
+    from faultloom.plans import stages
+
+    out = str(tmp_path)
+    (tmp_path / "g.csv").write_text("bug_id,case_id,final_ground_truth_id\nbug1,c1,l1\nbug1,c3,l2\n")
+    totals = stages.crash_card_stage(spark, crash_root, f"{out}/s1", str(tmp_path / "g.csv")).collect()[0]
+    assert (totals["bugs"], totals["unique_cases"], totals["representatives"], totals["labels"]) == (1, 4, 3, 2)
+    again = stages.crash_card_stage(spark, crash_root, f"{out}/s1", str(tmp_path / "g.csv"), resume=True).collect()[0]
+    assert tuple(again) == tuple(totals)
+    weights = ar.csv_table(spark, f"{out}/s1/representative_weights")
+    assert weights.count() == 3
+    reps = spark.read.schema(spark.read.parquet(f"{out}/s1/cards_parquet").schema).json(f"{out}/s1/representatives").drop("bug_folder")
+    source = "#define BIG 1\nint sock_fetch(int a)\n{\n\treturn BIG;\n}\n" + "\n" * 115 + "/* BIG */\n"
+    lines = ss.source_lines(spark.createDataFrame([("net/demo/sock.c", source)], "path string, text string"))
+    asked = stages.prompts(reps.filter("case_id = 'c2'"), lines, "contract").collect()[0]["prompt"]
+    for part in ("contract", "## Prefetch Notes", "## Crash File Outline", "## Crash Line Context", "## Nearby Macro Definitions", "#define BIG 1", "## Primary Function: sock_fetch", "net/demo/sock.c:2..5"):
+        assert part in asked, part
+    assert stages.cause_card_stage(spark, reps, f"{out}/s2").filter("exists").count() == 0  # dry run
+
+    def client():
+        return lambda messages, tools: {"content": "nothing" if '"case_id":"c4"' in messages[0]["content"] else '{"root_cause": {"object": "sk"}, "dedup_fingerprint": "a b"}'}
+
+    listed = {r["case_id"]: r["exists"] for r in stages.cause_card_stage(spark, reps, f"{out}/s2", client=client, lines=lines).collect()}
+    assert listed == {"c2": True, "c3": True, "c4": False} and spark.read.parquet(f"{out}/s2/unreadable").count() == 1
+    assert stages.cause_card_stage(spark, reps, f"{out}/s2", client=client, limit=1).count() == 1
+    causes = spark.read.json(f"{out}/s2/cause_cards")
+    kept = weights.join(causes.select("source_crash_id"), "source_crash_id", "left_semi")
+    assert stages.clustering_stage(spark, kept, causes, f"{out}/s3", dims=16, dry_run=True) is None
+    chosen = stages.clustering_stage(spark, kept, causes, f"{out}/s3", dims=16).collect()
+    assert len(chosen) == 1 and chosen[0]["item_count"] == 2
+    assert spark.read.csv(f"{out}/s3/grid", header=True).count() == 41
+    assert spark.read.csv(f"{out}/s3/assignments_selected", header=True).count() == 2
