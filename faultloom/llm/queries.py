@@ -176,7 +176,21 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY g, field_name ORDER BY s0 D
 SELECT group_id, field_name, card_id FROM ranked JOIN groups USING (g) WHERE r = 1"""
 
 
+_WORDS = r"""list_filter(list_transform(regexp_split_to_array(lower(text), '[\s\p{Z}\x0b\x1c-\x1f\x{85}]+'), lambda w: regexp_replace(w, '[^\p{L}\p{N}]+', '', 'g')), lambda w: w <> '')"""
+_GRAMS = "SELECT {id}, array_to_string(w[i:i + 15], ' ') AS gram FROM (SELECT {id}, w, unnest(range(1, len(w) - 14)) AS i FROM (SELECT {id}, " + _WORDS + " AS w FROM {table} WHERE text IS NOT NULL))"
+_UNIT_PAIRS = """
+WITH v AS (SELECT vec_id, vector::DOUBLE[] AS x, sqrt(list_sum(list_transform(vector::DOUBLE[], lambda t: t * t))) AS n FROM vectors WHERE vector IS NOT NULL),
+u AS (SELECT * FROM v WHERE n > 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_inner_product(a.x, b.x) / (a.n * b.n), 6) AS sim FROM u a JOIN u b ON {on})
+"""
+
 SQL = {
+    "p5_found": _UNIT_PAIRS.format(on="a.vec_id <> b.vec_id")
+    + """SELECT DISTINCT least(a, b) AS vec_a, greatest(a, b) AS vec_b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS r FROM s) WHERE r <= 5 AND sim >= 0.80""",
+    "p7_found": _UNIT_PAIRS.format(on="true")
+    + """, g AS (SELECT a, list(b ORDER BY b) AS m FROM s WHERE sim >= 0.70 GROUP BY a), c AS (SELECT m FROM g GROUP BY m HAVING count(*) = len(m) AND len(m) >= 3)
+SELECT first_id, vec_id FROM (SELECT m[1] AS first_id, unnest(m) AS vec_id FROM c) WHERE vec_id <> first_id""",
+    "p8_found": "WITH d AS (" + _GRAMS.replace("{id}", "doc_id").replace("{table}", "documents") + "), e AS (" + _GRAMS.replace("{id}", "item_id").replace("{table}", "eval_items") + ") SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (gram)",
     "p1_found": _p1_sql(),
     "p2_label_records": r"""
 SELECT min(row_id) AS first_id, count(*) AS n_copies FROM case_labels
