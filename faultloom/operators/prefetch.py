@@ -16,7 +16,7 @@ WIDE, LINE = (40, 80), (80, 120)
 NOTES = "Deterministic source packet prepared by the script. Treat it as initial evidence, not ground truth.\nDomain scope hint: "
 
 
-def _window(lines: DataFrame, spots: DataFrame, before: int, after: int) -> DataFrame:
+def line_windows(lines: DataFrame, spots: DataFrame, before: int, after: int) -> DataFrame:
     """Adds ``source``, the numbered lines around each ``path, around``."""
     near = lines.join(spots.select("path", "around").distinct(), "path").filter(F.col("lineno").between(F.col("around") - before, F.col("around") + after))
     mark = F.when(F.col("lineno") == F.col("around"), "=>").otherwise("  ")
@@ -31,7 +31,7 @@ def function_texts(lines: DataFrame, frames: DataFrame) -> DataFrame:
     whole = ss._numbered(lines, bounds, 8, 8)
     place = F.concat(F.col("path"), F.lit(":"), F.col("start_line"), F.lit(".."), F.col("end_line"), F.lit("\n"), F.col("source"))
     found = whole.select("path", "symbol", F.coalesce("around", F.lit(-1)).alias("_a"), place.alias("whole"))
-    wide = _window(lines, wanted.filter("around IS NOT NULL"), *WIDE).select("path", F.col("around").alias("_a"), F.concat(F.col("path"), F.lit(":"), F.col("around"), F.lit("\n"), F.col("source")).alias("wide"))
+    wide = line_windows(lines, wanted.filter("around IS NOT NULL"), *WIDE).select("path", F.col("around").alias("_a"), F.concat(F.col("path"), F.lit(":"), F.col("around"), F.lit("\n"), F.col("source")).alias("wide"))
     keyed = wanted.withColumn("_a", F.coalesce("around", F.lit(-1)))
     joined = keyed.join(found, ["path", "symbol", "_a"], "left").join(wide, ["path", "_a"], "left")
     return joined.select("path", "symbol", "around", F.coalesce("whole", "wide").alias("body")).filter("body IS NOT NULL")
@@ -68,7 +68,7 @@ def source_packets(cards: DataFrame, lines: DataFrame, key: str = "case_id", bud
     joined = first.join(texts, (first["path"] == texts["path"]) & (first["symbol"] == texts["symbol"]) & first["around"].eqNullSafe(texts["around"]))
     bodies = joined.select(key, _section(F.col("rank"), F.col("title"), F.col("body")).alias("s")).select(key, "s.*")
     spots = base.select(key, strip(F.col("_primary.file")).alias("path"), F.col("_primary.line").alias("around")).filter("path <> '' AND around IS NOT NULL")
-    window = _window(lines, spots, *LINE)
+    window = line_windows(lines, spots, *LINE)
     around = spots.join(window, ["path", "around"])
     context = around.select(key, _section(4, F.lit("Crash Line Context"), F.col("source")).alias("s")).select(key, "s.*")
     outline = ss.file_outlines(lines, spots.select(F.col("path").alias("file"), "around")).groupBy(F.col("file").alias("path"), "around").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("place", "kind", "name", "start_line", "end_line", "text"))), lambda r: r.dropFields("place"))).alias("o"))

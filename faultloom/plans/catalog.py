@@ -14,6 +14,7 @@ from ..operators import embeddings as em
 from ..operators import features as ft
 from ..operators import linkage as lk
 from ..operators import metrics as mt
+from ..operators import prefetch as pf
 from ..operators import quality as ql
 from ..operators import source_search as ss
 from ..operators.cards import signature_hash
@@ -371,10 +372,13 @@ def source_field_usage(spark: SparkSession, d: str) -> DataFrame:
     return ss.find_field_usage(_lines(spark, d), "refcount").select(*_GREP_COLUMNS)
 
 
-@query(f"WITH {_LINE_TABLE} SELECT path, lineno::INT AS lineno, printf('%s %5d: %s', CASE WHEN lineno = 3 THEN '=>' ELSE '  ' END, lineno, line) AS text FROM lines WHERE path = 'docs/d000000004.c' AND lineno BETWEEN 1 AND 8")
+@query(f"""WITH {_LINE_TABLE} SELECT path, array_to_string(list(printf('%s %5d: %s', CASE WHEN lineno = 3 THEN '=>' ELSE '  ' END, lineno, line) ORDER BY lineno), chr(10)) AS source
+  FROM lines WHERE lineno BETWEEN 1 AND 8 GROUP BY path""")
 def line_window(spark: SparkSession, d: str) -> DataFrame:
-    """Numbered lines around a place."""
-    return ss.get_lines(_lines(spark, d), "docs/d000000004.c", 3, 2, 5)
+    """Numbered lines around the third line of every text."""
+    lines = _lines(spark, d)
+    spots = lines.select("path").distinct().withColumn("around", F.lit(3))
+    return pf.line_windows(lines, spots, 2, 5).select("path", "source")
 
 
 @query(rf"""WITH {_LINE_TABLE}, c AS (SELECT path, lineno, regexp_replace(line, '"(?:\\.|[^"\\])*"', '""', 'g') AS code FROM lines),
