@@ -86,12 +86,12 @@ def possible_copies(df: DataFrame, key: Column) -> DataFrame:
     """
     slot = F.pmod(F.xxhash64(key), F.lit(BITMAP_BUCKETS * 32_768))
     twice = df.select(F.xxhash64(key).alias("k"), slot.alias("slot")).groupBy("k", "slot").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    bitmap = twice.groupBy((F.col("slot") / 32_768).cast("int").alias("_bucket")).agg(F.bitmap_construct_agg((F.col("slot") % 32_768).cast("long")).alias("_bits"))
-    placed = df.withColumn("_slot", slot).withColumn("_bucket", (F.col("_slot") / 32_768).cast("int"))
-    place = (F.col("_slot") % 32_768).cast("int")
-    byte = F.conv(F.hex(F.substring("_bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bitmap = twice.groupBy((F.col("slot") / 32_768).cast("int").alias("_faultloom_bucket")).agg(F.bitmap_construct_agg((F.col("slot") % 32_768).cast("long")).alias("_faultloom_bits"))
+    placed = df.withColumn("_faultloom_slot", slot).withColumn("_faultloom_bucket", (F.col("_faultloom_slot") / 32_768).cast("int"))
+    place = (F.col("_faultloom_slot") % 32_768).cast("int")
+    byte = F.conv(F.hex(F.substring("_faultloom_bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     hit = F.getbit(byte.cast("long"), (place % 8).cast("int")) == 1
-    return placed.join(F.broadcast(bitmap), "_bucket").filter(hit).drop("_slot", "_bucket", "_bits")
+    return placed.join(F.broadcast(bitmap), "_faultloom_bucket").filter(hit).drop("_faultloom_slot", "_faultloom_bucket", "_faultloom_bits")
 
 
 def grouped_copies(tuples: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
@@ -129,3 +129,13 @@ def label_tuples(labels: DataFrame) -> DataFrame:
 def line_tuples(lines: DataFrame) -> DataFrame:
     """Record tuples of JSON lines over the members of their bodies."""
     return record_tuples(materialize(member_fields(lines, "line_id", "body"), "p2-line-fields"))
+
+
+def record_counts(rows: DataFrame, row_id: str, found: DataFrame) -> DataFrame:
+    """``first_id, n_copies`` of every distinct record: each row that repeats no earlier one, with the number of rows that say the same.
+
+    ``found`` is the result of :func:`copies`; rows it does not name stand for themselves.
+    """
+    firsts = rows.select(F.col(row_id).alias("first_id")).join(found.select(F.col("copy_id").alias("first_id")), "first_id", "left_anti")
+    counted = found.groupBy("first_id").agg(F.count(F.lit(1)).alias("n"))
+    return firsts.join(counted, "first_id", "left").select("first_id", (F.coalesce("n", F.lit(0)) + 1).alias("n_copies"))

@@ -18,6 +18,16 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("group_id", "field_name", F.col("row_id").alias("card_id"))
 
 
+def p1_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One surviving card per bucket, each field taken from the card with its best value (trust: a digest of the report; then the latest)."""
+    fields = ["repro", "reproducer_semantics", "sanitizer_context", "stack_semantic"]
+    cards = table(spark, sf_dir, "crash_cards", "card_id", "cluster_key", *fields, "normalized_report_digest", "ingested_at")
+    trust = F.col("normalized_report_digest").isNotNull().cast("int")
+    best = survivors.ranked_survivors(cards, survivors.cluster_group(), "card_id", survivors.crash_card_completeness(), trust, F.col("ingested_at"))
+    records = survivors.surviving_records(cards, best, "card_id", fields)
+    return records.select("group_id", F.col("n_rows").alias("n_cards"), *[f"{f}_from" for f in fields], *[F.to_json(f).alias(f) for f in fields])
+
+
 def _tuples(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {
         "crash_cards": copies.card_tuples(table(spark, sf_dir, "crash_cards")),
@@ -32,6 +42,16 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
+def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct record of cards, labels and lines with the number of its copies."""
+    ids = {"crash_cards": "card_id", "case_labels": "row_id", "crash_lines": "line_id"}
+    counted = []
+    for name, tuples in _tuples(spark, sf_dir).items():
+        rows = table(spark, sf_dir, name, ids[name])
+        counted.append(copies.record_counts(rows, ids[name], copies.copies(tuples, f"p2-{name}")).select(F.lit(name).alias("table_name"), "first_id", "n_copies"))
+    return reduce(DataFrame.unionByName, counted)
+
+
 def p2_label_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every distinct label record with its smallest row id and number of copies."""
     tuples = copies.label_tuples(table(spark, sf_dir, "case_labels", "row_id", "bug_id", "case_id", "final_ground_truth_id"))
@@ -118,7 +138,9 @@ def p10_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p1_records": p1_records,
     "p2_found": p2_found,
+    "p2_records": p2_records,
     "p2_label_records": p2_label_records,
     "p4_found": p4_found,
     "p4_terms": p4_terms,

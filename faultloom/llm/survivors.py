@@ -90,3 +90,18 @@ def cluster_group() -> Column:
     """Signature bucket of a card: its cluster key in letters and digits, case aside."""
     reduced = alnum(F.col("cluster_key"))
     return F.when(reduced != "", reduced)
+
+
+def surviving_records(df: DataFrame, best: DataFrame, row_id: str, fields: Sequence[str]) -> DataFrame:
+    """One record per group built field by field: ``group_id, n_rows`` and, per field, ``<field>_from`` (the row it was taken from) and ``<field>``.
+
+    ``best`` is the result of :func:`ranked_survivors`. Only the chosen rows are fetched; at most one per field and
+    group meets in a group's record. A field that no row states is null.
+    """
+    values = F.struct(*[F.col(f) for f in fields])
+    fetched = best.join(df.select(F.col(row_id).alias("row_id"), values.alias("v")), "row_id")
+    parts = []
+    for f in fields:
+        own = F.col("field_name") == f
+        parts += [F.max(F.when(own, F.col("row_id"))).alias(f"{f}_from"), F.first(F.when(own, F.col("v")[f]), ignorenulls=True).alias(f)]
+    return fetched.groupBy("group_id", "n_rows").agg(*parts)

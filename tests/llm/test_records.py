@@ -42,6 +42,13 @@ def test_survivors(spark):
     assert best(spark, []) == {}
 
 
+def test_surviving_records_take_each_field_from_its_best_row(spark):
+    df = spark.createDataFrame([(1, "g", "aa", ["x"]), (2, "g", "b", ["x", "y"]), (3, "h", None, None), (4, "h", None, None)], "id long, k string, s string, l array<string>")
+    best = survivors.ranked_survivors(df, F.col("k"), "id", {"s": [F.coalesce(F.length("s"), F.lit(0))], "l": [F.coalesce(F.size("l"), F.lit(0))]})
+    rows = survivors.surviving_records(df, best, "id", ["s", "l"]).collect()
+    assert [(r["group_id"], r["n_rows"], r["s_from"], r["s"], r["l_from"], r["l"]) for r in rows] == [(1, 2, 1, "aa", 2, ["x", "y"])]
+
+
 def test_survivors_rank_by_trust_then_recency(spark):
     df = spark.createDataFrame([(1, "g", 1, 1, 5), (2, "g", 1, 2, 1), (3, "g", 1, 2, 9), (4, "g", 0, 9, 9)], "id long, k string, n int, trust int, at int")
     got = survivors.ranked_survivors(df, F.col("k"), "id", {"f": [F.col("n")]}, F.col("trust"), F.col("at")).collect()
@@ -76,6 +83,9 @@ def test_typed_copies(spark):
     rows = [(5, "A b", "r1_x", None, 1, ""), (2, "ab", "R1x ", None, 2, ""), (7, "ab", "r1x", "", 3, ""), (8, "ab", "r1x", "-", 4, ""), (9, None, None, None, 5, ""), (10, None, None, None, 6, "")]
     got = {(r["first_id"], r["copy_id"]) for r in copies.copies(copies.label_tuples(spark.createDataFrame(rows, kind)), "t").collect()}
     assert got == {(2, 5), (7, 8), (9, 10)}
+    df = spark.createDataFrame(rows, kind)
+    counts = copies.record_counts(df, "row_id", copies.copies(copies.label_tuples(df), "t"))
+    assert sorted(tuple(r) for r in counts.collect()) == [(2, 2), (7, 2), (9, 2)]
 
 
 def test_card_copies_with_maps_and_pruning(spark):
