@@ -119,37 +119,51 @@ def _cosine6(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 def search_block(
     q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, centre: np.ndarray, coder: AnisotropicCodes, k: int, least: float
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query number, member number and exact cosine of pairs that can be among the k best of a query.
+    """Query number, member number and cosine of each query's ``k`` best members.
 
     All codes are scanned for every query; pairs within ``MARGIN`` standard errors of the k-th best
-    approximate score (and of the least similarity) are scored exactly. Nothing is capped.
+    approximate score (and of the least similarity) are scored exactly. Nothing is capped; a few queries at a time
+    keep memory small however many pairs pass.
     """
     packed, base = coder.encode(x - centre, x), q @ centre
     some = np.linspace(0, len(q) - 1, min(64, len(q))).astype(int)
     err = (coder.scores(q[some], packed) + base[some, None]) - q[some] @ x.T
     sigma = float(err.std()) + 1e-6
-    rows, cols, sims = [], [], []
+    rows, cols, sims = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
     step = max(1, min(len(q), 1024, SCANNED // max(1, len(x))))
     for i in range(0, len(q), step):
         part = q[i : i + step]
         approx = coder.scores(part, packed) + base[i : i + step, None]
         approx[q_ids[i : i + step, None] == ids[None, :]] = -9
-        kth = np.partition(approx, -k, axis=1)[:, -k] if len(x) > k else np.full(len(part), -8.0)
-        floor = np.maximum(np.maximum(kth - MARGIN * sigma, least - MARGIN * sigma), -8.0)
-        a, b = np.nonzero(approx >= floor[:, None])
-        for j in range(0, len(a), RERANKED):
-            aa, bb = a[j : j + RERANKED], b[j : j + RERANKED]
-            s = np.einsum("ij,ij->i", part[aa], x[bb])
-            near = s >= least - 1e-5
-            aa, bb = aa[near], bb[near]
-            rows.append(aa + i)
-            cols.append(bb)
-            sims.append(_cosine6(part[aa], x[bb]))
-    if not rows:
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+        floor = np.maximum(np.maximum(_kth(approx, k), least) - MARGIN * sigma, -8.0)
+        exact = _exact(part, x, approx >= floor[:, None])
+        near = (exact >= least - 1e-5) & (exact >= np.maximum(_kth(exact, k) - 2e-6, -8.0)[:, None])
+        a, b = np.nonzero(near)
+        s = np.concatenate([np.zeros(0), *[_cosine6(part[a[j : j + RERANKED]], x[b[j : j + RERANKED]]) for j in range(0, len(a), RERANKED)]])
+        best = _best(a, ids[b], s, k)
+        rows.append(a[best] + i)
+        cols.append(b[best])
+        sims.append(s[best])
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(sims)
 
 
+def _kth(scores: np.ndarray, k: int) -> np.ndarray:
+    """The k-th largest score of each row, or less than any if rows are shorter."""
+    return np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(scores), -8.0, np.float32)
+
+
+def _exact(q: np.ndarray, x: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Exact scores of the wanted pairs, -9 elsewhere: pair by pair if they are few, else as one product."""
+    if wanted.mean() > 0.05:
+        return np.where(wanted, q @ x.T, np.float32(-9))
+    out = np.full(wanted.shape, -9, np.float32)
+    a, b = np.nonzero(wanted)
+    for j in range(0, len(a), RERANKED):
+        aa, bb = a[j : j + RERANKED], b[j : j + RERANKED]
+        out[aa, bb] = np.einsum("ij,ij->i", q[aa], x[bb])
+    return out
+
+
 def _best(rows: np.ndarray, other: np.ndarray, sims: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k best of each row: larger similarity first, then the smaller other id."""
     order = np.lexsort((other, -sims, rows))
@@ -211,8 +225,7 @@ def most_similar(df: DataFrame, vec_id: str, vector: str, k: int = 5, least: flo
         q_ids, q = pdf["rep"].to_numpy()[asks], V.to_matrix(pdf["vector"][asks])
         rows, cols, sims = search_block(q_ids, q, ids, x, cells_[key[0]], coder_, k, least)
         if len(rows):
-            keep = _best(rows, ids[cols], sims, k)
-            yield pd.DataFrame({"rep": q_ids[rows[keep]], "other_rep": ids[cols[keep]], "similarity": sims[keep]})
+            yield pd.DataFrame({"rep": q_ids[rows], "other_rep": ids[cols], "similarity": sims})
 
     found = asked.unionByName(sent.select(asked.columns)).groupBy("cell", "block").applyInPandas(search, "rep long, other_rep long, similarity double")
 

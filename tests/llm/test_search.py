@@ -181,3 +181,15 @@ def test_length_fits():
     assert set(found) == {280} and found[280] > 0.9
     values, counts = np.unique(np.exp(rng.normal(5, 0.7, 4000)).astype(int), return_counts=True)
     assert truncation.fit_censored(values, counts) == {} and truncation.fit_censored(values[:2], counts[:2]) == {}
+
+
+def test_one_dense_group_holding_most_vectors(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SCANNED", 4000)
+    rng = np.random.default_rng(9)
+    x = (np.eye(1, 24)[0] + rng.normal(scale=0.03, size=(300, 24))).astype(np.float32)
+    got = {}
+    for r in neighbours.most_similar(spark.createDataFrame([(i, [float(v) for v in row], 0) for i, row in enumerate(x)], KIND), "vec_id", "vector", 5).collect():
+        got.setdefault(r["vec_id"], set()).add(r["other_id"])
+    s = np.round(cosines(x), 6)
+    want = {i: set(sorted((j for j in range(300) if j != i), key=lambda j: (-s[i, j], j))[:5]) for i in range(300)}
+    assert sum(len(got[i] & want[i]) for i in want) / 1500 >= 0.98
