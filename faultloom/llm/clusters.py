@@ -16,6 +16,8 @@ from . import vectors as V
 PROBES = 12
 #: Vectors that one task groups or compares at once; larger cells and clusters are split.
 BLOCK = 8192
+#: Pairs whose cosines a task holds at once.
+COMPARED = 4_000_000
 
 
 def hashed_features(tokens: Column, dim: int = 96, weights: Column | None = None) -> Column:
@@ -183,7 +185,8 @@ def loosest_pairs(members: DataFrame, least: float, buckets: int) -> DataFrame:
         for c, part in pdf.groupby("cluster"):
             x, asks = V.to_matrix(part["vector"]), part["asks"].to_numpy()
             q, y = (x[asks], x[~asks]) if not asks.all() else (x, x)
-            low = min((float((q[i : i + 1024] @ y.T).min()) for i in range(0, len(q), 1024)), default=1.0)
+            step = max(1, COMPARED // len(y))
+            low = min((float((q[i : i + step] @ y.T).min()) for i in range(0, len(q), step)), default=1.0)
             out.append((c, low >= least - 1e-6))
         return pd.DataFrame(out, columns=["cluster", "tight"])
 
