@@ -15,8 +15,10 @@ SHAPED_LINE = 240
 USUAL_SHARE, MIN_LAST, MIN_INNER = 0.002, 3, 5
 #: A shape that ends texts less often than once in so many of its lines is no ending.
 INNER_PER_LAST = 60
-#: Log odds that the ending adds to those of the length.
-EVIDENCE = {"mark": 9.0, "open_markup": 9.0, "unknown": 9.0, "complete": -12.0, "usual": -9.0, "empty": -99.0}
+#: Log odds that endings add which tell by themselves whether a text is finished; usual last lines get theirs from the texts.
+EVIDENCE = {"mark": 9.0, "open_markup": 9.0, "unknown": 9.0, "complete": -12.0, "empty": -99.0}
+#: Places at which every text is cut to learn how cut texts end, and what is added to the counts of an ending.
+CUTS, SMOOTH = 4, 0.5
 #: Prior share of cut texts at a length that is no limit.
 BASE_RATE = 0.02
 
@@ -41,18 +43,22 @@ def final_of(line: Column) -> Column:
     return F.when(bare.rlike(r"0x[0-9a-f]*$"), F.concat(F.lit("#"), F.length(hexed).cast("string"))).otherwise(word)
 
 
-def _features(documents: DataFrame) -> DataFrame:
-    text = F.col("text")
-    bare = F.regexp_replace(text, r"\s+$", "")
-    last = F.substring_index(bare, "\n", -1)
+def _kind(text: Column, bare: Column) -> Column:
     fences = F.length(text) - F.length(F.replace(text, F.lit("```"), F.lit("``")))
-    kind = (
+    return (
         F.when(text.isNull() | (bare == ""), "empty")
         .when(bare.rlike(_MARK), "mark")
         .when(fences % 2 == 1, "open_markup")
         .when(bare.rlike(_STOP) & ~bare.rlike(_HALF_STOP), "complete")
         .otherwise("unknown")
     )
+
+
+def _features(documents: DataFrame) -> DataFrame:
+    text = F.col("text")
+    bare = F.regexp_replace(text, r"\s+$", "")
+    last = F.substring_index(bare, "\n", -1)
+    kind = _kind(text, bare)
     return documents.select(
         "doc_id",
         "source",
@@ -84,7 +90,48 @@ def usual_endings(distinct: DataFrame, documents: DataFrame, n: int) -> DataFram
     shapes = both.groupBy("shape").agg(F.sum("last").alias("last_all"), F.sum("inner").alias("inner_all"))
     often = F.col("last") >= F.lit(max(MIN_LAST, USUAL_SHARE * n))
     whole = (F.col("inner_all") >= F.lit(max(MIN_INNER, USUAL_SHARE * n))) & (F.col("last_all") * INNER_PER_LAST >= F.col("inner_all")) & (F.col("inner") >= F.lit(max(1.0, n / 20_000)))
-    return both.filter("last > 0").join(shapes, "shape").filter(often | whole).select("shape", "final", F.lit(True).alias("usual"))
+    return both.filter("last > 0").join(shapes, "shape").filter(often | whole).select("shape", "final")
+
+
+def _cut_endings(documents: DataFrame) -> DataFrame:
+    """``shape, final, n``: last lines of all distinct texts cut at ``CUTS`` places each, which follow from a hash; a null shape has the other endings.
+
+    The patterns of an ending look at its last line only, so they get no more of the text before the place than that needs.
+    """
+    h, k = F.xxhash64("text"), F.explode(F.sequence(F.lit(1), F.lit(CUTS)))
+    placed = documents.filter(F.length("text") > 1).select("text", h.alias("h"), k.alias("k"))
+    placed = placed.withColumn("head", F.left("text", F.lit(1) + F.pmod(F.xxhash64("h", "k"), F.length("text") - 1).cast("int")))
+    placed = placed.withColumn("tail", F.right(F.rtrim("head", F.lit(" \t\r\n\f\x0b")), F.lit(SHAPED_LINE + 20)))
+    last = F.substring_index("tail", "\n", -1)
+    shape = F.when(_kind(F.col("head"), F.col("tail")) == "unknown", shape_of(last))
+    ends = placed.select("h", "k", shape.alias("shape"), F.when(shape.isNotNull(), final_of(last)).alias("final"))
+    return ends.dropDuplicates(["h", "k"]).groupBy("shape", "final").agg(F.count(F.lit(1)).alias("n"))
+
+
+def ending_evidence(usual: DataFrame, distinct: DataFrame, documents: DataFrame) -> DataFrame:
+    """``shape, final, evidence`` of the usual endings: the log of how much likelier a cut text ends so than a whole one.
+
+    Cut texts are all texts cut at random places; whole ones are the texts that end in a usual line or a finished sentence.
+    """
+    cuts = materialize(_cut_endings(documents), "p10-cuts")
+    whole = distinct.join(usual.withColumn("usual", F.lit(True)), ["shape", "final"], "left").withColumn("usual", F.col("usual") & (F.col("kind") == "unknown")).filter("usual OR kind = 'complete'")
+    whole = materialize(whole.groupBy(F.when(F.col("usual"), F.col("shape")).alias("shape"), F.when(F.col("usual"), F.col("final")).alias("final")).agg(F.count(F.lit(1)).alias("w")), "p10-whole")
+    sums = cuts.agg(F.sum("n").alias("all_n")).crossJoin(whole.agg(F.sum("w").alias("all_w")))
+    both = usual.join(cuts, ["shape", "final"], "left").join(whole, ["shape", "final"], "left").na.fill(0, ["n", "w"]).crossJoin(F.broadcast(sums))
+    ratio = (F.col("n") + SMOOTH) / (F.col("all_n") + SMOOTH) / ((F.col("w") + SMOOTH) / (F.col("all_w") + SMOOTH))
+    return both.select("shape", "final", F.log(ratio).alias("evidence"))
+
+
+def cut_share(posterior: float, evidence: np.ndarray, counts: np.ndarray, rounds: int = 200) -> float:
+    """Share of cut texts among those at a limit, by EM from the length's posterior over the endings they have.
+
+    Where texts are cut most end oddly. A length that is frequent for another reason (texts of one form, texts
+    filled up) has usual and finished endings, and its share falls. Never above ``posterior``.
+    """
+    share, ratio = posterior, np.exp(evidence)
+    for _ in range(rounds):
+        share = min(posterior, float(np.average(share * ratio / (share * ratio + 1 - share), weights=counts)))
+    return share
 
 
 def fit_censored(lengths: np.ndarray, counts: np.ndarray, rounds: int = 60) -> dict[int, float]:
@@ -149,25 +196,47 @@ def limit_posteriors(distinct: DataFrame) -> DataFrame:
     return hist.groupBy("source", "unit").applyInPandas(fit, "source string, unit string, size int, posterior double")
 
 
+def limit_shares(limits: DataFrame, judged: DataFrame) -> DataFrame:
+    """The limits with the share of cut texts (:func:`cut_share`) as their posterior, from one histogram of endings per limit."""
+    limits = materialize(limits, "p10-fitted")
+    found = [
+        judged.join(F.broadcast(limits.filter(F.col("unit") == u).select(F.col("source").alias("_s"), F.col("size").alias(u), "posterior")), ["_s", u]).select(F.col("_s").alias("source"), F.lit(u).alias("unit"), F.col(u).alias("size"), "posterior", "evidence")
+        for u in ("chars", "bytes")
+    ]
+    hist = found[0].unionByName(found[1]).groupBy("source", "unit", "size", "posterior", "evidence").agg(F.count(F.lit(1)).alias("n"))
+
+    def share(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf[["source", "unit", "size"]].iloc[:1]
+        return first.assign(posterior=cut_share(pdf["posterior"].iloc[0], pdf["evidence"].to_numpy(), pdf["n"].to_numpy()))
+
+    return hist.groupBy("source", "unit", "size").applyInPandas(share, "source string, unit string, size int, posterior double")
+
+
 def truncation_scores(documents: DataFrame, label: str = "p10") -> DataFrame:
     """``doc_id, source, ending, posterior, cut``: every document's kind of ending, the posterior of a limit at its length, and the verdict.
 
-    The log odds of being cut are those of the length (the censoring posterior at a limit of the source, else a base rate)
-    plus those of the ending: a mark of a cut or open markup, an ending no whole text has, a usual last line, or a
-    finished sentence. Equal texts count once in all statistics. Null and blank texts are not cut; an empty
-    table gives no rows.
+    The log odds of being cut are those of the length (the share of cut texts at a limit of the source, else a base rate)
+    plus those of the ending. A mark of a cut, open markup, an ending no whole text has, and a finished sentence say by
+    themselves whether the text is finished. A usual last line may also be a line cut in its last word or number:
+    its log odds are a likelihood ratio (:func:`ending_evidence`), and the length can outweigh it. Equal
+    texts count once in all statistics. Null and blank texts are not cut; an empty table gives no rows.
     """
     seen = materialize(_features(documents), f"{label}-features")
     distinct = materialize(seen.dropDuplicates(["h"]), f"{label}-distinct")
     n = distinct.count()
     usual = usual_endings(distinct, documents, n)
-    limits = limit_posteriors(distinct)
+    usual = materialize(ending_evidence(materialize(usual, f"{label}-usual"), distinct, documents), f"{label}-evidence")
+    weight = F.create_map(*[F.lit(v) for pair in EVIDENCE.items() for v in pair])
+
+    def judged(rows: DataFrame) -> DataFrame:
+        is_usual = (F.col("kind") == "unknown") & F.col("evidence").isNotNull()
+        joined = rows.withColumn("_s", F.coalesce("source", F.lit(""))).join(usual, ["shape", "final"], "left")
+        return joined.withColumns({"ending": F.when(is_usual, "usual").otherwise(F.col("kind")), "evidence": F.when(is_usual, F.col("evidence")).otherwise(weight[F.col("kind")])})
+
+    limits = materialize(limit_shares(limit_posteriors(distinct), judged(distinct)), f"{label}-limits")
     at = {u: F.broadcast(limits.filter(F.col("unit") == u).select(F.col("source").alias("_s"), F.col("size").alias(u), F.col("posterior").alias(f"{u}_posterior"))) for u in ("chars", "bytes")}
-    joined = seen.withColumn("_s", F.coalesce("source", F.lit(""))).join(usual, ["shape", "final"], "left")
-    joined = joined.join(at["chars"], ["_s", "chars"], "left").join(at["bytes"], ["_s", "bytes"], "left")
-    ending = F.when((F.col("kind") == "unknown") & F.col("usual"), "usual").otherwise(F.col("kind"))
+    joined = judged(seen).join(at["chars"], ["_s", "chars"], "left").join(at["bytes"], ["_s", "bytes"], "left")
     posterior = F.greatest(F.coalesce("chars_posterior", F.lit(0.0)), F.coalesce("bytes_posterior", F.lit(0.0)), F.lit(BASE_RATE))
-    weight = F.create_map(*[F.lit(v) for pair in EVIDENCE.items() for v in pair])
-    scored = joined.select("doc_id", "source", ending.alias("ending"), posterior.alias("posterior"))
-    odds = F.log(F.col("posterior") / (1 - F.col("posterior"))) + weight[F.col("ending")]
-    return scored.withColumn("cut", odds > 0)
+    scored = joined.select("doc_id", "source", "ending", posterior.alias("posterior"), "evidence")
+    odds = F.log(F.col("posterior") / (1 - F.col("posterior"))) + F.col("evidence")
+    return scored.select("doc_id", "source", "ending", "posterior", (odds > 0).alias("cut"))

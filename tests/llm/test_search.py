@@ -1,5 +1,7 @@
 """Neighbours, clusters, leaks and cut texts against brute force, with their edge cases."""
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -173,6 +175,20 @@ def test_cut_texts(spark):
     assert truncation.truncation_scores(df.limit(0)).count() == 0
 
 
+def test_limit_decides_between_equal_endings(spark):
+    rng = np.random.default_rng(5)
+    line = lambda i: f"[ {i % 90}.{rng.integers(100, 999)}] task {'x' * rng.integers(1, 40)} freed object {rng.integers(10**9, 10**10)}"
+    texts = ["\n".join(line(i + k) for k in range(max(1, int(rng.lognormal(1.8, 0.6))))) for i in range(800)]
+    stored = {i: t[:500] for i, t in enumerate(texts)}
+    in_number = {i for i, t in enumerate(texts) if len(t) > 500 and re.search(r"object \d{7,9}$", t[:500])}
+    whole = {i for i, t in enumerate(texts) if len(t) < 500}
+    assert len(in_number) > 5 and len(whole) > 400
+    df = spark.createDataFrame([(i, "l", t) for i, t in stored.items()], "doc_id long, source string, text string")
+    scores = {r["doc_id"]: r for r in truncation.truncation_scores(df).collect()}
+    assert {scores[i]["ending"] for i in in_number} == {"usual"} == {scores[i]["ending"] for i in whole}
+    assert all(scores[i]["cut"] for i in in_number) and not any(scores[i]["cut"] for i in whole)
+
+
 def test_length_fits():
     rng = np.random.default_rng(3)
     sizes = np.minimum(np.exp(rng.normal(5, 0.7, 4000)).astype(int), 280)
