@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import materialize
 
@@ -219,53 +220,147 @@ def drift_log(bodies: DataFrame) -> DataFrame:
     return kept.join(files, ["producer", "file_no"]).select("producer", "file_seq", F.col("path").alias("field_path"), "drift_kind", "new_path")
 
 
-def alias_table(catalogue: DataFrame, moved: DataFrame) -> dict[str, tuple[list[str], str]]:
-    """Every consistent top-level field with its aliases (most used first) and the type to cast to.
+_TYPES = re.compile(r"array<[^>]*>|[^|]+")
 
-    Reads one row per distinct top-level name and rename, metadata that does not grow with rows. Names linked by
-    renames anywhere share one field, called by the name used in most files (ties: first by name). A field with one
-    simple type everywhere keeps it; any other is text (JSON for lists and objects), which loses nothing.
+
+def alias_tree(used: dict[str, tuple[int, set[str]]], moves: list[tuple[str, str]]) -> tuple[dict[str, str], dict[str, dict]]:
+    """Canonical path of every path, and of each canonical path its layout: ``names`` (most used first), ``members``, ``array``, ``kinds``, ``text``.
+
+    ``used`` has the number of files and the types of every path, ``moves`` the renames at any depth. Goes from the top
+    down: paths whose parents share a field share one themselves if they have one name or a rename links them.
+    """
+    def parent(p: str) -> str:
+        while "." in p:
+            p = p.rsplit(".", 1)[0]
+            if p in used:
+                return p
+        return ""
+
+    canon: dict[str, str] = {"": ""}
+    layout: dict[str, dict] = {"": {"members": {}}}
+    levels: dict[int, list[str]] = {}
+    depth = {"": 0}
+    for p in sorted(used, key=len):
+        depth[p] = depth[parent(p)] + 1
+        levels.setdefault(depth[p], []).append(p)
+    for level in sorted(levels):
+        name = {p: p[len(parent(p)) + 1 :] if parent(p) else p for p in levels[level]}
+        key = {p: (canon[parent(p)], name[p]) for p in levels[level]}
+        root = {k: k for k in key.values()}
+
+        def find(k: tuple) -> tuple:
+            while root[k] != k:
+                k = root[k]
+            return k
+
+        for old, new in moves:
+            if old in key and new in key and key[old][0] == key[new][0]:
+                root[find(key[old])] = find(key[new])
+        files: dict[tuple, int] = {}
+        for p, k in key.items():
+            files[k] = files.get(k, 0) + used[p][0]
+        groups: dict[tuple, list[tuple]] = {}
+        for k in files:
+            groups.setdefault(find(k), []).append(k)
+        for keys in groups.values():
+            keys.sort(key=lambda k: (-files[k], k[1]))
+            above, first = keys[0]
+            path = f"{above}.{first}" if above else first
+            paths = [p for p, k in key.items() if k in keys]
+            canon |= dict.fromkeys(paths, path)
+            types = {t for p in paths for joined in used[p][1] for t in _TYPES.findall(joined)}
+            plain = {t for t in types if not t.startswith("array")}
+            inner = {k for t in types if t.startswith("array<") for k in t[6:-1].split("|")}
+            text = bool(inner) and "object" not in plain | inner and not plain <= inner
+            layout[path] = {"names": [k[1] for k in keys], "members": {}, "array": not text and len(plain) < len(types), "kinds": {"string", *plain, *inner} if text else plain | inner, "text": text}
+            layout[above]["members"][first] = path
+    return canon, layout
+
+
+def _leaf(v: object, kinds: set[str]) -> object:
+    if isinstance(v, str) or len(kinds) == 1:
+        return v
+    return json.dumps(v)
+
+
+def unified(v: object, path: str, layout: dict[str, dict]) -> object:
+    """A value in its field's layout: single values of array fields wrapped, members renamed, absent ones null, leaves of mixed types as text.
+
+    Where a field has objects, a plain value becomes an object's member ``value``; nested lists are opened. Where plain
+    values and lists of other plain values meet, all are text.
     """
-    top = catalogue.filter(~F.col("path").contains("."))
-    used = {r["path"]: (r["n"], set(r["types"])) for r in top.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.collect_set("type").alias("types")).collect()}
-    root = {p: p for p in used}
-
-    def find(p: str) -> str:
-        while root[p] != p:
-            p = root[p]
-        return p
-
-    for r in moved.filter(~F.col("old_path").contains(".")).select("old_path", "new_path").distinct().collect():
-        root[find(r["old_path"])] = find(r["new_path"])
-    groups: dict[str, list[str]] = {}
-    for p in used:
-        groups.setdefault(find(p), []).append(p)
+    node = layout[path]
+    if node["text"]:
+        return v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
+    scalars = node["kinds"] - {"object"}
+
+    def one(x: object) -> object:
+        if "object" not in node["kinds"]:
+            return _leaf(x, scalars)
+        out = dict.fromkeys(sorted(node["members"]))
+        if scalars:
+            out.setdefault("value", None)
+        if not isinstance(x, dict):
+            below = node["members"].get("value")
+            out["value"] = unified(x, below, layout) if below else _leaf(x, scalars)
+            return out
+        return out | members_of(x, path, layout)
+
+    if node["array"]:
+        return [one(x) for x in (_flat(v) if isinstance(v, list) else [v])]
+    return one(v)
+
+
+def members_of(card: dict, path: str, layout: dict[str, dict]) -> dict[str, object]:
+    """The members an object has, by canonical name; of several aliases the first that is not null."""
     out = {}
-    for names in groups.values():
-        names.sort(key=lambda p: (-used[p][0], p))
-        types = set().union(*(used[p][1] for p in names))
-        out[names[0]] = (names, {frozenset({"number"}): "double", frozenset({"boolean"}): "boolean"}.get(frozenset(types), "string"))
-    return dict(sorted(out.items()))
+    for name, below in layout[path]["members"].items():
+        found = next((card[a] for a in layout[below]["names"] if card.get(a) is not None), None)
+        if found is not None:
+            out[name] = unified(found, below, layout)
+    return out
 
 
 def consistent_table(bodies: DataFrame) -> DataFrame:
     """Every readable card as one row ``raw_id, producer, file_seq`` and a column ``card_<field>`` per consistent field.
 
-    Casts are generated from the alias table: a field takes the value of whichever of its names the card
-    has, cast to the field's type; absent and null members give null. Unreadable bodies give no row.
+    Aliases and layouts hold at every depth (:func:`alias_tree`, :func:`unified`) and come from one row per distinct path and
+    rename, metadata that does not grow with rows. A field that is a number or a boolean everywhere is a double or boolean
+    column; any other is text, JSON in one layout for lists and objects. Absent and null members give null. Unreadable bodies
+    give no row. Names that differ in case only get a number, as columns do not differ by case.
     """
     catalogue = materialize(file_catalogue(bodies), "p6-catalogue")
     moved = materialize(renames(bodies, catalogue, materialize(_boundaries(catalogue), "p6-boundaries")), "p6-renames")
-    fields = alias_table(catalogue, moved)
-
-    def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    used = {r["path"]: (r["n"], set(r["types"])) for r in catalogue.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.collect_set("type").alias("types")).collect()}
+    moves = sorted((r["old_path"], r["new_path"]) for r in moved.select("old_path", "new_path").distinct().collect())
+    _, layout = alias_tree(used, moves)
+    fields, columns = sorted(layout[""]["members"]), []
+    for f in fields:
+        name, n = f"card_{f}", 1
+        while name.lower() in {c.lower() for c, _ in columns}:
+            n += 1
+            name = f"card_{f}_{n}"
+        node = layout[layout[""]["members"][f]]
+        columns.append((name, "string" if node["array"] else {frozenset({"number"}): "double", frozenset({"boolean"}): "boolean"}.get(frozenset(node["kinds"]), "string")))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = {"string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}
         for b in batches:
             cards = [readable_card(x) for x in b.column("body").to_pylist()]
-            texts = pa.array([None if c is None else json.dumps(c, ensure_ascii=False) for c in cards], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column("raw_id"), b.column("producer"), b.column("file_seq"), texts], ["raw_id", "producer", "file_seq", "doc"])
-
-    docs = bodies.select("raw_id", "producer", "file_seq", "body").mapInArrow(cleaned, "raw_id long, producer string, file_seq int, doc string").filter("doc is not null")
-    parsed = docs.withColumn("doc", F.parse_json("doc"))
-
-    columns = [F.coalesce(*[F.try_variant_get("doc", f"$['{a}']", kind) for a in names]).alias(f"card_{field}") for field, (names, kind) in fields.items() if not re.search(r"['\]]", field)]
-    return parsed.select("raw_id", "producer", "file_seq", *columns)
+            kept = pa.array([c is not None for c in cards])
+            flat = [members_of(c, "", layout) for c in cards if c is not None]
+            ids = [b.column(c).filter(kept) for c in ("raw_id", "producer", "file_seq")]
+            cells = []
+            for f, (_, kind) in zip(fields, columns, strict=True):
+                values = [x.get(f) for x in flat]
+                if kind == "double":
+                    values = [None if v is None else float(v) for v in values]
+                elif kind == "string":
+                    values = [v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False) for v in values]
+                cells.append(pa.array(values, arrow[kind]))
+            yield pa.RecordBatch.from_arrays([*ids, *cells], ["raw_id", "producer", "file_seq", *[c for c, _ in columns]])
+
+    schema = T.StructType([T.StructField("raw_id", T.LongType()), T.StructField("producer", T.StringType()), T.StructField("file_seq", T.IntegerType())])
+    for c, kind in columns:
+        schema = schema.add(c, kind)
+    return bodies.select("raw_id", "producer", "file_seq", "body").mapInArrow(rows, schema)

@@ -79,3 +79,15 @@ def test_consistent_table(spark):
 @pytest.mark.parametrize(("text", "ok"), [("", False), ("{", False), ('{"a": 1}', False), ('{"cause_id": "x"}', True), ('see {"cause_id": "x"} end', True), ("[" * 5000, False)])
 def test_readable_cards(text, ok):
     assert (drift.readable_card(text) is not None) == ok
+
+
+def test_consistent_table_unifies_every_depth(spark):
+    a = {"cause_id": "1", "root": {"func": "f", "line": 3}, "sig": [{"from": "x", "n": 1}, {"from": "y", "n": 2}], "inv": "p", "it's]": 1}
+    b = {"cause_id": "1", "root": [{"function": "f", "line": "3"}], "sig": [{"src": "x", "n": 1}, {"src": "y", "n": 2}], "inv": {"expected": "p"}, "it's]": 2}
+    c = {"cause_id": "2", "root": {"func": "f", "line": 3}, "sig": {"from": "x", "n": 1}}
+    _, df = log(spark, {("p", 1): [{**a, "root": [{"func": "f", "line": 3}]}], ("p", 2): [b], ("q", 1): [a, c], ("q", 2): [a]})
+    rows = [r.asDict() for r in drift.consistent_table(df).orderBy("raw_id").collect()]
+    assert [json.loads(r["card_root"]) for r in rows] == [[{"func": "f", "line": "3"}]] * 5
+    assert [json.loads(r["card_sig"]) for r in rows] == [[{"from": "x", "n": 1}, {"from": "y", "n": 2}]] * 3 + [[{"from": "x", "n": 1}]] + [[{"from": "x", "n": 1}, {"from": "y", "n": 2}]]
+    assert [r["card_inv"] and json.loads(r["card_inv"]) for r in rows] == [{"expected": None, "value": "p"}, {"expected": "p", "value": None}, {"expected": None, "value": "p"}, None, {"expected": None, "value": "p"}]
+    assert [r["card_it's]"] for r in rows] == [1.0, 2.0, 1.0, None, 1.0]
