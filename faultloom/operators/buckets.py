@@ -84,6 +84,13 @@ def representatives(cards: DataFrame, row_id: str | None = None) -> DataFrame:
     return scored.withColumn("_r", F.row_number().over(Window.partitionBy("cluster_key").orderBy(*order))).filter("_r = 1").drop("_r")
 
 
+def best_of_case(cards: DataFrame, row_id: str) -> DataFrame:
+    """The best-scored card of each case, ranked as :func:`representatives`; ties go to the smallest ``row_id``."""
+    scored = cards.withColumn("_score", representative_score(cards))
+    first = Window.partitionBy("case_id").orderBy(F.col("_score").desc(), F.col(row_id).asc())
+    return scored.withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r", "_score")
+
+
 def label_counts(labels: DataFrame) -> DataFrame:
     """``bug_id, case_id, rows``: label rows per case."""
     return labels.groupBy("bug_id", "case_id").agg(F.count(F.lit(1)).alias("rows"))

@@ -501,11 +501,11 @@ def cause_invariants(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def cause_cards_v3(spark: SparkSession, d: str) -> DataFrame:
-    """Every model answer with its crash card as a normalized cause card."""
+    """Every model answer as a normalized cause card, with the most complete crash card of its case or, if it has none, without one."""
     raws = table(spark, d, "raw_cause_cards", "raw_id", "body").select("raw_id", cc.extract_json(F.col("body")).alias("raw")).filter(cc.is_object(F.col("raw")))
     raws = raws.withColumn("case_id", F.try_variant_get("raw", "$.source_crash_id", "string"))
-    cards = _cards(spark, d).dropDuplicates(["case_id"]).withColumnRenamed("cluster_key", "small_bucket_id")
-    joined = raws.join(cards, "case_id").withColumn("hash_part", F.right(F.col("small_bucket_id"), F.lit(8)))
+    cards = bk.best_of_case(_cards(spark, d), "card_id").withColumnRenamed("cluster_key", "small_bucket_id")
+    joined = raws.join(cards, "case_id", "left").withColumn("hash_part", F.right(F.col("small_bucket_id"), F.lit(8)))
     card = cc.normalize_cause_cards(joined)
     return card.select("cause_id", "source_crash_id", F.col("representation_confidence.level").alias("level"), F.col("input_quality.tier").alias("tier"), F.array_join("dedup_representation.must_match_tokens", "|").alias("must"), F.size("evidence_ledger").alias("evidence"))
 

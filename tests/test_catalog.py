@@ -35,3 +35,19 @@ def test_query_without_sql_runs(spark, data, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_cause_cards_take_the_most_complete_card(spark, data, tmp_path):
+    from pyspark.sql import functions as F
+
+    cards = spark.read.parquet(f"{data}/crash_cards.parquet")
+    raws = spark.read.parquet(f"{data}/raw_cause_cards.parquet")
+    poor = cards.withColumns({"card_id": F.lit("zzz") if dict(cards.dtypes)["card_id"] == "string" else F.lit(10**12) + F.col("card_id"), "stack_semantic": F.lit(None).cast(cards.schema["stack_semantic"].dataType)})
+    poor = poor.withColumn("repro", F.lit(None).cast(cards.schema["repro"].dataType)).select(cards.columns)
+    got = []
+    for name, some in (("a", cards), ("b", poor.unionByName(cards)), ("c", cards.limit(0))):
+        raws.write.parquet(f"{tmp_path}/{name}/raw_cause_cards.parquet")
+        some.coalesce(1).write.parquet(f"{tmp_path}/{name}/crash_cards.parquet")
+        got.append(sorted(map(repr, entry.queries()["cause_cards_v3"](spark, f"{tmp_path}/{name}").collect())))
+    assert got[0] == got[1]
+    assert len(got[2]) == len(got[0]) > 0
