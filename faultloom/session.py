@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,25 +26,17 @@ def get_session(app: str = "faultloom", cpus: str = "*", shuffle_partitions: int
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where the session names none (a local test session) is a temporary folder
-    set, and then only for a local master; on a cluster the setting is required.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    """The folder all executors share: ``spark.checkpoint.dir``, else the context's checkpoint folder. One of them must be set."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not found:
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    own = "file://" + tempfile.mkdtemp(prefix="faultloom-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    return found.rstrip("/")
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cuts the lineage by writing ``df`` as a table in the shared folder and reading it back.
 
-    Unlike a local checkpoint the copy survives the loss of an executor. Tables written
+    The copy survives the loss of an executor. Tables written
     here are removed when the process ends (or by :func:`release`).
     """
     spark = df.sparkSession

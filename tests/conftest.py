@@ -9,12 +9,13 @@ DATA = os.environ.get("FAULTLOOM_DATA", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
-def spark():
-    from faultloom.session import get_session, shared_dir
+def spark(tmp_path_factory):
+    from faultloom.session import get_session
 
     s = get_session("tests", "4", 4)
     s.sparkContext.setLogLevel("ERROR")
-    shared_dir(s)
+    if not s.sparkContext.getConf().get("spark.checkpoint.dir"):
+        s.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("shared")))
     return s
 
 
