@@ -1,219 +1,349 @@
-"""Similarity clusters: distributed k-means with oversampled seeding, refined and merged, with typical members."""
+"""Similarity clusters: the cells of a distributed k-means with oversampled seeding, checked exactly, with typical members."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
 from . import vectors as V
 
-#: Nearest cells in which a seed meets others of its group; only seeds are sent, so many are cheap.
+#: Coarse cells to which a centroid or a seed is sent; there are few of both, so many are cheap.
 PROBES = 12
-#: Vectors that one task groups or compares at once; larger cells and clusters are split.
+#: Vectors that one task seeds, assigns or compares at once; larger cells and clusters are split into such blocks.
 BLOCK = 8192
-#: Pairs whose cosines a task holds at once.
-COMPARED = 4_000_000
+#: Seeds drawn in one round of a block.
+DRAWN = 256
+#: Rounding allowed when a cosine of 32-bit floats is held against a bound.
+SLACK = 1e-6
+#: The same for an angle made of one; near 0 an angle turns much for a small change of its cosine.
+TURN = 1e-3
 
 
 def hashed_features(tokens: Column, dim: int = 96, weights: Column | None = None) -> Column:
     """A record's tokens as a vector of ``dim`` hashed, signed, weighted counts.
 
     Null and empty token arrays give the zero vector; a missing weight counts as 1. Token tables that come
-    without vectors enter :func:`similarity_clusters` through this.
+    without vectors enter :func:`kmeans_cells` through this.
     """
     some = F.coalesce(tokens, F.array().cast("array<string>"))
     given = F.coalesce(weights, F.array().cast("array<double>")) if weights is not None else F.array().cast("array<double>")
-    paired = F.arrays_zip(some.alias("t"), given.alias("w"))
+    paired = F.filter(F.arrays_zip(some.alias("t"), given.alias("w")), lambda p: p["t"].isNotNull())
+    sign = lambda t: F.when(F.pmod(F.hash(t), F.lit(2)) == 0, 1.0).otherwise(-1.0)
+    placed = F.transform(paired, lambda p: F.struct(F.pmod(F.xxhash64(p["t"]), F.lit(dim)).cast("int").alias("slot"), (sign(p["t"]) * F.coalesce(p["w"].cast("double"), F.lit(1.0))).alias("v")))
     zero = F.array_repeat(F.lit(0.0).cast("double"), dim)
+    add = lambda acc, p: F.concat(F.slice(acc, F.lit(1), p["slot"]), F.array(F.get(acc, p["slot"]) + p["v"]), F.slice(acc, p["slot"] + 2, F.lit(dim)))
+    return F.aggregate(placed, zero, add).cast("array<float>")
 
-    def add(acc: Column, p: Column) -> Column:
-        slot = F.pmod(F.xxhash64(p["t"]), F.lit(dim))
-        sign = F.when(F.pmod(F.hash(p["t"]), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-        return F.transform(acc, lambda v, i: F.when(i == slot, v + sign * F.coalesce(p["w"].cast("double"), F.lit(1.0))).otherwise(v))
-
-    return F.aggregate(F.filter(paired, lambda p: p["t"].isNotNull()), zero, add).cast("array<float>")
 
+def group_by_seeds(ids: np.ndarray, x: np.ndarray, least: float) -> np.ndarray:
+    """For every row the id of its seed: oversampled seeding until no row is farther from all seeds than ``least``.
 
-def group_by_seeds(ids: np.ndarray, x: np.ndarray, least: float, seed: int = 7, batch: int = 256) -> np.ndarray:
-    """For every row the id of the seed that stands for its group.
-
-    Rounds draw seeds among rows that no seed is near to, many at once, until every row is near one
-    (cosine of at least ``least``); seeds near each other are then joined.
+    Each round draws many seeds at once among the rows that no seed reaches, in proportion to their squared distance from
+    the nearest seed. A row belongs to its nearest seed; seeds that reach each other are then one, named by the smallest id.
     """
-    rng = np.random.default_rng(seed)
-    order = rng.permutation(len(x))
     owner = np.full(len(x), -1)
-    sim = np.full(len(x), least - 1e-6, np.float32)
-    seeds: list[np.ndarray] = []
-    while True:
-        left = order[owner[order] < 0]
-        if not len(left):
-            break
-        new = left[:batch]
-        s = x @ x[new].T
-        best = s.argmax(1)
-        top = s[np.arange(len(x)), best]
-        closer = top > sim
-        owner[closer], sim[closer] = new[best[closer]], top[closer]
-        owner[new[owner[new] < 0]] = new[owner[new] < 0]
-        seeds.append(new)
+    sim = np.full(len(x), -1.0, np.float32)
+    turn = 0
+    while (left := np.flatnonzero(sim < least - SLACK)).size:
+        new = V.drawn_by_distance(ids[left], left, np.maximum(2.0 - 2 * sim[left], 1e-6), DRAWN, turn)[2]
+        near, cos = V.nearest_seed(x, x[new])
+        closer = cos > sim
+        owner[closer], sim[closer] = new[near[closer]], cos[closer]
+        turn += 1
     chosen = np.unique(owner)
     root = join_near(ids[chosen], x[chosen], least)
     return root[np.searchsorted(chosen, owner)]
 
 
 def join_near(ids: np.ndarray, x: np.ndarray, least: float) -> np.ndarray:
-    """For every row the smallest id of the rows it is linked to by steps of cosine ``least`` or more."""
-    order = np.argsort(ids)
-    label = np.empty(len(ids), np.int64)
-    label[order] = np.arange(len(ids))
-    pairs = []
-    for i in range(0, len(x), 2048):
-        a, b = np.nonzero(x[i : i + 2048] @ x.T >= least - 1e-6)
-        keep = a + i < b
-        pairs.append(np.stack([a[keep] + i, b[keep]]))
-    a, b = np.concatenate(pairs, 1)
+    """For every row the smallest id of the rows it is linked to by steps of cosine ``least`` or more.
+
+    Labels spread both ways, block of rows by block of rows, until a whole sweep changes none; the pairs themselves
+    are never kept.
+    """
+    order = np.argsort(ids, kind="stable")
+    ids, x = ids[order], x[order]
+    label = np.arange(len(ids))
+    step = max(1, V.HELD // max(1, len(x)))
     while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = np.minimum(new, new[order[new]])
-        if (new == label).all():
-            return ids[order[label]]
-        label = new
+        before = label.copy()
+        for i in range(0, len(x), step):
+            near = x[i : i + step] @ x.T >= least - SLACK
+            near[np.arange(len(near)), np.arange(i, i + len(near))] = True
+            low = np.where(near, label, len(ids)).min(1)
+            np.minimum(label, np.where(near, low[:, None], len(ids)).min(0), out=label)
+        label = np.minimum(label, label[label])
+        if (label == before).all():
+            out = np.empty_like(ids)
+            out[order] = ids[label]
+            return out
+
 
+def _blocks(rows: DataFrame, key: str) -> DataFrame:
+    """``key, blocks``: how many blocks the rows of each key make."""
+    return rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
 
-def _blocked(sizes: DataFrame, key: str) -> DataFrame:
-    return sizes.select(key, F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
 
+def _block_of(column: str = "rep") -> Column:
+    return F.pmod(F.xxhash64(column), F.col("blocks")).cast("int").alias("block")
 
-def linked_labels(edges: DataFrame, label: str) -> DataFrame:
-    """``seed, label``: the smallest seed of each connected set of ``edges(seed, star)``; equal stars link their seeds.
 
-    Labels travel star by star until none changes; every round is written to the shared folder,
-    so the plan stays short and survives lost executors.
+def connected(edges: DataFrame, label: str) -> DataFrame:
+    """``node, root``: every node of ``edges(a, b)`` with the smallest node it is connected to.
+
+    Alternates two steps: every node links its larger neighbours to the smallest one, then its smaller ones likewise.
+    The number of rounds grows with the logarithm of a chain's length. Every round is written to the shared folder, so the plan
+    stays short and survives lost executors.
     """
-    labels = materialize(edges.groupBy("seed").agg(F.min("star").alias("label")), f"{label}-labels")
-    while True:
-        stars = edges.join(labels, "seed").groupBy("star").agg(F.min("label").alias("low"))
-        new = edges.join(stars, "star").groupBy("seed").agg(F.min("low").alias("low"))
-        step = materialize(new.join(labels, "seed").select("seed", F.least("low", "label").alias("label"), (F.col("low") < F.col("label")).alias("moved")), f"{label}-labels")
-        labels = step.select("seed", "label")
-        if step.filter("moved").limit(1).count() == 0:
-            return labels
+    def mark(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0])
+
+    e = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), f"{label}-links")
+    seen = mark(e)
+    while seen[0]:
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = materialize(large.distinct(), f"{label}-links")
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        e = materialize(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), f"{label}-links")
+        now = mark(e)
+        if now == seen:
+            break
+        seen = now
+    return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def seeds_of_blocks(placed: DataFrame, least: float, label: str) -> DataFrame:
+    """``rep, vec, cells, cell, total, n``: the seeds of every block of a coarse cell with the sum and number of their rows."""
+    home = placed.select("rep", "vec", "cells", F.col("cells")[0].alias("cell"))
+    home = home.join(F.broadcast(_blocks(home.select("cell"), "cell")), "cell")  # at most MAX_CELLS rows
+
+    def seeded(t: pa.Table) -> pa.Table:
+        t = t.sort_by("rep")
+        ids, x = t["rep"].to_numpy(), V.to_units(t["vec"])
+        seed, group = np.unique(group_by_seeds(ids, x, least), return_inverse=True)
+        total = np.zeros((len(seed), x.shape[1]), np.float64)
+        np.add.at(total, group, x)
+        own = t.take(pa.array(np.searchsorted(ids, seed))).select(["rep", "vec", "cells", "cell"])
+        return own.append_column("total", V.to_bytes(total)).append_column("n", pa.array(np.bincount(group), pa.int64()))
+
+    found = home.select("rep", "vec", "cells", "cell", _block_of()).groupBy("cell", "block").applyInArrow(seeded, "rep long, vec binary, cells array<int>, cell int, total binary, n long")
+    return materialize(found, f"{label}-seeds")
+
 
+def seed_links(seeds: DataFrame, least: float) -> DataFrame:
+    """``a, b``: seeds that reach each other, linked through the smallest of each connected set of a meeting.
+
+    Seeds meet in their nearest cells; a cell with more than ``BLOCK`` seeds holds a meeting of every two of its blocks.
+    """
+    sent = seeds.select("rep", "vec", F.explode(F.slice("cells", 1, PROBES)).alias("at"))
+    sent = sent.join(F.broadcast(_blocks(sent.select("at"), "at")), "at").select("*", _block_of())
+    pair = sent.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pair = pair.select("rep", "vec", "at", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+
+    def met(t: pa.Table) -> pa.Table:
+        ids = t["rep"].to_numpy()
+        root = join_near(ids, V.to_units(t["vec"]), least)
+        some = root != ids
+        return pa.table({"a": pa.array(ids[some], pa.int64()), "b": pa.array(root[some], pa.int64())})
+
+    return pair.groupBy("at", "lo", "hi").applyInArrow(met, "a long, b long")
 
-def seed_groups(placed: DataFrame, least: float, label: str) -> DataFrame:
-    """``rep, label``: vectors of :func:`vectors.nearest_cells` grouped around seeds; the label is the smallest seed of a group.
 
-    Every cell, in blocks, draws seeds until each of its vectors is near one; a vector joins its nearest
-    seed. Seeds then meet in their nearest cells, and near ones join their groups. A vector near no other is alone.
+def merged_centroids(seeds: DataFrame, least: float, cells: np.ndarray, label: str) -> DataFrame:
+    """``label, vec, at``: the centroids of the fine k-means and the coarse cells at which rows can find them.
+
+    The oversampled seeds are reduced by joining those that reach each other; a centroid is the mean of its seeds' rows.
+    It stands in its own nearest cells and in the home cells of its seeds, so every row meets the centroid of its seed.
     """
-    home = placed.select("rep", "vector", F.col("cells")[0].alias("cell"))
-    blocks = _blocked(home.groupBy("cell").count(), "cell")
-    home = home.join(F.broadcast(blocks), "cell").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    roots = connected(seed_links(seeds, least), label)
+    named = materialize(seeds.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(F.coalesce("root", "rep").alias("label"), "vec", "cell", "total", "n"), f"{label}-named")
+
+    def summed(t: pa.Table) -> pa.Table:
+        total = V.to_matrix(t["total"], np.float64).sum(0, keepdims=True)
+        return pa.table({"label": t["label"].slice(0, 1), "part": pa.array([0], pa.int32()), "total": V.to_bytes(total)})
+
+    # Seeds of one label are first summed in parts, so that a long chain of seeds never meets in one task.
+    parts = named.select("label", F.pmod(F.xxhash64("vec"), F.lit(64)).cast("int").alias("part"), "total").groupBy("label", "part").applyInArrow(summed, "label long, part int, total binary")
+    means = parts.groupBy("label").applyInArrow(summed, "label long, part int, total binary")
+
+    def unit(batches):
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([b.column("label"), V.to_bytes(V.unit_rows(V.to_matrix(b.column("total"), np.float64)))], ["rep", "vec"])
 
-    def grouped(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, x = pdf["rep"].to_numpy(), V.to_matrix(pdf["vector"])
-        return pd.DataFrame({"rep": ids, "seed": group_by_seeds(ids, x, least)})
+    centres = V.nearest_cells(means.mapInArrow(unit, "rep long, vec binary"), cells, PROBES)
+    centres = materialize(centres.select(F.col("rep").alias("label"), "vec", "cells"), f"{label}-centres")
+    homes = centres.select("label", F.explode("cells").alias("at")).unionByName(named.select("label", F.col("cell").alias("at"))).distinct()
+    return centres.join(homes, "label").select("label", "vec", "at", F.col("cells")[0].alias("home"))
 
-    own = materialize(home.select("rep", "vector", "cell", "block").groupBy("cell", "block").applyInPandas(grouped, "rep long, seed long"), f"{label}-seeds")
-    seeds = placed.join(own.filter("rep = seed").select("rep"), "rep", "left_semi")
 
-    def met(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = pdf["rep"].to_numpy()
-        return pd.DataFrame({"seed": ids, "star": join_near(ids, V.to_matrix(pdf["vector"]), least)})
+def _met(placed: DataFrame, centres: DataFrame, extra: list[str], look, schema: str) -> DataFrame:
+    """``look(rows, centres)`` of every block of a coarse cell's rows with all centroids that stand there."""
+    rows = placed.select("rep", "vec", F.col("cells")[0].alias("at"), *extra)
+    blocks = F.broadcast(_blocks(rows.select("at"), "at"))
+    left = rows.join(blocks, "at").select("rep", "vec", "at", *extra, _block_of())
+    right = centres.join(blocks, "at").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    return left.groupBy("at", "block").cogroup(right.groupBy("at", "block")).applyInArrow(look, schema)
 
-    # Seeds per cell are few: a cell with many vectors of one group has one seed of it per block.
-    edges = materialize(seeds.select("rep", "vector", F.explode("cells").alias("cell")).groupBy("cell").applyInPandas(met, "seed long, star long").distinct(), f"{label}-edges")
-    return own.join(linked_labels(edges, label), "seed").select("rep", "label")
 
+def assigned(placed: DataFrame, centres: DataFrame) -> DataFrame:
+    """``rep, label, near, home``: every row's nearest centroid, the cosine to it, and that centroid's own coarse cell."""
+    def nearest(rows: pa.Table, there: pa.Table) -> pa.Table:
+        schema = pa.schema([("rep", pa.int64()), ("label", pa.int64()), ("near", pa.float64()), ("home", pa.int32())])
+        if not rows.num_rows or not there.num_rows:
+            return schema.empty_table()
+        there = there.sort_by("label")
+        at, cos = V.nearest_seed(V.to_units(rows["vec"]), V.to_units(there["vec"]))
+        take = pa.array(at)
+        return pa.table([rows["rep"], there["label"].take(take), pa.array(cos.astype(np.float64)), there["home"].take(take)], schema=schema)
 
-def similarity_clusters(df: DataFrame, vec_id: str, vector: str, least: float = 0.70, label: str = "clusters") -> DataFrame:
-    """``vec_id, rep, cluster, vector``: every usable vector with its cluster, named by its smallest member.
+    return _met(placed, centres, [], nearest, "rep long, label long, near double, home int")
 
-    1. Coarse cells: k-means on unit vectors, seeded by oversampling on a bounded sample, its steps run
-       over all rows. 2. Every cell, in blocks, draws seeds until each of its vectors is near
-       one; a vector joins its nearest seed. 3. Seeds meet in their nearest cells; near ones join their groups.
-    A set whose members are all similar and that no other vector is near to thus comes out whole: each member's
-    nearest seed is in its set, and all seeds of the set are near each other.
 
-    Null, zero and non-finite vectors and vectors of another length than the most common take no part. Equal
-    vectors are grouped once and share their cluster. Empty tables give no rows. ``vector`` has unit length.
+class Cells:
+    """A fine k-means: ``placed`` distinct rows with their coarse cells, ``centres``, and each row's ``assigned`` centroid."""
+
+    def __init__(self, placed: DataFrame, centres: DataFrame, found: DataFrame, copies: DataFrame, coarse: np.ndarray):
+        self.placed, self.centres, self.assigned, self.copies, self.coarse = placed, centres, found, copies, coarse
+
+    def with_copies(self, rows: DataFrame) -> DataFrame:
+        """Rows by ``rep`` with a ``vec_id`` for each vector: the distinct one itself and its equals."""
+        return rows.withColumn("vec_id", F.col("rep")).unionByName(self.copies.join(rows, "rep"))
+
+
+def kmeans_cells(df: DataFrame, vec_id: str, vector: str, least: float = 0.70, label: str = "clusters", encoder=None, probes: int = PROBES) -> Cells | None:
+    """Distributed k-means on unit vectors with as many cells as there are groups of vectors that reach ``least``; None without usable vectors.
+
+    1. Coarse cells by k-means with parallel oversampled seeding over all rows; they only say which rows meet in a task. 2. In
+    every block of a coarse cell seeds are drawn until each row reaches one; seeds meet in their nearest coarse cells and
+    those that reach each other become one centroid, the mean of their rows. 3. Every row is assigned to its nearest centroid.
+
+    ``encoder(sample, coarse)`` may give a function of residuals and rows that fills ``placed.code``; ``placed.cells`` has at least ``probes`` cells. Null, zero and non-finite vectors and
+    vectors of another length than the most common take no part; equal vectors are one row of ``placed``.
     """
-    spark = df.sparkSession
-    dim = V.dimension(df, vector)
-    empty = spark.createDataFrame([], "vec_id long, rep long, cluster long, vector array<float>")
-    if not dim:
-        return empty
-    slim = df.select(F.col(vec_id).alias("vec_id"), F.col(vector).alias("vector")).filter(V.usable(F.col("vector"), dim))
-    reps = materialize(V.distinct_vectors(slim, "vec_id", "vector", dim), f"{label}-distinct")
-    n = reps.count()
+    vectors = V.vector_table(df, vec_id, vector, label)
+    if vectors is None:
+        return None
+    reps, copies = V.split_copies(vectors, label)
+    n = vectors.count() - copies.count()
     if not n:
-        return empty
-    cells = V.lloyd(reps, V.seeded_cells(V.fit_sample(reps), V.cell_count(n)), 3)
-    placed = materialize(V.nearest_cells(reps, cells, PROBES), f"{label}-cells")
+        return None
+    coarse = V.coarse_cells(reps, n)
+    coder = encoder(V.fit_sample(reps), coarse) if encoder else None
+    placed = materialize(V.nearest_cells(reps, coarse, max(probes, PROBES), coder), f"{label}-cells")
+    centres = materialize(merged_centroids(seeds_of_blocks(placed, least, label), least, coarse, label), f"{label}-standing")
+    found = materialize(assigned(placed, centres), f"{label}-assigned")
+    return Cells(placed, centres, found, copies, coarse)
 
-    named = seed_groups(placed, least, label)
-    unit = placed.select("rep", "vector").join(named, "rep")
-    members = slim.join(reps, "vector").select("vec_id", "rep").join(unit, "rep")
-    first = members.groupBy("label").agg(F.min("vec_id").alias("cluster"))
-    return materialize(members.join(first, "label").select("vec_id", "rep", "cluster", "vector"), label)
 
+def clusters_of(cells: Cells) -> DataFrame:
+    """``vec_id, rep, label, cluster, near``: members of the k-means cells, each cell named by its smallest member."""
+    members = cells.with_copies(cells.assigned.select("rep", "label", "near"))
+    first = cells.assigned.groupBy("label").agg(F.min("rep").alias("cluster"))
+    return members.join(first, "label").select("vec_id", "rep", "label", "cluster", "near")
 
-def loosest_pairs(members: DataFrame, least: float, buckets: int) -> DataFrame:
-    """``cluster, tight``: whether any two members of a cluster reach ``least``, compared exactly.
 
-    Small clusters share buckets; a cluster of more than ``BLOCK`` distinct vectors is compared block
-    against block of all its members.
+def loose_clusters(rows: DataFrame, least: float, buckets: int) -> DataFrame:
+    """``label``: clusters of ``rep, vec, label, near`` of which some two members do not reach ``least``, compared exactly.
+
+    Two members whose angles to the centroid add up to less than the bound need no comparison. A cluster of more than ``BLOCK``
+    rows is compared block against block. Small clusters share ``buckets`` tasks.
+    """
+    limit = np.arccos(least)
+    angle = F.acos(F.least(F.col("near"), F.lit(1.0)))
+    wide = rows.groupBy("label").agg(F.max(angle).alias("widest"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    doubtful = rows.join(wide, "label").filter(angle + F.col("widest") > limit - TURN).select("rep", "vec", "label")
+    blocks = _blocks(doubtful.select("label"), "label")
+    sized = doubtful.join(blocks, "label").select("*", _block_of())
+    pair = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    bucket = F.when(F.col("blocks") > 1, F.xxhash64("label", "lo", "hi")).otherwise(F.pmod(F.xxhash64("label"), F.lit(buckets)))
+    pair = pair.select("vec", "label", "blocks", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).select("vec", "label", bucket.alias("bucket"))
+
+    def compared(t: pa.Table) -> pa.Table:
+        t = t.sort_by("label")
+        names, x, out = t["label"].to_numpy(), V.to_units(t["vec"]), []
+        cut = np.append(np.flatnonzero(np.diff(names, prepend=names[0] - 1)), len(names))
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            step = max(1, V.HELD // (b - a))
+            if any((x[i : min(b, i + step)] @ x[a:b].T).min() < least - SLACK for i in range(a, b, step)):
+                out.append(names[a])
+        return pa.table({"label": pa.array(out, pa.int64())})
+
+    return pair.groupBy("bucket").applyInArrow(compared, "label long").distinct()
+
+
+def crowded_clusters(cells: Cells, wanted: DataFrame, least: float, label: str) -> DataFrame:
+    """``label``: clusters among ``wanted(label)`` of which a member reaches ``least`` with a vector of another cluster, compared exactly.
+
+    Only members within reach of another cluster, by their angle to its centroid and its radius, are compared with that
+    cluster's members within reach of theirs.
     """
-    distinct = members.select("cluster", "rep", "vector").distinct()
-    sizes = distinct.groupBy("cluster").count().filter("count > 1")
-    sized = distinct.join(_blocked(sizes, "cluster"), "cluster")
-    asked = sized.select("cluster", "rep", "vector", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), "blocks", F.lit(True).alias("asks"))
-    sent = sized.filter("blocks > 1").select("cluster", "rep", "vector", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "blocks", F.lit(False).alias("asks"))
-    bucket = F.when(F.col("blocks") > 1, F.xxhash64("cluster", "block")).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(buckets)))
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for c, part in pdf.groupby("cluster"):
-            x, asks = V.to_matrix(part["vector"]), part["asks"].to_numpy()
-            q, y = (x[asks], x[~asks]) if not asks.all() else (x, x)
-            step = max(1, COMPARED // len(y))
-            low = min((float((q[i : i + step] @ y.T).min()) for i in range(0, len(q), step)), default=1.0)
-            out.append((c, low >= least - 1e-6))
-        return pd.DataFrame(out, columns=["cluster", "tight"])
-
-    checked = asked.unionByName(sent).withColumn("bucket", bucket).groupBy("bucket").applyInPandas(compare, "cluster long, tight boolean")
-    return checked.groupBy("cluster").agg(F.min("tight").alias("tight"))
-
-
-def tight_clusters(members: DataFrame, least: float = 0.70, smallest: int = 3) -> DataFrame:
-    """``cluster, vec_id`` of clusters with at least ``smallest`` members of which any two reach ``least``."""
-    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= smallest)
-    big = members.join(sizes.select("cluster"), "cluster", "left_semi")
-    buckets = max(1, members.count() // 4096)
-    loose = loosest_pairs(big, least, buckets).filter("not tight").select("cluster")
-    return big.join(loose, "cluster", "left_anti").select("cluster", "vec_id")
+    limit = float(np.arccos(least))
+    radius = cells.assigned.groupBy("label").agg(F.acos(F.least(F.min("near"), F.lit(1.0))).alias("radius"))
+    standing = cells.centres.join(radius, "label").select("label", "vec", "at", "radius")
+    placed = cells.placed.join(cells.assigned.select("rep", F.col("label").alias("own")), "rep")
+
+    def suspects(rows: pa.Table, there: pa.Table) -> pa.Table:
+        out = [(np.zeros(0, np.int64),) * 3]
+        if rows.num_rows and there.num_rows:
+            x, c = V.to_units(rows["vec"]), V.to_units(there["vec"])
+            floor = np.cos(np.minimum(np.pi, limit + there["radius"].to_numpy() + TURN)).astype(np.float32)
+            own, names, ids = rows["own"].to_numpy(), there["label"].to_numpy(), rows["rep"].to_numpy()
+            step = max(1, V.HELD // len(c))
+            for i in range(0, len(x), step):
+                a, b = np.nonzero(x[i : i + step] @ c.T >= floor)
+                other = names[b] != own[a + i]
+                out.append((ids[a[other] + i], own[a[other] + i], names[b[other]]))
+        rep, own, other = (np.concatenate(p) for p in zip(*out, strict=True))
+        return pa.table({"rep": pa.array(rep, pa.int64()), "own": pa.array(own, pa.int64()), "other": pa.array(other, pa.int64())})
+
+    near = materialize(_met(placed, standing, ["own"], suspects, "rep long, own long, other long"), f"{label}-suspects")
+    sides = near.select("rep", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") < F.col("other")).alias("first"))
+    counts = sides.groupBy("lo", "hi").agg(F.count_if("first").alias("a"), F.count_if(~F.col("first")).alias("b")).filter("a > 0 AND b > 0")
+    asked = wanted.select("label").distinct()
+    touched = counts.join(asked.withColumnRenamed("label", "lo"), "lo", "left_semi").unionByName(counts.join(asked.withColumnRenamed("label", "hi"), "hi", "left_semi")).distinct()
+    size = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    sized = sides.join(touched.select("lo", "hi", size("a").alias("a"), size("b").alias("b")), ["lo", "hi"])
+    mine = F.pmod(F.xxhash64("rep"), F.when(F.col("first"), F.col("a")).otherwise(F.col("b"))).cast("int")
+    spread = sized.withColumn("mine", mine).withColumn("theirs", F.explode(F.sequence(F.lit(0), F.when(F.col("first"), F.col("b")).otherwise(F.col("a")) - 1)))
+    meeting = spread.select("rep", "lo", "hi", "first", F.when(F.col("first"), F.col("mine")).otherwise(F.col("theirs")).alias("i"), F.when(F.col("first"), F.col("theirs")).otherwise(F.col("mine")).alias("j"))
+    full = meeting.join(cells.placed.select("rep", "vec"), "rep")
+
+    def touch(t: pa.Table) -> pa.Table:
+        first = t["first"].to_numpy(zero_copy_only=False).astype(bool)
+        x = V.to_units(t["vec"])
+        a, b = x[first], x[~first]
+        step = max(1, V.HELD // max(1, len(b)))
+        hit = len(b) > 0 and any((a[i : i + step] @ b.T).max() >= least - SLACK for i in range(0, len(a), step))
+        ends = [t["lo"][0].as_py(), t["hi"][0].as_py()] if hit else []
+        return pa.table({"label": pa.array(ends, pa.int64())})
+
+    return full.groupBy("lo", "hi", "i", "j").applyInArrow(touch, "label long").distinct()
+
+
+def tight_clusters(cells: Cells, least: float = 0.70, smallest: int = 3, label: str = "tight") -> DataFrame:
+    """``cluster, vec_id``: k-means cells with at least ``smallest`` members of which any two reach ``least`` and none reaches it with a vector outside."""
+    members = materialize(clusters_of(cells), f"{label}-members")
+    big = members.groupBy("label").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= smallest).select("label")
+    rows = cells.placed.select("rep", "vec").join(cells.assigned.select("rep", "label", "near").join(big, "label", "left_semi"), "rep")
+    loose = materialize(loose_clusters(rows, least, max(1, cells.assigned.count() // (2 * BLOCK))), f"{label}-loose")
+    tight = materialize(big.join(loose, "label", "left_anti"), f"{label}-sound")
+    alone = tight.join(crowded_clusters(cells, tight, least, label), "label", "left_anti")
+    return members.join(alone, "label", "left_semi").select("cluster", "vec_id")
 
 
 def described(members: DataFrame, weights: DataFrame, typical: int = 3) -> DataFrame:
     """``cluster, size, weight, vec_id, rank``: each cluster's size and total weight with its members nearest to the centroid.
 
-    ``weights`` is ``vec_id, weight`` with one row per vector; missing weights count as 0. Ties go to the
-    smaller id.
+    ``members`` is the result of :func:`clusters_of`, ``weights`` is ``vec_id, weight`` with one row per vector; missing weights
+    count as 0. Ties go to the smaller id. No vector is read again: the assignment has each member's nearness.
     """
-    dims = members.select(F.max(F.size("vector"))).collect()[0][0] or 0
-    sums = [F.sum(F.col("vector")[i].cast("double")).alias(f"t{i}") for i in range(dims)]
-    totals = members.join(weights, "vec_id", "left").groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.sum(F.coalesce("weight", F.lit(0.0))).alias("weight"), *sums)
-    centres = totals.select("cluster", "size", "weight", F.array(*[f"t{i}" for i in range(dims)]).alias("centre") if dims else F.array().alias("centre"))
-    dot = F.aggregate(F.zip_with("vector", "centre", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    near = members.join(centres, "cluster").withColumn("closeness", F.round(dot, 6))
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("closeness"), "vec_id")))
-    return ranked.filter(F.col("rank") <= typical).select("cluster", "size", "weight", "vec_id", "rank")
+    totals = members.join(weights, "vec_id", "left").groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.sum(F.coalesce("weight", F.lit(0.0))).alias("weight"))
+    place = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc(F.round("near", 6)), "vec_id"))
+    return members.withColumn("rank", place).filter(F.col("rank") <= typical).join(totals, "cluster").select("cluster", "size", "weight", "vec_id", "rank")

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,14 +11,16 @@ from ..session import materialize
 from . import clusters
 from . import vectors as V
 
-#: Nearest cells to which a vector is sent as a possible neighbour; its own search runs in the first.
-PROBES = 4
-#: Vectors this similar to a seed are gathered in one cell.
+#: Vectors this similar to a centroid's seed share its fine cell; a row whose k-th best is below it asks farther.
 GATHER = 0.70
-#: Queries of one cell that one task answers; larger cells are split into such blocks.
+#: Coarse cells in which a row of the far search asks, and in which every vector can be found there.
+FAR_PROBES, SPILL = 32, 4
+#: Queries, and members, that one task searches at once.
 BLOCK = 8192
+#: A fine cell with more rows than a far search would look at is not gathered but searched farther.
+GATHERED = FAR_PROBES * V.SPLIT
 #: A pair stays for reranking if its approximate score is within so many standard errors of the k-th best.
-MARGIN = 3.0
+MARGIN = 4.0
 CENTRES = 16
 #: Pairs whose approximate, and whose exact scores a task holds at once; they bound its memory, not its result.
 SCANNED, RERANKED = 2_000_000, 40_000
@@ -113,33 +113,38 @@ class AnisotropicCodes:
 
 
 def _cosine6(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return np.round(np.einsum("ij,ij->i", q.astype(np.float64), x.astype(np.float64)), 6)
+    q, x = q.astype(np.float64), x.astype(np.float64)
+    dot = lambda a, b: np.einsum("ij,ij->i", a, b)
+    return np.round(dot(q, x) / (np.sqrt(dot(q, q)) * np.sqrt(dot(x, x))), 6)
 
 
 def search_block(
-    q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, centre: np.ndarray, coder: AnisotropicCodes, k: int, least: float
+    q_ids: np.ndarray, q_raw: np.ndarray, ids: np.ndarray, x_raw: np.ndarray, packed: np.ndarray, home: np.ndarray, cells: np.ndarray, coder: AnisotropicCodes, k: int, least: float
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query number, member number and cosine of each query's ``k`` best members.
 
-    All codes are scanned for every query; pairs within ``MARGIN`` standard errors of the k-th best
-    approximate score (and of the least similarity) are scored exactly. Nothing is capped; a few queries at a time
-    keep memory small however many pairs pass.
+    ``packed`` has the members' codes, made of their residuals from the centroids ``cells[home]``. All codes are scanned for every
+    query; pairs within ``MARGIN`` standard errors of the k-th best approximate score (and of the least similarity) are
+    scored exactly. Nothing is capped; a few queries at a time keep memory small however many pairs pass.
     """
-    packed, base = coder.encode(x - centre, x), q @ centre
+    q, x = V.unit_rows(q_raw), V.unit_rows(x_raw)
+    near, of = np.unique(home, return_inverse=True)
+    centres = cells[near]
     some = np.linspace(0, len(q) - 1, min(64, len(q))).astype(int)
-    err = (coder.scores(q[some], packed) + base[some, None]) - q[some] @ x.T
+    err = coder.scores(q[some], packed) + (q[some] @ centres.T)[:, of] - q[some] @ x.T
     sigma = float(err.std()) + 1e-6
     rows, cols, sims = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
     step = max(1, min(len(q), 1024, SCANNED // max(1, len(x))))
     for i in range(0, len(q), step):
         part = q[i : i + step]
-        approx = coder.scores(part, packed) + base[i : i + step, None]
+        approx = coder.scores(part, packed)
+        approx += (part @ centres.T)[:, of]
         approx[q_ids[i : i + step, None] == ids[None, :]] = -9
         floor = np.maximum(np.maximum(_kth(approx, k), least) - MARGIN * sigma, -8.0)
         exact = _exact(part, x, approx >= floor[:, None])
-        near = (exact >= least - 1e-5) & (exact >= np.maximum(_kth(exact, k) - 2e-6, -8.0)[:, None])
-        a, b = np.nonzero(near)
-        s = np.concatenate([np.zeros(0), *[_cosine6(part[a[j : j + RERANKED]], x[b[j : j + RERANKED]]) for j in range(0, len(a), RERANKED)]])
+        near_best = (exact >= least - 1e-5) & (exact >= np.maximum(_kth(exact, k) - 2e-6, -8.0)[:, None])
+        a, b = np.nonzero(near_best)
+        s = np.concatenate([np.zeros(0), *[_cosine6(q_raw[i + a[j : j + RERANKED]], x_raw[b[j : j + RERANKED]]) for j in range(0, len(a), RERANKED)]])
         best = _best(a, ids[b], s, k)
         rows.append(a[best] + i)
         cols.append(b[best])
@@ -173,68 +178,113 @@ def _best(rows: np.ndarray, other: np.ndarray, sims: np.ndarray, k: int) -> np.n
     return order[rank < k]
 
 
-def most_similar(df: DataFrame, vec_id: str, vector: str, k: int = 5, least: float = -1.0, probes: int = PROBES, label: str = "knn") -> DataFrame:
+FOUND = pa.schema([("rep", pa.int64()), ("other_rep", pa.int64()), ("similarity", pa.float64())])
+_FOUND_SQL = "rep long, other_rep long, similarity double"
+
+
+def _task(queries: pa.Table, there: pa.Table, shared, k: int, least: float) -> pa.Table:
+    """What the queries find among the members at hand."""
+    if not queries.num_rows or not there.num_rows:
+        return FOUND.empty_table()
+    cells, coder = shared.value
+    q_ids, ids = queries["rep"].to_numpy(), there["rep"].to_numpy()
+    rows, cols, sims = search_block(q_ids, V.to_matrix(queries["vec"]), ids, V.to_matrix(there["vec"]), V.to_matrix(there["code"], np.uint8), there["home"].to_numpy(), cells, coder, k, least)
+    return pa.table([pa.array(q_ids[rows]), pa.array(ids[cols]), pa.array(sims)], schema=FOUND)
+
+
+def _gathered_search(rows: DataFrame, shared, k: int, least: float) -> DataFrame:
+    """``rep, other_rep, similarity``: the best of each of ``rep, vec, code, home, cell`` among the rows of its cell.
+
+    A cell with more than ``BLOCK`` rows is searched by every two of its blocks, one for the other and back; a row's bests of
+    all meetings are put together by the caller.
+    """
+    blocks = F.broadcast(rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")))  # at most MAX_CELLS rows
+    sized = rows.join(blocks, "cell").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = sized.select("rep", "vec", "code", "home", "cell", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
+
+    def search(t: pa.Table) -> pa.Table:
+        mine = t["mine"].to_numpy()
+        sides = [t.filter(pa.array(mine == b)) for b in np.unique(mine)]
+        if len(sides) == 1:
+            # A lone side of a meeting of two blocks is searched where it meets itself.
+            return _task(t, t, shared, k, least) if t["lo"][0] == t["hi"][0] else FOUND.empty_table()
+        return pa.concat_tables([_task(sides[0], sides[1], shared, k, least), _task(sides[1], sides[0], shared, k, least)])
+
+    return met.groupBy("cell", "lo", "hi").applyInArrow(search, _FOUND_SQL)
+
+
+def _far_search(asked: DataFrame, members: DataFrame, shared, k: int, least: float) -> DataFrame:
+    """``rep, other_rep, similarity``: the best of each of ``asked(rep, vec, cell)`` among ``members(rep, vec, code, home, cell)`` of the cell.
+
+    Blocks of askers and of members bound what a task holds.
+    """
+    count = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
+    blocks = materialize(count(asked, "parts").join(count(members, "blocks"), "cell"), "knn-blocks")  # at most MAX_CELLS rows
+    at = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = asked.join(F.broadcast(blocks), "cell").select("rep", "vec", "cell", at("parts").alias("part"), every("blocks").alias("block"))
+    fresh = [F.col(c).alias(f"m_{c}") for c in ("rep", "vec", "code", "home", "cell")]  # both sides may come from one table
+    right = members.join(F.broadcast(blocks), "cell").select(*fresh, every("parts").alias("m_part"), at("blocks").alias("m_block"))
+
+    def look(queries: pa.Table, there: pa.Table) -> pa.Table:
+        return _task(queries, there.rename_columns([c.removeprefix("m_") for c in there.column_names]), shared, k, least)
+
+    return left.groupBy("cell", "part", "block").cogroup(right.groupBy("m_cell", "m_part", "m_block")).applyInArrow(look, _FOUND_SQL)
+
+
+def most_similar(df: DataFrame, vec_id: str, vector: str, k: int = 5, least: float = -1.0, label: str = "knn") -> DataFrame:
     """``vec_id, other_id, similarity, rank``: the ``k`` most similar other vectors of every vector.
 
     Similarity is the cosine rounded to 6 decimals; of equal ones the smaller id comes first; those below
     ``least`` are left out. Null, all-zero and non-finite vectors and those of another
     length than the most common one take no part. An empty table gives no rows.
 
-    Distinct vectors are searched, not rows: equal vectors join in afterwards, each with its k + 1
-    smallest ids. Every vector goes to its ``probes`` nearest coarse cells as a possible neighbour, so one task has all it
-    needs and no candidate pairs are shuffled. A group of similar vectors (cosine of ``GATHER`` to a common seed) that lies
-    across a border of cells is searched for as a whole in the cell of its first seed, to which all its members go too; a vector
-    in no group is searched for in its nearest cell. Large cells are split into blocks of ``BLOCK`` queries. Coarse cells and codebook are fitted on at most
-    ``FIT_ROWS`` vectors; all vectors are indexed and searched for.
+    Distinct vectors are searched, not rows: equal vectors join in afterwards, each with its k + 1 smallest ids. The index is a
+    fine k-means (:func:`clusters.kmeans_cells`): every vector is encoded once, by its residual from its coarse centroid.
+    Near search: the rows of one fine cell are all gathered in one coarse cell, its centroid's, and search it. Far search: rows whose
+    k-th best is below ``GATHER`` (and below nothing a fine cell can hold), and rows of fine cells too large to be gathered
+    (``GATHERED``), ask in their ``FAR_PROBES`` nearest coarse cells, where every vector stands ``SPILL`` times. Coarse cells with more
+    than ``vectors.SPLIT`` rows are split, so a dense group of any size is searched piece by piece. The codebook is fitted on at most
+    ``vectors.FIT_ROWS`` vectors; all vectors are indexed and searched for.
     """
     spark = df.sparkSession
     empty = spark.createDataFrame([], "vec_id long, other_id long, similarity double, rank int")
-    dim = V.dimension(df, vector)
-    if not dim:
-        return empty
-    slim = df.select(F.col(vec_id).alias("vec_id"), F.col(vector).alias("vector")).filter(V.usable(F.col("vector"), dim))
-    reps = materialize(V.distinct_vectors(slim, "vec_id", "vector", dim), f"{label}-distinct")
-    n = reps.count()
-    if not n:
+    coders = []
+
+    def encoder(sample: np.ndarray, coarse: np.ndarray):
+        coders.append(AnisotropicCodes.fit(sample - coarse[V.nearest_seed(sample, coarse)[0]], sample))
+        return coders[0].encode
+
+    fine = clusters.kmeans_cells(df, vec_id, vector, GATHER, label, encoder, probes=FAR_PROBES)
+    if fine is None:
         return empty
-    sample = V.fit_sample(reps)
-    cells = V.lloyd(reps, V.seeded_cells(sample, V.cell_count(n)), 2)
-    home = (sample @ cells.T).argmax(1)
-    coder = AnisotropicCodes.fit(sample - cells[home], sample)
-    near = materialize(V.nearest_cells(reps, cells, max(probes, clusters.PROBES)), f"{label}-cells")
-    groups = clusters.seed_groups(near, GATHER, label)
-    first = near.select(F.col("rep").alias("label"), F.col("cells")[0].alias("home"))
-    sent_to = F.array_distinct(F.concat(F.array("home"), F.slice("cells", 1, probes)))
-    placed = materialize(near.join(groups, "rep").join(first, "label").select("rep", "vector", sent_to.alias("cells")), f"{label}-placed")
-    shared = spark.sparkContext.broadcast((cells, coder))
-
-    sizes = placed.groupBy(F.col("cells")[0].alias("cell")).count()  # at most MAX_CELLS rows
-    blocks = sizes.select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    asked = placed.select(F.col("cells")[0].alias("cell"), "rep", "vector", F.lit(True).alias("asks"))
-    asked = asked.join(F.broadcast(blocks), "cell").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    sent = placed.select("rep", "vector", F.explode("cells").alias("cell"), F.lit(False).alias("asks"))
-    sent = sent.join(F.broadcast(blocks), "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-
-    def search(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cells_, coder_ = shared.value
-        pdf = pd.concat(list(parts))
-        asks = pdf["asks"].to_numpy()
-        if not asks.any():
-            return
-        ids, x = pdf["rep"].to_numpy()[~asks], V.to_matrix(pdf["vector"][~asks])
-        q_ids, q = pdf["rep"].to_numpy()[asks], V.to_matrix(pdf["vector"][asks])
-        rows, cols, sims = search_block(q_ids, q, ids, x, cells_[key[0]], coder_, k, least)
-        if len(rows):
-            yield pd.DataFrame({"rep": q_ids[rows], "other_rep": ids[cols], "similarity": sims})
-
-    found = asked.unionByName(sent.select(asked.columns)).groupBy("cell", "block").applyInPandas(search, "rep long, other_rep long, similarity double")
+    shared = spark.sparkContext.broadcast((fine.coarse, coders[0]))
+    large = fine.assigned.groupBy("label").count().filter(F.col("count") > GATHERED).select("label", F.lit(True).alias("large"))
+    place = fine.assigned.join(large, "label", "left").select("rep", F.when(F.col("large"), F.lit(None)).otherwise(F.col("home")).alias("gathered"))
+    placed = fine.placed.join(place, "rep")
+    home = F.col("cells")[0].alias("home")
+    near = materialize(placed.select("rep", "vec", "code", home, F.coalesce("gathered", F.col("cells")[0]).alias("cell"), F.col("gathered").isNull().alias("large")), f"{label}-placed")
+    found = materialize(_gathered_search(near.drop("large"), shared, k, least), f"{label}-near")
+    wide = near.filter("large").select("rep")
+    if least < GATHER:
+        enough = found.filter(F.col("similarity") >= GATHER).groupBy("rep").count().filter(F.col("count") >= k)
+        wide = wide.unionByName(near.select("rep").join(enough, "rep", "left_anti")).distinct()
+    wide = materialize(wide, f"{label}-wide")
+    if wide.limit(1).count():
+        asked = fine.placed.join(wide, "rep", "left_semi").select("rep", "vec", F.explode("cells").alias("cell"))
+        members = fine.placed.select("rep", "vec", "code", home, F.explode(F.slice("cells", 1, SPILL)).alias("cell"))
+        found = materialize(found.unionByName(_far_search(asked, members, shared, k, least)), f"{label}-far")
+    best = found.distinct().withColumn("_r", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("similarity"), "other_rep"))).filter(F.col("_r") <= k).drop("_r")
 
     # Equal vectors: k + 1 smallest ids of each distinct vector can matter to anyone.
-    copy = slim.join(reps, "vector").select("rep", "vec_id")
-    few = copy.withColumn("_r", F.row_number().over(Window.partitionBy("rep").orderBy("vec_id"))).filter(F.col("_r") <= k + 1).drop("_r")
-    links = found.unionByName(copy.select("rep", F.col("rep").alias("other_rep"), F.lit(1.0).alias("similarity")).distinct())
-    wide = links.join(few.select(F.col("rep").alias("other_rep"), F.col("vec_id").alias("other_id")), "other_rep")
-    per_rep = wide.withColumn("_r", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("similarity"), "other_id"))).filter(F.col("_r") <= k + 1)
-    mine = copy.join(per_rep.select("rep", "other_id", "similarity"), "rep").filter("vec_id <> other_id")
+    copy = fine.copies.select("rep", "vec_id")
+    more = copy.withColumn("_r", F.row_number().over(Window.partitionBy("rep").orderBy("vec_id"))).filter(F.col("_r") <= k).drop("_r")
+    direct = best.select("rep", F.col("other_rep").alias("other_id"), "similarity")
+    others = best.join(more.withColumnRenamed("rep", "other_rep"), "other_rep").select("rep", F.col("vec_id").alias("other_id"), "similarity")
+    same = more.select("rep", F.col("vec_id").alias("other_id"), F.lit(1.0).alias("similarity"))
+    itself = more.select("rep", F.col("rep").alias("other_id"), F.lit(1.0).alias("similarity")).distinct()
+    per_rep = direct.unionByName(others).unionByName(same).unionByName(itself)
+    per_rep = per_rep.withColumn("_r", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("similarity"), "other_id"))).filter(F.col("_r") <= k + 1).drop("_r")
+    mine = fine.with_copies(per_rep).filter("vec_id <> other_id")
     ranked = mine.withColumn("rank", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("similarity"), "other_id")))
     return ranked.filter((F.col("rank") <= k) & (F.col("similarity") >= least)).select("vec_id", "other_id", "similarity", "rank")

@@ -90,19 +90,26 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Members of clusters of three or more vectors of which any two have a cosine of at least 0.70."""
-    members = clusters.similarity_clusters(table(spark, sf_dir, "vectors", "vec_id", "vector"), "vec_id", "vector", label="p7")
-    return clusters.tight_clusters(members).filter("vec_id <> cluster").select(F.col("cluster").alias("first_id"), "vec_id")
+    """Members of clusters of three or more vectors of which any two have a cosine of at least 0.70 and none has it with a vector outside."""
+    cells = clusters.kmeans_cells(table(spark, sf_dir, "vectors", "vec_id", "vector"), "vec_id", "vector", label="p7")
+    if cells is None:
+        return spark.createDataFrame([], "first_id long, vec_id long")
+    return clusters.tight_clusters(cells, label="p7").filter("vec_id <> cluster").select(F.col("cluster").alias("first_id"), "vec_id")
+
+
+def _record_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "feature_rows", "record_id", "weight").groupBy("record_id").agg(F.max("weight").alias("weight"))
 
 
 def p7_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every cluster with its size, its weight and its three most typical records."""
     vectors = table(spark, sf_dir, "vectors", "vec_id", "record_id", "vector")
-    members = clusters.similarity_clusters(vectors, "vec_id", "vector", label="p7")
-    per_record = table(spark, sf_dir, "feature_rows", "record_id", "weight").groupBy("record_id").agg(F.max("weight").alias("weight"))
-    weights = vectors.select("vec_id", "record_id").join(per_record, "record_id").select("vec_id", "weight")
-    found = clusters.described(members, weights)
-    return found.join(vectors.select("vec_id", "record_id"), "vec_id").select(F.col("cluster").alias("first_id"), "size", "weight", "rank", "vec_id", "record_id")
+    cells = clusters.kmeans_cells(vectors, "vec_id", "vector", label="p7")
+    if cells is None:
+        return spark.createDataFrame([], "first_id long, size long, weight double, rank int, vec_id long, record_id string")
+    names = vectors.select("vec_id", "record_id")
+    found = clusters.described(clusters.clusters_of(cells), names.join(_record_weights(spark, sf_dir), "record_id").select("vec_id", "weight"))
+    return found.join(names, "vec_id").select(F.col("cluster").alias("first_id"), "size", "weight", "rank", "vec_id", "record_id")
 
 
 def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

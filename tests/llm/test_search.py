@@ -32,6 +32,20 @@ def cosines(x):
     return x @ x.T / np.outer(*[np.linalg.norm(x, axis=1)] * 2)
 
 
+def found_clusters(df, label="t"):
+    cells = clusters.kmeans_cells(df, "vec_id", "vector", label=label)
+    return set() if cells is None else {(r["cluster"], r["vec_id"]) for r in clusters.tight_clusters(cells, label=label).collect()}
+
+
+def exact_clusters(x, least=0.7):
+    near, want = cosines(x) >= least, set()
+    for i in range(len(x)):
+        m = np.flatnonzero(near[i])
+        if len(m) >= 3 and m[0] == i and (near[m].sum(1) == len(m)).all() and near[np.ix_(m, m)].all():
+            want |= {(int(i), int(j)) for j in m}
+    return want
+
+
 def test_neighbours_recall(spark):
     x, rows = grouped_vectors()
     got = {}
@@ -56,10 +70,10 @@ def test_equal_vectors_take_the_smallest_ids(spark):
 def test_no_vectors(spark):
     empty = spark.createDataFrame([], KIND)
     assert neighbours.most_similar(empty, "vec_id", "vector").count() == 0
-    assert clusters.similarity_clusters(empty, "vec_id", "vector").count() == 0
+    assert clusters.kmeans_cells(empty, "vec_id", "vector") is None
     useless = spark.createDataFrame([(1, None, 0), (2, [0.0, 0.0], 0)], KIND)
     assert neighbours.most_similar(useless, "vec_id", "vector").count() == 0
-    assert clusters.tight_clusters(clusters.similarity_clusters(useless, "vec_id", "vector")).count() == 0
+    assert found_clusters(useless) == set()
 
 
 def test_codes_weigh_parallel_errors_more():
@@ -78,35 +92,93 @@ def test_codes_weigh_parallel_errors_more():
 
 def test_clusters_equal_brute_force(spark):
     x, rows = grouped_vectors(4)
-    members = clusters.similarity_clusters(spark.createDataFrame(rows, KIND), "vec_id", "vector")
-    got = {(r["cluster"], r["vec_id"]) for r in clusters.tight_clusters(members).collect()}
-    near = cosines(x) >= 0.7
-    want = set()
-    for i in range(len(x)):
-        m = np.flatnonzero(near[i])
-        if len(m) >= 3 and m[0] == i and (near[m].sum(1) == len(m)).all() and near[np.ix_(m, m)].all():
-            want |= {(int(i), int(j)) for j in m}
+    cells = clusters.kmeans_cells(spark.createDataFrame(rows, KIND), "vec_id", "vector")
+    got = {(r["cluster"], r["vec_id"]) for r in clusters.tight_clusters(cells).collect()}
+    want = exact_clusters(x)
     assert got == want and want
     weights = spark.createDataFrame([(i, 2.0) for i in range(len(x))], "vec_id long, weight double")
-    d = {r["cluster"]: r for r in clusters.described(members, weights).filter("rank = 1").collect()}
+    d = {r["cluster"]: r for r in clusters.described(clusters.clusters_of(cells), weights).filter("rank = 1").collect()}
     sizes = {}
     for c, _ in want:
         sizes[c] = sizes.get(c, 0) + 1
     assert all(d[c]["size"] == n and d[c]["weight"] == 2 * n for c, n in sizes.items())
 
 
-def test_large_clusters_are_compared_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(clusters, "BLOCK", 8)
+def test_members_are_those_nearest_to_a_centroid(spark):
+    x, rows = grouped_vectors(11)
+    cells = clusters.kmeans_cells(spark.createDataFrame(rows, KIND), "vec_id", "vector")
+    centres = {r["label"]: np.frombuffer(r["vec"], np.float32) for r in cells.centres.collect()}
+    names = sorted(centres)
+    cos = V.unit_rows(x) @ np.stack([centres[n] for n in names]).T
+    for r in cells.assigned.collect():
+        i = r["rep"]
+        assert r["label"] == names[cos[i].argmax()] and abs(r["near"] - cos[i].max()) < 1e-5
+    sums = {}
+    for r in cells.assigned.collect():
+        sums[r["label"]] = sums.get(r["label"], 0) + V.unit_rows(x[[r["rep"]]])[0].astype(float)
+    agree = [float(centres[n] @ (s / np.linalg.norm(s))) for n, s in sums.items()]
+    assert min(agree) > 0.99
+
+
+def test_large_cells_and_clusters_are_handled_in_blocks(spark, monkeypatch):
     x, rows = grouped_vectors(6, 5)
-    got = {r["cluster"] for r in clusters.tight_clusters(clusters.similarity_clusters(spark.createDataFrame(rows, KIND), "vec_id", "vector")).collect()}
-    monkeypatch.undo()
-    assert got == {r["cluster"] for r in clusters.tight_clusters(clusters.similarity_clusters(spark.createDataFrame(rows, KIND), "vec_id", "vector")).collect()}
+    df = spark.createDataFrame(rows, KIND)
+    whole = found_clusters(df)
+    near = {tuple(r) for r in neighbours.most_similar(df, "vec_id", "vector", 3).collect()}
+    monkeypatch.setattr(clusters, "BLOCK", 8)
+    monkeypatch.setattr(neighbours, "BLOCK", 8)
+    assert found_clusters(df) == whole == exact_clusters(x)
+    assert {tuple(r) for r in neighbours.most_similar(df, "vec_id", "vector", 3).collect()} == near
+    monkeypatch.setattr(V, "SPLIT", 10)
+    monkeypatch.setattr(neighbours, "GATHERED", 20)
+    assert found_clusters(df) == whole
+    got = {tuple(r) for r in neighbours.most_similar(df, "vec_id", "vector", 3).collect()}
+    assert len(got & near) / len(near) > 0.9
 
 
 def test_chains_are_no_clusters(spark):
     angle = lambda a: [float(np.cos(a)), float(np.sin(a))]
-    df = spark.createDataFrame([(i, angle(0.6 * i), 0) for i in range(4)], KIND)
-    assert clusters.tight_clusters(clusters.similarity_clusters(df, "vec_id", "vector")).count() == 0
+    assert found_clusters(spark.createDataFrame([(i, angle(0.6 * i), 0) for i in range(4)], KIND)) == set()
+
+
+def test_a_neighbour_outside_spoils_a_cluster(spark):
+    rng = np.random.default_rng(3)
+    centre = np.eye(1, 24)[0]
+    group = [centre + rng.normal(scale=0.08, size=24) for _ in range(30)]
+    far = [np.eye(24)[5] + rng.normal(scale=0.03, size=24) for _ in range(12)]
+    between = V.unit_rows(group[4][None])[0] * 0.75 + np.eye(24)[9] * 0.66  # near one member only
+    x = np.array([*group, *far, between]).astype(np.float32)
+    rows = [(i, [float(v) for v in r], 0) for i, r in enumerate(x)]
+    want = exact_clusters(x)
+    assert {c for c, _ in want} == {30}
+    assert found_clusters(spark.createDataFrame(rows, KIND)) == want
+
+
+def test_connected_sets(spark):
+    chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (100, 102), (7, 7)]
+    got = {r["node"]: r["root"] for r in clusters.connected(spark.createDataFrame(chain, "a long, b long"), "t").collect()}
+    assert got == {**dict.fromkeys(range(1, 41), 0), 101: 100, 102: 100}
+    assert clusters.connected(spark.createDataFrame([], "a long, b long"), "t").count() == 0
+
+
+def test_near_rows_join_through_steps():
+    angle = np.array([0.0, 0.5, 1.0, 1.5, 4.0])
+    x = np.stack([np.cos(angle), np.sin(angle)], 1).astype(np.float32)
+    assert clusters.join_near(np.array([9, 3, 8, 5, 1]), x, 0.8).tolist() == [3, 3, 3, 3, 1]
+
+
+def test_vectors_as_bytes():
+    x = np.arange(12, dtype=np.float32).reshape(3, 4)
+    packed = V.to_bytes(x)
+    assert (V.to_matrix(packed) == x).all() and (V.to_matrix(packed.slice(1, 2)) == x[1:]).all() and V.to_matrix(packed.slice(0, 0)).size == 0
+
+
+def test_oversampled_seeds_find_every_group(spark):
+    x, rows = grouped_vectors(2)
+    reps = V.vector_table(spark.createDataFrame(rows, KIND), "vec_id", "vector", "t").withColumnRenamed("vec_id", "rep")
+    seeds = V.oversampled_seeds(reps, 29)
+    assert (V.unit_rows(x) @ seeds.T).max(1).mean() > 0.8 and len(seeds) == 29
+    assert (V.oversampled_seeds(reps.repartition(5), 29) == seeds).all()
 
 
 def test_hashed_features(spark):
