@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from . import vectors as V
 
-#: Coarse cells to which a centroid or a seed is sent; there are few of both, so many are cheap.
-PROBES = 12
+#: Coarse cells in which a seed meets others, and nearest ones in which a centroid stands besides the homes of its seeds.
+PROBES, STANDS = 12, 4
 #: Vectors that one task seeds, assigns or compares at once; larger cells and clusters are split into such blocks.
 BLOCK = 8192
 #: Seeds drawn in one round of a block.
@@ -88,7 +88,7 @@ def _blocks(rows: DataFrame, key: str) -> DataFrame:
 
 
 def _block_of(column: str = "rep") -> Column:
-    return F.pmod(F.xxhash64(column), F.col("blocks")).cast("int").alias("block")
+    return F.pmod(F.xxhash64(column), F.col("blocks")).cast("int")
 
 
 def connected(edges: DataFrame, label: str) -> DataFrame:
@@ -132,7 +132,7 @@ def seeds_of_blocks(placed: DataFrame, least: float, label: str) -> DataFrame:
         own = t.take(pa.array(np.searchsorted(ids, seed))).select(["rep", "vec", "cells", "cell"])
         return own.append_column("total", V.to_bytes(total)).append_column("n", pa.array(np.bincount(group), pa.int64()))
 
-    found = home.select("rep", "vec", "cells", "cell", _block_of()).groupBy("cell", "block").applyInArrow(seeded, "rep long, vec binary, cells array<int>, cell int, total binary, n long")
+    found = home.select("rep", "vec", "cells", "cell", _block_of().alias("block")).groupBy("cell", "block").applyInArrow(seeded, "rep long, vec binary, cells array<int>, cell int, total binary, n long")
     return materialize(found, f"{label}-seeds")
 
 
@@ -142,7 +142,7 @@ def seed_links(seeds: DataFrame, least: float) -> DataFrame:
     Seeds meet in their nearest cells; a cell with more than ``BLOCK`` seeds holds a meeting of every two of its blocks.
     """
     sent = seeds.select("rep", "vec", F.explode(F.slice("cells", 1, PROBES)).alias("at"))
-    sent = sent.join(F.broadcast(_blocks(sent.select("at"), "at")), "at").select("*", _block_of())
+    sent = sent.join(F.broadcast(_blocks(sent.select("at"), "at")), "at").withColumn("block", _block_of())
     pair = sent.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pair = pair.select("rep", "vec", "at", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
 
@@ -177,40 +177,44 @@ def merged_centroids(seeds: DataFrame, least: float, cells: np.ndarray, label: s
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([b.column("label"), V.to_bytes(V.unit_rows(V.to_matrix(b.column("total"), np.float64)))], ["rep", "vec"])
 
-    centres = V.nearest_cells(means.mapInArrow(unit, "rep long, vec binary"), cells, PROBES)
+    centres = V.nearest_cells(means.mapInArrow(unit, "rep long, vec binary"), cells, STANDS)
     centres = materialize(centres.select(F.col("rep").alias("label"), "vec", "cells"), f"{label}-centres")
     homes = centres.select("label", F.explode("cells").alias("at")).unionByName(named.select("label", F.col("cell").alias("at"))).distinct()
     return centres.join(homes, "label").select("label", "vec", "at", F.col("cells")[0].alias("home"))
 
 
-def _met(placed: DataFrame, centres: DataFrame, extra: list[str], look, schema: str) -> DataFrame:
+def _met(rows: DataFrame, centres: DataFrame, look, schema: str) -> DataFrame:
     """``look(rows, centres)`` of every block of a coarse cell's rows with all centroids that stand there."""
-    rows = placed.select("rep", "vec", F.col("cells")[0].alias("at"), *extra)
-    blocks = F.broadcast(_blocks(rows.select("at"), "at"))
-    left = rows.join(blocks, "at").select("rep", "vec", "at", *extra, _block_of())
+    rows = rows.withColumn("at", F.col("cells")[0])
+    blocks = F.broadcast(_blocks(rows.select("at"), "at"))  # at most MAX_CELLS rows
+    left = rows.join(blocks, "at").withColumn("block", _block_of()).drop("blocks")
     right = centres.join(blocks, "at").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     return left.groupBy("at", "block").cogroup(right.groupBy("at", "block")).applyInArrow(look, schema)
 
 
+ASSIGNED = "rep long, vec binary, cells array<int>, code binary, label long, near double, home int"
+
+
 def assigned(placed: DataFrame, centres: DataFrame) -> DataFrame:
-    """``rep, label, near, home``: every row's nearest centroid, the cosine to it, and that centroid's own coarse cell."""
+    """``placed`` with ``label, near, home``: every row's nearest centroid, the cosine to it, and that centroid's own coarse cell."""
     def nearest(rows: pa.Table, there: pa.Table) -> pa.Table:
-        schema = pa.schema([("rep", pa.int64()), ("label", pa.int64()), ("near", pa.float64()), ("home", pa.int32())])
+        rows = rows.select(["rep", "vec", "cells", "code"])
         if not rows.num_rows or not there.num_rows:
-            return schema.empty_table()
+            none = rows.slice(0, 0)
+            return none.append_column("label", pa.array([], pa.int64())).append_column("near", pa.array([], pa.float64())).append_column("home", pa.array([], pa.int32()))
         there = there.sort_by("label")
         at, cos = V.nearest_seed(V.to_units(rows["vec"]), V.to_units(there["vec"]))
         take = pa.array(at)
-        return pa.table([rows["rep"], there["label"].take(take), pa.array(cos.astype(np.float64)), there["home"].take(take)], schema=schema)
+        return rows.append_column("label", there["label"].take(take)).append_column("near", pa.array(cos.astype(np.float64))).append_column("home", there["home"].take(take))
 
-    return _met(placed, centres, [], nearest, "rep long, label long, near double, home int")
+    return _met(placed.select("rep", "vec", "cells", "code"), centres, nearest, ASSIGNED)
 
 
 class Cells:
-    """A fine k-means: ``placed`` distinct rows with their coarse cells, ``centres``, and each row's ``assigned`` centroid."""
+    """A fine k-means: ``centres``, the distinct rows with their coarse cells ``assigned`` to them, and the ``copies`` of rows."""
 
-    def __init__(self, placed: DataFrame, centres: DataFrame, found: DataFrame, copies: DataFrame, coarse: np.ndarray):
-        self.placed, self.centres, self.assigned, self.copies, self.coarse = placed, centres, found, copies, coarse
+    def __init__(self, centres: DataFrame, found: DataFrame, copies: DataFrame, coarse: np.ndarray):
+        self.centres, self.assigned, self.copies, self.coarse = centres, found, copies, coarse
 
     def with_copies(self, rows: DataFrame) -> DataFrame:
         """Rows by ``rep`` with a ``vec_id`` for each vector: the distinct one itself and its equals."""
@@ -224,8 +228,8 @@ def kmeans_cells(df: DataFrame, vec_id: str, vector: str, least: float = 0.70, l
     every block of a coarse cell seeds are drawn until each row reaches one; seeds meet in their nearest coarse cells and
     those that reach each other become one centroid, the mean of their rows. 3. Every row is assigned to its nearest centroid.
 
-    ``encoder(sample, coarse)`` may give a function of residuals and rows that fills ``placed.code``; ``placed.cells`` has at least ``probes`` cells. Null, zero and non-finite vectors and
-    vectors of another length than the most common take no part; equal vectors are one row of ``placed``.
+    ``encoder(sample, coarse)`` may give a function of residuals and rows that fills ``code``; ``cells`` has at least ``probes`` cells. Null, zero and non-finite vectors and
+    vectors of another length than the most common take no part; equal vectors are one row.
     """
     vectors = V.vector_table(df, vec_id, vector, label)
     if vectors is None:
@@ -239,7 +243,7 @@ def kmeans_cells(df: DataFrame, vec_id: str, vector: str, least: float = 0.70, l
     placed = materialize(V.nearest_cells(reps, coarse, max(probes, PROBES), coder), f"{label}-cells")
     centres = materialize(merged_centroids(seeds_of_blocks(placed, least, label), least, coarse, label), f"{label}-standing")
     found = materialize(assigned(placed, centres), f"{label}-assigned")
-    return Cells(placed, centres, found, copies, coarse)
+    return Cells(centres, found, copies, coarse)
 
 
 def clusters_of(cells: Cells) -> DataFrame:
@@ -260,7 +264,7 @@ def loose_clusters(rows: DataFrame, least: float, buckets: int) -> DataFrame:
     wide = rows.groupBy("label").agg(F.max(angle).alias("widest"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     doubtful = rows.join(wide, "label").filter(angle + F.col("widest") > limit - TURN).select("rep", "vec", "label")
     blocks = _blocks(doubtful.select("label"), "label")
-    sized = doubtful.join(blocks, "label").select("*", _block_of())
+    sized = doubtful.join(blocks, "label").withColumn("block", _block_of())
     pair = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     bucket = F.when(F.col("blocks") > 1, F.xxhash64("label", "lo", "hi")).otherwise(F.pmod(F.xxhash64("label"), F.lit(buckets)))
     pair = pair.select("vec", "label", "blocks", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).select("vec", "label", bucket.alias("bucket"))
@@ -287,7 +291,7 @@ def crowded_clusters(cells: Cells, wanted: DataFrame, least: float, label: str)
     limit = float(np.arccos(least))
     radius = cells.assigned.groupBy("label").agg(F.acos(F.least(F.min("near"), F.lit(1.0))).alias("radius"))
     standing = cells.centres.join(radius, "label").select("label", "vec", "at", "radius")
-    placed = cells.placed.join(cells.assigned.select("rep", F.col("label").alias("own")), "rep")
+    placed = cells.assigned.select("rep", "vec", "cells", F.col("label").alias("own"))
 
     def suspects(rows: pa.Table, there: pa.Table) -> pa.Table:
         out = [(np.zeros(0, np.int64),) * 3]
@@ -303,7 +307,7 @@ def crowded_clusters(cells: Cells, wanted: DataFrame, least: float, label: str)
         rep, own, other = (np.concatenate(p) for p in zip(*out, strict=True))
         return pa.table({"rep": pa.array(rep, pa.int64()), "own": pa.array(own, pa.int64()), "other": pa.array(other, pa.int64())})
 
-    near = materialize(_met(placed, standing, ["own"], suspects, "rep long, own long, other long"), f"{label}-suspects")
+    near = materialize(_met(placed, standing, suspects, "rep long, own long, other long"), f"{label}-suspects")
     sides = near.select("rep", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") < F.col("other")).alias("first"))
     counts = sides.groupBy("lo", "hi").agg(F.count_if("first").alias("a"), F.count_if(~F.col("first")).alias("b")).filter("a > 0 AND b > 0")
     asked = wanted.select("label").distinct()
@@ -313,7 +317,7 @@ def crowded_clusters(cells: Cells, wanted: DataFrame, least: float, label: str)
     mine = F.pmod(F.xxhash64("rep"), F.when(F.col("first"), F.col("a")).otherwise(F.col("b"))).cast("int")
     spread = sized.withColumn("mine", mine).withColumn("theirs", F.explode(F.sequence(F.lit(0), F.when(F.col("first"), F.col("b")).otherwise(F.col("a")) - 1)))
     meeting = spread.select("rep", "lo", "hi", "first", F.when(F.col("first"), F.col("mine")).otherwise(F.col("theirs")).alias("i"), F.when(F.col("first"), F.col("theirs")).otherwise(F.col("mine")).alias("j"))
-    full = meeting.join(cells.placed.select("rep", "vec"), "rep")
+    full = meeting.join(cells.assigned.select("rep", "vec"), "rep")
 
     def touch(t: pa.Table) -> pa.Table:
         first = t["first"].to_numpy(zero_copy_only=False).astype(bool)
@@ -331,7 +335,7 @@ def tight_clusters(cells: Cells, least: float = 0.70, smallest: int = 3, label:
     """``cluster, vec_id``: k-means cells with at least ``smallest`` members of which any two reach ``least`` and none reaches it with a vector outside."""
     members = materialize(clusters_of(cells), f"{label}-members")
     big = members.groupBy("label").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= smallest).select("label")
-    rows = cells.placed.select("rep", "vec").join(cells.assigned.select("rep", "label", "near").join(big, "label", "left_semi"), "rep")
+    rows = cells.assigned.select("rep", "vec", "label", "near").join(big, "label", "left_semi")
     loose = materialize(loose_clusters(rows, least, max(1, cells.assigned.count() // (2 * BLOCK))), f"{label}-loose")
     tight = materialize(big.join(loose, "label", "left_anti"), f"{label}-sound")
     alone = tight.join(crowded_clusters(cells, tight, least, label), "label", "left_anti")

@@ -259,11 +259,11 @@ def most_similar(df: DataFrame, vec_id: str, vector: str, k: int = 5, least: flo
     if fine is None:
         return empty
     shared = spark.sparkContext.broadcast((fine.coarse, coders[0]))
-    large = fine.assigned.groupBy("label").count().filter(F.col("count") > GATHERED).select("label", F.lit(True).alias("large"))
-    place = fine.assigned.join(large, "label", "left").select("rep", F.when(F.col("large"), F.lit(None)).otherwise(F.col("home")).alias("gathered"))
-    placed = fine.placed.join(place, "rep")
+    large = fine.assigned.groupBy("label").count().filter(F.col("count") > GATHERED).select("label", F.lit(True).alias("large"))  # at most rows / GATHERED of them
     home = F.col("cells")[0].alias("home")
-    near = materialize(placed.select("rep", "vec", "code", home, F.coalesce("gathered", F.col("cells")[0]).alias("cell"), F.col("gathered").isNull().alias("large")), f"{label}-placed")
+    placed = fine.assigned.join(F.broadcast(large), "label", "left")
+    gathered = F.when(F.col("large"), F.col("cells")[0]).otherwise(F.col("home")).alias("cell")
+    near = placed.select("rep", "vec", "code", home, gathered, F.coalesce("large", F.lit(False)).alias("large"))
     found = materialize(_gathered_search(near.drop("large"), shared, k, least), f"{label}-near")
     wide = near.filter("large").select("rep")
     if least < GATHER:
@@ -271,8 +271,8 @@ def most_similar(df: DataFrame, vec_id: str, vector: str, k: int = 5, least: flo
         wide = wide.unionByName(near.select("rep").join(enough, "rep", "left_anti")).distinct()
     wide = materialize(wide, f"{label}-wide")
     if wide.limit(1).count():
-        asked = fine.placed.join(wide, "rep", "left_semi").select("rep", "vec", F.explode("cells").alias("cell"))
-        members = fine.placed.select("rep", "vec", "code", home, F.explode(F.slice("cells", 1, SPILL)).alias("cell"))
+        asked = fine.assigned.join(wide, "rep", "left_semi").select("rep", "vec", F.explode("cells").alias("cell"))
+        members = fine.assigned.select("rep", "vec", "code", home, F.explode(F.slice("cells", 1, SPILL)).alias("cell"))
         found = materialize(found.unionByName(_far_search(asked, members, shared, k, least)), f"{label}-far")
     best = found.distinct().withColumn("_r", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("similarity"), "other_rep"))).filter(F.col("_r") <= k).drop("_r")
 

@@ -18,6 +18,8 @@ FIT_ROWS = 8_192
 MAX_CELLS = 16_384
 #: A cell with more vectors is split into several, as long as there are fewer than ``MAX_CELLS``.
 SPLIT = 16_384
+#: Most ids that are broadcast (8 MB); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 #: Similarities that a task holds at once.
 HELD = 4_000_000
 
@@ -91,7 +93,8 @@ def split_copies(vectors: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
     keyed = vectors.select("vec_id", F.xxhash64("vec").alias("h"), F.xxhash64(F.lit(1), "vec").alias("g"))
     groups = keyed.groupBy("h", "g").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     copies = materialize(keyed.join(groups, ["h", "g"]).filter("vec_id <> rep").select("vec_id", "rep"), f"{label}-copies")
-    return vectors.join(copies.select("vec_id"), "vec_id", "left_anti").withColumnRenamed("vec_id", "rep"), copies
+    ids = copies.select("vec_id")
+    return vectors.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "vec_id", "left_anti").withColumnRenamed("vec_id", "rep"), copies
 
 
 def fit_sample(vectors: DataFrame, rows: int = FIT_ROWS) -> np.ndarray:
