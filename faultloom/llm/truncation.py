@@ -9,18 +9,16 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-#: Lines longer than this are prose, which is judged by its last sentence, not by the line's shape.
-SHAPED_LINE = 240
 #: Share of distinct texts (at least MIN_LAST of them) that must end in a line for it to be a usual last line.
 USUAL_SHARE, MIN_LAST, MIN_INNER = 0.002, 3, 5
 #: A shape that ends texts less often than once in so many of its lines is no ending.
 INNER_PER_LAST = 60
-#: Log odds that endings add which tell by themselves whether a text is finished; usual last lines get theirs from the texts.
-EVIDENCE = {"mark": 9.0, "open_markup": 9.0, "unknown": 9.0, "complete": -12.0, "empty": -99.0}
+#: Log odds that a mark of a cut and an unclosed code fence add; other endings get theirs from the texts, within BOUNDS.
+EVIDENCE, BOUNDS = {"mark": 9.5, "open_markup": 9.5}, (-6.0, 8.0)
 #: Places at which every text is cut to learn how cut texts end, and what is added to the counts of an ending.
 CUTS, SMOOTH = 4, 0.5
-#: Prior share of cut texts at a length that is no limit.
-BASE_RATE = 0.02
+#: Texts with the share of cut ones of all sources that a source's own share starts from, and its least value.
+PRIOR_TEXTS, LEAST_SHARE = 20.0, 1e-4
 
 _MARK = r"(…|\.\.\.|\[\.\.\.\]|\((?i:cut|truncated|snip|clipped)\)|\[(?i:cut|truncated|snip|clipped)\]?|\x{FFFD}|&[A-Za-z]{0,6}|<[/A-Za-z]{0,8})\s*$"
 _STOP = r"[.?!。？！][\"'”’»)\]]*\s*$"
@@ -28,11 +26,11 @@ _HALF_STOP = r"(?:/[A-Za-z0-9_-]+|\[\s*\d+)\.\s*$"  # a path's or a time stamp's
 
 
 def shape_of(line: Column) -> Column:
-    """A line with words, numbers and hex values masked: its kind. Null for lines longer than ``SHAPED_LINE``."""
+    """The kind of a line: a hash of it with words, numbers and hex values masked."""
     s = F.regexp_replace(F.rtrim(line), r"\s+", " ")
     for pattern, mask in ((r"0x[0-9a-f]*", "#"), (r"\b(?=[a-z]*\d)[0-9a-f]{7,}\b", "#"), (r"[\w/.-]+\.[ch]\b", "@"), (r"[\p{L}_$][\p{L}\p{N}_$-]*", "w"), (r"\d+", "N")):
         s = F.regexp_replace(s, pattern, mask)
-    return F.when(F.length(line) <= SHAPED_LINE, s)
+    return F.xxhash64(s)
 
 
 def final_of(line: Column) -> Column:
@@ -75,7 +73,7 @@ def _inner_lines(documents: DataFrame) -> DataFrame:
     """``shape, final, inner``: how often lines that are not a text's last have a shape and last word."""
     lines = F.split(F.regexp_replace("text", r"\s+$", ""), "\n")
     line = documents.filter("text is not null").select(F.explode(F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0)))).alias("line"))
-    return line.filter(F.length("line") <= SHAPED_LINE).groupBy(shape_of(F.col("line")).alias("shape"), final_of(F.col("line")).alias("final")).agg(F.count(F.lit(1)).alias("inner"))
+    return line.groupBy(shape_of(F.col("line")).alias("shape"), final_of(F.col("line")).alias("final")).agg(F.count(F.lit(1)).alias("inner"))
 
 
 def usual_endings(distinct: DataFrame, documents: DataFrame, n: int) -> DataFrame:
@@ -84,7 +82,7 @@ def usual_endings(distinct: DataFrame, documents: DataFrame, n: int) -> DataFram
     Either many texts end in that line, or lines of that shape and last word are common inside texts (where lines are
     whole) and texts end in that shape about as often as elsewhere.
     """
-    last = distinct.filter("kind <> 'mark' AND shape IS NOT NULL").groupBy("shape", "final").agg(F.count(F.lit(1)).alias("last"))
+    last = distinct.filter("kind NOT IN ('mark', 'empty')").groupBy("shape", "final").agg(F.count(F.lit(1)).alias("last"))
     inner = _inner_lines(documents)
     both = last.join(inner, ["shape", "final"], "full").na.fill(0, ["last", "inner"])
     shapes = both.groupBy("shape").agg(F.sum("last").alias("last_all"), F.sum("inner").alias("inner_all"))
@@ -94,32 +92,49 @@ def usual_endings(distinct: DataFrame, documents: DataFrame, n: int) -> DataFram
 
 
 def _cut_endings(documents: DataFrame) -> DataFrame:
-    """``shape, final, n``: last lines of all distinct texts cut at ``CUTS`` places each, which follow from a hash; a null shape has the other endings.
-
-    The patterns of an ending look at its last line only, so they get no more of the text before the place than that needs.
-    """
+    """``kind, shape, final, n``: the endings of all distinct texts cut at ``CUTS`` places each, which follow from a hash; only unknown kinds have a shape."""
     h, k = F.xxhash64("text"), F.explode(F.sequence(F.lit(1), F.lit(CUTS)))
     placed = documents.filter(F.length("text") > 1).select("text", h.alias("h"), k.alias("k"))
-    placed = placed.withColumn("head", F.left("text", F.lit(1) + F.pmod(F.xxhash64("h", "k"), F.length("text") - 1).cast("int")))
-    placed = placed.withColumn("tail", F.right(F.rtrim("head", F.lit(" \t\r\n\f\x0b")), F.lit(SHAPED_LINE + 20)))
-    last = F.substring_index("tail", "\n", -1)
-    shape = F.when(_kind(F.col("head"), F.col("tail")) == "unknown", shape_of(last))
-    ends = placed.select("h", "k", shape.alias("shape"), F.when(shape.isNotNull(), final_of(last)).alias("final"))
-    return ends.dropDuplicates(["h", "k"]).groupBy("shape", "final").agg(F.count(F.lit(1)).alias("n"))
+    placed = placed.withColumn("head", F.rtrim(F.left("text", F.lit(1) + F.pmod(F.xxhash64("h", "k"), F.length("text") - 1).cast("int")), F.lit(" \t\r\n\f\x0b")))
+    placed = placed.select("h", "k", _kind(F.col("head"), F.col("head")).alias("kind"), F.substring_index("head", "\n", -1).alias("last"))
+    unknown = F.col("kind") == "unknown"
+    ends = placed.select("h", "k", "kind", F.when(unknown, shape_of(F.col("last"))).alias("shape"), F.when(unknown, final_of(F.col("last"))).alias("final"))
+    return ends.groupBy("h", "k").agg(F.first(F.struct("kind", "shape", "final")).alias("e")).groupBy("e.kind", "e.shape", "e.final").agg(F.count(F.lit(1)).alias("n"))
+
 
+def _log_ratio(cut: float, all_cut: float, whole: float, all_whole: float) -> float:
+    return float(np.clip(np.log((cut + SMOOTH) / (all_cut + SMOOTH) / ((whole + SMOOTH) / (all_whole + SMOOTH))), *BOUNDS))
 
-def ending_evidence(usual: DataFrame, distinct: DataFrame, documents: DataFrame) -> DataFrame:
-    """``shape, final, evidence`` of the usual endings: the log of how much likelier a cut text ends so than a whole one.
 
-    Cut texts are all texts cut at random places; whole ones are the texts that end in a usual line or a finished sentence.
+def ending_evidence(usual: DataFrame, distinct: DataFrame, documents: DataFrame, label: str) -> tuple[DataFrame, dict[str, float]]:
+    """``shape, final, evidence`` of the usual endings, and the evidence of the other kinds: the log of how much likelier a cut text ends so than a whole one.
+
+    Cut texts are all texts cut at random places; whole ones are the texts that end in a usual line or a finished sentence. How
+    often whole texts have an ending never seen on one is estimated by the share of them whose ending was seen once. No
+    evidence goes beyond ``BOUNDS``, so a length that is surely a limit, or surely none, can outweigh it.
     """
-    cuts = materialize(_cut_endings(documents), "p10-cuts")
-    whole = distinct.join(usual.withColumn("usual", F.lit(True)), ["shape", "final"], "left").withColumn("usual", F.col("usual") & (F.col("kind") == "unknown")).filter("usual OR kind = 'complete'")
-    whole = materialize(whole.groupBy(F.when(F.col("usual"), F.col("shape")).alias("shape"), F.when(F.col("usual"), F.col("final")).alias("final")).agg(F.count(F.lit(1)).alias("w")), "p10-whole")
-    sums = cuts.agg(F.sum("n").alias("all_n")).crossJoin(whole.agg(F.sum("w").alias("all_w")))
-    both = usual.join(cuts, ["shape", "final"], "left").join(whole, ["shape", "final"], "left").na.fill(0, ["n", "w"]).crossJoin(F.broadcast(sums))
-    ratio = (F.col("n") + SMOOTH) / (F.col("all_n") + SMOOTH) / ((F.col("w") + SMOOTH) / (F.col("all_w") + SMOOTH))
-    return both.select("shape", "final", F.log(ratio).alias("evidence"))
+    cuts = materialize(_cut_endings(documents), f"{label}-cuts")
+    marked = usual.withColumn("usual", F.lit(True))
+    whole = distinct.join(marked, ["shape", "final"], "left").withColumn("usual", F.coalesce("usual", F.lit(False)) & (F.col("kind") == "unknown")).filter("usual OR kind = 'complete'")
+    whole = materialize(whole.groupBy("usual", F.when(F.col("usual"), F.col("shape")).alias("shape"), F.when(F.col("usual"), F.col("final")).alias("final")).agg(F.count(F.lit(1)).alias("w")), f"{label}-whole")
+    n = cuts.join(marked, ["shape", "final"], "left").agg(
+        F.sum("n").alias("all"), F.sum(F.when(F.col("kind") == "complete", F.col("n"))).alias("complete"), F.sum(F.when((F.col("kind") == "unknown") & F.col("usual").isNull(), F.col("n"))).alias("unknown")
+    ).collect()[0]
+    w = whole.agg(F.sum("w").alias("all"), F.sum(F.when(~F.col("usual"), F.col("w"))).alias("complete"), F.count_if(F.col("usual") & (F.col("w") == 1)).alias("once")).collect()[0]
+    all_n, all_w = float(n["all"] or 0), float(w["all"] or 0)
+    others = {k: _log_ratio(float(n[k] or 0), all_n, float(seen or 0), all_w) for k, seen in (("complete", w["complete"]), ("unknown", w["once"]))}
+    both = usual.join(cuts.filter("kind = 'unknown'").drop("kind"), ["shape", "final"], "left").join(whole.filter("usual").drop("usual"), ["shape", "final"], "left").na.fill(0, ["n", "w"])
+    ratio = F.log((F.col("n") + SMOOTH) / (all_n + SMOOTH) / ((F.col("w") + SMOOTH) / (all_w + SMOOTH)))
+    return both.select("shape", "final", F.greatest(F.lit(BOUNDS[0]), F.least(F.lit(BOUNDS[1]), ratio)).alias("evidence")), others
+
+
+def whole_share(evidence: np.ndarray, counts: np.ndarray, prior: float = 0.0, texts: float = 0.0, rounds: int = 200) -> float:
+    """Share of cut texts among those at no limit, by EM over the endings they have, starting from ``texts`` texts with the share ``prior``."""
+    share, ratio = 0.05, np.exp(evidence)
+    for _ in range(rounds):
+        share = float(((share * ratio / (share * ratio + 1 - share)) * counts).sum() + prior * texts) / max(1.0, counts.sum() + texts)
+        share = min(0.5, max(LEAST_SHARE, share))
+    return share
 
 
 def cut_share(posterior: float, evidence: np.ndarray, counts: np.ndarray, rounds: int = 200) -> float:
@@ -178,16 +193,19 @@ def fit_censored(lengths: np.ndarray, counts: np.ndarray, rounds: int = 60) -> d
     return {int(x[i]): float(np.clip(cut[i], 0, 0.999)) for i in limits if cut[i] > 0.05}
 
 
+def _bin(size: Column) -> Column:
+    """Lengths of up to 65,536 as they are, larger ones in bins a thousandth of an octave wide."""
+    return F.when(size <= 65_536, size).otherwise(F.pow(F.lit(2.0), F.round(F.log2(size) * 1000) / 1000).cast("int"))
+
+
 def limit_posteriors(distinct: DataFrame) -> DataFrame:
     """``source, unit, size, posterior``: lengths at which a source's texts are cut, in characters or bytes.
 
-    Works on one histogram of lengths per source (lengths over 65,536 share bins a thousandth of an octave wide), so
-    a source's rows are never gathered. A null source is one source.
+    Works on one histogram of lengths (:func:`_bin`) per source, so a source's rows are never gathered. A null source is one source.
     """
     unit = F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("size"))))
     sizes = distinct.filter("kind <> 'empty'").select(F.coalesce("source", F.lit("")).alias("source"), unit.alias("u")).select("source", "u.*")
-    binned = F.when(F.col("size") <= 65_536, F.col("size")).otherwise(F.pow(F.lit(2.0), F.round(F.log2("size") * 1000) / 1000).cast("int"))
-    hist = sizes.groupBy("source", "unit", binned.alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    hist = sizes.groupBy("source", "unit", _bin(F.col("size")).alias("size")).agg(F.count(F.lit(1)).alias("n"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         found = fit_censored(pdf["size"].to_numpy(), pdf["n"].to_numpy())
@@ -196,11 +214,16 @@ def limit_posteriors(distinct: DataFrame) -> DataFrame:
     return hist.groupBy("source", "unit").applyInPandas(fit, "source string, unit string, size int, posterior double")
 
 
+def _at_limit(rows: DataFrame, limits: DataFrame, unit: str) -> DataFrame:
+    """Adds ``<unit>_posterior`` to rows that have a limit's length; both sides know lengths by their bins."""
+    own = limits.filter(F.col("unit") == unit).select(F.col("source").alias("_s"), F.col("size").alias("_b"), F.col("posterior").alias(f"{unit}_posterior"))
+    return rows.withColumn("_b", _bin(F.col(unit))).join(own, ["_s", "_b"], "left").drop("_b")
+
+
 def limit_shares(limits: DataFrame, judged: DataFrame) -> DataFrame:
     """The limits with the share of cut texts (:func:`cut_share`) as their posterior, from one histogram of endings per limit."""
-    limits = materialize(limits, "p10-fitted")
     found = [
-        judged.join(F.broadcast(limits.filter(F.col("unit") == u).select(F.col("source").alias("_s"), F.col("size").alias(u), "posterior")), ["_s", u]).select(F.col("_s").alias("source"), F.lit(u).alias("unit"), F.col(u).alias("size"), "posterior", "evidence")
+        _at_limit(judged, limits, u).filter(F.col(f"{u}_posterior").isNotNull()).select(F.col("_s").alias("source"), F.lit(u).alias("unit"), _bin(F.col(u)).alias("size"), F.col(f"{u}_posterior").alias("posterior"), F.round("evidence", 1).alias("evidence"))
         for u in ("chars", "bytes")
     ]
     hist = found[0].unionByName(found[1]).groupBy("source", "unit", "size", "posterior", "evidence").agg(F.count(F.lit(1)).alias("n"))
@@ -212,31 +235,54 @@ def limit_shares(limits: DataFrame, judged: DataFrame) -> DataFrame:
     return hist.groupBy("source", "unit", "size").applyInPandas(share, "source string, unit string, size int, posterior double")
 
 
-def truncation_scores(documents: DataFrame, label: str = "p10") -> DataFrame:
-    """``doc_id, source, ending, posterior, cut``: every document's kind of ending, the posterior of a limit at its length, and the verdict.
+def source_shares(judged: DataFrame) -> DataFrame:
+    """``_s, base``: the share of cut texts of each source away from its limits (:func:`whole_share`), from one histogram of endings per source.
 
-    The log odds of being cut are those of the length (the share of cut texts at a limit of the source, else a base rate)
-    plus those of the ending. A mark of a cut, open markup, an ending no whole text has, and a finished sentence say by
-    themselves whether the text is finished. A usual last line may also be a line cut in its last word or number:
-    its log odds are a likelihood ratio (:func:`ending_evidence`), and the length can outweigh it. Equal
-    texts count once in all statistics. Null and blank texts are not cut; an empty table gives no rows.
+    Evidence is rounded to a tenth, so a histogram has at most some 130 rows. Sources with few texts stay near the share of all.
+    """
+    hist = materialize(judged.groupBy("_s", F.round("evidence", 1).alias("evidence")).agg(F.count(F.lit(1)).alias("n")), "p10-bases")
+    whole = hist.groupBy("evidence").agg(F.sum("n").alias("n")).toPandas()
+    common = whole_share(whole["evidence"].to_numpy(), whole["n"].to_numpy()) if len(whole) else LEAST_SHARE
+
+    def share(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf[["_s"]].iloc[:1].assign(base=whole_share(pdf["evidence"].to_numpy(), pdf["n"].to_numpy(), common, PRIOR_TEXTS))
+
+    return hist.groupBy("_s").applyInPandas(share, "_s string, base double")
+
+
+def truncation_scores(documents: DataFrame, label: str = "p10") -> DataFrame:
+    """``doc_id, source, ending, posterior, evidence, cut``: every document's kind of ending, the censoring posterior of its length, and the verdict.
+
+    The log odds of being cut are those of the length plus those of the ending. The length's are the share of cut texts at a limit of
+    the source, or the source's share of cut texts away from limits; both come from fits over all texts. The ending's are
+    likelihood ratios (:func:`ending_evidence`), bounded on both sides: an odd ending far from limits in a source that cuts nothing
+    is not cut, and a finished sentence at a limit that cuts all else is. Only a mark of a cut or an open code fence speaks louder.
+    Equal texts count once in all statistics, under the first source by name. Null and blank texts are not cut; an empty
+    table gives no rows.
     """
     seen = materialize(_features(documents), f"{label}-features")
-    distinct = materialize(seen.dropDuplicates(["h"]), f"{label}-distinct")
+    columns = [c for c in seen.columns if c != "h"]
+    distinct = seen.groupBy("h").agg(F.min_by(F.struct(*columns), F.struct(F.coalesce("source", F.lit("")), "doc_id")).alias("d")).select("h", "d.*")
+    distinct = materialize(distinct, f"{label}-distinct")
     n = distinct.count()
-    usual = usual_endings(distinct, documents, n)
-    usual = materialize(ending_evidence(materialize(usual, f"{label}-usual"), distinct, documents), f"{label}-evidence")
-    weight = F.create_map(*[F.lit(v) for pair in EVIDENCE.items() for v in pair])
+    usual = materialize(usual_endings(distinct, documents, n), f"{label}-usual")
+    ratios, others = ending_evidence(usual, distinct, documents, label)
+    ratios = materialize(ratios, f"{label}-evidence")
+    weight = F.create_map(*[F.lit(v) for pair in (EVIDENCE | others).items() for v in pair])
 
     def judged(rows: DataFrame) -> DataFrame:
         is_usual = (F.col("kind") == "unknown") & F.col("evidence").isNotNull()
-        joined = rows.withColumn("_s", F.coalesce("source", F.lit(""))).join(usual, ["shape", "final"], "left")
-        return joined.withColumns({"ending": F.when(is_usual, "usual").otherwise(F.col("kind")), "evidence": F.when(is_usual, F.col("evidence")).otherwise(weight[F.col("kind")])})
-
-    limits = materialize(limit_shares(limit_posteriors(distinct), judged(distinct)), f"{label}-limits")
-    at = {u: F.broadcast(limits.filter(F.col("unit") == u).select(F.col("source").alias("_s"), F.col("size").alias(u), F.col("posterior").alias(f"{u}_posterior"))) for u in ("chars", "bytes")}
-    joined = judged(seen).join(at["chars"], ["_s", "chars"], "left").join(at["bytes"], ["_s", "bytes"], "left")
-    posterior = F.greatest(F.coalesce("chars_posterior", F.lit(0.0)), F.coalesce("bytes_posterior", F.lit(0.0)), F.lit(BASE_RATE))
+        joined = rows.withColumn("_s", F.coalesce("source", F.lit(""))).join(ratios, ["shape", "final"], "left")
+        return joined.withColumns({"ending": F.when(is_usual, "usual").otherwise(F.col("kind")), "evidence": F.when(is_usual, F.col("evidence")).otherwise(F.try_element_at(weight, F.col("kind")))})
+
+    known = materialize(judged(distinct).filter("kind <> 'empty'"), f"{label}-judged")
+    fitted = materialize(limit_posteriors(distinct), f"{label}-fitted")
+    limits = materialize(limit_shares(fitted, known), f"{label}-limits")
+    away = _at_limit(_at_limit(known, limits, "chars"), limits, "bytes").filter("chars_posterior IS NULL AND bytes_posterior IS NULL")
+    bases = materialize(source_shares(away), f"{label}-shares")
+    joined = _at_limit(_at_limit(judged(seen), limits, "chars"), limits, "bytes").join(bases, "_s", "left")
+    at_none = F.coalesce("base", F.lit(LEAST_SHARE))
+    posterior = F.greatest(F.coalesce("chars_posterior", F.lit(0.0)), F.coalesce("bytes_posterior", F.lit(0.0)), at_none)
     scored = joined.select("doc_id", "source", "ending", posterior.alias("posterior"), "evidence")
     odds = F.log(F.col("posterior") / (1 - F.col("posterior"))) + F.col("evidence")
-    return scored.select("doc_id", "source", "ending", "posterior", (odds > 0).alias("cut"))
+    return scored.select("doc_id", "source", "ending", "posterior", "evidence", F.coalesce(odds > 0, F.lit(False)).alias("cut"))

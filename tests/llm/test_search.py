@@ -261,6 +261,40 @@ def test_limit_decides_between_equal_endings(spark):
     assert all(scores[i]["cut"] for i in in_number) and not any(scores[i]["cut"] for i in whole)
 
 
+def _prose(rng, n):
+    word = lambda: "".join("abcdefghijklmnopqrst"[i] for i in rng.integers(0, 20, rng.integers(3, 10)))
+    return " ".join(f"{word().title()} {' '.join(word() for _ in range(int(rng.integers(2, 12))))}." for _ in range(n))
+
+
+def test_length_outweighs_the_ending_both_ways(spark):
+    rng = np.random.default_rng(8)
+    clean = [_prose(rng, int(rng.integers(1, 14))) for _ in range(3000)]
+    texts = [_prose(rng, int(rng.integers(1, 14))) for _ in range(1500)]
+    at = 300
+    cut = [t[:at] for t in texts]
+    finished = _prose(rng, 30)
+    while not finished[:at].endswith("."):
+        finished = finished[int(rng.integers(1, 5)) :]
+    odd = finished[:90].rstrip(".") + "x"
+    rows = [(i, "clean", t) for i, t in enumerate(clean)] + [(5000 + i, "cuts", t) for i, t in enumerate(cut)]
+    rows += [(9000, "clean", odd), (9001, "cuts", finished[:at]), (9002, "clean", finished[:at]), (9003, "cuts", (odd + " y" * 300)[: at - 1] + "z")]
+    got = {r["doc_id"]: r for r in truncation.truncation_scores(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    assert got[9001]["ending"] == got[9002]["ending"] == "complete" and got[9001]["cut"] and not got[9002]["cut"]
+    assert got[9000]["ending"] == got[9003]["ending"] == "unknown" and got[9003]["cut"] and not got[9000]["cut"]
+    assert got[9001]["evidence"] == got[9002]["evidence"] < 0 < got[9000]["evidence"] == got[9003]["evidence"]
+
+
+def test_limits_of_long_texts(spark):
+    rng = np.random.default_rng(4)
+    texts = ["\n".join(_prose(rng, 20) for _ in range(int(n))) for n in rng.lognormal(3.2, 0.6, 120)]
+    stored = [t[:70_000] for t in texts for _ in (0,)]
+    rows = [(i, "long", t) for i, t in enumerate(stored)]
+    whole_at = [i for i, t in enumerate(texts) if len(t) > 70_000]
+    assert len(whole_at) > 5
+    got = {r["doc_id"]: r for r in truncation.truncation_scores(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    assert {(got[i]["posterior"] > 0.5, got[i]["cut"], got[i]["ending"] == "complete") for i in whole_at} <= {(True, True, False), (True, True, True), (True, False, True)}, [(i, got[i]) for i in whole_at]
+
+
 def test_length_fits():
     rng = np.random.default_rng(3)
     sizes = np.minimum(np.exp(rng.normal(5, 0.7, 4000)).astype(int), 280)
