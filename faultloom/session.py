@@ -33,15 +33,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Cuts the lineage by writing ``df`` as a table in the shared folder and reading it back.
 
     The copy survives the loss of an executor. Tables written
-    here are removed when the process ends (or by :func:`release`).
+    here are removed when the process ends (or by :func:`release`). ``options`` go to the writer.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/faultloom/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
