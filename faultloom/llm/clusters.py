@@ -133,7 +133,7 @@ def seeds_of_blocks(placed: DataFrame, least: float, label: str) -> DataFrame:
         return own.append_column("total", V.to_bytes(total)).append_column("n", pa.array(np.bincount(group), pa.int64()))
 
     found = home.select("rep", "vec", "cells", "cell", _block_of().alias("block")).groupBy("cell", "block").applyInArrow(seeded, "rep long, vec binary, cells array<int>, cell int, total binary, n long")
-    return materialize(found, f"{label}-seeds")
+    return materialize(found, f"{label}-seeds", **V.PLAIN)
 
 
 def seed_links(seeds: DataFrame, least: float) -> DataFrame:
@@ -162,7 +162,7 @@ def merged_centroids(seeds: DataFrame, least: float, cells: np.ndarray, label: s
     It stands in its own nearest cells and in the home cells of its seeds, so every row meets the centroid of its seed.
     """
     roots = connected(seed_links(seeds, least), label)
-    named = materialize(seeds.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(F.coalesce("root", "rep").alias("label"), "vec", "cell", "total", "n"), f"{label}-named")
+    named = materialize(seeds.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(F.coalesce("root", "rep").alias("label"), "vec", "cell", "total", "n"), f"{label}-named", **V.PLAIN)
 
     def summed(t: pa.Table) -> pa.Table:
         total = V.to_matrix(t["total"], np.float64).sum(0, keepdims=True)
@@ -178,7 +178,7 @@ def merged_centroids(seeds: DataFrame, least: float, cells: np.ndarray, label: s
                 yield pa.RecordBatch.from_arrays([b.column("label"), V.to_bytes(V.unit_rows(V.to_matrix(b.column("total"), np.float64)))], ["rep", "vec"])
 
     centres = V.nearest_cells(means.mapInArrow(unit, "rep long, vec binary"), cells, STANDS)
-    centres = materialize(centres.select(F.col("rep").alias("label"), "vec", "cells"), f"{label}-centres")
+    centres = materialize(centres.select(F.col("rep").alias("label"), "vec", "cells"), f"{label}-centres", **V.PLAIN)
     homes = centres.select("label", F.explode("cells").alias("at")).unionByName(named.select("label", F.col("cell").alias("at"))).distinct()
     return centres.join(homes, "label").select("label", "vec", "at", F.col("cells")[0].alias("home"))
 
@@ -240,9 +240,9 @@ def kmeans_cells(df: DataFrame, vec_id: str, vector: str, least: float = 0.70, l
         return None
     coarse = V.coarse_cells(reps, n)
     coder = encoder(V.fit_sample(reps), coarse) if encoder else None
-    placed = materialize(V.nearest_cells(reps, coarse, max(probes, PROBES), coder), f"{label}-cells")
-    centres = materialize(merged_centroids(seeds_of_blocks(placed, least, label), least, coarse, label), f"{label}-standing")
-    found = materialize(assigned(placed, centres), f"{label}-assigned")
+    placed = materialize(V.nearest_cells(reps, coarse, max(probes, PROBES), coder), f"{label}-cells", **V.PLAIN)
+    centres = materialize(merged_centroids(seeds_of_blocks(placed, least, label), least, coarse, label), f"{label}-standing", **V.PLAIN)
+    found = materialize(assigned(placed, centres), f"{label}-assigned", **V.PLAIN)
     return Cells(centres, found, copies, coarse)
 
 

@@ -265,7 +265,7 @@ def most_similar(df: DataFrame, vec_id: str, vector: str, k: int = 5, least: flo
     gathered = F.when(F.col("large"), F.col("cells")[0]).otherwise(F.col("home")).alias("cell")
     near = placed.select("rep", "vec", "code", home, gathered, F.coalesce("large", F.lit(False)).alias("large"))
     found = materialize(_gathered_search(near.drop("large"), shared, k, least), f"{label}-near")
-    wide = near.filter("large").select("rep")
+    wide = near.filter("large").select("rep")  # seldom any
     if least < GATHER:
         enough = found.filter(F.col("similarity") >= GATHER).groupBy("rep").count().filter(F.col("count") >= k)
         wide = wide.unionByName(near.select("rep").join(enough, "rep", "left_anti")).distinct()
@@ -274,17 +274,21 @@ def most_similar(df: DataFrame, vec_id: str, vector: str, k: int = 5, least: flo
         asked = fine.assigned.join(wide, "rep", "left_semi").select("rep", "vec", F.explode("cells").alias("cell"))
         members = fine.assigned.select("rep", "vec", "code", home, F.explode(F.slice("cells", 1, SPILL)).alias("cell"))
         found = materialize(found.unionByName(_far_search(asked, members, shared, k, least)), f"{label}-far")
-    best = found.distinct().withColumn("_r", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("similarity"), "other_rep"))).filter(F.col("_r") <= k).drop("_r")
-
-    # Equal vectors: k + 1 smallest ids of each distinct vector can matter to anyone.
-    copy = fine.copies.select("rep", "vec_id")
-    more = copy.withColumn("_r", F.row_number().over(Window.partitionBy("rep").orderBy("vec_id"))).filter(F.col("_r") <= k).drop("_r")
-    direct = best.select("rep", F.col("other_rep").alias("other_id"), "similarity")
-    others = best.join(more.withColumnRenamed("rep", "other_rep"), "other_rep").select("rep", F.col("vec_id").alias("other_id"), "similarity")
+    best = found.distinct().withColumn("_r", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("similarity"), "other_rep"))).filter(F.col("_r") <= k)
+    best = materialize(best.select("rep", "other_rep", "similarity", F.col("_r").alias("rank")), f"{label}-best")
+
+    # Equal vectors: only rows that have copies, or found some that have, are ranked again, with the k smallest ids of each.
+    crowd = fine.copies.select("rep").distinct()
+    touched = materialize(best.join(crowd.withColumnRenamed("rep", "other_rep"), "other_rep", "left_semi").select("rep").unionByName(crowd).distinct(), f"{label}-touched")
+    alone = best.join(touched, "rep", "left_anti").select(F.col("rep").alias("vec_id"), F.col("other_rep").alias("other_id"), "similarity", "rank")
+    more = fine.copies.withColumn("_r", F.row_number().over(Window.partitionBy("rep").orderBy("vec_id"))).filter(F.col("_r") <= k).drop("_r")
+    again = best.join(touched, "rep", "left_semi")
+    direct = again.select("rep", F.col("other_rep").alias("other_id"), "similarity")
+    others = again.join(more.withColumnRenamed("rep", "other_rep"), "other_rep").select("rep", F.col("vec_id").alias("other_id"), "similarity")
     same = more.select("rep", F.col("vec_id").alias("other_id"), F.lit(1.0).alias("similarity"))
-    itself = more.select("rep", F.col("rep").alias("other_id"), F.lit(1.0).alias("similarity")).distinct()
+    itself = crowd.select("rep", F.col("rep").alias("other_id"), F.lit(1.0).alias("similarity"))
     per_rep = direct.unionByName(others).unionByName(same).unionByName(itself)
     per_rep = per_rep.withColumn("_r", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("similarity"), "other_id"))).filter(F.col("_r") <= k + 1).drop("_r")
     mine = fine.with_copies(per_rep).filter("vec_id <> other_id")
-    ranked = mine.withColumn("rank", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("similarity"), "other_id")))
-    return ranked.filter((F.col("rank") <= k) & (F.col("similarity") >= least)).select("vec_id", "other_id", "similarity", "rank")
+    ranked = mine.withColumn("rank", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("similarity"), "other_id"))).filter(F.col("rank") <= k)
+    return alone.unionByName(ranked.select("vec_id", "other_id", "similarity", "rank")).filter(F.col("similarity") >= least)

@@ -18,6 +18,8 @@ FIT_ROWS = 8_192
 MAX_CELLS = 16_384
 #: A cell with more vectors is split into several, as long as there are fewer than ``MAX_CELLS``.
 SPLIT = 16_384
+#: How tables of vectors are written: numbers without pattern gain nothing from dictionaries and compression.
+PLAIN = {"parquet.enable.dictionary": "false", "compression": "uncompressed"}
 #: Most ids that are broadcast (8 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Similarities that a task holds at once.
@@ -81,7 +83,7 @@ def vector_table(df: DataFrame, vec_id: str, vector: str, label: str) -> DataFra
                 yield pa.RecordBatch.from_arrays([b.column("vec_id").filter(pa.array(some)), to_bytes(x[some] + np.float32(0))], ["vec_id", "vec"])
 
     rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<float>").alias("vector"))
-    return materialize(rows.mapInArrow(usable, "vec_id long, vec binary"), f"{label}-vectors")
+    return materialize(rows.mapInArrow(usable, "vec_id long, vec binary"), f"{label}-vectors", **PLAIN)
 
 
 def split_copies(vectors: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
