@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.skew import heavy_keys
 from ..session import materialize
 from .text import alnum
 
-#: Pieces of 32,768 bits in the bitmap of keys that occur twice: 2 MB in all.
-BITMAP_BUCKETS = 512
+#: Bits of a bitmap per row, and the least and most pieces of 32,768 bits it may have: 64 kB to 64 MB in all.
+BITS_PER_ROW, PIECES = 4, (16, 16_384)
 
 
 def canonical_json(text: Column) -> Column:
@@ -62,43 +63,70 @@ def member_fields(df: DataFrame, row_id: str, body: str) -> DataFrame:
 
 
 def value_dictionary(fields: DataFrame) -> DataFrame:
-    """``field, raw, value_id``: each distinct value of a field canonicalised once and given an integer.
+    """``h, g, value_id``: each distinct value of a field canonicalised once and given an integer.
 
-    The integer is a 64-bit hash of the canonical text, so that it is the same in every run and
-    needs no numbering pass. Records are told apart by all their integers together: two differing records
+    ``h, g`` are a 128-bit hash of field and raw value. The integer is a 64-bit hash of the canonical text, so that it is the same in
+    every run and needs no numbering pass. Records are told apart by all their integers together: two differing records
     would be joined only if every differing value collided.
     """
-    return fields.groupBy("field", "raw").agg(F.lit(1).alias("_")).select("field", "raw", F.xxhash64("field", canonical_json(F.col("raw"))).alias("value_id"))
+    distinct = fields.groupBy("field", "raw").agg(F.lit(1).alias("_"))
+    return distinct.select(*_value_hash(), F.xxhash64("field", canonical_json(F.col("raw"))).alias("value_id"))
 
 
-def record_tuples(fields: DataFrame) -> DataFrame:
-    """``rid, record``: each record as its sorted field-value integers."""
-    ids = fields.join(value_dictionary(fields), ["field", "raw"]).select("rid", "value_id")
+def _value_hash() -> list[Column]:
+    return [F.xxhash64("field", "raw").alias("h"), F.xxhash64(F.lit(1), "raw", "field").alias("g")]
+
+
+def record_tuples(fields: DataFrame, label: str) -> DataFrame:
+    """``rid, record``: each record as its sorted field-value integers.
+
+    Rows meet the dictionary by the hashes of their values; raw texts are shuffled only once per task and distinct value. Values
+    that fill a large part of all rows (a constant column, null members) are looked up in a broadcast table of at most
+    ``1 / HEAVY_SHARE`` values, so no task gets all rows of one value.
+    """
+    dictionary = materialize(value_dictionary(fields), f"{label}-dictionary")
+    coded = fields.select("rid", *_value_hash())
+    heavy = F.broadcast(heavy_keys(coded.select("h"), ["h"]).join(dictionary, "h").select("h", "g", F.col("value_id").alias("heavy_id")))
+    parted = coded.join(heavy, ["h", "g"], "left")
+    light = parted.filter("heavy_id IS NULL").join(dictionary, ["h", "g"]).select("rid", "value_id")
+    ids = light.unionByName(parted.filter("heavy_id IS NOT NULL").select("rid", F.col("heavy_id").alias("value_id")))
     return ids.groupBy("rid").agg(F.array_sort(F.collect_list("value_id")).alias("record"))
 
 
-def possible_copies(df: DataFrame, key: Column) -> DataFrame:
-    """Rows that may share ``key`` with another row; rows surely alone with theirs are left out.
+def pieces_for(rows: int) -> int:
+    """Pieces of a bitmap for so many rows, within bounds."""
+    return int(min(max(rows * BITS_PER_ROW // 32_768, PIECES[0]), PIECES[1]))
+
 
-    Copies have equal keys, so none is lost. Keys that occur twice set bits of a bitmap of fixed size
-    (``BITMAP_BUCKETS`` pieces of 4 kB), which is broadcast and tested in the scan, so rows without a copy are never
-    shuffled. The more bits are set, the more rows pass needlessly; all that pass are compared exactly afterwards.
+def among(df: DataFrame, key: Column, wanted: DataFrame, pieces: int) -> DataFrame:
+    """Rows of ``df`` whose key may be among ``wanted(k)``, 64-bit hashes of keys; surely none that is.
+
+    The hashes set bits of a bitmap of bounded size (``pieces`` of 4 kB), which is broadcast and tested in the scan, so rows that
+    do not pass are never shuffled. The more bits are set, the more rows pass needlessly; what passes is to be compared exactly.
     """
-    slot = F.pmod(F.xxhash64(key), F.lit(BITMAP_BUCKETS * 32_768))
-    twice = df.select(F.xxhash64(key).alias("k"), slot.alias("slot")).groupBy("k", "slot").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    bitmap = twice.groupBy((F.col("slot") / 32_768).cast("int").alias("_faultloom_bucket")).agg(F.bitmap_construct_agg((F.col("slot") % 32_768).cast("long")).alias("_faultloom_bits"))
-    placed = df.withColumn("_faultloom_slot", slot).withColumn("_faultloom_bucket", (F.col("_faultloom_slot") / 32_768).cast("int"))
+    bits = pieces * 32_768
+    slot = F.pmod(F.col("k"), F.lit(bits))
+    bitmap = wanted.select((slot / 32_768).cast("int").alias("_faultloom_piece"), (slot % 32_768).cast("long").alias("bit")).groupBy("_faultloom_piece").agg(F.bitmap_construct_agg("bit").alias("_faultloom_bits"))
+    placed = df.withColumn("_faultloom_slot", F.pmod(F.xxhash64(key), F.lit(bits))).withColumn("_faultloom_piece", (F.col("_faultloom_slot") / 32_768).cast("int"))
     place = (F.col("_faultloom_slot") % 32_768).cast("int")
     byte = F.conv(F.hex(F.substring("_faultloom_bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     hit = F.getbit(byte.cast("long"), (place % 8).cast("int")) == 1
-    return placed.join(F.broadcast(bitmap), "_faultloom_bucket").filter(hit).drop("_faultloom_slot", "_faultloom_bucket", "_faultloom_bits")
+    return placed.join(F.broadcast(bitmap), "_faultloom_piece").filter(hit).drop("_faultloom_slot", "_faultloom_piece", "_faultloom_bits")
+
+
+def possible_copies(df: DataFrame, key: Column) -> DataFrame:
+    """Rows that may share ``key`` with another row; rows surely alone with theirs are left out (:func:`among`).
+
+    Copies have equal keys, so none is lost.
+    """
+    twice = df.select(F.xxhash64(key).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k")
+    return among(df, key, twice, pieces_for(df.count()))
 
 
 def grouped_copies(tuples: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
-    """The tuples as a table in the shared folder, and ``record, first_id, n_copies`` of the groups of two or more."""
+    """The tuples as a table in the shared folder, and ``record, first_id, n_copies`` of their groups."""
     kept = materialize(tuples, label)
-    groups = kept.groupBy("record").agg(F.min("rid").alias("first_id"), F.count(F.lit(1)).alias("n_copies")).filter("n_copies > 1")
-    return kept, groups
+    return kept, kept.groupBy("record").agg(F.min("rid").alias("first_id"), F.count(F.lit(1)).alias("n_copies"))
 
 
 def copies(tuples: DataFrame, label: str) -> DataFrame:
@@ -108,7 +136,7 @@ def copies(tuples: DataFrame, label: str) -> DataFrame:
     tuples, whose large keys adaptive execution splits. No group is ever collected.
     """
     kept, groups = grouped_copies(tuples, label)
-    return kept.join(groups, "record").filter("rid > first_id").select("first_id", F.col("rid").alias("copy_id"))
+    return kept.join(groups.filter("n_copies > 1"), "record").filter("rid > first_id").select("first_id", F.col("rid").alias("copy_id"))
 
 
 CARD_COLUMNS_IGNORED = ("card_id", "source_file", "ingested_at")
@@ -118,17 +146,17 @@ def card_tuples(cards: DataFrame) -> DataFrame:
     """Record tuples of crash cards over all columns but their id, file and time of ingestion."""
     names = [c for c in cards.columns if c not in CARD_COLUMNS_IGNORED]
     key = F.concat_ws("|", *[alnum(F.col(c)) for c in ("case_id", "crash_uid", "kernel_commit", "normalized_report_digest")])
-    return record_tuples(materialize(column_fields(possible_copies(cards, key), "card_id", names), "p2-card-fields"))
+    return record_tuples(materialize(column_fields(possible_copies(cards, key), "card_id", names), "p2-card-fields"), "p2-cards")
 
 
 def label_tuples(labels: DataFrame) -> DataFrame:
     """Record tuples of label rows over bug, case and label."""
-    return record_tuples(column_fields(labels, "row_id", ["bug_id", "case_id", "final_ground_truth_id"]))
+    return record_tuples(materialize(column_fields(labels, "row_id", ["bug_id", "case_id", "final_ground_truth_id"]), "p2-label-fields"), "p2-labels")
 
 
 def line_tuples(lines: DataFrame) -> DataFrame:
     """Record tuples of JSON lines over the members of their bodies."""
-    return record_tuples(materialize(member_fields(lines, "line_id", "body"), "p2-line-fields"))
+    return record_tuples(materialize(member_fields(lines, "line_id", "body"), "p2-line-fields"), "p2-lines")
 
 
 def record_counts(rows: DataFrame, row_id: str, found: DataFrame) -> DataFrame:

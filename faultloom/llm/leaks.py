@@ -10,12 +10,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 #: Consecutive words that an item and a document must share.
 WORDS = 16
 #: Words of a shard's index; a longer document is indexed in overlapping pieces.
 SHARD_WORDS = 1_000_000
 #: Words of evaluation items searched for in one pass; more items make more passes.
 PASS_WORDS = 2_000_000
+#: Occurrences, each with its item, that are put together at once.
+OCCURRENCES = 2_000_000
 #: Every so manieth text position keeps its suffix position.
 SAMPLED = 16
 
@@ -162,7 +166,7 @@ class Phrases:
     def __init__(self, item_ids: np.ndarray, texts: pa.Array, width: int = WORDS):
         parent, words = words_of(texts)
         self.vocabulary = pc.unique(words)
-        codes = pc.index_in(words, value_set=self.vocabulary).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        codes = pc.index_in(words, value_set=self.vocabulary).to_numpy(zero_copy_only=False).astype(np.int64)
         at = np.arange(max(0, len(codes) - width + 1))
         at = at[parent[at] == parent[at + width - 1]] if len(at) else at
         windows = codes[at[:, None] + np.arange(width)] if len(at) else np.zeros((0, width), np.int64)
@@ -173,76 +177,87 @@ class Phrases:
         self.item_from = np.searchsorted(pairs[0], np.arange(len(self.phrases) + 1))
 
 
-def _shards(batches: Iterator[pa.RecordBatch], vocabulary: pa.Array, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Shards of at most ``SHARD_WORDS`` words (but for one last run) as symbols with document, word position and run.
+class Shard:
+    """Documents' words as one text with its FM-index; it knows nothing of the items.
 
-    Only runs of at least ``width`` words known to the items are indexed; no other text can hold a phrase.
+    ``docs`` and ``places`` say of every piece of text, by its start, whose it is and at which word of the document it begins.
     """
-    held: list[tuple] = []
+
+    def __init__(self, pieces: list[tuple[pa.Array, int, int]]):
+        words = pa.concat_arrays([p[0] for p in pieces]).dictionary_encode()
+        self.vocabulary = words.dictionary
+        codes = words.indices.to_numpy().astype(np.int64) + 1
+        sizes = np.array([len(p[0]) for p in pieces])
+        self.starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
+        text = np.zeros(len(codes) + len(pieces), np.int64)
+        text[np.arange(len(codes)) + np.repeat(np.arange(len(pieces)), sizes)] = codes
+        self.docs, self.places = np.array([p[1] for p in pieces]), np.array([p[2] for p in pieces])
+        self.index = FMIndex(text, len(self.vocabulary) + 1)
+
+    def spans(self, phrases: Phrases) -> Iterator[pa.RecordBatch]:
+        """Spans of words that repeat phrases, some occurrences at a time; a phrase with a word the shard lacks cannot occur."""
+        known = pc.fill_null(pc.index_in(phrases.vocabulary, value_set=self.vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        own = known[phrases.phrases]
+        there = np.flatnonzero((own > 0).all(1))
+        if not len(there):
+            return
+        low, high = self.index.search(own[there])
+        hit = np.flatnonzero(high > low)
+        many = (high - low)[hit] * np.diff(phrases.item_from)[there[hit]]
+        turn = (np.cumsum(many) - many) // OCCURRENCES
+        for t in np.unique(turn):
+            some = hit[turn == t]
+            yield self._located(phrases, there[some], low[some], high[some])
+
+    def _located(self, phrases: Phrases, which: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
+        many = high - low
+        phrase = np.repeat(which, many)
+        at = self.index.locate(np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many))
+        piece = np.searchsorted(self.starts, at, side="right") - 1
+        word = self.places[piece] + at - self.starts[piece]
+        per = phrases.item_from[phrase + 1] - phrases.item_from[phrase]
+        item = phrases.item[np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per) + np.repeat(phrases.item_from[phrase], per)]
+        doc, word = np.repeat(self.docs[piece], per), np.repeat(word, per)
+        order = np.lexsort((word, item, doc))
+        doc, item, word = doc[order], item[order], word[order]
+        new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (word[1:] > word[:-1] + phrases.width)])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(new)) - 1
+        return pa.RecordBatch.from_arrays(
+            [pa.array(doc[first], pa.int64()), pa.array(item[first], pa.int64()), pa.array(word[first], pa.int64()), pa.array(word[last] + phrases.width, pa.int64())],
+            ["doc_id", "item_id", "first_word", "end_word"],
+        )
+
+
+def shards(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[Shard]:
+    """Shards of about ``SHARD_WORDS`` words of all documents with at least ``width``; a longer document is cut in pieces that overlap by ``width - 1`` words."""
+    held: list[tuple[pa.Array, int, int]] = []
     size = 0
     for b in batches:
         parent, words = words_of(b.column("text"))
-        codes = pc.fill_null(pc.index_in(words, value_set=vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
-        if not len(codes):
-            continue
-        place = np.arange(len(codes)) - np.searchsorted(parent, parent, side="left")
-        known = codes > 0
-        starts = np.flatnonzero(known & ~np.concatenate([[False], known[:-1] & (parent[1:] == parent[:-1])]))
-        ends = np.flatnonzero(known & ~np.concatenate([known[1:] & (parent[1:] == parent[:-1]), [False]])) + 1
         docs = b.column("doc_id").to_numpy(zero_copy_only=False)
-        for s, e in zip(starts[ends - starts >= width], ends[ends - starts >= width], strict=True):
-            for piece in range(s, max(s + 1, e - width + 1), SHARD_WORDS):
-                stop = min(e, piece + SHARD_WORDS + width - 1)
-                held.append((codes[piece:stop], docs[parent[s]], place[piece]))
-                size += stop - piece + 1
+        cut = np.searchsorted(parent, np.arange(len(docs) + 1))
+        for d in np.flatnonzero(np.diff(cut) >= width):
+            n = cut[d + 1] - cut[d]
+            for place in range(0, max(1, n - width + 1), SHARD_WORDS):
+                piece = words.slice(cut[d] + place, min(n - place, SHARD_WORDS + width - 1))
+                held.append((piece, docs[d], place))
+                size += len(piece) + 1
                 if size >= SHARD_WORDS:
-                    yield _text_of(held)
+                    yield Shard(held)
                     held, size = [], 0
     if held:
-        yield _text_of(held)
-
-
-def _text_of(held: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    text = np.concatenate([np.append(h[0], 0) for h in held])
-    starts = np.concatenate([[0], np.cumsum([len(h[0]) + 1 for h in held])[:-1]])
-    return text, starts, np.array([h[1] for h in held]), np.array([h[2] for h in held])
-
-
-def _spans_of(shard: tuple, phrases: Phrases) -> pa.RecordBatch | None:
-    text, starts, docs, places = shard
-    index = FMIndex(text, len(phrases.vocabulary) + 1)
-    low, high = index.search(phrases.phrases)
-    hit = np.flatnonzero(high > low)
-    if not len(hit):
-        return None
-    many = high[hit] - low[hit]
-    phrase = np.repeat(hit, many)
-    rows = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low[hit], many)
-    at = index.locate(rows)
-    run = np.searchsorted(starts, at, side="right") - 1
-    word = places[run] + at - starts[run]
-    per = phrases.item_from[phrase + 1] - phrases.item_from[phrase]
-    item = phrases.item[np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per) + np.repeat(phrases.item_from[phrase], per)]
-    doc, word = np.repeat(docs[run], per), np.repeat(word, per)
-    order = np.lexsort((word, item, doc))
-    doc, item, word = doc[order], item[order], word[order]
-    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (word[1:] > word[:-1] + phrases.width)])
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(new)) - 1
-    return pa.RecordBatch.from_arrays(
-        [pa.array(doc[first], pa.int64()), pa.array(item[first], pa.int64()), pa.array(word[first], pa.int64()), pa.array(word[last] + phrases.width, pa.int64())],
-        ["doc_id", "item_id", "first_word", "end_word"],
-    )
+        yield Shard(held)
 
 
 def leaked_spans(documents: DataFrame, items: DataFrame, width: int = WORDS) -> DataFrame:
     """``doc_id, item_id, first_word, end_word``: merged spans of document words that repeat ``width`` or more words of an item.
 
     ``documents`` has ``doc_id, text``, ``items`` has ``item_id, text``. Every task turns its documents into
-    shards, builds an FM-index of each and searches all phrases of the items in it at once, stepping
+    shards, builds an FM-index of all words of each and searches all phrases of the items in it at once, stepping
     back through the ranks of a wavelet tree; occurrences are located by sampled suffix positions.
     Documents are never shuffled; only spans leave a task. Items are broadcast in groups of at most
-    ``PASS_WORDS`` words, each searched in its own pass.
+    ``PASS_WORDS`` words, each searched in its own pass over the documents and taken back before the next.
 
     Null and empty texts and items shorter than ``width`` words match nothing. Equal documents each
     come out. Very long texts are indexed in pieces that overlap by ``width - 1`` words, so no
@@ -259,14 +274,14 @@ def leaked_spans(documents: DataFrame, items: DataFrame, width: int = WORDS) ->
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             phrases = shared.value
-            if not len(phrases.phrases):
-                return
-            for shard in _shards(batches, phrases.vocabulary, phrases.width):
-                spans = _spans_of(shard, phrases)
-                if spans is not None:
-                    yield spans
+            if len(phrases.phrases):
+                for shard in shards(batches, phrases.width):
+                    yield from shard.spans(phrases)
 
         one = documents.select("doc_id", "text").mapInArrow(search, "doc_id long, item_id long, first_word long, end_word long")
+        if passes > 1:
+            one = materialize(one, "p8-spans")
+            shared.unpersist()
         found = one if found is None else found.unionByName(one)
     w = Window.partitionBy("doc_id", "item_id").orderBy("first_word")
     reach = found.withColumn("reach", F.max("end_word").over(w.rowsBetween(Window.unboundedPreceding, -1)))

@@ -55,7 +55,7 @@ def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_label_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every distinct label record with its smallest row id and number of copies."""
     tuples = copies.label_tuples(table(spark, sf_dir, "case_labels", "row_id", "bug_id", "case_id", "final_ground_truth_id"))
-    return tuples.groupBy("record").agg(F.min("rid").alias("first_id"), F.count(F.lit(1)).alias("n_copies")).drop("record")
+    return copies.grouped_copies(tuples, "p2-label-groups")[1].select("first_id", "n_copies")
 
 
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+from .copies import among, pieces_for
 from .text import alnum, distinct_stated, stated
 
 TRACES = ["alloc_trace", "free_trace", "origin_trace", "lockdep_registered_trace"]
@@ -92,16 +94,18 @@ def cluster_group() -> Column:
     return F.when(reduced != "", reduced)
 
 
-def surviving_records(df: DataFrame, best: DataFrame, row_id: str, fields: Sequence[str]) -> DataFrame:
+def surviving_records(df: DataFrame, best: DataFrame, row_id: str, fields: Sequence[str], label: str = "p1") -> DataFrame:
     """One record per group built field by field: ``group_id, n_rows`` and, per field, ``<field>_from`` (the row it was taken from) and ``<field>``.
 
-    ``best`` is the result of :func:`ranked_survivors`. Only the chosen rows are fetched; at most one per field and
-    group meets in a group's record. A field that no row states is null.
+    ``best`` is the result of :func:`ranked_survivors`. Every field is fetched on its own, from the rows chosen for it: a broadcast
+    bitmap of bounded size leaves out the other rows in the scan, so of a wide record only fields that survive are
+    shuffled. At most one value per field and group meets in a group's record. A field that no row states is null.
     """
-    values = F.struct(*[F.col(f) for f in fields])
-    fetched = best.join(df.select(F.col(row_id).alias("row_id"), values.alias("v")), "row_id")
-    parts = []
+    chosen = materialize(best, f"{label}-chosen")
+    pieces = pieces_for(chosen.count())
+    out = chosen.select("group_id", "n_rows").distinct()
     for f in fields:
-        own = F.col("field_name") == f
-        parts += [F.max(F.when(own, F.col("row_id"))).alias(f"{f}_from"), F.first(F.when(own, F.col("v")[f]), ignorenulls=True).alias(f)]
-    return fetched.groupBy("group_id", "n_rows").agg(*parts)
+        own = chosen.filter(F.col("field_name") == f).select("group_id", "row_id")
+        rows = among(df.select(F.col(row_id).alias("row_id"), F.col(f)), F.col("row_id"), own.select(F.xxhash64("row_id").alias("k")), pieces)
+        out = out.join(own.join(rows, "row_id").select("group_id", F.col("row_id").alias(f"{f}_from"), f), "group_id", "left")
+    return out.select("group_id", "n_rows", *[c for f in fields for c in (f"{f}_from", f)])
