@@ -41,38 +41,39 @@ def final_of(line: Column) -> Column:
     return F.when(bare.rlike(r"0x[0-9a-f]*$"), F.concat(F.lit("#"), F.length(hexed).cast("string"))).otherwise(word)
 
 
-def _kind(text: Column, bare: Column) -> Column:
+_BLANK = " \t\r\n\f\x0b"
+
+
+def _bare(text: Column) -> Column:
+    return F.rtrim(text, F.lit(_BLANK))
+
+
+def _finished(line: Column) -> Column:
+    return line.rlike(_STOP) & ~line.rlike(_HALF_STOP)
+
+
+def _kind(text: Column, last: Column) -> Column:
+    """How a text ends, by its last line and its open code fences."""
     fences = F.length(text) - F.length(F.replace(text, F.lit("```"), F.lit("``")))
     return (
-        F.when(text.isNull() | (bare == ""), "empty")
-        .when(bare.rlike(_MARK), "mark")
-        .when(fences % 2 == 1, "open_markup")
-        .when(bare.rlike(_STOP) & ~bare.rlike(_HALF_STOP), "complete")
+        F.when(text.isNull() | (last == ""), "empty")
+        .when(last.rlike(_MARK), "mark")
+        .when(text.contains("```") & (fences % 2 == 1), "open_markup")
+        .when(_finished(last), "complete")
         .otherwise("unknown")
     )
 
 
 def _features(documents: DataFrame) -> DataFrame:
-    text = F.col("text")
-    bare = F.regexp_replace(text, r"\s+$", "")
-    last = F.substring_index(bare, "\n", -1)
-    kind = _kind(text, bare)
-    return documents.select(
-        "doc_id",
-        "source",
-        F.xxhash64("text").alias("h"),
-        F.length(text).alias("chars"),
-        F.octet_length(text).alias("bytes"),
-        kind.alias("kind"),
-        shape_of(last).alias("shape"),
-        final_of(last).alias("final"),
-    )
+    lined = documents.select("doc_id", "source", "text", F.substring_index(_bare(F.col("text")), "\n", -1).alias("last"))
+    kinds = lined.select("doc_id", "source", F.xxhash64("text").alias("h"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), _kind(F.col("text"), F.col("last")).alias("kind"), "last")
+    return kinds.select("doc_id", "source", "h", "chars", "bytes", "kind", shape_of(F.col("last")).alias("shape"), final_of(F.col("last")).alias("final"))
 
 
 def _inner_lines(documents: DataFrame) -> DataFrame:
-    """``shape, final, inner``: how often lines that are not a text's last have a shape and last word."""
-    lines = F.split(F.regexp_replace("text", r"\s+$", ""), "\n")
-    line = documents.filter("text is not null").select(F.explode(F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0)))).alias("line"))
+    """``shape, final, inner``: how often lines that are not a text's last have a shape and last word. Finished sentences are left out: they tell for themselves."""
+    lines = F.split(_bare(F.col("text")), "\n")
+    line = documents.filter("text is not null").select(F.explode(F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0)))).alias("line")).filter(~_finished(F.col("line")))
     return line.groupBy(shape_of(F.col("line")).alias("shape"), final_of(F.col("line")).alias("final")).agg(F.count(F.lit(1)).alias("inner"))
 
 
@@ -82,7 +83,7 @@ def usual_endings(distinct: DataFrame, documents: DataFrame, n: int) -> DataFram
     Either many texts end in that line, or lines of that shape and last word are common inside texts (where lines are
     whole) and texts end in that shape about as often as elsewhere.
     """
-    last = distinct.filter("kind NOT IN ('mark', 'empty')").groupBy("shape", "final").agg(F.count(F.lit(1)).alias("last"))
+    last = distinct.filter("kind NOT IN ('mark', 'empty', 'complete')").groupBy("shape", "final").agg(F.count(F.lit(1)).alias("last"))
     inner = _inner_lines(documents)
     both = last.join(inner, ["shape", "final"], "full").na.fill(0, ["last", "inner"])
     shapes = both.groupBy("shape").agg(F.sum("last").alias("last_all"), F.sum("inner").alias("inner_all"))
@@ -91,14 +92,16 @@ def usual_endings(distinct: DataFrame, documents: DataFrame, n: int) -> DataFram
     return both.filter("last > 0").join(shapes, "shape").filter(often | whole).select("shape", "final")
 
 
-def _cut_endings(documents: DataFrame) -> DataFrame:
-    """``kind, shape, final, n``: the endings of all distinct texts cut at ``CUTS`` places each, which follow from a hash; only unknown kinds have a shape."""
+def _cut_endings(documents: DataFrame, usual: DataFrame) -> DataFrame:
+    """``kind, shape, final, n``: the endings of all distinct texts cut at ``CUTS`` places each, which follow from a hash; only those that end in a usual last word have a shape."""
     h, k = F.xxhash64("text"), F.explode(F.sequence(F.lit(1), F.lit(CUTS)))
     placed = documents.filter(F.length("text") > 1).select("text", h.alias("h"), k.alias("k"))
-    placed = placed.withColumn("head", F.rtrim(F.left("text", F.lit(1) + F.pmod(F.xxhash64("h", "k"), F.length("text") - 1).cast("int")), F.lit(" \t\r\n\f\x0b")))
-    placed = placed.select("h", "k", _kind(F.col("head"), F.col("head")).alias("kind"), F.substring_index("head", "\n", -1).alias("last"))
-    unknown = F.col("kind") == "unknown"
-    ends = placed.select("h", "k", "kind", F.when(unknown, shape_of(F.col("last"))).alias("shape"), F.when(unknown, final_of(F.col("last"))).alias("final"))
+    placed = placed.select("h", "k", _bare(F.left("text", F.lit(1) + F.pmod(F.xxhash64("h", "k"), F.length("text") - 1).cast("int"))).alias("head"))
+    placed = placed.select("h", "k", "head", F.substring_index("head", "\n", -1).alias("last"))
+    placed = placed.select("h", "k", _kind(F.col("head"), F.col("last")).alias("kind"), "last")
+    ends = placed.withColumn("final", F.when(F.col("kind") == "unknown", final_of(F.col("last"))))
+    ends = ends.join(usual.select("final", F.lit(True).alias("_u")).distinct(), "final", "left")
+    ends = ends.select("h", "k", "kind", F.when(F.col("_u"), shape_of(F.col("last"))).alias("shape"), F.when(F.col("_u"), F.col("final")).alias("final"))
     return ends.groupBy("h", "k").agg(F.first(F.struct("kind", "shape", "final")).alias("e")).groupBy("e.kind", "e.shape", "e.final").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -113,7 +116,7 @@ def ending_evidence(usual: DataFrame, distinct: DataFrame, documents: DataFrame,
     often whole texts have an ending never seen on one is estimated by the share of them whose ending was seen once. No
     evidence goes beyond ``BOUNDS``, so a length that is surely a limit, or surely none, can outweigh it.
     """
-    cuts = materialize(_cut_endings(documents), f"{label}-cuts")
+    cuts = materialize(_cut_endings(documents, usual), f"{label}-cuts")
     marked = usual.withColumn("usual", F.lit(True))
     whole = distinct.join(marked, ["shape", "final"], "left").withColumn("usual", F.coalesce("usual", F.lit(False)) & (F.col("kind") == "unknown")).filter("usual OR kind = 'complete'")
     whole = materialize(whole.groupBy("usual", F.when(F.col("usual"), F.col("shape")).alias("shape"), F.when(F.col("usual"), F.col("final")).alias("final")).agg(F.count(F.lit(1)).alias("w")), f"{label}-whole")
