@@ -11,28 +11,41 @@ FRAME = "struct<func:string,file:string,line:int,inline:boolean,raw:string>"
 
 # Patterns and lists that decide results.
 PATH = r"\b([A-Za-z0-9_./+-]+\.(?:c|h|S|rs))(?::(-?\d+))?"
-REGISTERS = "Code RAX RSP RIP FS CS CR2 RBP RDX RCX RBX RSI RDI R08 R09 R10 R11 R12 R13 R14 R15 EFLAGS".split()
+REGISTERS = [
+    "Code", "RAX", "RSP", "RIP", "FS", "CS", "CR2", "RBP", "RDX", "RCX", "RBX", "RSI", "RDI", "R08", "R09", "R10", "R11", "R12", "R13", "R14", "R15",
+    "EFLAGS",
+]
 LEADS = [r"^(?:RIP|PC|LR):\s*(?:[0-9a-fA-F]+:)?", r"^BUG:\s+KASAN:.*?\s+in\s+", r"^BUG:\s+KMSAN:.*?\s+in\s+", r"^WARNING:.*?\s+in\s+", r"^BUG:\s+unable.*?\s+in\s+"]
-GENERIC_FUNC_PREFIXES = """show_stack dump_stack __dump_stack print_report print_address_description print_usage_bug
-kasan_report kmsan_report kmsan_internal __msan_warning __asan_report check_memory_region instrument_ report_ panic oops_ die_ exc_ asm_exc_
-do_syscall __do_syscall entry_ el0_ el1_ invoke_syscall ret_from_fork ret_from_fork_asm kthread worker_thread process_one_work process_scheduled_works
-__list_del_entry __list_add_valid __list_del_entry_valid_or_report __list_del_entry_valid lock_acquire lock_release lockdep mark_lock mark_usage valid_state
-print_irqtrace_events kasan_save_stack kasan_save_track kasan_save_free_info kasan_set_track __kasan_record_aux_stack poison_kmalloc_redzone
-poison_slab_object __kasan_kmalloc __kasan_slab_free kasan_kmalloc kasan_slab_free kmem_cache_free_bulk kvfree_rcu_bulk""".split()
-GENERIC_PATH_PREFIXES = """arch/x86/entry/ arch/x86/kernel/ arch/arm64/kernel/entry arch/arm64/kernel/ mm/kasan/ mm/kmsan/ lib/dump_stack.c lib/list_debug.c
-include/linux/list.h kernel/locking/lockdep.c kernel/softirq.c kernel/workqueue.c kernel/kthread.c kernel/rcu/tree.c mm/slub.c kernel/time/timer.c""".split()
+GENERIC_FUNC_PREFIXES = [
+    "show_stack", "dump_stack", "__dump_stack", "print_report", "print_address_description", "print_usage_bug", "kasan_report", "kmsan_report",
+    "kmsan_internal", "__msan_warning", "__asan_report", "check_memory_region", "instrument_", "report_", "panic", "oops_", "die_", "exc_",
+    "asm_exc_", "do_syscall", "__do_syscall", "entry_", "el0_", "el1_", "invoke_syscall", "ret_from_fork", "ret_from_fork_asm", "kthread",
+    "worker_thread", "process_one_work", "process_scheduled_works", "__list_del_entry", "__list_add_valid", "__list_del_entry_valid_or_report",
+    "__list_del_entry_valid", "lock_acquire", "lock_release", "lockdep", "mark_lock", "mark_usage", "valid_state", "print_irqtrace_events",
+    "kasan_save_stack", "kasan_save_track", "kasan_save_free_info", "kasan_set_track", "__kasan_record_aux_stack", "poison_kmalloc_redzone",
+    "poison_slab_object", "__kasan_kmalloc", "__kasan_slab_free", "kasan_kmalloc", "kasan_slab_free", "kmem_cache_free_bulk", "kvfree_rcu_bulk",
+]
+GENERIC_PATH_PREFIXES = [
+    "arch/x86/entry/", "arch/x86/kernel/", "arch/arm64/kernel/entry", "arch/arm64/kernel/", "mm/kasan/", "mm/kmsan/", "lib/dump_stack.c",
+    "lib/list_debug.c", "include/linux/list.h", "kernel/locking/lockdep.c", "kernel/softirq.c", "kernel/workqueue.c", "kernel/kthread.c",
+    "kernel/rcu/tree.c", "mm/slub.c", "kernel/time/timer.c",
+]
 STOP_MARKERS = ["Allocated by task", "Freed by task", "The buggy address", "Memory state around", "Modules linked", "---[ end trace", "Code disassembly", "Kernel panic",
     "Uninit was", "Local variable", "CPU:", "RIP:", "RSP:", "FS:", "CS:", "CR2:", "RBP:", "Last potentially related", "Secondary ac", "other info that",
     "Possible unsafe", " *** DEADLOCK", "no locks held", "stack backtrace:", "irq event stamp:", "hardirqs last", "softirqs last"]
-CAUSE_GENERIC_FUNCTIONS = """__dump_stack dump_stack dump_stack_lvl print_report kasan_report kasan_save_stack kasan_save_track __kasan_slab_alloc
-__kasan_slab_free lock_acquire __lock_acquire __mutex_lock_common mutex_lock_nested validate_chain check_noncircular check_prevs_add check_prev_add
-wrap_directory_iterator iterate_dir generic_perform_write __generic_file_write_iter generic_file_write_iter new_sync_write vfs_write ksys_write
-__do_sys_write __se_sys_write""".split()
+CAUSE_GENERIC_FUNCTIONS = [
+    "__dump_stack", "dump_stack", "dump_stack_lvl", "print_report", "kasan_report", "kasan_save_stack", "kasan_save_track", "__kasan_slab_alloc",
+    "__kasan_slab_free", "lock_acquire", "__lock_acquire", "__mutex_lock_common", "mutex_lock_nested", "validate_chain", "check_noncircular",
+    "check_prevs_add", "check_prev_add", "wrap_directory_iterator", "iterate_dir", "generic_perform_write", "__generic_file_write_iter",
+    "generic_file_write_iter", "new_sync_write", "vfs_write", "ksys_write", "__do_sys_write", "__se_sys_write",
+]
 CAUSE_GENERIC_LEADS = ["do_syscall", "entry_", "__se_sys_", "__do_sys_", "sys_", "ksys_"]
 CAUSE_GENERIC_FILES = ["fs/readdir.c", "fs/read_write.c", "mm/filemap.c"]
 CAUSE_GENERIC_PATHS = ["arch/", "kernel/", "lib/", "mm/", "scripts/", "tools/"]
-LOW_VALUE_SINKS = """__warn warn_slowpath_fmt warn_slowpath_null panic BUG BUG_ON __dump_stack dump_stack dump_stack_lvl strlen strnlen strcmp strncmp
-memcpy memmove memset copy_to_user copy_from_user""".split()
+LOW_VALUE_SINKS = [
+    "__warn", "warn_slowpath_fmt", "warn_slowpath_null", "panic", "BUG", "BUG_ON", "__dump_stack", "dump_stack", "dump_stack_lvl", "strlen",
+    "strnlen", "strcmp", "strncmp", "memcpy", "memmove", "memset", "copy_to_user", "copy_from_user",
+]
 
 
 def starts_with_any(x: Column, leads: list[str]) -> Column:

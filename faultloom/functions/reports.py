@@ -24,8 +24,12 @@ NOISE_LEADS = ["Code:", "RAX:", "RBX:", "RSP:", "RIP:", "FS:", "CS:", "CR2:", "M
 REGISTER_LINE = r"^(?:RAX|RBX|RCX|RDX|RSI|RDI|RBP|RSP|RIP|EFLAGS|CR[0-4]|FS|GS|CS|DS|ES|R08|R09|R10|R11|R12|R13|R14|R15):"
 MASKS = [(r"0x[0-9a-fA-F]+|\b[0-9a-fA-F]{12,}\b", "<HEX>"), (r"\+0x[0-9a-fA-F]+/0x[0-9a-fA-F]+", "+<OFF>"), (r"\bsyz\.\d+\.\d+\b", "syz.N.N"), (r"/\d+\b", "/N"),
     (r"\b(?:PID|CPU|UID|TID):\s*[^ ]+|\btask\s+[^/\s]+/\d+|\bComm:\s*\S+", ""), (r"(?U)\s+", " ")]
-CONFIG_KEYS = ["CONFIG_" + k for k in """KASAN KASAN_GENERIC KASAN_SW_TAGS KMSAN KMSAN_CHECK_MEMINIT DEBUG_LIST DEBUG_NET REF_TRACKER LOCKDEP PROVE_LOCKING DEBUG_LOCK_ALLOC UBSAN UBSAN_BOUNDS
-UBSAN_SHIFT NET_SCHED INET IPV6 XFRM COMEDI OCFS2_FS USB ATM NET_NSH OPENVSWITCH FAULT_INJECTION KASAN_HW_TAGS""".split()]
+CONFIG_KEYS = [
+    "CONFIG_KASAN", "CONFIG_KASAN_GENERIC", "CONFIG_KASAN_SW_TAGS", "CONFIG_KMSAN", "CONFIG_KMSAN_CHECK_MEMINIT", "CONFIG_DEBUG_LIST",
+    "CONFIG_DEBUG_NET", "CONFIG_REF_TRACKER", "CONFIG_LOCKDEP", "CONFIG_PROVE_LOCKING", "CONFIG_DEBUG_LOCK_ALLOC", "CONFIG_UBSAN",
+    "CONFIG_UBSAN_BOUNDS", "CONFIG_UBSAN_SHIFT", "CONFIG_NET_SCHED", "CONFIG_INET", "CONFIG_IPV6", "CONFIG_XFRM", "CONFIG_COMEDI", "CONFIG_OCFS2_FS",
+    "CONFIG_USB", "CONFIG_ATM", "CONFIG_NET_NSH", "CONFIG_OPENVSWITCH", "CONFIG_FAULT_INJECTION", "CONFIG_KASAN_HW_TAGS",
+]
 CUT_NOTE = "\n...[truncated]..."
 
 

@@ -62,43 +62,69 @@ def canon_func(x: Column) -> Column:
     return strip(name)
 
 
+def _fold(text: str | None) -> str | None:
+    """Compatibility-folded ASCII text; arrows are set apart before other characters are dropped."""
+    if text is None or text.isascii():
+        return text
+    folded = unicodedata.normalize("NFKC", text.replace("\ufffd", ""))
+    return folded.replace("->", " -> ").encode("ascii", "ignore").decode("ascii")
+
+
 @F.pandas_udf(T.StringType())
 def _folded(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t.replace("�", "")).replace("->", " -> ").encode("ascii", "ignore").decode("ascii"))
+    return texts.map(_fold, na_action="ignore")
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _folded_list(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda xs: None if xs is None else [_fold(x) for x in xs])
+
+
+def _ascii(x: Column) -> Column:
+    return x.rlike(r"^\p{ASCII}*$")
+
+
+def fold_text(x: Column) -> Column:
+    """A text folded to ASCII if it has other characters; ASCII texts stay in built-in expressions and only nulls reach Python for them."""
+    return F.when(_ascii(x), x).otherwise(_folded(F.when(~_ascii(x), x)))
+
+
+def fold_list(xs: Column) -> Column:
+    """`fold_text` for every entry of an array: whole arrays go to Python, as array functions cannot call it, and only those that have any such entry."""
+    foreign = F.coalesce(F.exists(xs, lambda t: ~_ascii(t)), F.lit(False))
+    return F.when(foreign, _folded_list(F.when(foreign, xs))).otherwise(xs)
 
 
 def ascii_clean(x: Column, fold: bool = True) -> Column:
     """Compatibility-folded ASCII text with ``->`` set apart and blanks collapsed; null gives an empty text.
 
-    ASCII texts stay in built-in expressions. With ``fold=False`` (for use inside array functions) other
-    characters are dropped without folding.
+    ``fold=False`` is for texts that have been folded already, as for use inside array functions.
     """
-    plain = F.replace(x, F.lit("->"), F.lit(" -> "))
-    rest = _folded(F.when(~x.rlike(r"^\p{ASCII}*$"), x)) if fold else F.regexp_replace(plain, r"[^\x00-\x7f]", "")
-    text = F.when(x.rlike(r"^\p{ASCII}*$"), plain).otherwise(rest)
+    text = F.replace(fold_text(x) if fold else x, F.lit("->"), F.lit(" -> "))
     return F.coalesce(F.trim(F.regexp_replace(text, r"[\s\x00\x0b\x1c-\x1f]+", " ")), F.lit(""))
 
 
-def canonical_token(x: Column, fold: bool = False) -> Column:
+def canonical_token(x: Column, fold: bool = True) -> Column:
     """A token in lower case with underscores for blanks, ``->`` for arrows and ``.`` for ``::``, outer `` _.,;`` dropped."""
     text = F.replace(F.lower(ascii_clean(x, fold)), F.lit(" -> "), F.lit("->"))
     text = F.replace(F.replace(text, F.lit("=>"), F.lit("->")), F.lit("::"), F.lit("."))
     return F.regexp_replace(F.regexp_replace(text, r"[\s_]+", "_"), r"^[ _.,;]+|[ _.,;]+$", "")
 
 
-def token_to_words(token: Column) -> Column:
+def token_to_words(token: Column, fold: bool = True) -> Column:
     """A canonical token as blank-separated words."""
-    text = F.replace(F.replace(canonical_token(token), F.lit(":"), F.lit(" ")), F.lit("->"), F.lit("."))
+    text = F.replace(F.replace(canonical_token(token, fold), F.lit(":"), F.lit(" ")), F.lit("->"), F.lit("."))
     text = F.regexp_replace(F.regexp_replace(text, "[\\[\\]{}<>\"'`]", " "), r"[_/\\|,;]+", " ")
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def ordered_unique(values: Column) -> Column:
+def ordered_unique(values: Column, fold: bool = True) -> Column:
     """Canonical tokens of an array, empty ones dropped, each at its first place; null gives an empty array."""
-    return F.array_distinct(keep(F.transform(values, lambda t: canonical_token(t)), lambda t: t != ""))
+    texts = fold_list(values) if fold else values
+    return F.array_distinct(keep(F.transform(texts, lambda t: canonical_token(t, False)), lambda t: t != ""))
 
 
-def compact_sentence(label: str, x: Column, fold: bool = False) -> Column:
+def compact_sentence(label: str, x: Column, fold: bool = True) -> Column:
     """``label: text``, or an empty text if there is none."""
     text = ascii_clean(x, fold)
     return F.when(text != "", F.concat(F.lit(f"{label}: "), text)).otherwise("")
@@ -115,13 +141,13 @@ def capped(text: Column, most: int, note: str = "\n[truncated]") -> Column:
     return text if most <= 0 else F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit(note))).otherwise(text)
 
 
-def format_field(name: str, tokens: Column) -> Column:
+def format_field(name: str, tokens: Column, fold: bool = True) -> Column:
     """The text of a field for embedding: its name, then a line per token with its words where they differ."""
     def line(t: Column) -> Column:
-        token, words = canonical_token(t), token_to_words(t)
+        token, words = canonical_token(t, False), token_to_words(t, False)
         return F.concat(F.lit("token: "), token, F.when((words != "") & (words != token), F.concat(F.lit(" ; words: "), words)).otherwise(""))
 
-    return F.when(F.size(tokens) > 0, F.concat(F.lit(f"[{name}]\n"), F.array_join(F.transform(tokens, line), "\n"))).otherwise("")
+    return F.when(F.size(tokens) > 0, F.concat(F.lit(f"[{name}]\n"), F.array_join(F.transform(fold_list(tokens) if fold else tokens, line), "\n"))).otherwise("")
 
 
 def non_blank(*values: Column) -> Column:

@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 #: Columns of the representative table, in order.
-REPRESENTATIVE_COLUMNS = """final_ground_truth_id directory_name copied_file_name cause_card_key cause_card_id cause_card_file_stem source_bug_id source_small_bucket source_crash_id
-small_bucket_cluster_id cluster_key cluster_representative_case_id unique_case_count member_ref_count represented_crash_row_count duplicate_row_count ndss_patch cause_card_file copied_target_file""".split()
+REPRESENTATIVE_COLUMNS = [
+    "final_ground_truth_id", "directory_name", "copied_file_name", "cause_card_key", "cause_card_id", "cause_card_file_stem", "source_bug_id",
+    "source_small_bucket", "source_crash_id", "small_bucket_cluster_id", "cluster_key", "cluster_representative_case_id", "unique_case_count",
+    "member_ref_count", "represented_crash_row_count", "duplicate_row_count", "ndss_patch", "cause_card_file", "copied_target_file",
+]
 
 
 def with_cluster_key(cards: DataFrame) -> DataFrame:
@@ -54,15 +59,27 @@ def exact_buckets(cards: DataFrame) -> DataFrame:
 
 
 def bucket_members(cards: DataFrame) -> DataFrame:
-    """``cluster_key, case_id, position``: members in the order of their case ids, one row each rather than one list."""
-    distinct = cards.select("cluster_key", "case_id")
-    return distinct.withColumn("position", F.row_number().over(Window.partitionBy("cluster_key").orderBy("case_id")))
-
+    """``cluster_key, case_id, position``: members in the order of their case ids, one row each rather than one list.
 
-def bucket_summary(cards: DataFrame) -> DataFrame:
-    """Buckets in key order with size and the title, class, function and anchor of their first case."""
+    Rows are sorted by ranges of key and case over all tasks; a member's position is its place in its range behind the
+    members of the ranges before, so a bucket of any size is numbered by many tasks. The ranges are written first, as they come
+    from samples that another run of a task might not draw again.
+    """
+    ranged = cards.select("cluster_key", "case_id").repartitionByRange("cluster_key", "case_id").withColumn("_part", F.spark_partition_id())
+    ranged = materialize(ranged, "bucket-members")
+    counts = ranged.groupBy("cluster_key", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy("cluster_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    before = counts.select(F.struct("cluster_key").alias("_key"), "_part", F.coalesce(earlier, F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("cluster_key", "_part").orderBy("case_id"))
+    placed = ranged.withColumn("_own", own).withColumn("_key", F.struct("cluster_key")).join(before, ["_key", "_part"])
+    return placed.select("cluster_key", "case_id", (F.col("_before") + F.col("_own")).cast("int").alias("position"))
+
+
+def bucket_summary(cards: DataFrame, row_id: str | None = None) -> DataFrame:
+    """Buckets with size and the title, class, function and anchor of their first case; of several cards of that case the one with the smallest ``row_id``."""
     info = F.struct("case_id", "title", "bug", F.col("fault.primary_function").alias("primary_func"), F.col("anchor_trace").alias("anchor"))
-    return cards.groupBy("cluster_key").agg(F.count(F.lit(1)).alias("size"), F.min_by(info, "case_id").alias("representative"))
+    first = F.struct("case_id", row_id) if row_id else F.col("case_id")
+    return cards.groupBy("cluster_key").agg(F.count(F.lit(1)).alias("size"), F.min_by(info, first).alias("representative"))
 
 
 def bucket_ordinals(buckets: DataFrame) -> DataFrame:

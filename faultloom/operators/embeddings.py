@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import capped, sha16, strip
+from ..functions.text import capped, strip
 
 TRUNCATED_DIMS, FIELD_CHARS, BATCH = 1024, 6000, 64
 CACHE = "cache_key string, model string, text_sha256 string, dim int, vector array<float>, created_at double"
@@ -35,11 +35,6 @@ def truncated(v: Column, dims: int = TRUNCATED_DIMS) -> Column:
     return F.slice(v, 1, dims)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)
-    return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
-
-
 def latest_cache(cache: DataFrame) -> DataFrame:
     """The newest entry per key, of equally new ones the one with the smallest text hash: what an upsert would leave."""
     return cache.groupBy("cache_key").agg(F.max_by(F.struct("model", "text_sha256", "dim", "vector", "created_at"), F.struct("created_at", "text_sha256")).alias("e")).select("cache_key", "e.*")
@@ -122,7 +117,3 @@ def check_vectors(rows: DataFrame, vectors: DataFrame) -> None:
         some = [r[0] for r in a.select("record_id").join(b.select("record_id"), "record_id", "left_anti").limit(10).collect()]
         if some:
             raise ValueError(f"{what} vectors: {', '.join(map(str, some))}")
-
-
-def text_digest(x: Column) -> Column:
-    return sha16(x)

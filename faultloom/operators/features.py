@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import ascii_clean, canonical_token, compact_sentence, format_field, no_strings, ordered_unique
+from ..functions import text as tx
+from ..functions.text import format_field, no_strings, ordered_unique
 
 FIELDS = ["primary_root", "must", "object", "invariant", "patch", "propagation", "should", "surface", "weak", "evidence", "negative"]
 FINAL_FIELDS = ["object", "invariant", "propagation", "patch", "must", "should"]
@@ -51,6 +55,46 @@ class _Card:
         return F.coalesce(F.flatten(F.transform(kept, lambda e: F.filter(build(get(e)), lambda x: x.isNotNull() & (x != "")))), no_strings())
 
 
+# The cards' texts are folded before they come here, see _folded_card.
+def canonical_token(x: Column) -> Column:
+    return tx.canonical_token(x, False)
+
+
+def ascii_clean(x: Column) -> Column:
+    return tx.ascii_clean(x, False)
+
+
+def compact_sentence(label: str, x: Column) -> Column:
+    return tx.compact_sentence(label, x, False)
+
+
+#: Sections whose texts become tokens, and members in them that are compared as they stand.
+SECTIONS = ["dedup_representation", "root_cause_signals", "invariant_signals", "propagation_signals", "patch_semantics_hypotheses", "hypotheses", "evidence_ledger", "crash_surface", "reproducer_semantics", "negative_evidence"]
+AS_THEY_STAND = {"dedup_weight", "evidence_level", "stability", "dedup_usable", "surface_is_root_candidate"}
+
+
+@F.pandas_udf(T.StringType())
+def _folded_json(cards: pd.Series) -> pd.Series:
+    def walk(v: object) -> object:
+        if isinstance(v, dict):
+            return {k: x if k in AS_THEY_STAND else walk(x) for k, x in v.items()}
+        return [walk(x) for x in v] if isinstance(v, list) else tx._fold(v) if isinstance(v, str) else v
+
+    return cards.map(lambda c: json.dumps(walk(json.loads(c))), na_action="ignore")
+
+
+def _folded_card(df: DataFrame) -> DataFrame:
+    """The sections of cards that have non-ASCII characters with all their texts folded; other cards are not touched."""
+    have = [c for c in SECTIONS if c in df.columns]
+    if not have:
+        return df
+    whole = F.to_json(F.struct(*have))
+    df = df.withColumn("_json", F.when(~whole.rlike(r"^\p{ASCII}*$"), whole)).withColumn("_json", _folded_json(F.col("_json")))
+    schema = T.StructType([df.schema[c] for c in have])
+    df = df.withColumn("_card", F.from_json("_json", schema))
+    return df.withColumns({c: F.when(F.col("_json").isNotNull(), F.col(f"_card.{c}")).otherwise(F.col(c)) for c in have}).drop("_json", "_card")
+
+
 def _weighty(g) -> Column:
     return g("dedup_weight").isin("high", "medium")
 
@@ -60,7 +104,7 @@ def _known(g) -> Column:
 
 
 def signal_field(type_: Column, role: Column) -> Column:
-    """The field a root signal counts for, by its type, else its role."""
+    """The field a root signal counts for, by its type, else its role; both are ASCII or folded."""
     t, r = canonical_token(type_), canonical_token(role)
     return (
         F.when(t.isin("object", "field", "struct", "member"), "object")
@@ -76,8 +120,10 @@ def token_fields(df: DataFrame) -> DataFrame:
     """Adds ``fields``, a struct of the eleven token lists of each card.
 
     Lists are filled section by section in a fixed order, since only the first of equal tokens is kept; tokens and
-    sentences are canonicalised. Weak, speculative and unstable evidence is filtered out on the way.
+    sentences are canonicalised (folded to ASCII first). Weak, speculative and unstable evidence is filtered out on the way.
     """
+    given = {n: df[n] for n in SECTIONS if n in df.columns}
+    df = _folded_card(df.withColumns({f"_given_{n}": c for n, c in given.items()}))
     c = _Card(df)
     rep = lambda k: c.strings(f"dedup_representation.{k}")
     must = rep("must_match_tokens")
@@ -91,7 +137,7 @@ def token_fields(df: DataFrame) -> DataFrame:
     roots = c.each(signals, lambda g: _weighty(g) & stable(g) & g("role").isin(ROOT_ROLES), lambda g: F.array(token(g)))
     why = c.each(signals, lambda g: _weighty(g) & stable(g), lambda g: F.array(compact_sentence("root_signal", g("why_related"))))
     invariants = c.each("invariant_signals", lambda g: _weighty(g) & _known(g), lambda g: F.array(compact_sentence("expected", g("expected")), compact_sentence("violation", g("observed_or_suspected_violation"))))
-    clean = lambda x: ascii_clean(x, fold=False)
+    clean = ascii_clean
     flows = c.each("propagation_signals", lambda g: _weighty(g) & ((clean(g("from")) != "") | (clean(g("to")) != "")), lambda g: F.array(F.concat(F.lit("flow:"), clean(g("from")), F.lit("->"), clean(g("to")), F.lit(" via "), clean(g("mechanism")))))
     patches = c.each("patch_semantics_hypotheses", lambda g: _weighty(g) & (canonical_token(g("confidence")) != "low"), lambda g: F.array(compact_sentence("patch_shape", g("shape")), compact_sentence("patch_target", g("target")), compact_sentence("patch_summary", g("summary"))))
     guesses = c.each("hypotheses", lambda g: (g("dedup_usable") == "true") & canonical_token(g("confidence")).isin("high", "medium"), lambda g: F.array(compact_sentence("hypothesis", g("summary"))))
@@ -115,7 +161,8 @@ def token_fields(df: DataFrame) -> DataFrame:
         "evidence": [why, guesses, ledger],
         "negative": [rep("must_not_match_conditions"), against],
     }
-    return df.withColumn("fields", F.struct(*[ordered_unique(F.concat(*parts[f])).alias(f) for f in FIELDS]))
+    df = df.withColumn("fields", F.struct(*[ordered_unique(F.concat(*parts[f]), False).alias(f) for f in FIELDS]))
+    return df.withColumns({n: F.col(f"_given_{n}") for n in given}).drop(*[f"_given_{n}" for n in given])
 
 
 def final_fields(df: DataFrame) -> DataFrame:
@@ -127,7 +174,7 @@ def final_fields(df: DataFrame) -> DataFrame:
     covered = F.array_distinct(F.concat(*[f[k] for k in TYPED_FIELDS]))
     lists = {k: f[k] if k in TYPED_FIELDS else F.array_except(f[k], covered) for k in FINAL_FIELDS}
     df = df.withColumn("fields", F.struct(*[lists[k].alias(k) for k in FINAL_FIELDS]))
-    df = df.withColumn("field_texts", F.struct(*[format_field(k, F.col(f"fields.{k}")).alias(k) for k in FINAL_FIELDS]))
+    df = df.withColumn("field_texts", F.struct(*[format_field(k, F.col(f"fields.{k}"), False).alias(k) for k in FINAL_FIELDS]))
     texts = F.array(*[F.col(f"field_texts.{k}") for k in FINAL_FIELDS])
     counts = F.struct(*[F.size(F.col(f"fields.{k}")).alias(k) for k in FINAL_FIELDS])
     stats = F.struct(counts.alias("field_token_counts"), F.array(*[F.lit(k) for k in FINAL_FIELDS]).alias("final_fields"), F.lit(RULE).alias("deduplication_rule"))

@@ -108,9 +108,11 @@ def threshold_grid(df: DataFrame, block: str | None = None, id_column: str = "re
     at = at or thresholds()
     source = df.withColumn("_block", F.col(block).cast("string") if block else F.lit(""))
 
+    large = source.groupBy("_block").count().filter(F.col("count") > BLOCK_LIMIT).limit(1).collect()  # before any task gets a block
+    if large:
+        raise ValueError(f"block {large[0]['_block']!r} has {large[0]['count']} vectors; at most {BLOCK_LIMIT} can be linked in one task")
+
     def grid(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > BLOCK_LIMIT:
-            raise ValueError(f"block {pdf['_block'].iloc[0]!r} has {len(pdf)} vectors; at most {BLOCK_LIMIT} can be linked in one task")
         pdf = pdf.sort_values(id_column)
         dist = distances(np.stack(pdf[vector].to_numpy()).astype(np.float64))
         merges, ids, out = dendrogram(dist), pdf[id_column].astype(str).tolist(), []
@@ -152,3 +154,21 @@ def select_by_silhouette(grid: DataFrame) -> DataFrame:
 def select_by_f_measure(grid: DataFrame) -> DataFrame:
     """The row with the best F (a diagnostic that sees the labels); ties by purity, then by nearness to the number of labels."""
     return _first(grid, [F.desc("f_measure"), F.desc("purity"), F.abs(F.col("cluster_count") - F.col("label_count"))])
+
+
+def internal_scores(df: DataFrame, label: str, block: str | None = None, vector: str = "vector") -> DataFrame:
+    """``block, cluster_count_internal, largest_cluster_fraction, silhouette`` of given labels, per block; null labels are one cluster.
+
+    A block's distance matrix lives in one task, so blocks of more than ``BLOCK_LIMIT`` vectors are refused.
+    """
+    source = df.select((F.col(block).cast("string") if block else F.lit("")).alias("block"), F.coalesce(F.col(label).cast("string"), F.lit("")).alias("label"), F.col(vector).alias("vector")).filter("vector IS NOT NULL")
+    large = source.groupBy("block").count().filter(F.col("count") > BLOCK_LIMIT).limit(1).collect()
+    if large:
+        raise ValueError(f"block {large[0]['block']!r} has {large[0]['count']} vectors; at most {BLOCK_LIMIT} can be compared in one task")
+
+    def scores(pdf: pd.DataFrame) -> pd.DataFrame:
+        dist = distances(np.stack(pdf["vector"].to_numpy()).astype(np.float64))
+        count = pdf["label"].value_counts()
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "cluster_count_internal": len(count), "largest_cluster_fraction": count.max() / len(pdf), "silhouette": silhouette(dist, pdf["label"].to_numpy())})
+
+    return source.groupBy("block").applyInPandas(scores, "block string, cluster_count_internal int, largest_cluster_fraction double, silhouette double")

@@ -42,6 +42,30 @@ def _section(rank: int | Column, title: Column, body: Column) -> Column:
     return F.struct((F.lit(rank) if isinstance(rank, int) else rank).alias("rank"), text.alias("text"))
 
 
+#: Macros looked up per card, and characters of definitions shown per macro.
+MACROS, MACRO_CHARS = 8, 4000
+
+
+def _macro_sections(lines: DataFrame, key: str, functions: DataFrame, around: DataFrame) -> DataFrame:
+    """``key, rank, text``: the definitions of macros near each card's crash line, as JSON.
+
+    Macros of the primary function come by the distance of their first line from the crash line; only a card whose function names none
+    takes those of the lines around the crash, as they come. Of each macro's definitions the first by place are shown, up
+    to ``MACRO_CHARS`` characters; definitions are found once for all cards.
+    """
+    ranked = around.join(functions, key, "left").select(key, ql.nearest_macros(F.col("function"), F.col("around"), MACROS).alias("near"), ql.macro_candidates(F.col("source"), MACROS).alias("plain"))
+    names = ranked.select(key, F.posexplode(F.when(F.size("near") > 0, F.col("near")).otherwise(F.col("plain"))).alias("place", "macro"))
+    define = r"#define\s+([A-Za-z_][A-Za-z0-9_]*)[\s(]"
+    defined = ss.in_paths(lines, ss.SOURCES).filter(F.col("line").rlike(define)).select(F.regexp_extract("line", define, 1).alias("macro"), "path", "lineno", strip(F.col("line")).alias("text"))
+    defined = defined.join(names.select("macro").distinct(), "macro", "left_semi")
+    shown = F.length(F.concat_ws(":", "path", "lineno", "text")) + 1
+    defined = ql.first_within(defined, ["macro"], ["path", "lineno"], shown, MACRO_CHARS)
+    matches = defined.groupBy("macro").agg(F.array_sort(F.collect_list(F.struct(F.col("path").alias("file"), F.col("lineno").alias("line"), "text"))).alias("matches"))
+    found = names.join(matches, "macro").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "macro", "matches"))).alias("found"))
+    body = F.to_json(F.transform("found", lambda m: F.struct(m["macro"].alias("macro"), m["matches"].alias("matches"))))
+    return found.select(key, _section(5, F.lit("Nearby Macro Definitions"), body).alias("s")).select(key, "s.*")
+
+
 def source_packets(cards: DataFrame, lines: DataFrame, key: str = "case_id", budget: int = ql.TEXT_BUDGET) -> DataFrame:
     """``key, packet`` of every card: notes, lock and trigger facts, outline, lines around the crash, macros near it, and the functions of
     the primary, domain and sanitizer frames, packed in that order within the budget.
@@ -73,10 +97,7 @@ def source_packets(cards: DataFrame, lines: DataFrame, key: str = "case_id", bud
     context = around.select(key, _section(4, F.lit("Crash Line Context"), F.col("source")).alias("s")).select(key, "s.*")
     outline = ss.file_outlines(lines, spots.select(F.col("path").alias("file"), "around")).groupBy(F.col("file").alias("path"), "around").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("place", "kind", "name", "start_line", "end_line", "text"))), lambda r: r.dropFields("place"))).alias("o"))
     outlines = spots.join(outline, ["path", "around"]).select(key, _section(3, F.lit("Crash File Outline"), F.col("o")).alias("s")).select(key, "s.*")
-    names = around.select(key, F.explode(ql.macro_candidates(F.col("source"))).alias("macro"))
-    define = r"#define\s+([A-Za-z_][A-Za-z0-9_]*)[\s(]"
-    defined = lines.filter(F.col("line").rlike(define)).select(F.regexp_extract("line", define, 1).alias("macro"), F.concat_ws(":", "path", "lineno", strip(F.col("line"))).alias("d"))
-    macros = names.join(defined, "macro").groupBy(key).agg(F.array_join(F.slice(F.array_sort(F.collect_set("d")), 1, 40), "\n").alias("m")).select(key, _section(5, F.lit("Nearby Macro Definitions"), F.col("m")).alias("s")).select(key, "s.*")
+    macros = _macro_sections(lines, key, joined.filter("rank = 6").select(key, F.col("body").alias("function")), around)
     sections = reduce(DataFrame.unionByName, [fixed, outlines, context, macros, bodies]).filter("text IS NOT NULL")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda s: s["text"])
     return sections.groupBy(key).agg(strip(F.array_join(ql.packed(ordered, budget), "\n")).alias("packet"))

@@ -161,6 +161,32 @@ def ranked_macros(lines: DataFrame, target: int, most: int = 8) -> DataFrame:
     return first.select("macro", F.abs(F.col("at") - target).alias("distance")).orderBy("distance", "macro").limit(most)
 
 
+def nearest_macros(source: Column, target: Column, most: int = 8) -> Column:
+    """Upper-case names of a numbered source text (lines such as ``  12: code``), by the distance of their first line from ``target``, then by name.
+
+    Without a target, or for a text without numbered lines, the names as they come or none.
+    """
+    numbered = r"^[ >=]*\s*(\d+):\s*(.*)$"
+    lines = F.filter(F.split(F.coalesce(source, F.lit("")), "\n"), lambda x: x.rlike(numbered))
+    at = lambda x: F.regexp_extract(x, numbered, 1).cast("int")
+    names = lambda x: F.filter(F.regexp_extract_all(F.regexp_extract(x, numbered, 2), F.lit(r"\b[A-Z][A-Z0-9_]{2,}\b"), 0), lambda n: ~n.isin(NOT_MACROS))
+    each = F.flatten(F.transform(lines, lambda x: F.transform(names(x), lambda n: F.struct(n.alias("n"), at(x).alias("at")))))
+    firsts = let(each, lambda es: let(F.transform(es, lambda e: e["n"]), lambda ns: F.filter(es, lambda e, i: F.array_position(ns, e["n"]) == i + 1)))
+    placed = F.array_sort(F.transform(firsts, lambda e: F.struct(F.abs(e["at"] - target).alias("d"), e["n"].alias("n"))))
+    return F.slice(F.when(target.isNull(), macro_candidates(source, most)).otherwise(F.transform(placed, lambda e: e["n"])), 1, most)
+
+
+def first_within(df: DataFrame, keys: list[str], order: list[str], size: Column, budget: int) -> DataFrame:
+    """Rows of each key, in order, until ``size`` adds up to more than a budget; the row that exceeds it is the last.
+
+    A row takes at least one of the budget, so no more rows of a key than that are ever ordered together: the first ones are
+    taken in every task before the shuffle.
+    """
+    few = df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_n") <= budget).drop("_n")
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return few.withColumn("_b", F.coalesce(F.sum(F.greatest(size, F.lit(1))).over(w), F.lit(0))).filter(F.col("_b") <= budget).drop("_b")
+
+
 def packed(items: Column, budget: int = TEXT_BUDGET) -> Column:
     """Those texts of an ordered array that fit a budget of characters one after the other.
 
@@ -175,13 +201,25 @@ def packed(items: Column, budget: int = TEXT_BUDGET) -> Column:
     return F.aggregate(F.filter(items, lambda x: x.isNotNull()), start, add, lambda acc: acc["kept"])
 
 
-def source_packet(df: DataFrame, bodies: dict[str, Column], budget: int = TEXT_BUDGET) -> DataFrame:
-    """Adds ``packet``: titled sections in order within the budget, joined by line ends; empty bodies give no section."""
-    sections = [F.when(strip(b) != "", F.concat(F.lit(f"## {title}\n"), strip(b), F.lit("\n"))) for title, b in bodies.items()]
-    return df.withColumn("packet", strip(F.array_join(packed(F.array(*sections), budget), "\n")))
+#: Ranges into which the order of a budget or of a bucket's members is cut.
+RANGES = 4096
 
 
 def running_budget(df: DataFrame, group: str, order: str, size: str, budget: int) -> DataFrame:
-    """Rows of each group, in order, up to the one that exceeds a budget of ``size``."""
-    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("_b", F.coalesce(F.sum(size).over(w), F.lit(0))).filter(F.col("_b") <= budget).drop("_b")
+    """Rows of each group, by the number ``order``, up to the one that exceeds a budget of ``size``; a null size counts 0.
+
+    The order is cut into ``RANGES`` equal ranges whose sums decide for most rows at once; only a group's range in which the
+    budget ends is put in order row by row, so a group that holds a third of all rows is never sorted in one task.
+    """
+    low, high = df.agg(F.min(order), F.max(order)).collect()[0]
+    if low is None:
+        return df.limit(0)
+    width = max(1, -(-(int(high) - int(low) + 1) // RANGES))
+    sized = df.withColumn("_w", F.coalesce(F.col(size), F.lit(0))).withColumn("_range", F.floor((F.col(order) - F.lit(int(low))) / width).cast("int")).withColumn("_group", F.struct(F.col(group)))
+    sums = sized.groupBy("_group", "_range").agg(F.sum("_w").alias("_sum"))
+    before = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.partitionBy("_group").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).filter(F.col("_before") <= budget)
+    placed = sized.join(before, ["_group", "_range"])
+    whole = placed.filter(F.col("_before") + F.col("_sum") <= budget)
+    w = Window.partitionBy("_group", "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    edge = placed.filter(F.col("_before") + F.col("_sum") > budget).withColumn("_b", F.col("_before") + F.coalesce(F.sum("_w").over(w), F.lit(0))).filter(F.col("_b") <= budget).drop("_b")
+    return whole.unionByName(edge).select(*df.columns)

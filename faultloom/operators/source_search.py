@@ -9,12 +9,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import glob_regex, java_pattern, split_lines, strip
+from ..session import materialize
 
 CHAR_LIMIT = 20_000
 CUT_NOTE = "...[truncated]..."
 #: Words before a parenthesis that are no calls, and those that start no function.
-NOT_CALLS = """if for while switch return sizeof typeof defined offsetof container_of BUILD_BUG_ON likely unlikely __must_check __printf case default goto break
-continue void char int long short float double unsigned signed const volatile static inline extern struct union enum typedef""".split()
+NOT_CALLS = [
+    "if", "for", "while", "switch", "return", "sizeof", "typeof", "defined", "offsetof", "container_of", "BUILD_BUG_ON", "likely", "unlikely",
+    "__must_check", "__printf", "case", "default", "goto", "break", "continue", "void", "char", "int", "long", "short", "float", "double", "unsigned",
+    "signed", "const", "volatile", "static", "inline", "extern", "struct", "union", "enum", "typedef",
+]
 NOT_FUNCTIONS = ["if", "for", "while", "switch", "return"]
 DEFINITION = r"^[A-Za-z_][A-Za-z0-9_:*\s]+\s+([A-Za-z_][A-Za-z0-9_]*)\s*\([^;]*$"
 STRINGS = r'"(?:\\.|[^"\\])*"'
@@ -95,6 +99,7 @@ def _balanced(lines: DataFrame, starts: DataFrame, keys: list[str]) -> DataFrame
     If they never are, it is the line of the opening brace; a start without any brace after it is left out.
     """
     w = Window.partitionBy(*keys, "path", "start_line").orderBy("lineno")
+    lines = lines.join(starts.select("path").distinct(), "path", "left_semi")
     rest = _code(lines).join(starts, "path").filter(F.col("lineno") >= F.col("start_line"))
     opened = rest.withColumn("open_line", F.min(F.when(F.col("line").contains("{"), F.col("lineno"))).over(Window.partitionBy(*keys, "path", "start_line")))
     body = opened.filter(F.col("lineno") >= F.col("open_line"))
@@ -109,6 +114,7 @@ def function_bounds(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     that in a file, one whose next ten lines reach an opening brace before any semicolon. Of several the one nearest to
     ``around`` counts (the first if that is null or on ties).
     """
+    lines = lines.join(wanted.select("path").distinct(), "path", "left_semi")  # other files are not looked at
     w = Window.partitionBy("path").orderBy("lineno")
     code = _code(lines).withColumn("next10", F.array_join(F.collect_list("line").over(w.rowsBetween(0, 9)), "\n"))
     call = lambda tail: F.regexp_like("line", F.concat(F.lit(r"\b\Q"), F.col("symbol"), F.lit(r"\E\s*\(" + tail)))
@@ -147,11 +153,15 @@ def get_function(lines: DataFrame, symbol: str, file: str | None = None, around:
     return _numbered(lines, bounds, before, after).select(F.col("path").alias("file"), "start_line", "end_line", "display_start", "display_end", "source")
 
 
+def _calls(source: Column) -> Column:
+    names = F.regexp_extract_all(source, F.lit(r"\b([A-Za-z_][A-Za-z0-9_]*)\s*\("), 1)
+    return F.array_distinct(F.filter(names, lambda n: ~n.isin(NOT_CALLS) & ~n.startswith("__maybe")))
+
+
 def find_callees(lines: DataFrame, symbol: str, file: str | None = None) -> DataFrame:
     """``file, function, line_range, callees, callee_count``: what stands before parentheses in the function, keywords aside, each once in order."""
     body = get_function(lines, symbol, file, before=0, after=0)
-    names = F.regexp_extract_all("source", F.lit(r"\b([A-Za-z_][A-Za-z0-9_]*)\s*\("), 1)
-    calls = F.array_distinct(F.filter(names, lambda n: ~n.isin(NOT_CALLS) & ~n.startswith("__maybe")))
+    calls = _calls(F.col("source"))
     return body.select("file", F.lit(symbol).alias("function"), F.concat_ws("-", "start_line", "end_line").alias("line_range"), calls.alias("callees"), F.size(calls).alias("callee_count"))
 
 
@@ -229,18 +239,26 @@ def get_file_outline(lines: DataFrame, file: str, around: int | None = None, rad
 
 
 def transitive_callees(lines: DataFrame, symbol: str, depth: int) -> DataFrame:
-    """``depth, function``: functions reached from a symbol in at most ``depth`` calls, by whole rounds over the frontier."""
-    found = [symbol]
-    rows: list[tuple[int, str]] = []
-    frontier = [symbol]
+    """``depth, function``: functions reached from a symbol in at most ``depth`` calls, each at its first depth, in whole rounds over the frontier.
+
+    The frontier is a table; every round looks all its functions up at once, in all files that name them, and is written to the shared
+    folder. Functions without a definition among the lines are reached but call nothing. Macros and declarations count as in :func:`find_callees`.
+    """
+    spark = lines.sparkSession
+    named = F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(r"\b([A-Za-z_][A-Za-z0-9_]*)\s*\("), 1))).alias("symbol")
+    mentions = materialize(in_paths(lines, SOURCES).select("path", named).distinct(), "callees-mentions")
+    reached = spark.createDataFrame([(0, symbol)], "depth int, function string")
+    frontier = reached
     for d in range(1, depth + 1):
-        parts = [find_callees(lines, s).select(F.explode("callees").alias("function")) for s in frontier]
-        if not parts:
+        wanted = mentions.join(frontier.select(F.col("function").alias("symbol")), "symbol", "left_semi").withColumn("around", F.lit(None).cast("int"))
+        bounds = function_bounds(lines, wanted)
+        body = lines.join(bounds, "path").filter(F.col("lineno").between(F.col("start_line"), F.col("end_line")))
+        called = body.select(F.explode(_calls(F.col("line"))).alias("function")).distinct()
+        frontier = materialize(called.join(reached, "function", "left_anti").select(F.lit(d).alias("depth"), "function"), "callees-frontier")
+        if frontier.limit(1).count() == 0:
             break
-        frontier = [r["function"] for r in reduce(DataFrame.unionByName, parts).distinct().filter(~F.col("function").isin(found)).orderBy("function").limit(10_000).collect()]
-        found += frontier
-        rows += [(d, f) for f in frontier]
-    return lines.sparkSession.createDataFrame(rows, "depth int, function string")
+        reached = reached.unionByName(frontier)
+    return reached.filter("depth > 0")
 
 
 #: Operations of :func:`batch` and the arguments they take.

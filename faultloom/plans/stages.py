@@ -66,7 +66,7 @@ def cause_card_stage(spark: SparkSession, cards: DataFrame, out: str, contract:
     """Representative cards to normalized cause cards under ``out``; returns the manifest with each task's status.
 
     Finished cards are left out unless ``force``; a limit counts them too. Without a client it is a dry run: only the manifest is
-    made. Answers without JSON go to ``out/unreadable`` and can be asked for again.
+    made. The ``contract`` is the text of :func:`models.load_prompt`. Answers without JSON go to ``out/unreadable`` and can be asked for again.
     """
     tasks = cards.orderBy("cluster_key").limit(limit) if limit is not None else cards
     path = f"{out}/cause_cards"
@@ -76,6 +76,7 @@ def cause_card_stage(spark: SparkSession, cards: DataFrame, out: str, contract:
         asked = prompts(open_tasks, lines, contract)
         results = materialize(models.answers(asked, client, tool or (lambda: lambda name, args: "{}"), parallelism), "stage2")
         bad = results.filter("status <> 'ok'")
+        sinks.write_summary(models.status_counts(results), f"{out}/status_counts")
         sinks.audit_rows(bad).write.mode("append").parquet(f"{out}/unreadable")
         good = results.filter("status = 'ok'").select(F.col("task_id").alias("case_id"), cc.extract_json(F.col("content")).alias("raw"), F.parse_json("tool_trace").alias("tool_trace"))
         named = open_tasks.join(good, "case_id").withColumns({"hash_part": F.right("cluster_key", F.lit(8)), "small_bucket_id": F.col("cluster_key")})

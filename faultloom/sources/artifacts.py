@@ -101,6 +101,21 @@ def task_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(line.alias("path")).filter((F.col("path") != "") & ~F.col("path").startswith("#"))
 
 
+def selected_cards(paths: DataFrame, listing: DataFrame, root: str = "") -> tuple[DataFrame, DataFrame]:
+    """The ``path`` of listed cards that exist, and of those that do not; a relative path counts from ``root``.
+
+    Paths may climb with ``..``; they are compared in their shortest form.
+    """
+    def resolved(p: Column) -> Column:
+        full = F.when(p.rlike(r"^(/|[a-z][a-z0-9]*:)"), p).otherwise(F.concat(F.lit(root.rstrip("/") + "/" if root else ""), p))
+        step = lambda acc, s: F.when((s == "..") & (F.size(acc) > 1), F.slice(acc, F.lit(1), F.size(acc) - 1)).when(s.isin(".", "") & (F.size(acc) > 0), acc).otherwise(F.array_append(acc, s))
+        return F.array_join(F.aggregate(F.split(full, "/"), F.array().cast("array<string>"), step), "/")
+
+    asked = paths.select(resolved(F.col("path")).alias("path"))
+    have = listing.select(resolved(F.col("path")).alias("path")).distinct()
+    return asked.join(have, "path", "left_semi"), asked.join(have, "path", "left_anti")
+
+
 def card_tasks(paths: DataFrame, out_root: str, limit: int | None = None) -> DataFrame:
     """``path, bug_id, hash_part, output`` of crash card files: bug and hash name the cause card to be written.
 
@@ -124,22 +139,42 @@ def manifest(tasks: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
     return tasks.join(done.select(*key).distinct().withColumn("_d", F.lit(True)), key, "left").withColumn("exists", F.col("_d").isNotNull()).drop("_d")
 
 
+#: Characters of an id by which file names are looked up before they are compared.
+GRAM = 8
+
+
+def _named_after(ids: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:
+    """``_row, path`` of the files whose name holds the id of a row and which share ``keys`` with it.
+
+    An id's first characters (``GRAM``, or all of a shorter one) are looked up among all pieces of names of that length, so
+    rows and files meet by equal keys; then the whole id is compared.
+    """
+    sizes = [r[0] for r in ids.select(F.least(F.length("_id"), F.lit(GRAM)).alias("n")).distinct().collect()]  # at most GRAM numbers
+    if not sizes:
+        return ids.select("_row", F.lit(None).cast("string").alias("path")).limit(0)
+    piece = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("_stem") - n + 1, F.lit(1))), lambda i: F.substring("_stem", i, F.lit(n)))
+    grams = files.withColumn("_gram", F.explode(F.array_distinct(F.flatten(F.array(*[piece(n) for n in sizes])))))
+    asked = ids.withColumn("_gram", F.left("_id", F.lit(GRAM)))
+    return asked.join(grams, [*keys, "_gram"]).filter(F.contains("_stem", "_id")).select("_row", "path")
+
+
 def find_cause_cards(weights: DataFrame, listing: DataFrame) -> DataFrame:
     """Adds ``card_path`` to weight rows: the first of the places in which a row's cause card may lie, null if none.
 
     Four exact places come first, then files of the bug's folder whose name holds the id, then files anywhere; within a
-    tier the first by name. Exact places are an equi-join; names are matched only for rows still without a card.
+    tier the first by name. All are joins by equal keys (:func:`_named_after`); names are matched only for rows still without
+    a card. Rows are told apart by a hash of what they are looked up by, so equal rows share a card.
     """
     c = lambda k: F.coalesce(F.col(k), F.lit("")) if k in weights.columns else F.lit("")
     ident = F.coalesce(F.nullif(c("cause_card_id"), F.lit("")), F.nullif(c("small_bucket_cluster_id"), F.lit("")), c("cause_card_file_stem"))
-    rows = weights.withColumn("_row", F.monotonically_increasing_id()).withColumn("_id", ident).withColumn("_bug", c("source_bug_id"))
+    asked = [c(k) for k in ("directory_name", "copied_file_name", "source_bug_id", "small_bucket_cluster_id")]
+    rows = weights.withColumn("_id", ident).withColumn("_row", F.sha2(F.to_json(F.array("_id", *asked)), 256)).withColumn("_bug", c("source_bug_id"))
     json = lambda x: F.concat(x, F.lit(".json"))
     places = F.array(F.concat_ws("/", c("directory_name"), c("copied_file_name")), F.concat_ws("/", "_bug", json(F.col("_id"))), F.concat_ws("/", "_bug", json(c("small_bucket_cluster_id"))), c("copied_file_name"))
     exact = rows.select("_row", F.posexplode(places).alias("tier", "path")).join(listing.select("path").distinct(), "path")
     hit = exact.groupBy("_row").agg(F.min_by("path", F.struct("tier", "path")).alias("card_path"))
-    rest = rows.join(hit, "_row", "left_anti").filter("_id <> ''").select("_row", "_id", "_bug")
-    files = listing.select("path", F.regexp_replace("path", r"/?[^/]*$", "").alias("_dir"), F.regexp_extract("path", r"([^/]*)\.json$", 1).alias("_stem"))
-    near = rest.join(files, rest["_bug"] == files["_dir"]).filter(F.contains("_stem", "_id")).groupBy("_row").agg(F.min("path").alias("card_path"))
-    far_rest = rest.join(near, "_row", "left_anti")
-    far = far_rest.join(files, F.contains(files["_stem"], far_rest["_id"])).groupBy("_row").agg(F.min("path").alias("card_path"))
+    rest = rows.join(hit, "_row", "left_anti").filter("_id <> ''").select("_row", "_id", "_bug").distinct()
+    files = listing.select("path", F.regexp_replace("path", r"/?[^/]*$", "").alias("_bug"), F.regexp_extract("path", r"([^/]*)\.json$", 1).alias("_stem"))
+    near = _named_after(rest, files, ["_bug"]).groupBy("_row").agg(F.min("path").alias("card_path"))
+    far = _named_after(rest.join(near, "_row", "left_anti").drop("_bug"), files.drop("_bug"), []).groupBy("_row").agg(F.min("path").alias("card_path"))
     return rows.join(hit.unionByName(near).unionByName(far), "_row", "left").drop("_row", "_id", "_bug")

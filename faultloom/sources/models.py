@@ -95,6 +95,17 @@ def status_counts(results: DataFrame) -> DataFrame:
     return results.groupBy("status").count()
 
 
+def load_prompt(path: str) -> str:
+    """The prompt contract a model gets, without outer blanks; the file is required and must not be blank."""
+    if not os.path.exists(path):
+        raise FileNotFoundError(f"the prompt file is missing: {path}")
+    with open(path, encoding="utf-8") as f:
+        text = f.read().strip()
+    if not text:
+        raise ValueError(f"the prompt file is blank: {path}")
+    return text
+
+
 def load_env_file(path: str) -> dict[str, str]:
     """``KEY=VALUE`` and ``$env:KEY=VALUE`` lines put into the environment unless set; comments and blanks are skipped."""
     added: dict[str, str] = {}

@@ -16,10 +16,10 @@ def write_cards(cards: DataFrame, path: str, partition: str = "big_bucket") -> N
 
 
 def write_table(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
-    """A table as CSV with header, columns in a fixed order (by name if none is given); lists and structs as JSON."""
+    """A table as CSV with header, columns in a fixed order (by name if none is given); lists and structs as JSON, outer blanks of texts kept."""
     columns = columns or sorted(df.columns)
     flat = [F.to_json(c).alias(c) if isinstance(df.schema[c].dataType, T.ArrayType | T.StructType | T.MapType) else F.col(c) for c in columns]
-    df.select(*flat).write.mode("overwrite").option("header", "true").option("emptyValue", "").csv(path)
+    df.select(*flat).write.mode("overwrite").option("header", "true").option("emptyValue", "").option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").option("escape", '"').csv(path)
 
 
 def sorted_struct(df: DataFrame) -> Column:

@@ -181,3 +181,19 @@ def test_lines_and_tokens(spark):
     assert one(spark, tx.token_to_words(F.col("t")), t="field:a->b_c[0]") == "field a.b c 0"
     assert one(spark, tx.clean_token(F.col("t")), t=" A  b!c__d ") == "a_b_c_d"
     assert one(spark, tx.unique_keep_order(F.split("t", ","), 2), t=" b, ,a,b,c") == ["b", "a"]
+
+
+def test_foreign_letters_fold_inside_lists_and_cards(spark):
+    from faultloom.operators import features as ft
+
+    lists = spark.createDataFrame([(1, ["ＡＢＣ_x", "ﬁeld", "plain", "ｐｌａｉｎ", "日本", None, ""]), (2, ["ﬁeld:a"]), (3, ["plain"]), (4, None)], "id int, t array<string>")
+    got = {r["id"]: (r["u"], r["f"]) for r in lists.select("id", tx.ordered_unique(F.col("t")).alias("u"), tx.format_field("must", F.col("t")).alias("f")).collect()}
+    assert [got[i][0] for i in (1, 2, 3, 4)] == [["abc_x", "field", "plain"], ["field:a"], ["plain"], []]
+    assert got[2][1] == "[must]\ntoken: field:a ; words: field a" and got[4][1] == ""
+    assert one(spark, tx.compact_sentence("l", F.col("t")), t="日本") == ""
+    rows = [(1, (["ﬁeld: Ａ", "object:ｂ"],), [("high", "direct", "ｘ -é> y", "")]), (2, (["plain"],), None), (3, None, None)]
+    kind = "id long, dedup_representation struct<must_match_tokens:array<string>>, invariant_signals array<struct<dedup_weight:string,evidence_level:string,expected:string,observed_or_suspected_violation:string>>"
+    got = {r["id"]: r for r in ft.token_fields(spark.createDataFrame(rows, kind)).collect()}
+    assert got[1]["fields"]["must"] == ["field:_a", "object:b"] and got[1]["fields"]["object"] == ["field:_a", "object:b"]
+    assert got[1]["fields"]["invariant"] == ["expected:_x->y"] and got[1]["dedup_representation"]["must_match_tokens"][0] == "ﬁeld: Ａ"
+    assert got[2]["fields"]["must"] == ["plain"] and got[3]["fields"]["must"] == []
