@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import frames as fr
@@ -24,15 +24,21 @@ from ..sources.tables import table
 QUERIES, SQL = {}, {}
 
 
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with its SQL if it has one."""
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
+def registrar(queries: dict, sqls: dict):
+    """A decorator that registers a query under its function's name, with its SQL if it has one."""
+    def query(sql: str | None = None):
+        def add(f):
+            queries[f.__name__] = f
+            if sql:
+                sqls[f.__name__] = sql
+            return f
 
-    return add
+        return add
+
+    return query
+
+
+query = registrar(QUERIES, SQL)
 
 
 def _cards(spark: SparkSession, d: str, *columns: str) -> DataFrame:
@@ -107,10 +113,8 @@ def bucket_member(spark: SparkSession, d: str) -> DataFrame:
          row_number() OVER (PARTITION BY cluster_key ORDER BY case_id, card_id) AS r FROM crash_cards) WHERE r = 1""")
 def bucket_info(spark: SparkSession, d: str) -> DataFrame:
     """Buckets with what their first case says."""
-    cards = _cards(spark, d, "cluster_key", "case_id", "card_id", "title", "fault")
-    info = F.struct("case_id", "title", F.col("fault.primary_function").alias("primary_func"))
-    grouped = cards.groupBy("cluster_key").agg(F.count(F.lit(1)).alias("size"), F.min_by(info, F.struct("case_id", "card_id")).alias("i"))
-    return grouped.select("cluster_key", "size", "i.*")
+    cards = _cards(spark, d, "cluster_key", "case_id", "card_id", "title", "bug", "fault", "anchor_trace")
+    return bk.bucket_summary(cards, "card_id").select("cluster_key", "size", "representative.case_id", "representative.title", "representative.primary_func")
 
 
 _ORDINALS = """SELECT cluster_key, split_part(cluster_key, '::', 1) AS bug_id,
@@ -312,19 +316,61 @@ _CALLS = rf"""list_filter(list_transform(list_filter(list_transform({_sql_lines(
   lambda x: regexp_extract(x, '^(?:[A-Za-z0-9_]+\s*=\s*)?([A-Za-z_][A-Za-z0-9_$]*)\(', 1)), lambda x: x <> '')"""
 
 
-@query(rf"""WITH c AS (SELECT doc_id, coalesce(text, '') AS text, {_CALLS} AS calls FROM documents)
-SELECT doc_id, array_to_string(({_sql_unique('calls')})[:40], '|') AS syscalls, array_to_string(list_filter([{', '.join(f"'{o}'" for o in rp.MAP_OPS)}], lambda o: contains(text, o)), '|') AS map_ops,
-  array_to_string(({_sql_unique("list_filter(calls, lambda q: " + _sql_starts('q', rp.SOCKET_LEADS) + ")")})[:32], '|') AS socket_ops FROM c""")
+def _sql_names(codes: str, names: dict[int, str]) -> str:
+    table = "MAP {" + ", ".join(f"{k}: '{v}'" for k, v in names.items()) + "}"
+    return f"list_transform({codes}, lambda n: coalesce(({table})[n], 'UNKNOWN_' || n))"
+
+
+def _sql_codes(texts: str) -> str:
+    number = "CASE WHEN starts_with(n, '0x') THEN TRY_CAST(n AS INT) WHEN regexp_matches(n, '^(0+|[1-9][0-9]*)$') THEN TRY_CAST(n AS INT) END"
+    return f"list_filter(list_transform({texts}, lambda n: {number}), lambda n: n IS NOT NULL)"
+
+
+_CODE = r"(0x[0-9a-fA-F]+|\d+)"
+_MAP_CODES = r"list_transform(list_filter(ls, lambda x: contains(x, 'bpf$MAP_CREATE')), lambda x: regexp_extract(x, '@base=\{" + _CODE + "', 1))"
+_LOADED = r"list_transform(list_filter(ls, lambda x: contains(x, 'bpf$PROG_LOAD')), lambda x: regexp_extract(x, 'bpf\$PROG_LOAD\([^)]*\)=\{" + _CODE + "', 1))"
+# The documents' programs name no types, so calls with types are put before each.
+_TYPED_CALLS = r"""bpf$MAP_CREATE(0x0, &(0x7f00)=@base={0x12, 0x4}, 0x48)
+r1 = bpf$MAP_CREATE(0x0, &(0x7f00)=@base={017, 0x4}, 0x48)
+bpf$MAP_CREATE(0x0, &(0x7f00)=@base={99, 0x4}, 0x48)
+bpf$PROG_LOAD(0x5, &(0x7f00)={0x11, 0x8, &(0x7f01)=@ringbuf_x, &(0x7f02)='GPL\x00'}, 0x90)
+bpf$BPF_RAW_TRACEPOINT_OPEN(0x11, &(0x7f00)={&(0x7f01)='sched_switch\x00'}, 0x10)
+"""
+_QUOTED_CALLS = "'" + _TYPED_CALLS.replace("'", "''") + "'"
+_POINT = "'''([A-Za-z0-9_:.+-]+)\\\\x00'''"
+
+
+@query(rf"""WITH t AS (SELECT doc_id, {_QUOTED_CALLS} || coalesce(text, '') AS text FROM documents), c AS (SELECT doc_id, text, {_sql_lines("text")} AS ls, {_CALLS} AS calls FROM t),
+  m AS (SELECT *, {_sql_names(_sql_codes(_MAP_CODES), rp.MAP_TYPES)} AS maps, {_sql_names(_sql_codes(_LOADED), rp.PROGRAM_TYPES)} AS programs,
+    list_filter(regexp_extract_all(text, {_POINT}, 1), lambda x: x <> 'GPL') AS points, list_filter([{', '.join(f"'{o}'" for o in rp.MAP_OPS)}], lambda o: contains(text, o)) AS ops,
+    regexp_extract_all(text, '(?i)@([A-Za-z0-9_]*?(?:map|ringbuf|probe|trace|sock)[A-Za-z0-9_]*)', 1) AS helpers FROM c)
+SELECT doc_id, array_to_string(({_sql_unique('calls')})[:40], '|') AS syscalls, array_to_string(ops, '|') AS map_ops,
+  array_to_string(({_sql_unique("list_filter(calls, lambda q: " + _sql_starts('q', rp.SOCKET_LEADS) + ")")})[:32], '|') AS socket_ops,
+  array_to_string(({_sql_unique('maps')})[:16], '|') AS map_types, array_to_string(({_sql_unique('programs')})[:16], '|') AS program_types, array_to_string(({_sql_unique('points')})[:32], '|') AS tracepoints,
+  array_to_string(({_sql_unique('helpers')})[:32], '|') AS helpers,
+  array_to_string(list_filter(['repro:sockmap_or_sockhash', CASE WHEN len(programs) > 0 THEN 'repro:bpf_program' END, CASE WHEN len(points) > 0 THEN 'repro:tracepoint_attach' END,
+    CASE WHEN list_contains(ops, 'MAP_DELETE_ELEM') THEN 'repro:bpf_map_delete_elem' END, CASE WHEN list_contains(ops, 'BPF_RAW_TRACEPOINT_OPEN') THEN 'repro:bpf_raw_tracepoint_open' END], lambda x: x IS NOT NULL), '|') AS derived,
+  left(sha256(CASE WHEN length(text) > 6000 THEN left(text, 6000) || chr(10) || '...[truncated]...' ELSE text END), 16) AS excerpt FROM m""")
 def trigger_semantics(spark: SparkSession, d: str) -> DataFrame:
-    """System calls, map operations and socket operations of every text read as a reproducer program."""
-    sem = rp.reproducer_semantics(F.col("text"), F.lit(""))
-    return _documents(spark, d).select("doc_id", sem.alias("s")).select("doc_id", *[F.array_join(f"s.{a}", "|").alias(b) for a, b in (("syscalls", "syscalls"), ("bpf_map_ops", "map_ops"), ("socket_ops", "socket_ops"))])
+    """All trigger facts of every text read as a reproducer program, behind calls that name map and program types."""
+    sem = rp.reproducer_semantics(F.concat(F.lit(_TYPED_CALLS), F.coalesce("text", F.lit(""))), F.lit(""))
+    names = {"syscalls": "syscalls", "bpf_map_ops": "map_ops", "socket_ops": "socket_ops", "bpf_map_types": "map_types", "bpf_program_types": "program_types", "tracepoints": "tracepoints", "bpf_helpers": "helpers", "semantic_tokens": "derived"}
+    return _documents(spark, d).select("doc_id", sem.alias("s")).select("doc_id", *[F.array_join(f"s.{a}", "|").alias(b) for a, b in names.items()], tx.sha16(F.col("s.syz_repro_excerpt")).alias("excerpt"))
+
 
+_SWITCHES = {"CONFIG_SHADOW": "CONFIG_KASAN", "CONFIG_TRACE": "CONFIG_LOCKDEP", "CONFIG_GUARD": "CONFIG_UBSAN"}
 
-@query("""SELECT k AS config_key, v AS config_value, count(*) AS n FROM (SELECT unnest(map_keys(config_features)) AS k, unnest(map_values(config_features)) AS v FROM crash_cards) GROUP BY 1, 2""")
+
+@query("""WITH e AS (SELECT CASE k WHEN 'CONFIG_SHADOW' THEN 'CONFIG_KASAN' WHEN 'CONFIG_TRACE' THEN 'CONFIG_LOCKDEP' WHEN 'CONFIG_GUARD' THEN 'CONFIG_UBSAN' END AS k, v
+  FROM (SELECT unnest(map_keys(config_features)) AS k, unnest(map_values(config_features)) AS v FROM crash_cards))
+SELECT k AS config_key, v AS config_value, count(*) AS n FROM e WHERE k IS NOT NULL AND v IS NOT NULL GROUP BY 1, 2""")
 def config_counts(spark: SparkSession, d: str) -> DataFrame:
-    """How often each configuration value occurs."""
-    return _cards(spark, d, "config_features").select(F.explode("config_features").alias("config_key", "config_value")).groupBy("config_key", "config_value").agg(F.count(F.lit(1)).alias("n"))
+    """How often each value of the known switches occurs in the cards' configurations, written out as configuration files; unknown switches and comments are skipped."""
+    names = F.create_map(*[F.lit(x) for pair in _SWITCHES.items() for x in pair])
+    known = F.transform(F.map_entries("config_features"), lambda e: F.concat(F.coalesce(F.try_element_at(names, e["key"]), e["key"]), F.lit("="), e["value"]))
+    twice = F.concat(F.lit("# CONFIG_KASAN is not set\nCONFIG_INET is odd\n"), F.array_join(F.transform(F.filter(known, lambda x: x.startswith("CONFIG_KASAN=")), lambda x: F.concat(x, F.lit("-before"))), "\n"))
+    text = F.concat_ws("\n", twice, F.array_join(known, "\n"))
+    return _cards(spark, d, "config_features").select(F.explode(rp.config_features(text)).alias("config_key", "config_value")).groupBy("config_key", "config_value").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(r"""WITH q AS (SELECT card_id, bug.sanitizer AS a, bug.bug_type AS b, bug.access AS c, fault.primary_function AS p, list_transform(stack_semantic, lambda f: f.func)[:10] AS s FROM crash_cards),
@@ -448,9 +494,13 @@ def _sql_quality() -> str:
       g AS (SELECT *, (topf IN ({sinks}) OR {_sql_starts('lower(topf)', ['__warn', 'warn_', 'dump_stack'])} OR {_sql_cause_generic('topfr')}) AND nd = 0 AS sink,
         contains(lower(coalesce(bug.bug_type, '')), 'use-after-free') AND upper(coalesce(bug.sanitizer, '')) IN ('KASAN', 'KMSAN') AND NOT (al AND fe) AS uaf,
         upper(coalesce(bug.sanitizer, '')) = 'KMSAN' AND contains(lower(coalesce(bug.bug_type, '')), 'uninit') AND NOT ori AS uni,
-        (ns = 0 AND NOT loc) OR (ns <= 1 AND NOT rep AND NOT al AND NOT fe AND NOT ori) OR (NOT loc AND nd = 0 AND NOT rep) AS minimal, NOT loc OR ns <= 2 OR anchor = 0 AS weak FROM e)
-      SELECT card_id, CASE WHEN minimal THEN 'minimal' WHEN sink OR weak THEN 'limited' ELSE 'sufficient' END AS tier,
-        CASE WHEN minimal THEN 'low' WHEN sink THEN CASE WHEN ns >= 3 OR rep THEN 'medium' ELSE 'low' END WHEN weak OR uaf OR uni THEN 'medium' ELSE 'none' END AS confidence_cap, nd::INT AS domain_frames, rep AS has_repro FROM g"""
+        (ns = 0 AND NOT loc) OR (ns <= 1 AND NOT rep AND NOT al AND NOT fe AND NOT ori) OR (NOT loc AND nd = 0 AND NOT rep) AS minimal, NOT loc OR ns <= 2 OR anchor = 0 AS weak FROM e),
+      h AS (SELECT *, CASE WHEN minimal THEN 'low' WHEN sink THEN CASE WHEN ns >= 3 OR rep THEN 'medium' ELSE 'low' END WHEN weak OR uaf OR uni THEN 'medium' ELSE 'none' END AS cap FROM g)
+      SELECT card_id, CASE WHEN minimal THEN 'minimal' WHEN sink OR weak THEN 'limited' ELSE 'sufficient' END AS tier, cap AS confidence_cap, nd::INT AS domain_frames, rep AS has_repro,
+        CASE WHEN minimal THEN 'minimal' WHEN sink OR weak THEN 'short' ELSE 'normal' END AS rounds,
+        array_to_string(list_sort(list_filter([CASE WHEN ns = 0 THEN 'no_stack' END, CASE WHEN anchor = 0 THEN 'no_anchor_trace' END, CASE WHEN func = '' THEN 'missing_primary_function' END, CASE WHEN file = '' THEN 'missing_primary_file' END,
+          CASE WHEN sink THEN 'generic_or_low_value_sink_only' END, CASE WHEN uaf THEN 'uaf_missing_alloc_or_free_trace' END, CASE WHEN uni THEN 'kmsan_missing_origin_trace' END], lambda x: x IS NOT NULL)), '|') AS reasons,
+        split_part(CASE WHEN minimal THEN 'Crash evidence is minimal. ' WHEN cap = 'medium' THEN 'Crash evidence is limited or a sanitizer-specific trace is incomplete. ' ELSE 'Crash evidence is sufficient for normal source-guided representation. ' END, '.', 1) AS instruction FROM h"""
 
 
 @query(_sql_quality())
@@ -458,7 +508,8 @@ def quality_tier(spark: SparkSession, d: str) -> DataFrame:
     """Input quality of every card."""
     cards = ql.input_quality(_cards(spark, d, "card_id", "bug", "fault", "repro", "reproducer_semantics", "stack_semantic", "anchor_trace", "sanitizer_context"))
     q = "input_quality"
-    return cards.select("card_id", f"{q}.tier", f"{q}.confidence_cap", F.col(f"{q}.metrics.domain_frame_count").alias("domain_frames"), F.col(f"{q}.metrics.has_reproducer_semantics").alias("has_repro"))
+    return cards.select("card_id", f"{q}.tier", f"{q}.confidence_cap", F.col(f"{q}.metrics.domain_frame_count").alias("domain_frames"), F.col(f"{q}.metrics.has_reproducer_semantics").alias("has_repro"),
+        F.col(f"{q}.recommended_tool_rounds").alias("rounds"), F.array_join(f"{q}.missing_or_weak_evidence", "|").alias("reasons"), F.substring_index(f"{q}.model_instruction", ".", 1).alias("instruction"))
 
 
 @query("""WITH b AS (SELECT doc_id, source, text, sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM documents WHERE text IS NOT NULL)
@@ -469,7 +520,8 @@ def budget_prefix(spark: SparkSession, d: str) -> DataFrame:
     return ql.running_budget(docs, "source", "doc_id", "size", ql.TEXT_BUDGET).select("doc_id", "source")
 
 
-@query()
+@query(f"""WITH f AS (SELECT card_id, list_filter(list_transform(stack_semantic, lambda f: f.raw), lambda x: x IS NOT NULL AND {_strip('x')} <> '') AS l FROM crash_cards WHERE stack_semantic IS NOT NULL)
+SELECT card_id, CASE WHEN len(l) = 0 THEN '' ELSE array_to_string((list_reduce(list_transform(l, lambda x: {{'k': [x], 'u': length(x)}}), lambda a, b: CASE WHEN a.u + b.u <= 150 THEN {{'k': a.k || b.k, 'u': a.u + b.u}} ELSE a END)).k, '|') END AS kept FROM f""")
 def budget_pack(spark: SparkSession, d: str) -> DataFrame:
     """Frames' raw lines of each card that fit a budget one after the other."""
     c = _cards(spark, d, "card_id", "stack_semantic").filter("stack_semantic IS NOT NULL")
@@ -489,14 +541,24 @@ def json_extract(spark: SparkSession, d: str) -> DataFrame:
 
 @query(rf"""WITH j AS (SELECT raw_id, {_BODY} AS doc FROM raw_cause_cards), o AS (SELECT raw_id, doc::JSON AS v FROM j WHERE doc IS NOT NULL AND json_type(doc) = 'OBJECT'),
   x AS (SELECT raw_id, CASE WHEN json_type(v, '$.violated_invariant') = 'OBJECT' THEN v ->> '$.violated_invariant.expected' END AS e, CASE WHEN json_type(v, '$.violated_invariant') = 'OBJECT' THEN v ->> '$.violated_invariant.actual' END AS a,
-    CASE WHEN json_type(v, '$.violated_invariant') = 'VARCHAR' THEN v ->> '$.violated_invariant' END AS p, CASE WHEN json_type(v, '$.violated_invariant') = 'OBJECT' THEN v ->> '$.violated_invariant.invariant' END AS i FROM o)
-SELECT raw_id, coalesce(e, i, CASE WHEN e IS NOT NULL OR a IS NOT NULL THEN 'expected: ' || coalesce(e, 'None') || '; actual: ' || coalesce(a, 'None') END, p) AS expected, CASE WHEN e IS NOT NULL THEN 'high' ELSE 'medium' END AS weight
-FROM x WHERE coalesce(e, i, a, p) IS NOT NULL""")
+    CASE WHEN json_type(v, '$.violated_invariant') = 'VARCHAR' THEN v ->> '$.violated_invariant' END AS p, CASE WHEN json_type(v, '$.violated_invariant') = 'OBJECT' THEN v ->> '$.violated_invariant.invariant' END AS i FROM o),
+  s AS (SELECT *, coalesce(i, CASE WHEN e IS NOT NULL OR a IS NOT NULL THEN 'expected: ' || coalesce(e, 'None') || '; actual: ' || coalesce(a, 'None') END, p) AS said FROM x)
+SELECT raw_id, 'I1' AS invariant_id, coalesce(e, said) AS expected, coalesce(a, said) AS violation, 'E1' AS basis, 'indirect' AS evidence_level, CASE WHEN e IS NOT NULL THEN 'high' ELSE 'medium' END AS weight FROM s WHERE said IS NOT NULL""")
 def cause_invariants(spark: SparkSession, d: str) -> DataFrame:
-    """The violated invariant of every model answer, whatever its layout."""
-    docs = table(spark, d, "raw_cause_cards", "raw_id", "body").select("raw_id", cc.extract_json(F.col("body")).alias("v")).filter(cc.is_object(F.col("v")))
-    ledger = F.array().cast("array<struct<evidence_id:string>>")
-    return docs.select("raw_id", F.explode(cc.invariant_signals(F.col("v"), ledger)).alias("i")).select("raw_id", "i.expected", F.col("i.dedup_weight").alias("weight"))
+    """The violated invariant of every model answer, whatever its layout, with its evidence from the ledger."""
+    docs = _answers(spark, d)
+    found = cc.invariant_signals(F.col("v"), _ledger())
+    return docs.select("raw_id", F.explode(found).alias("i")).select("raw_id", "i.invariant_id", "i.expected", F.col("i.observed_or_suspected_violation").alias("violation"), F.array_join("i.source_basis", ",").alias("basis"), "i.evidence_level", F.col("i.dedup_weight").alias("weight"))
+
+
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    """Every model answer that holds a JSON object: ``raw_id, v``."""
+    return table(spark, d, "raw_cause_cards", "raw_id", "body").select("raw_id", cc.extract_json(F.col("body")).alias("v")).filter(cc.is_object(F.col("v")))
+
+
+def _ledger() -> Column:
+    v = F.col("v")
+    return cc.evidence_ledger(v, F.try_variant_get(v, "$.source_crash_id", "string"), F.lit("a title"), F.array(F.lit("anchor_a "), F.lit(""), F.lit("anchor_b")), cc.root_locations(v), cc.source_evidence(v))
 
 
 @query()
@@ -535,7 +597,7 @@ SELECT token, {_sql_canonical('token')} AS canonical FROM t WHERE token IS NOT N
 def canonical_token(spark: SparkSession, d: str) -> DataFrame:
     """Canonical form of every token."""
     t = table(spark, d, "cause_cards", "dedup_representation").select(F.explode(F.concat("dedup_representation.must_match_tokens", "dedup_representation.should_match_tokens")).alias("token")).filter("token IS NOT NULL").distinct()
-    return t.select("token", tx.canonical_token(F.col("token"), fold=True).alias("canonical"))
+    return t.select("token", tx.canonical_token(F.col("token")).alias("canonical"))
 
 
 @query(rf"""WITH t AS (SELECT DISTINCT unnest(dedup_representation.surface_tokens) AS token FROM cause_cards),
@@ -580,11 +642,12 @@ def final_fields(spark: SparkSession, d: str) -> DataFrame:
     return _feature_rows(spark, d).select("cause_row", *[F.array_join(f"fields.{k}", "|").alias(k) for k in ft.FINAL_FIELDS])
 
 
-@query("WITH f AS (" + _sql_fields() + ") SELECT count(*) AS records, " + ", ".join(f"count(*) FILTER (nullif({k}, '') IS NOT NULL) AS nonempty_{k}" for k in ft.FINAL_FIELDS) + " FROM f")
+@query("WITH f AS (" + _sql_fields() + "), j AS (SELECT f.*, r.true_label, coalesce(r.weight, 1.0) AS weight FROM f JOIN cause_cards c USING (cause_row) JOIN feature_rows r ON r.cause_card_id = c.cause_id) SELECT count(*) AS records, count(DISTINCT true_label) AS labels, round(sum(weight), 3) AS total_weight, "
+       + ", ".join(f"count(*) FILTER (nullif({k}, '') IS NOT NULL) AS nonempty_{k}" for k in ft.FINAL_FIELDS) + " FROM j")
 def feature_summary(spark: SparkSession, d: str) -> DataFrame:
-    """Cards with each field filled."""
-    rows = _feature_rows(spark, d).withColumns({"true_label": F.lit(""), "weight": F.lit(1.0)})
-    return ft.feature_summary(rows).drop("labels", "total_weight")
+    """Labels, total weight and fields filled over the records' cards."""
+    records = table(spark, d, "feature_rows", F.col("cause_card_id").alias("cause_id"), "true_label", F.coalesce("weight", F.lit(1.0)).alias("weight"))
+    return ft.feature_summary(_feature_rows(spark, d).join(records, "cause_id")).withColumn("total_weight", F.round("total_weight", 3))
 
 
 _WORDS = r"trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(t, ':', ' '), '->', '.'), '[\[\]{}<>\"''`]', ' ', 'g'), '[_/\\|,;]+', ' ', 'g'), '\s+', ' ', 'g'))"
@@ -609,13 +672,13 @@ _UNIT = "list_transform({v}::DOUBLE[], lambda x: CASE WHEN {n} > 0 THEN x / {n}
 
 
 @query("""WITH n AS (SELECT vec_id, vector::DOUBLE[] AS v, sqrt(list_sum(list_transform(vector::DOUBLE[], lambda x: x * x))) AS n FROM vectors WHERE vector IS NOT NULL)
-SELECT vec_id, round(n, 5) AS norm, array_to_string(list_transform(v[:4], lambda x: round(1000 * CASE WHEN n > 0 THEN x / n ELSE x END)::BIGINT), '|') AS head FROM n""")
+SELECT vec_id, round(n, 5) AS norm, array_to_string(list_transform(v, lambda x: round(1000 * CASE WHEN n > 0 THEN x / n ELSE x END)::BIGINT), '|') AS thousandths FROM n""")
 def l2_normalize(spark: SparkSession, d: str) -> DataFrame:
     """Vectors at length 1."""
     v = table(spark, d, "vectors", "vec_id", "vector").filter("vector IS NOT NULL")
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    head = F.array_join(F.transform(F.slice(em.unit(F.col("vector")), 1, 4), lambda x: F.round(1000 * x).cast("long").cast("string")), "|")
-    return v.select("vec_id", F.round(norm, 5).alias("norm"), head.alias("head"))
+    whole = F.array_join(F.transform(em.unit(F.col("vector")), lambda x: F.round(1000 * x).cast("long").cast("string")), "|")
+    return v.select("vec_id", F.round(norm, 5).alias("norm"), whole.alias("thousandths"))
 
 
 @query("SELECT vec_id, len(vector[:16]) AS dims, round(list_sum(vector[:16]::DOUBLE[]), 4) AS total FROM vectors WHERE vector IS NOT NULL")
@@ -679,15 +742,26 @@ def select_threshold(spark: SparkSession, d: str) -> DataFrame:
     return lk.select_by_silhouette(lk.with_external_metrics(_grid(spark, d), truth)).drop("block")
 
 
-@query("""WITH k AS (SELECT DISTINCT left(text, 200) AS t, sha256('m' || chr(0) || chr(0) || left(text, 200)) AS cache_key, doc_id FROM documents WHERE trim(left(text, 200), E' \\t\\r\\n') <> '')
-SELECT cache_key FROM k GROUP BY cache_key HAVING min(CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 1 END) = 1""".replace("chr(0)", "chr(1)"))
+_KEY = "sha256('m'::BLOB || '\\x00\\x00'::BLOB || encode(text))"
+
+
+@query(f"""WITH k AS (SELECT {_KEY} AS cache_key, coalesce(source, '') = 'list_mail' AS cached FROM documents WHERE {_strip('text')} <> '')
+SELECT cache_key FROM k GROUP BY cache_key HAVING NOT bool_or(cached)""")
 def cache_anti_join(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct texts that a cache of every other document lacks."""
-    docs = _documents(spark, d).select("doc_id", F.left("text", F.lit(200)).alias("text"))
-    key = F.sha2(F.concat(F.lit("m\x01\x01"), "text"), 256)
-    cache = docs.filter(F.col("doc_id") % 2 == 0).select(key.alias("cache_key")).distinct()
-    keyed = docs.filter(tx.strip(F.col("text")) != "").select(key.alias("cache_key")).distinct()
-    return keyed.join(cache, "cache_key", "left_anti")
+    """Keys of the distinct texts that a cache of one source's texts lacks."""
+    docs = table(spark, d, "documents", "source", "text")
+    cache = docs.filter("source = 'list_mail'").select(em.cache_key(F.col("text"), "m").alias("cache_key"))
+    return em.cache_misses(docs, cache, "m").select("cache_key")
+
+
+@query(f"""WITH k AS (SELECT {_KEY} AS cache_key, doc_id, epoch_us(created_at) AS ts FROM documents WHERE text IS NOT NULL AND created_at IS NOT NULL)
+SELECT cache_key, dim FROM (SELECT cache_key, (doc_id % 7)::INT AS dim, row_number() OVER (PARTITION BY cache_key ORDER BY ts DESC, doc_id DESC) AS r FROM k) WHERE r = 1""")
+def cache_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """The entry of every cached text that the last write left."""
+    docs = table(spark, d, "documents", "doc_id", "text", "created_at").filter("text IS NOT NULL AND created_at IS NOT NULL")
+    at = F.unix_micros("created_at") / 1e6
+    rows = docs.select(em.cache_key(F.col("text"), "m").alias("cache_key"), F.lit("m").alias("model"), F.format_string("%012d", "doc_id").alias("text_sha256"), (F.col("doc_id") % 7).cast("int").alias("dim"), F.array(F.lit(1.0).cast("float")).alias("vector"), at.alias("created_at"))
+    return em.latest_cache(rows).select("cache_key", "dim")
 
 
 # --- resume, manifests, lookups ------------------------------------------------------------------------------------
@@ -703,15 +777,26 @@ def manifest_exists(spark: SparkSession, d: str) -> DataFrame:
     return ar.manifest(_cards(spark, d, "big_bucket", "case_id").distinct(), _labels(spark, d), ["case_id"]).select("big_bucket", "case_id", "exists")
 
 
-@query("SELECT cause_id, source_small_bucket FROM cause_cards WHERE source_small_bucket IN (SELECT cluster_key FROM crash_cards)")
+@query("SELECT cause_id AS path FROM cause_cards WHERE cause_id IN (SELECT cause_card_id FROM feature_rows)")
 def semi_join(spark: SparkSession, d: str) -> DataFrame:
-    """Cause cards whose bucket exists."""
-    cards = _cards(spark, d, "cluster_key").distinct().withColumnRenamed("cluster_key", "source_small_bucket")
-    return table(spark, d, "cause_cards", "cause_id", "source_small_bucket").join(cards, "source_small_bucket", "left_semi").select("cause_id", "source_small_bucket")
+    """Listed cause cards that exist among the records' cards."""
+    listed = table(spark, d, "cause_cards", F.concat(F.lit("lists/../"), "cause_id").alias("path"))
+    there = table(spark, d, "feature_rows", F.concat(F.lit("/data/./cards/"), "cause_card_id").alias("path"))
+    found, _ = ar.selected_cards(listed, there, "/data/cards")
+    return found.select(F.replace("path", F.lit("/data/cards/"), F.lit("")).alias("path"))
+
+
+@query("SELECT cause_id AS path FROM cause_cards WHERE cause_id NOT IN (SELECT cause_card_id FROM feature_rows WHERE cause_card_id IS NOT NULL)")
+def missing_cards(spark: SparkSession, d: str) -> DataFrame:
+    """Listed cause cards that no record has, which a run would warn of."""
+    there = table(spark, d, "feature_rows", F.col("cause_card_id").alias("path"))
+    return ar.selected_cards(table(spark, d, "cause_cards", F.col("cause_id").alias("path")), there)[1]
 
 
-@query("""SELECT cause_card_id, count(*) AS n, sum(coalesce(weight, 1.0)) AS weight FROM feature_rows f WHERE cause_card_id IN (SELECT cause_id FROM cause_cards) GROUP BY 1""")
+@query("""SELECT coalesce(f.true_label, '') || '/' || coalesce(f.copied_file_name, '') AS record_id, f.cause_card_id, coalesce(f.weight, 1.0) AS weight, coalesce(f.unique_case_count, f.weight, 1.0) AS cases
+FROM feature_rows f JOIN cause_cards c ON c.cause_id = f.cause_card_id""")
 def record_weights(spark: SparkSession, d: str) -> DataFrame:
-    """Weights of the records that have a cause card."""
-    rows = table(spark, d, "feature_rows", "cause_card_id", "weight").join(table(spark, d, "cause_cards", F.col("cause_id").alias("cause_card_id")), "cause_card_id", "left_semi")
-    return rows.groupBy("cause_card_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("weight", F.lit(1.0))).alias("weight"))
+    """Records with their cards and weights; a missing weight counts as 1, missing cases as the weight."""
+    cards = table(spark, d, "cause_cards", F.col("cause_id").alias("cause_card_id"))
+    rows = table(spark, d, "feature_rows", "cause_card_id", F.col("true_label").alias("directory_name"), "copied_file_name", F.col("weight").cast("string").alias("represented_crash_row_count"), F.col("unique_case_count").cast("string").alias("unique_case_count"))
+    return ft.build_records(rows.join(cards, "cause_card_id", "left_semi"), cards, ["cause_card_id"]).select("record_id", "cause_card_id", "weight", F.col("unique_case_count").alias("cases"))
