@@ -25,7 +25,10 @@ def p1_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     trust = F.col("normalized_report_digest").isNotNull().cast("int")
     best = survivors.ranked_survivors(cards, survivors.cluster_group(), "card_id", survivors.crash_card_completeness(), trust, F.col("ingested_at"))
     records = survivors.surviving_records(cards, best, "card_id", fields)
-    return records.select("group_id", F.col("n_rows").alias("n_cards"), *[f"{f}_from" for f in fields], *[F.to_json(f).alias(f) for f in fields])
+    funcs = lambda trace: F.array_join(F.transform(trace, lambda f: F.coalesce(f["func"], F.lit("?"))), "|")
+    return records.select(
+        "group_id", F.col("n_rows").alias("n_cards"), *[f"{f}_from" for f in fields], "repro.has_syz_repro", "repro.has_c_repro", F.array_join("repro.syscall_hints", "|", "?").alias("syscall_hints"),
+        F.array_join("reproducer_semantics.syscalls", "|", "?").alias("syscalls"), F.col("reproducer_semantics.syz_repro_excerpt").alias("excerpt"), funcs("stack_semantic").alias("stack"), funcs("sanitizer_context.alloc_trace").alias("alloc_trace"))
 
 
 def _tuples(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -175,7 +178,7 @@ marked AS (SELECT *, CASE WHEN n_cards <= 2 THEN 'rare' WHEN n_cards * 100 >= 30
 """
 
 
-def _p1_sql() -> str:
+def _p1_scores(more: str = "") -> str:
     norm = "regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
     known = "('', 'na', 'none', 'null', 'unknown')"
 
@@ -196,13 +199,46 @@ def _p1_sql() -> str:
         "sanitizer_context": (" + ".join(frames(f"sanitizer_context.{k}") for k in survivors.TRACES), "0"),
         "stack_semantic": (frames("stack_semantic"), "0"),
     }
-    union = " UNION ALL ".join(f"SELECT g, card_id, '{n}' AS field_name, {a} AS s0, coalesce({b}, 0) AS s1 FROM cards" for n, (a, b) in score.items())
+    union = " UNION ALL ".join(f"SELECT g, card_id, '{n}' AS field_name, {a} AS s0, coalesce({b}, 0) AS s1, normalized_report_digest IS NOT NULL AS trust, ingested_at FROM cards" for n, (a, b) in score.items())
     return f"""
 WITH cards AS (SELECT *, {norm.format('cluster_key')} AS g FROM crash_cards),
-groups AS (SELECT g, min(card_id) AS group_id FROM cards WHERE g <> '' GROUP BY g HAVING count(*) > 1),
+groups AS (SELECT g, min(card_id) AS group_id, count(*) AS n_cards FROM cards WHERE g <> '' GROUP BY g HAVING count(*) > 1),
 scored AS ({union}),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY g, field_name ORDER BY s0 DESC, s1 DESC, card_id) AS r FROM scored WHERE s0 > 0 OR s1 > 0)
-SELECT group_id, field_name, card_id FROM ranked JOIN groups USING (g) WHERE r = 1"""
+ranked AS (SELECT *, row_number() OVER (PARTITION BY g, field_name ORDER BY s0 DESC, s1 DESC, {more} card_id) AS r FROM scored WHERE s0 > 0 OR s1 > 0)"""
+
+
+def _p1_records_sql() -> str:
+    fields = ["repro", "reproducer_semantics", "sanitizer_context", "stack_semantic"]
+    own = ", ".join(f"max(card_id) FILTER (field_name = '{f}') AS {f}_from" for f in fields)
+    joins = " ".join(f"LEFT JOIN crash_cards c{i} ON c{i}.card_id = b.{f}_from" for i, f in enumerate(fields))
+    funcs = lambda t: f"array_to_string(list_transform({t}, lambda f: coalesce(f.func, '?')), '|')"
+    texts = lambda t: f"array_to_string(list_transform({t}, lambda x: coalesce(x, '?')), '|')"
+    return _p1_scores("trust DESC, ingested_at DESC NULLS LAST,") + f""", b AS (SELECT group_id, n_cards, {own} FROM ranked JOIN groups USING (g) WHERE r = 1 GROUP BY group_id, n_cards)
+SELECT group_id, n_cards, {', '.join(f'{f}_from' for f in fields)}, c0.repro.has_syz_repro AS has_syz_repro, c0.repro.has_c_repro AS has_c_repro, {texts('c0.repro.syscall_hints')} AS syscall_hints,
+  {texts('c1.reproducer_semantics.syscalls')} AS syscalls, c1.reproducer_semantics.syz_repro_excerpt AS excerpt, {funcs('c3.stack_semantic')} AS stack, {funcs('c2.sanitizer_context.alloc_trace')} AS alloc_trace FROM b {joins}"""
+
+
+# Records in one spelling: JSON text with every string reduced, map entries and object members in order.
+_NORM = "regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
+
+
+def _reduced(json: str) -> str:
+    return f"array_to_string(list_transform(string_split(regexp_replace({json}, '\\\\(u[0-9a-fA-F]{{4}}|.)', '', 'g'), '\"'), lambda p, i: CASE WHEN i % 2 = 0 THEN {_NORM.format('p')} ELSE p END), '\"')"
+
+
+_CARD_FIELDS = ["schema_version", "case_id", "big_bucket", "cluster_key", "crash_uid", "title", "time", "kernel_tree", "kernel_commit", "manager", "bug", "fault", "repro", "reproducer_semantics", "stack_semantic",
+                "anchor_trace", "sanitizer_context", "source_context", "machine_info_digest", "normalized_report_digest", "layer2_signature_hash"]
+_MEMBER = f"CASE WHEN json_type(e) = 'OBJECT' THEN array_to_string(list_sort(list_transform(json_keys(e), lambda k: {_NORM.format('k')} || '=' || {_reduced(chr(40) + 'e -> k' + chr(41) + '::VARCHAR')})), ',') ELSE {_reduced('e::VARCHAR')} END"
+_VALUE = f"CASE WHEN json_type(v -> m) = 'ARRAY' THEN '[' || array_to_string(list_transform(from_json(v -> m, '[\"JSON\"]'), lambda e: {_MEMBER}), ';') || ']' ELSE {_reduced(chr(40) + 'v -> m' + chr(41) + '::VARCHAR')} END"
+_COPIES = f"""
+WITH c AS (SELECT 'crash_cards' AS table_name, card_id AS id, {_reduced("to_json({" + ", ".join(f"'{f}': {f}" for f in _CARD_FIELDS) + "})::VARCHAR")} || coalesce(array_to_string(list_sort(list_transform(map_entries(config_features), lambda e: {_NORM.format('e.key')} || '=' || coalesce({_NORM.format('e.value')}, '<null>'))), ','), '<null>') AS record FROM crash_cards),
+l AS (SELECT 'case_labels' AS table_name, row_id AS id, {_reduced("to_json([bug_id, case_id, final_ground_truth_id])::VARCHAR")} AS record FROM case_labels),
+b AS (SELECT line_id, regexp_replace(body, '^[\\s\\x{{feff}}\\x00]+|[\\s\\x{{feff}}\\x00]+$', '', 'g') AS body FROM crash_lines),
+j AS (SELECT line_id, CASE WHEN json_valid(body) THEN body::JSON END AS v FROM b),
+n AS (SELECT 'crash_lines' AS table_name, line_id AS id, CASE WHEN v IS NULL THEN NULL WHEN json_type(v) = 'OBJECT' THEN array_to_string(list_sort(list_transform(json_keys(v), lambda m: m || '=' || {_VALUE})), '|') ELSE {_reduced('v::VARCHAR')} END AS record FROM j),
+r AS (SELECT table_name, id, coalesce(record, 'broken ' || id) AS record FROM (FROM c UNION ALL FROM l UNION ALL FROM n)),
+f AS (SELECT *, min(id) OVER (PARTITION BY table_name, record) AS first_id FROM r)
+"""
 
 
 _WORDS = r"""list_filter(list_transform(regexp_split_to_array(lower(text), '[\s\p{Z}\x0b\x1c-\x1f\x{85}]+'), lambda w: regexp_replace(w, '[^\p{L}\p{N}]+', '', 'g')), lambda w: w <> '')"""
@@ -220,7 +256,16 @@ SQL = {
     + """, g AS (SELECT a, list(b ORDER BY b) AS m FROM s WHERE sim >= 0.70 GROUP BY a), c AS (SELECT m FROM g GROUP BY m HAVING count(*) = len(m) AND len(m) >= 3)
 SELECT first_id, vec_id FROM (SELECT m[1] AS first_id, unnest(m) AS vec_id FROM c) WHERE vec_id <> first_id""",
     "p8_found": "WITH d AS (" + _GRAMS.replace("{id}", "doc_id").replace("{table}", "documents") + "), e AS (" + _GRAMS.replace("{id}", "item_id").replace("{table}", "eval_items") + ") SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (gram)",
-    "p1_found": _p1_sql(),
+    "p1_found": _p1_scores() + " SELECT group_id, field_name, card_id FROM ranked JOIN groups USING (g) WHERE r = 1",
+    "p1_records": _p1_records_sql(),
+    "p2_found": _COPIES + "SELECT table_name, first_id, id AS copy_id FROM f WHERE id <> first_id",
+    "p2_records": _COPIES + "SELECT table_name, first_id, count(*) AS n_copies FROM f GROUP BY table_name, first_id",
+    "p5_neighbours": _UNIT_PAIRS.format(on="a.vec_id <> b.vec_id")
+    + """SELECT a AS vec_id, x.cause_card_id, b AS other_id, y.cause_card_id AS other_cause_card_id, sim AS similarity, r::INT AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS r FROM s) t JOIN vectors x ON x.vec_id = t.a JOIN vectors y ON y.vec_id = t.b WHERE r <= 5""",
+    "p8_spans": "WITH d AS (" + _GRAMS.replace("{id}", "doc_id").replace("gram FROM (SELECT", "gram, i - 1 AS pos FROM (SELECT").replace("{table}", "documents") + "), e AS (" + _GRAMS.replace("{id}", "item_id").replace("{table}", "eval_items")
+    + """), h AS (SELECT DISTINCT doc_id, item_id, pos FROM d JOIN e USING (gram)), n AS (SELECT *, coalesce(pos > lag(pos) OVER (PARTITION BY doc_id, item_id ORDER BY pos) + 16, true)::INT AS new FROM h),
+p AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, item_id ORDER BY pos) AS span FROM n) SELECT doc_id, item_id, min(pos) AS first_word, max(pos) + 16 AS end_word FROM p GROUP BY doc_id, item_id, span""",
     "p2_label_records": r"""
 SELECT min(row_id) AS first_id, count(*) AS n_copies FROM case_labels
 GROUP BY regexp_replace(lower(bug_id), '[^\p{L}\p{N}]+', '', 'g'), regexp_replace(lower(case_id), '[^\p{L}\p{N}]+', '', 'g'),
