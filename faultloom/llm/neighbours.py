@@ -22,6 +22,8 @@ GATHERED = FAR_PROBES * V.SPLIT
 #: A pair stays for reranking if its approximate score is within so many standard errors of the k-th best.
 MARGIN = 4.0
 CENTRES = 16
+#: Vectors on which the codebook is fitted.
+CODEBOOK_ROWS = 4096
 #: Pairs whose approximate, and whose exact scores a task holds at once; they bound its memory, not its result.
 SCANNED, RERANKED = 2_000_000, 40_000
 
@@ -57,21 +59,24 @@ class AnisotropicCodes:
         return own
 
     def _assign(self, r: np.ndarray, u: np.ndarray, sweeps: int = 1) -> np.ndarray:
+        """Codes of each row: the nearest centre of every subspace, then, sweep by sweep, the one with the least loss given the others."""
         n, subs, _ = r.shape
         codes = np.empty((n, subs), np.uint8)
         along = np.zeros(n, np.float32)
+        at = np.arange(n)
+        near, par = [], []
         for s in range(subs):
-            d = ((r[:, s, None, :] - self.books[s]) ** 2).sum(2)
-            codes[:, s] = d.argmin(1)
-            along += ((r[:, s] - self.books[s][codes[:, s]]) * u[:, s]).sum(1)
+            b = self.books[s].T.astype(np.float32)
+            near.append((b * b).sum(0) - 2 * (r[:, s] @ b))  # squared distance, less the row's own square
+            par.append((r[:, s] * u[:, s]).sum(1)[:, None] - u[:, s] @ b)
+            codes[:, s] = near[s].argmin(1)
+            along += par[s][at, codes[:, s]]
         for _ in range(sweeps):
             for s in range(subs):
-                diff = r[:, s, None, :] - self.books[s]
-                par = (diff * u[:, s, None, :]).sum(2)
-                rest = along - par[np.arange(n), codes[:, s]]
-                best = ((diff**2).sum(2) + (self.weight - 1) * (rest[:, None] + par) ** 2).argmin(1)
+                rest = along - par[s][at, codes[:, s]]
+                best = (near[s] + (self.weight - 1) * (rest[:, None] + par[s]) ** 2).argmin(1)
                 codes[:, s] = best
-                along = rest + par[np.arange(n), best]
+                along = rest + par[s][at, best]
         return codes
 
     def _refit(self, r: np.ndarray, u: np.ndarray, codes: np.ndarray, anisotropic: bool) -> None:
@@ -245,13 +250,14 @@ def most_similar(df: DataFrame, vec_id: str, vector: str, k: int = 5, least: flo
     k-th best is below ``GATHER`` (and below nothing a fine cell can hold), and rows of fine cells too large to be gathered
     (``GATHERED``), ask in their ``FAR_PROBES`` nearest coarse cells, where every vector stands ``SPILL`` times. Coarse cells with more
     than ``vectors.SPLIT`` rows are split, so a dense group of any size is searched piece by piece. The codebook is fitted on at most
-    ``vectors.FIT_ROWS`` vectors; all vectors are indexed and searched for.
+    ``CODEBOOK_ROWS`` vectors; all vectors are indexed and searched for.
     """
     spark = df.sparkSession
     empty = spark.createDataFrame([], "vec_id long, other_id long, similarity double, rank int")
     coders = []
 
     def encoder(sample: np.ndarray, coarse: np.ndarray):
+        sample = sample[:CODEBOOK_ROWS]
         coders.append(AnisotropicCodes.fit(sample - coarse[V.nearest_seed(sample, coarse)[0]], sample))
         return coders[0].encode
 
