@@ -58,11 +58,19 @@ def water_filling(shares: dict[str, float], caps: dict[str, float], total: float
     return out
 
 
-def mixing_plan(counts: DataFrame, targets: DataFrame, total: int | None = None) -> list[tuple]:
+def feasible_total(shares: dict[str, float], caps: dict[str, float]) -> float:
+    """The largest total of which every source that has tokens can give its share within its cap; the shares of the others fall away."""
+    weights = {s: w for s, w in shares.items() if w > 0 and caps[s] > 0}
+    scale = sum(weights.values())
+    return min((caps[s] * scale / w for s, w in weights.items()), default=0.0)
+
+
+def mixing_plan(counts: DataFrame, targets: DataFrame, total: int | str | None = None) -> list[tuple]:
     """``source, target_share, max_repeats, available, planned`` per listed source; the list is as long as ``targets``.
 
     Rows of ``targets`` naming one source are added up (with the least cap); shares are scaled to a sum of 1; a null share is 0, a null
-    cap 1, a negative one 0. Without ``total`` as many tokens are planned as the listed sources have.
+    cap 1, a negative one 0. Without ``total`` as many tokens are planned as the listed sources have; ``"feasible"`` plans as many as meet
+    all shares (:func:`feasible_total`).
     """
     have = {r["source"]: r["n"] or 0 for r in counts.join(F.broadcast(targets.select("source").distinct()), "source", "left_semi").groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
     share: dict[str, float] = {}
@@ -73,12 +81,13 @@ def mixing_plan(counts: DataFrame, targets: DataFrame, total: int | None = None)
         cap[r["source"]] = min(cap.get(r["source"], times), times)
     scale = sum(share.values()) or 1.0
     share = {s: w / scale for s, w in share.items()}
-    total = sum(have.get(s, 0) for s in share) if total is None else total
-    planned = water_filling(share, {s: float(cap[s] * have.get(s, 0)) for s in share}, float(total))
+    caps = {s: float(cap[s] * have.get(s, 0)) for s in share}
+    total = sum(have.get(s, 0) for s in share) if total is None else feasible_total(share, caps) if total == "feasible" else total
+    planned = water_filling(share, caps, float(total))
     return [(s, share[s], cap[s], have.get(s, 0), planned[s]) for s in sorted(share)]
 
 
-def mixture(documents: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 7, path: str = TOKENIZER, label: str = "p9") -> tuple[DataFrame, DataFrame]:
+def mixture(documents: DataFrame, targets: DataFrame, total: int | str | None = None, seed: int = 7, path: str = TOKENIZER, label: str = "p9") -> tuple[DataFrame, DataFrame]:
     """The mixture ``doc_id, source, n_tokens, copies`` and its report
     ``source, target_share, max_repeats, available_tokens, planned_tokens, used_tokens, actual_share, epochs``.
 

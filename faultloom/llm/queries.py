@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..sources.tables import table
 from . import clusters, copies, leaks, mixing, neighbours, survivors, terms, truncation
 
@@ -115,6 +116,28 @@ def p7_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(names, "vec_id").select(F.col("cluster").alias("first_id"), "size", "weight", "rank", "vec_id", "record_id")
 
 
+def p7_token_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of cause cards by their tokens, hashed with weights: what many records share counts more than one card's own words.
+
+    A token's weight is the log of the ``feature_rows.weight`` of the records whose cards have it, over that of the average token.
+    """
+    cards = table(spark, sf_dir, "cause_cards", "cause_row", "cause_id", "dedup_representation")
+    records = table(spark, sf_dir, "feature_rows", F.col("cause_card_id").alias("cause_id"), "record_id", "weight").dropDuplicates(["cause_id", "record_id"])
+    per_card = records.groupBy("cause_id").agg(F.sum(F.coalesce("weight", F.lit(0.0))).alias("w"))
+    fields = [F.coalesce(F.col(f"dedup_representation.{n}"), F.array().cast("array<string>")) for n in ("must_match_tokens", "should_match_tokens", "surface_tokens")]
+    tokens = cards.join(per_card, "cause_id", "left").select("cause_row", F.coalesce("w", F.lit(0.0)).alias("w"), F.explode(tx.ordered_unique(F.concat(*fields))).alias("token"))
+    sums = tokens.groupBy("token").agg(F.sum("w").alias("tw"))
+    mean = sums.agg(F.avg("tw").alias("mean"))
+    shared = sums.crossJoin(F.broadcast(mean)).select("token", F.greatest(F.log((F.col("tw") + 1) / (F.col("mean") + 1)), F.lit(0.05)).alias("weight"))
+    listed = tokens.join(shared, "token").groupBy("cause_row", "w").agg(F.array_sort(F.collect_list(F.struct("token", "weight"))).alias("t"))
+    vectors = listed.select(F.col("cause_row").alias("vec_id"), clusters.hashed_features(F.col("t.token"), 96, F.col("t.weight")).alias("vector"))
+    cells = clusters.kmeans_cells(vectors, "vec_id", "vector", label="p7-tokens")
+    if cells is None:
+        return spark.createDataFrame([], "first_id long, size long, weight double, rank int, cause_row long")
+    found = clusters.described(clusters.clusters_of(cells), listed.select(F.col("cause_row").alias("vec_id"), F.col("w").alias("weight")))
+    return found.select(F.col("cluster").alias("first_id"), "size", "weight", "rank", F.col("vec_id").alias("cause_row"))
+
+
 def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of document words that repeat 16 or more consecutive words of an evaluation item."""
     return leaks.leaked_spans(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "eval_items", "item_id", "text"))
@@ -135,6 +158,11 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents", "doc_id", "source", "text"), table(spark, sf_dir, "mix_targets"))[1]
 
 
+def p9_feasible_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of every listed source in the largest mixture that meets all targets."""
+    return mixing.mixture(table(spark, sf_dir, "documents", "doc_id", "source", "text"), table(spark, sf_dir, "mix_targets"), "feasible")[1]
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose text was cut off."""
     return truncation.truncation_scores(table(spark, sf_dir, "documents", "doc_id", "source", "text")).filter("cut").select("doc_id")
@@ -158,10 +186,12 @@ QUERIES = {
     "p5_neighbours": p5_neighbours,
     "p7_clusters": p7_clusters,
     "p7_found": p7_found,
+    "p7_token_clusters": p7_token_clusters,
     "p8_found": p8_found,
     "p8_spans": p8_spans,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
+    "p9_feasible_shares": p9_feasible_shares,
     "p10_found": p10_found,
     "p10_sources": p10_sources,
 }

@@ -152,6 +152,18 @@ def test_water_filling():
     assert mixing.water_filling(shares, {"a": 1, "b": 1, "c": 0, "none": 1}, 100) == pytest.approx({"a": 1, "b": 1, "c": 0, "none": 0})
 
 
+def test_feasible_total():
+    assert mixing.feasible_total({"a": 0.5, "b": 0.3, "gone": 0.2}, {"a": 50, "b": 60, "gone": 0}) == pytest.approx(80)
+    assert mixing.feasible_total({}, {}) == 0 and mixing.feasible_total({"a": 1.0}, {"a": 0}) == 0
+
+
+def test_feasible_mixture_meets_all_shares(spark):
+    docs = spark.createDataFrame([(i, "a" if i % 4 else "b", "some words here " * (2 + i % 3)) for i in range(2000)], "doc_id long, source string, text string")
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 2)], "source string, target_share double, max_repeats int")
+    shares = {r["source"]: r for r in mixing.mixture(docs, targets, "feasible")[1].collect()}
+    assert all(abs(r["actual_share"] - 0.5) < 0.01 for r in shares.values()) and shares["b"]["epochs"] == pytest.approx(2, abs=0.05)
+
+
 def test_mixture(spark):
     docs = spark.createDataFrame([(i, ("a", "b", "c", None, "unlisted")[i % 5], f"word {i} " * (3 + i % 7) if i % 11 else None) for i in range(500)], "doc_id long, source string, text string")
     targets = spark.createDataFrame([("a", 0.7, 3), ("b", 0.2, None), ("c", 0.05, 1), ("gone", 0.05, 4)], "source string, target_share double, max_repeats int")
