@@ -272,7 +272,7 @@ def alias_tree(used: dict[str, tuple[int, set[str]]], moves: list[tuple[str, str
             plain = {t for t in types if not t.startswith("array")}
             inner = {k for t in types if t.startswith("array<") for k in t[6:-1].split("|")}
             text = bool(inner) and "object" not in plain | inner and not plain <= inner
-            layout[path] = {"names": [k[1] for k in keys], "members": {}, "array": not text and len(plain) < len(types), "kinds": {"string", *plain, *inner} if text else plain | inner, "text": text}
+            layout[path] = {"names": [k[1] for k in keys], "extra": [], "members": {}, "array": not text and len(plain) < len(types), "kinds": {"string", *plain, *inner} if text else plain | inner, "text": text}
             layout[above]["members"][first] = path
     return canon, layout
 
@@ -297,7 +297,7 @@ def unified(v: object, path: str, layout: dict[str, dict]) -> object:
     def one(x: object) -> object:
         if "object" not in node["kinds"]:
             return _leaf(x, scalars)
-        out = dict.fromkeys(sorted(node["members"]))
+        out = dict.fromkeys(sorted(field_names(path, layout)))
         if scalars:
             out.setdefault("value", None)
         if not isinstance(x, dict):
@@ -311,13 +311,22 @@ def unified(v: object, path: str, layout: dict[str, dict]) -> object:
     return one(v)
 
 
+def field_names(path: str, layout: dict[str, dict]) -> dict[str, str]:
+    """The fields an object may have, each with the path of its layout: its members, and aliases of them that some card has at once."""
+    out = {}
+    for name, below in layout[path]["members"].items():
+        out[name] = below
+        out.update(dict.fromkeys(layout[below]["extra"], below))
+    return out
+
+
 def members_of(card: dict, path: str, layout: dict[str, dict]) -> dict[str, object]:
-    """The members an object has, by canonical name; of several aliases the first that is not null."""
+    """The members an object has, by canonical name; of several aliases at once the first takes that name and the others keep theirs."""
     out = {}
     for name, below in layout[path]["members"].items():
-        found = next((card[a] for a in layout[below]["names"] if card.get(a) is not None), None)
-        if found is not None:
-            out[name] = unified(found, below, layout)
+        present = [a for a in layout[below]["names"] if card.get(a) is not None]
+        for field, alias in zip([name, *present[1:]], present, strict=False):
+            out[field] = unified(card[alias], below, layout)
     return out
 
 
@@ -327,20 +336,26 @@ def consistent_table(bodies: DataFrame) -> DataFrame:
     Aliases and layouts hold at every depth (:func:`alias_tree`, :func:`unified`) and come from one row per distinct path and
     rename, metadata that does not grow with rows. A field that is a number or a boolean everywhere is a double or boolean
     column; any other is text, JSON in one layout for lists and objects. Absent and null members give null. Unreadable bodies
-    give no row. Names that differ in case only get a number, as columns do not differ by case.
+    give no row. Where a card has a field under two of its names, each keeps its own column. Names that differ in case only get a number, as columns do not differ by case.
     """
     catalogue = materialize(file_catalogue(bodies), "p6-catalogue")
     moved = materialize(renames(bodies, catalogue, materialize(_boundaries(catalogue), "p6-boundaries")), "p6-renames")
     used = {r["path"]: (r["n"], set(r["types"])) for r in catalogue.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.collect_set("type").alias("types")).collect()}
     moves = sorted((r["old_path"], r["new_path"]) for r in moved.select("old_path", "new_path").distinct().collect())
-    _, layout = alias_tree(used, moves)
-    fields, columns = sorted(layout[""]["members"]), []
+    canon, layout = alias_tree(used, moves)
+    # Fields of which a file has several names at once get a field for each further name.
+    named = bodies.sparkSession.createDataFrame([(p, c) for p, c in canon.items() if p], "path string, field string")
+    both = catalogue.join(F.broadcast(named), "path").groupBy("producer", "file_no", "field").agg(F.countDistinct("path").alias("n")).filter("n > 1").select("field").distinct()
+    for r in both.collect():
+        layout[r["field"]]["extra"] = layout[r["field"]]["names"][1:]
+    whole = field_names("", layout)
+    fields, columns = sorted(whole), []
     for f in fields:
         name, n = f"card_{f}", 1
         while name.lower() in {c.lower() for c, _ in columns}:
             n += 1
             name = f"card_{f}_{n}"
-        node = layout[layout[""]["members"][f]]
+        node = layout[whole[f]]
         columns.append((name, "string" if node["array"] else {frozenset({"number"}): "double", frozenset({"boolean"}): "boolean"}.get(frozenset(node["kinds"]), "string")))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

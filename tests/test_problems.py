@@ -91,3 +91,18 @@ def test_consistent_table_unifies_every_depth(spark):
     assert [json.loads(r["card_sig"]) for r in rows] == [[{"from": "x", "n": 1}, {"from": "y", "n": 2}]] * 3 + [[{"from": "x", "n": 1}]] + [[{"from": "x", "n": 1}, {"from": "y", "n": 2}]]
     assert [r["card_inv"] and json.loads(r["card_inv"]) for r in rows] == [{"expected": None, "value": "p"}, {"expected": "p", "value": None}, {"expected": None, "value": "p"}, None, {"expected": None, "value": "p"}]
     assert [r["card_it's]"] for r in rows] == [1.0, 2.0, 1.0, None, 1.0]
+
+
+def test_aliases_of_one_producer_do_not_merge_fields_of_another(spark):
+    import json
+
+    card = lambda i, **members: json.dumps({"cause_id": f"c{i}", **members})
+    rows = [
+        (1, "A", 1, card(1, x="same", n={"p": 1})), (2, "A", 2, card(1, y="same", n={"q": 1})),
+        (3, "B", 1, card(2, x="left", y="right", **{"o'k": "quote", "b]r": "bracket"}, n={"p": 5, "q": 6})), (4, "C", 1, card(3, y="only")),
+    ]
+    got = {r["raw_id"]: r.asDict() for r in drift.consistent_table(spark.createDataFrame(rows, "raw_id long, producer string, file_seq int, body string")).collect()}
+    first, other = ("card_x", "card_y") if got[1]["card_x"] == "same" else ("card_y", "card_x")
+    assert got[1][first] == got[2][first] == "same" and got[1][other] is got[2][other] is None and got[4][first] == "only"
+    assert {got[3][first], got[3][other]} == {"left", "right"} and got[3]["card_o'k"] == "quote" and got[3]["card_b]r"] == "bracket"
+    assert [sorted(v for v in json.loads(got[i]["card_n"]).values() if v is not None) for i in (1, 2, 3)] == [[1], [1], [5, 6]]
