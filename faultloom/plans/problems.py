@@ -25,8 +25,8 @@ def p3_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bugs and labels that hold at least 2 % of all rows of ``case_labels``."""
-    total = table(spark, sf_dir, "case_labels").count()
-    return skew.keys_holding(_label_counts(spark, sf_dir), total, 2).select("key_field", "key_value")
+    labels = table(spark, sf_dir, "case_labels", "bug_id", "case_id", "final_ground_truth_id")
+    return skew.keys_holding(skew.per_key_counts(labels, list(LABEL_KEYS)), labels.count(), 2).select("key_field", "key_value")
 
 
 def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:

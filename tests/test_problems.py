@@ -25,6 +25,15 @@ def test_salting_changes_nothing(spark):
     assert salted["bug_id", None] == (1, 0, 0)
 
 
+def test_rows_alone_and_a_heavy_null_key(spark):
+    rows = [("hot" if i % 3 else None, f"c{i}", "same", i) for i in range(300)] + [("b", None, None, 1)]
+    df = spark.createDataFrame(rows, LABELS)
+    got = {(r["key_field"], r["key_value"]): r["rows"] for r in skew.per_key_counts(df, ["bug_id", "final_ground_truth_id"]).collect()}
+    assert got == {("bug_id", "hot"): 200, ("bug_id", None): 100, ("bug_id", "b"): 1, ("final_ground_truth_id", "same"): 300, ("final_ground_truth_id", None): 1}
+    assert counts(spark, rows)["bug_id", None] == (100, 100, 1)
+    assert skew.per_key_counts(df.limit(0), ["bug_id"]).count() == 0
+
+
 def test_heavy_keys_are_bounded_and_empty_tables_work(spark):
     df = spark.createDataFrame([("k", f"v{i % 5}") for i in range(100)], "g string, key string")
     assert skew.heavy_keys(df, ["g", "key"], 0.2).count() == 5
