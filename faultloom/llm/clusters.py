@@ -107,7 +107,7 @@ def connected(edges: DataFrame, label: str) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = materialize(large.distinct(), f"{label}-links")
+        large = large.distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = materialize(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), f"{label}-links")
@@ -211,10 +211,10 @@ def assigned(placed: DataFrame, centres: DataFrame) -> DataFrame:
 
 
 class Cells:
-    """A fine k-means: ``centres``, the distinct rows with their coarse cells ``assigned`` to them, and the ``copies`` of rows."""
+    """A fine k-means: ``centres``, the ``rows`` distinct vectors with their coarse cells ``assigned`` to them, and the ``copies`` of vectors."""
 
-    def __init__(self, centres: DataFrame, found: DataFrame, copies: DataFrame, coarse: np.ndarray):
-        self.centres, self.assigned, self.copies, self.coarse = centres, found, copies, coarse
+    def __init__(self, centres: DataFrame, found: DataFrame, copies: DataFrame, coarse: np.ndarray, rows: int):
+        self.centres, self.assigned, self.copies, self.coarse, self.rows = centres, found, copies, coarse, rows
 
     def with_copies(self, rows: DataFrame) -> DataFrame:
         """Rows by ``rep`` with a ``vec_id`` for each vector: the distinct one itself and its equals."""
@@ -234,16 +234,15 @@ def kmeans_cells(df: DataFrame, vec_id: str, vector: str, least: float = 0.70, l
     vectors = V.vector_table(df, vec_id, vector, label)
     if vectors is None:
         return None
-    reps, copies = V.split_copies(vectors, label)
-    n = vectors.count() - copies.count()
+    reps, copies, n = V.split_copies(vectors, label)
     if not n:
         return None
     coarse = V.coarse_cells(reps, n)
     coder = encoder(V.fit_sample(reps), coarse) if encoder else None
     placed = materialize(V.nearest_cells(reps, coarse, max(probes, PROBES), coder), f"{label}-cells", **V.PLAIN)
-    centres = materialize(merged_centroids(seeds_of_blocks(placed, least, label), least, coarse, label), f"{label}-standing", **V.PLAIN)
+    centres = merged_centroids(seeds_of_blocks(placed, least, label), least, coarse, label)
     found = materialize(assigned(placed, centres), f"{label}-assigned", **V.PLAIN)
-    return Cells(centres, found, copies, coarse)
+    return Cells(centres, found, copies, coarse, n)
 
 
 def clusters_of(cells: Cells) -> DataFrame:
@@ -336,7 +335,7 @@ def tight_clusters(cells: Cells, least: float = 0.70, smallest: int = 3, label:
     members = materialize(clusters_of(cells), f"{label}-members")
     big = members.groupBy("label").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= smallest).select("label")
     rows = cells.assigned.select("rep", "vec", "label", "near").join(big, "label", "left_semi")
-    loose = materialize(loose_clusters(rows, least, max(1, cells.assigned.count() // (2 * BLOCK))), f"{label}-loose")
+    loose = loose_clusters(rows, least, max(1, cells.rows // (2 * BLOCK)))
     tight = materialize(big.join(loose, "label", "left_anti"), f"{label}-sound")
     alone = tight.join(crowded_clusters(cells, tight, least, label), "label", "left_anti")
     return members.join(alone, "label", "left_semi").select("cluster", "vec_id")

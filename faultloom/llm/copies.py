@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,19 +80,20 @@ def _value_hash() -> list[Column]:
 
 
 def record_tuples(fields: DataFrame, label: str) -> DataFrame:
-    """``rid, record``: each record as its sorted field-value integers.
+    """``rid, record``: each record as its sorted field-value integers; with a column ``tbl`` the ids are told apart by it.
 
     Rows meet the dictionary by the hashes of their values; raw texts are shuffled only once per task and distinct value. Values
     that fill a large part of all rows (a constant column, null members) are looked up in a broadcast table of at most
     ``1 / HEAVY_SHARE`` values, so no task gets all rows of one value.
     """
     dictionary = materialize(value_dictionary(fields), f"{label}-dictionary")
-    coded = fields.select("rid", *_value_hash())
+    own = [c for c in ("tbl", "rid") if c in fields.columns]
+    coded = fields.select(*own, *_value_hash())
     heavy = F.broadcast(heavy_keys(coded.select("h"), ["h"]).join(dictionary, "h").select("h", "g", F.col("value_id").alias("heavy_id")))
     parted = coded.join(heavy, ["h", "g"], "left")
-    light = parted.filter("heavy_id IS NULL").join(dictionary, ["h", "g"]).select("rid", "value_id")
-    ids = light.unionByName(parted.filter("heavy_id IS NOT NULL").select("rid", F.col("heavy_id").alias("value_id")))
-    return ids.groupBy("rid").agg(F.array_sort(F.collect_list("value_id")).alias("record"))
+    light = parted.filter("heavy_id IS NULL").join(dictionary, ["h", "g"]).select(*own, "value_id")
+    ids = light.unionByName(parted.filter("heavy_id IS NOT NULL").select(*own, F.col("heavy_id").alias("value_id")))
+    return ids.groupBy(*own).agg(F.array_sort(F.collect_list("value_id")).alias("record"))
 
 
 def pieces_for(rows: int) -> int:
@@ -124,46 +127,69 @@ def possible_copies(df: DataFrame, key: Column) -> DataFrame:
 
 
 def grouped_copies(tuples: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
-    """The tuples as a table in the shared folder, and ``record, first_id, n_copies`` of their groups."""
+    """The tuples as a table in the shared folder, and ``record, first_id, n_copies`` of their groups (per ``tbl`` where there is one)."""
     kept = materialize(tuples, label)
-    return kept, kept.groupBy("record").agg(F.min("rid").alias("first_id"), F.count(F.lit(1)).alias("n_copies"))
+    return kept, kept.groupBy(*[c for c in ("tbl", "record") if c in kept.columns]).agg(F.min("rid").alias("first_id"), F.count(F.lit(1)).alias("n_copies"))
 
 
 def copies(tuples: DataFrame, label: str) -> DataFrame:
-    """``first_id, copy_id``: each row that repeats another, with the smallest id of its group.
+    """``first_id, copy_id``: each row that repeats another, with the smallest id of its group (and ``tbl`` where there is one).
 
     Groups are counted with map-side combining; members meet their group in a join on the compact
     tuples, whose large keys adaptive execution splits. No group is ever collected.
     """
     kept, groups = grouped_copies(tuples, label)
-    return kept.join(groups.filter("n_copies > 1"), "record").filter("rid > first_id").select("first_id", F.col("rid").alias("copy_id"))
+    own = [c for c in ("tbl",) if c in kept.columns]
+    return kept.join(groups.filter("n_copies > 1"), [*own, "record"]).filter("rid > first_id").select(*own, "first_id", F.col("rid").alias("copy_id"))
 
 
 CARD_COLUMNS_IGNORED = ("card_id", "source_file", "ingested_at")
 
 
-def card_tuples(cards: DataFrame) -> DataFrame:
-    """Record tuples of crash cards over all columns but their id, file and time of ingestion."""
+def card_fields(cards: DataFrame) -> DataFrame:
+    """Fields of crash cards over all columns but their id, file and time of ingestion; cards surely without a copy are left out."""
     names = [c for c in cards.columns if c not in CARD_COLUMNS_IGNORED]
     key = F.concat_ws("|", *[alnum(F.col(c)) for c in ("case_id", "crash_uid", "kernel_commit", "normalized_report_digest")])
-    return record_tuples(materialize(column_fields(possible_copies(cards, key), "card_id", names), "p2-card-fields"), "p2-cards")
+    return column_fields(possible_copies(cards, key), "card_id", names)
+
+
+def label_fields(labels: DataFrame) -> DataFrame:
+    """Fields of label rows: bug, case and label."""
+    return column_fields(labels, "row_id", ["bug_id", "case_id", "final_ground_truth_id"])
+
+
+def line_fields(lines: DataFrame) -> DataFrame:
+    """Fields of JSON lines: the members of their bodies."""
+    return member_fields(lines, "line_id", "body")
+
+
+def table_tuples(fields: dict[str, DataFrame], label: str = "p2") -> DataFrame:
+    """``tbl, rid, record`` of several tables' fields, by one dictionary and one pass over all of them."""
+    tagged = [f.select(F.lit(t).alias("tbl"), "rid", F.concat_ws(".", F.lit(t), "field").alias("field"), "raw") for t, f in fields.items()]
+    return record_tuples(materialize(reduce(DataFrame.unionByName, tagged), f"{label}-fields"), label)
+
+
+def card_tuples(cards: DataFrame) -> DataFrame:
+    """Record tuples of crash cards."""
+    return record_tuples(materialize(card_fields(cards), "p2-card-fields"), "p2-cards")
 
 
 def label_tuples(labels: DataFrame) -> DataFrame:
-    """Record tuples of label rows over bug, case and label."""
-    return record_tuples(materialize(column_fields(labels, "row_id", ["bug_id", "case_id", "final_ground_truth_id"]), "p2-label-fields"), "p2-labels")
+    """Record tuples of label rows."""
+    return record_tuples(materialize(label_fields(labels), "p2-label-fields"), "p2-labels")
 
 
 def line_tuples(lines: DataFrame) -> DataFrame:
-    """Record tuples of JSON lines over the members of their bodies."""
-    return record_tuples(materialize(member_fields(lines, "line_id", "body"), "p2-line-fields"), "p2-lines")
+    """Record tuples of JSON lines."""
+    return record_tuples(materialize(line_fields(lines), "p2-line-fields"), "p2-lines")
 
 
 def record_counts(rows: DataFrame, row_id: str, found: DataFrame) -> DataFrame:
     """``first_id, n_copies`` of every distinct record: each row that repeats no earlier one, with the number of rows that say the same.
 
-    ``found`` is the result of :func:`copies`; rows it does not name stand for themselves.
+    ``found`` is the result of :func:`copies`; rows it does not name stand for themselves. With a column ``tbl`` in both, ids are told apart by it.
     """
-    firsts = rows.select(F.col(row_id).alias("first_id")).join(found.select(F.col("copy_id").alias("first_id")), "first_id", "left_anti")
-    counted = found.groupBy("first_id").agg(F.count(F.lit(1)).alias("n"))
-    return firsts.join(counted, "first_id", "left").select("first_id", (F.coalesce("n", F.lit(0)) + 1).alias("n_copies"))
+    own = [c for c in ("tbl",) if c in found.columns]
+    firsts = rows.select(*own, F.col(row_id).alias("first_id")).join(found.select(*own, F.col("copy_id").alias("first_id")), [*own, "first_id"], "left_anti")
+    counted = found.groupBy(*own, "first_id").agg(F.count(F.lit(1)).alias("n"))
+    return firsts.join(counted, [*own, "first_id"], "left").select(*own, "first_id", (F.coalesce("n", F.lit(0)) + 1).alias("n_copies"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import materialize
 from ..sources.tables import table
 from . import clusters, copies, leaks, mixing, neighbours, survivors, terms, truncation
 
@@ -32,28 +33,25 @@ def p1_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join("reproducer_semantics.syscalls", "|", "?").alias("syscalls"), F.col("reproducer_semantics.syz_repro_excerpt").alias("excerpt"), funcs("stack_semantic").alias("stack"), funcs("sanitizer_context.alloc_trace").alias("alloc_trace"))
 
 
-def _tuples(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {
-        "crash_cards": copies.card_tuples(table(spark, sf_dir, "crash_cards")),
-        "case_labels": copies.label_tuples(table(spark, sf_dir, "case_labels", "row_id", "bug_id", "case_id", "final_ground_truth_id")),
-        "crash_lines": copies.line_tuples(table(spark, sf_dir, "crash_lines", "line_id", "body")),
+def _copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = {
+        "crash_cards": copies.card_fields(table(spark, sf_dir, "crash_cards")),
+        "case_labels": copies.label_fields(table(spark, sf_dir, "case_labels", "row_id", "bug_id", "case_id", "final_ground_truth_id")),
+        "crash_lines": copies.line_fields(table(spark, sf_dir, "crash_lines", "line_id", "body")),
     }
+    return copies.copies(copies.table_tuples(fields), "p2")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of cards, labels and lines that repeat another row in different formatting."""
-    found = [copies.copies(t, f"p2-{name}").select(F.lit(name).alias("table_name"), "first_id", "copy_id") for name, t in _tuples(spark, sf_dir).items()]
-    return reduce(DataFrame.unionByName, found)
+    return _copies(spark, sf_dir).withColumnRenamed("tbl", "table_name")
 
 
 def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every distinct record of cards, labels and lines with the number of its copies."""
     ids = {"crash_cards": "card_id", "case_labels": "row_id", "crash_lines": "line_id"}
-    counted = []
-    for name, tuples in _tuples(spark, sf_dir).items():
-        rows = table(spark, sf_dir, name, ids[name])
-        counted.append(copies.record_counts(rows, ids[name], copies.copies(tuples, f"p2-{name}")).select(F.lit(name).alias("table_name"), "first_id", "n_copies"))
-    return reduce(DataFrame.unionByName, counted)
+    rows = reduce(DataFrame.unionByName, [table(spark, sf_dir, t, F.col(i).alias("id")).select(F.lit(t).alias("tbl"), "id") for t, i in ids.items()])
+    return copies.record_counts(rows, "id", materialize(_copies(spark, sf_dir), "p2-copies")).withColumnRenamed("tbl", "table_name")
 
 
 def p2_label_records(spark: SparkSession, sf_dir: str) -> DataFrame:

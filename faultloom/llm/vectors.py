@@ -86,8 +86,8 @@ def vector_table(df: DataFrame, vec_id: str, vector: str, label: str) -> DataFra
     return materialize(rows.mapInArrow(usable, "vec_id long, vec binary"), f"{label}-vectors", **PLAIN)
 
 
-def split_copies(vectors: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
-    """``rep, vec`` of every distinct vector, named by the smallest id that holds it, and ``vec_id, rep`` of the others.
+def split_copies(vectors: DataFrame, label: str) -> tuple[DataFrame, DataFrame, int]:
+    """``rep, vec`` of every distinct vector, named by the smallest id that holds it, ``vec_id, rep`` of the others, and how many are distinct.
 
     Equal vectors under many ids (a third of all rows may share one) are told by a 128-bit hash, so only ids and hashes
     are shuffled, and are searched and grouped once.
@@ -95,8 +95,9 @@ def split_copies(vectors: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
     keyed = vectors.select("vec_id", F.xxhash64("vec").alias("h"), F.xxhash64(F.lit(1), "vec").alias("g"))
     groups = keyed.groupBy("h", "g").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     copies = materialize(keyed.join(groups, ["h", "g"]).filter("vec_id <> rep").select("vec_id", "rep"), f"{label}-copies")
-    ids = copies.select("vec_id")
-    return vectors.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "vec_id", "left_anti").withColumnRenamed("vec_id", "rep"), copies
+    ids, many = copies.select("vec_id"), copies.count()
+    reps = vectors.join(F.broadcast(ids) if many <= BROADCAST_IDS else ids, "vec_id", "left_anti").withColumnRenamed("vec_id", "rep")
+    return reps, copies, vectors.count() - many
 
 
 def fit_sample(vectors: DataFrame, rows: int = FIT_ROWS) -> np.ndarray:
@@ -133,7 +134,7 @@ def drawn_by_distance(ids: np.ndarray, x: np.ndarray, far: np.ndarray, most: int
     return key[first], ids[some][first], x[some][first]
 
 
-def oversampled_seeds(vectors: DataFrame, k: int, rounds: int = 3) -> np.ndarray:
+def oversampled_seeds(vectors: DataFrame, k: int, rounds: int = 2) -> np.ndarray:
     """First centroids by parallel oversampled seeding (k-means||) over all rows of ``rep, vec``.
 
     Each round every task measures the distance of its rows to the seeds so far and draws rows in proportion to
