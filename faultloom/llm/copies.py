@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -163,9 +164,9 @@ def line_fields(lines: DataFrame) -> DataFrame:
     return member_fields(lines, "line_id", "body")
 
 
-def table_tuples(fields: dict[str, DataFrame], label: str = "p2") -> DataFrame:
-    """``tbl, rid, record`` of several tables' fields, by one dictionary and one pass over all of them."""
-    tagged = [f.select(F.lit(t).alias("tbl"), "rid", F.concat_ws(".", F.lit(t), "field").alias("field"), "raw") for t, f in fields.items()]
+def table_tuples(tables: Sequence[DataFrame], label: str = "p2") -> DataFrame:
+    """``tbl, rid, record`` of several tables' fields (``tbl`` is the table's place in the list), by one dictionary and one pass over all of them."""
+    tagged = [f.select(F.lit(n).alias("tbl"), "rid", F.concat(F.lit(f"{n}."), "field").alias("field"), "raw") for n, f in enumerate(tables)]
     return record_tuples(materialize(reduce(DataFrame.unionByName, tagged), f"{label}-fields"), label)
 
 

@@ -247,7 +247,7 @@ def most_similar(df: DataFrame, vec_id: str, vector: str, k: int = 5, least: flo
     Distinct vectors are searched, not rows: equal vectors join in afterwards, each with its k + 1 smallest ids. The index is a
     fine k-means (:func:`clusters.kmeans_cells`): every vector is encoded once, by its residual from its coarse centroid.
     Near search: the rows of one fine cell are all gathered in one coarse cell, its centroid's, and search it. Far search: rows whose
-    k-th best is below ``GATHER`` (and below nothing a fine cell can hold), and rows of fine cells too large to be gathered
+    k-th best is below ``GATHER``, where ``least`` asks for such, and rows of fine cells too large to be gathered
     (``GATHERED``), ask in their ``FAR_PROBES`` nearest coarse cells, where every vector stands ``SPILL`` times. Coarse cells with more
     than ``vectors.SPLIT`` rows are split, so a dense group of any size is searched piece by piece. The codebook is fitted on at most
     ``CODEBOOK_ROWS`` vectors; all vectors are indexed and searched for.

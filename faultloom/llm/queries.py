@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -33,25 +33,31 @@ def p1_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join("reproducer_semantics.syscalls", "|", "?").alias("syscalls"), F.col("reproducer_semantics.syz_repro_excerpt").alias("excerpt"), funcs("stack_semantic").alias("stack"), funcs("sanitizer_context.alloc_trace").alias("alloc_trace"))
 
 
+COPIED = {"crash_cards": "card_id", "case_labels": "row_id", "crash_lines": "line_id"}
+
+
 def _copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fields = {
-        "crash_cards": copies.card_fields(table(spark, sf_dir, "crash_cards")),
-        "case_labels": copies.label_fields(table(spark, sf_dir, "case_labels", "row_id", "bug_id", "case_id", "final_ground_truth_id")),
-        "crash_lines": copies.line_fields(table(spark, sf_dir, "crash_lines", "line_id", "body")),
-    }
+    fields = [
+        copies.card_fields(table(spark, sf_dir, "crash_cards")),
+        copies.label_fields(table(spark, sf_dir, "case_labels", "row_id", "bug_id", "case_id", "final_ground_truth_id")),
+        copies.line_fields(table(spark, sf_dir, "crash_lines", "line_id", "body")),
+    ]
     return copies.copies(copies.table_tuples(fields), "p2")
 
 
+def _table_name() -> Column:
+    return F.get(F.array(*[F.lit(t) for t in COPIED]), F.col("tbl")).alias("table_name")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of cards, labels and lines that repeat another row in different formatting."""
-    return _copies(spark, sf_dir).withColumnRenamed("tbl", "table_name")
+    return _copies(spark, sf_dir).select(_table_name(), "first_id", "copy_id")
 
 
 def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every distinct record of cards, labels and lines with the number of its copies."""
-    ids = {"crash_cards": "card_id", "case_labels": "row_id", "crash_lines": "line_id"}
-    rows = reduce(DataFrame.unionByName, [table(spark, sf_dir, t, F.col(i).alias("id")).select(F.lit(t).alias("tbl"), "id") for t, i in ids.items()])
-    return copies.record_counts(rows, "id", materialize(_copies(spark, sf_dir), "p2-copies")).withColumnRenamed("tbl", "table_name")
+    rows = reduce(DataFrame.unionByName, [table(spark, sf_dir, t, F.col(i).alias("id")).select(F.lit(n).alias("tbl"), "id") for n, (t, i) in enumerate(COPIED.items())])
+    return copies.record_counts(rows, "id", materialize(_copies(spark, sf_dir), "p2-copies")).select(_table_name(), "first_id", "n_copies")
 
 
 def p2_label_records(spark: SparkSession, sf_dir: str) -> DataFrame:
