@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from ..operators import buckets as bk
 from ..operators import cause_cards as cc
 from ..operators import features as ft
 from ..operators import linkage as lk
-from ..session import shared_dir
+from ..session import scratch
 from ..sources import artifacts as ar
 from ..sources import sinks
 from ..sources.tables import table
@@ -338,14 +336,10 @@ def card_tasks(spark: SparkSession, d: str) -> DataFrame:
     return ar.card_tasks(paths, "out").select("path", "bug_id", "hash_part", "output")
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/faultloom/{name}-{uuid.uuid4().hex}"
-
-
 @query("SELECT coalesce(bug_id, '') AS bug_id, coalesce(case_id, '') AS case_id, count(*) AS n_rows, count(DISTINCT coalesce(final_ground_truth_id, '')) AS labels FROM case_labels GROUP BY 1, 2")
 def csv_labels(spark: SparkSession, d: str) -> DataFrame:
     """Label rows per case, written as CSV and read back as a ground truth file."""
-    path = _folder(spark, "labels")
+    path = scratch(spark, "labels")
     sinks.write_table(table(spark, d, "case_labels", "bug_id", "case_id", "final_ground_truth_id"), path, ["bug_id", "case_id", "final_ground_truth_id"])
     truth = ar.ground_truth(spark, path)
     labels = truth.groupBy("bug_id", "case_id").agg(F.countDistinct("final_ground_truth_id").alias("labels"))
@@ -355,7 +349,7 @@ def csv_labels(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT doc_id, left(sha256(text), 16) AS digest, source FROM documents")
 def json_lines_documents(spark: SparkSession, d: str) -> DataFrame:
     """Documents written as JSON Lines in ASCII and read back."""
-    path = _folder(spark, "documents")
+    path = scratch(spark, "documents")
     sinks.write_json_lines(table(spark, d, "documents", "doc_id", "text", "source"), path)
     get = lambda k, t: F.try_variant_get("doc", f"$.{k}", t)
     return ar.json_lines(spark, path).select(get("doc_id", "long").alias("doc_id"), tx.sha16(get("text", "string")).alias("digest"), get("source", "string").alias("source"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from ..operators import buckets as bk
 from ..operators import cause_cards as cc
 from ..operators import embeddings as em
 from ..operators import prefetch as pf
-from ..session import shared_dir
+from ..session import scratch
 from ..sources import artifacts as ar
 from ..sources import models, sinks
 from ..sources.tables import table
@@ -23,14 +21,10 @@ QUERIES, SQL = {}, {}
 query = base.registrar(QUERIES, SQL)
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/faultloom/{name}-{uuid.uuid4().hex}"
-
-
 @query("SELECT card_id, case_id, cluster_key, big_bucket, fault.primary_function AS func, len(stack_semantic) AS frames FROM crash_cards")
 def written_cards(spark: SparkSession, d: str) -> DataFrame:
     """Crash cards written as JSON by bug and read back."""
-    path = _folder(spark, "cards")
+    path = scratch(spark, "cards")
     cards = table(spark, d, "crash_cards", "card_id", "case_id", "cluster_key", "big_bucket", "fault", "stack_semantic").withColumn("bug_folder", F.col("big_bucket"))
     sinks.write_cards(cards, path, "bug_folder")
     back = spark.read.schema(cards.drop("bug_folder").schema).json(f"{path}/*")
@@ -41,7 +35,7 @@ def written_cards(spark: SparkSession, d: str) -> DataFrame:
   row_number() OVER (PARTITION BY cluster_key ORDER BY case_id, card_id) AS r FROM crash_cards) WHERE r = 1""")
 def written_summaries(spark: SparkSession, d: str) -> DataFrame:
     """The summary of every bucket written as CSV, its first case as JSON, and read back."""
-    path = _folder(spark, "summaries")
+    path = scratch(spark, "summaries")
     cards = table(spark, d, "crash_cards", "cluster_key", "case_id", "card_id", "title", "bug", "fault", "anchor_trace")
     sinks.write_table(bk.bucket_summary(cards, "card_id"), path, ["cluster_key", "size", "representative"])
     first = F.from_json("representative", "case_id string, title string")
@@ -51,7 +45,7 @@ def written_summaries(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""SELECT path FROM (SELECT trim(unnest(regexp_split_to_array(copied_target_file, '\\r\\n|\\r|\\n')), ' ') AS path FROM ({base._WEIGHTS_TABLE})) WHERE path <> '' AND NOT starts_with(path, '#')""")
 def written_task_list(spark: SparkSession, d: str) -> DataFrame:
     """The list of representatives' cards, written and read back line by line (odd names may hold line ends)."""
-    path = _folder(spark, "tasks")
+    path = scratch(spark, "tasks")
     sinks.write_task_list(base.representative_weights(spark, d), path)
     return ar.task_list(spark, path)
 
@@ -59,7 +53,7 @@ def written_task_list(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT vec_id, len(vector) AS dims, round(list_sum(vector::DOUBLE[]), 4) AS total, 'm' AS model FROM vectors WHERE vector IS NOT NULL")
 def written_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Vectors with their description, written and read back."""
-    path = _folder(spark, "vectors")
+    path = scratch(spark, "vectors")
     sinks.write_vectors(table(spark, d, "vectors", "vec_id", "vector").filter("vector IS NOT NULL"), path, {"model": "m", "dims": 96})
     meta = ar.json_lines(spark, f"{path}/vectorizer_meta").select(F.try_variant_get("doc", "$.model", "string").alias("model"))
     back = spark.read.parquet(f"{path}/vectors")
@@ -69,7 +63,7 @@ def written_vectors(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT which, record_id, pred_cluster FROM (SELECT 'selected' AS which, record_id, (vec_id % 3)::VARCHAR AS pred_cluster, vec_id FROM vectors UNION ALL SELECT 'oracle_diagnostic', record_id, (vec_id % 5)::VARCHAR, vec_id FROM vectors)""")
 def written_clustering(spark: SparkSession, d: str) -> DataFrame:
     """Assignments of the selected and of the diagnostic threshold, written with grid and summary and read back."""
-    path = _folder(spark, "clustering")
+    path = scratch(spark, "clustering")
     v = table(spark, d, "vectors", "vec_id", "record_id", "true_label", "weight", "cause_card_id")
     cut = lambda t, k: v.select(F.lit("").alias("block"), F.lit(t).alias("distance_threshold"), "record_id", "true_label", (F.col("vec_id") % k).cast("int").alias("pred"), "weight", "cause_card_id")
     grid = spark.createDataFrame([("", 0.2, 3), ("", 0.4, 5)], "block string, distance_threshold double, cluster_count_internal int")

@@ -33,6 +33,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new place in the shared folder; what is written there is removed when the process ends (or by :func:`release`)."""
+    path = f"{shared_dir(spark)}/faultloom/{label}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Cuts the lineage by writing ``df`` as a table in the shared folder and reading it back.
 
@@ -40,14 +47,13 @@ def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
     here are removed when the process ends (or by :func:`release`). ``options`` go to the writer.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/faultloom/{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.options(**options).parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release() -> None:
-    """Removes every table that :func:`materialize` wrote in this process."""
+    """Removes everything written to the places that :func:`scratch` gave in this process."""
     while _written:
         spark, path = _written.pop()
         try:

@@ -138,3 +138,19 @@ def test_prompt_file_is_required(tmp_path):
         models.load_prompt(str(tmp_path / "blank.md"))
     (tmp_path / "p.md").write_text("\nrules\n")
     assert models.load_prompt(str(tmp_path / "p.md")) == "rules"
+
+
+def test_vector_files_and_json_files(spark, tmp_path):
+    import json
+
+    import numpy as np
+
+    np.savez_compressed(tmp_path / "v.npz", vectors=np.arange(6, dtype=np.float32).reshape(2, 3), record_ids=np.array(["a", "b"]), weights=np.array([1.0, 2.0], np.float32))
+    rows = sorted(ar.npz_vectors(spark, str(tmp_path / "v.npz")).collect(), key=lambda r: r["position"])
+    assert [(r["position"], r["record_id"], list(r["vector"]), r["true_label"], r["weight"]) for r in rows] == [(0, "a", [0.0, 1.0, 2.0], None, 1.0), (1, "b", [3.0, 4.0, 5.0], None, 2.0)]
+    (tmp_path / "cards" / "bug").mkdir(parents=True)
+    (tmp_path / "cards" / "bug" / "x.json").write_text(json.dumps({"cause_id": "c"}, indent=2))
+    (tmp_path / "cards" / "bug" / "bad.json").write_text("{")
+    (tmp_path / "cards" / "bug" / "note.txt").write_text("{}")
+    got = {r["path"]: r["id"] for r in ar.json_documents(spark, str(tmp_path / "cards")).select("path", F.try_variant_get("doc", "$.cause_id", "string").alias("id")).collect()}
+    assert got == {"bug/x.json": "c", "bug/bad.json": None}
