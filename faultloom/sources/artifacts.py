@@ -11,6 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.bitmaps import among, pieces_for
+from ..session import materialize
+
 #: Files of a crash directory and the columns they become.
 FILES = {"crash_meta.json": "meta", "report.txt": "report", "kernel.config": "config", "machine_info.txt": "machine", "crash_log.txt": "crash_log", "repro.syz": "syz", "repro.c": "c_repro"}
 
@@ -139,23 +142,31 @@ def manifest(tasks: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
     return tasks.join(done.select(*key).distinct().withColumn("_d", F.lit(True)), key, "left").withColumn("exists", F.col("_d").isNotNull()).drop("_d")
 
 
-#: Characters of an id by which file names are looked up before they are compared.
+#: Characters of an id that are looked for in file names before the whole id is.
 GRAM = 8
 
 
-def _named_after(ids: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:
-    """``_row, path`` of the files whose name holds the id of a row and which share ``keys`` with it.
+def _named_after(ids: DataFrame, files: DataFrame) -> DataFrame:
+    """``_id, _bug, path``: for every id and folder (``_bug``), the first of the folder's files whose name holds the id.
 
-    An id's first characters (``GRAM``, or all of a shorter one) are looked up among all pieces of names of that length, so
-    rows and files meet by equal keys; then the whole id is compared.
+    An id's first characters (``GRAM``, or all of a shorter one) are looked for at every place of a name, the whole id only where
+    they are found. Bitmaps of 16 bits a text tell what may be found, so few other pieces of names are shuffled; the
+    caller compares whole ids. Names that hold an id become one row a folder, however many ids and names begin alike.
     """
-    sizes = [r[0] for r in ids.select(F.least(F.length("_id"), F.lit(GRAM)).alias("n")).distinct().collect()]  # at most GRAM numbers
-    if not sizes:
-        return ids.select("_row", F.lit(None).cast("string").alias("path")).limit(0)
-    piece = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("_stem") - n + 1, F.lit(1))), lambda i: F.substring("_stem", i, F.lit(n)))
-    grams = files.withColumn("_gram", F.explode(F.array_distinct(F.flatten(F.array(*[piece(n) for n in sizes])))))
-    asked = ids.withColumn("_gram", F.left("_id", F.lit(GRAM)))
-    return asked.join(grams, [*keys, "_gram"]).filter(F.contains("_stem", "_id")).select("_row", "path")
+    counts = ids.select("_id").distinct().groupBy(F.length("_id").alias("n")).count().collect()  # a row for each length of an id
+    if not counts:
+        return ids.select("_id", "_bug", F.lit(None).cast("string").alias("path")).limit(0)
+    lengths = sorted(r["n"] for r in counts)
+    ints = lambda values: F.array(*[F.lit(n) for n in values]).cast("array<int>")
+    first = ids.select(F.left("_id", F.lit(GRAM)).alias("first")).distinct()
+    starts = files.select("*", F.explode(ints(sorted({min(n, GRAM) for n in lengths}))).alias("_n")).filter(F.length("_stem") >= F.col("_n"))
+    starts = starts.select("*", F.explode(F.sequence(F.lit(1), F.length("_stem") - F.col("_n") + 1)).alias("_at"))
+    starts = among(starts, F.substring("_stem", F.col("_at"), F.col("_n")), first.select(F.xxhash64("first").alias("k")), pieces_for(4 * first.count()))
+    sizes = F.when(F.col("_n") < GRAM, F.array("_n")).otherwise(ints(n for n in lengths if n >= GRAM))
+    whole = starts.select("_bug", "path", "_stem", "_at", F.explode(sizes).alias("_n")).filter(F.length("_stem") >= F.col("_at") + F.col("_n") - 1)
+    whole = whole.select("_bug", "path", F.substring("_stem", F.col("_at"), F.col("_n")).alias("_id"))
+    found = among(whole, F.col("_id"), ids.select(F.xxhash64("_id").alias("k")), pieces_for(4 * sum(r["count"] for r in counts)))
+    return found.groupBy("_id", "_bug").agg(F.min("path").alias("path"))
 
 
 def find_cause_cards(weights: DataFrame, listing: DataFrame) -> DataFrame:
@@ -163,18 +174,23 @@ def find_cause_cards(weights: DataFrame, listing: DataFrame) -> DataFrame:
 
     Four exact places come first, then files of the bug's folder whose name holds the id, then files anywhere; within a
     tier the first by name. All are joins by equal keys (:func:`_named_after`); names are matched only for rows still without
-    a card. Rows are told apart by a hash of what they are looked up by, so equal rows share a card.
+    a card. Rows are told apart by a hash of what they are looked up by, so equal rows share a card. Joins are by sorting: sizes
+    of pieces of names and of narrow columns are estimated far too low, and a table taken for small would be broadcast.
     """
     c = lambda k: F.coalesce(F.col(k), F.lit("")) if k in weights.columns else F.lit("")
     ident = F.coalesce(F.nullif(c("cause_card_id"), F.lit("")), F.nullif(c("small_bucket_cluster_id"), F.lit("")), c("cause_card_file_stem"))
     asked = [c(k) for k in ("directory_name", "copied_file_name", "source_bug_id", "small_bucket_cluster_id")]
-    rows = weights.withColumn("_id", ident).withColumn("_row", F.sha2(F.to_json(F.array("_id", *asked)), 256)).withColumn("_bug", c("source_bug_id"))
+    rows = weights.withColumn("_id", ident).withColumn("_row", F.unhex(F.sha2(F.to_json(F.array("_id", *asked)), 256))).withColumn("_bug", c("source_bug_id"))
     json = lambda x: F.concat(x, F.lit(".json"))
     places = F.array(F.concat_ws("/", c("directory_name"), c("copied_file_name")), F.concat_ws("/", "_bug", json(F.col("_id"))), F.concat_ws("/", "_bug", json(c("small_bucket_cluster_id"))), c("copied_file_name"))
-    exact = rows.select("_row", F.posexplode(places).alias("tier", "path")).join(listing.select("path").distinct(), "path")
-    hit = exact.groupBy("_row").agg(F.min_by("path", F.struct("tier", "path")).alias("card_path"))
-    rest = rows.join(hit, "_row", "left_anti").filter("_id <> ''").select("_row", "_id", "_bug").distinct()
+    exact = rows.select("_row", F.posexplode(places).alias("tier", "path")).filter((F.col("path") != "") & ~F.col("path").endswith("/"))
+    hit = exact.join(listing.select("path").distinct().hint("merge"), "path").groupBy("_row").agg(F.min_by("path", F.struct("tier", "path")).alias("card_path"))
+    hit = materialize(hit, "cards-exact")
+    rest = rows.filter("_id <> ''").select("_row", "_id", "_bug").join(hit.select("_row").hint("merge"), "_row", "left_anti").distinct()
+    rest = materialize(rest, "cards-open")
     files = listing.select("path", F.regexp_replace("path", r"/?[^/]*$", "").alias("_bug"), F.regexp_extract("path", r"([^/]*)\.json$", 1).alias("_stem"))
-    near = _named_after(rest, files, ["_bug"]).groupBy("_row").agg(F.min("path").alias("card_path"))
-    far = _named_after(rest.join(near, "_row", "left_anti").drop("_bug"), files.drop("_bug"), []).groupBy("_row").agg(F.min("path").alias("card_path"))
-    return rows.join(hit.unionByName(near).unionByName(far), "_row", "left").drop("_row", "_id", "_bug")
+    held = materialize(_named_after(rest, files), "cards-named")
+    near = held.filter("_bug <> ''").withColumnRenamed("path", "near")
+    far = held.groupBy("_id").agg(F.min("path").alias("far"))
+    found = rest.join(near.hint("merge"), ["_id", "_bug"], "left").join(far.hint("merge"), "_id", "left").select("_row", F.coalesce("near", "far").alias("card_path"))
+    return rows.join(hit.unionByName(found).hint("merge"), "_row", "left").drop("_row", "_id", "_bug")

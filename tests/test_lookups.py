@@ -93,6 +93,23 @@ def test_card_lookup_tiers(spark):
     assert ar.find_cause_cards(weights.limit(0), listing).count() == 0
 
 
+def test_card_lookup_of_ids_that_begin_alike_broadcasts_no_names(spark, tmp_path):
+    """Pieces of names are far more than their table's estimated size tells; a driver must not gather them."""
+    stem = lambda i: f"aaaaaaaaaaaaaaaa_{hashlib.sha256(str(i % 40).encode()).hexdigest()[:8]}_{i}"
+    paths = [(f"bug{i % 3}/x_{stem(i)}_y.json", f"far/z{stem(i)}.json", f"other/{i}.txt", f"{stem(i)}_root.json")[i % 4] for i in range(3000)] + ["bug1/9_q\u00e9.json", "far/\u00e9\u00e9\u00e9.json"]
+    spark.createDataFrame([(p,) for p in paths], "path string").write.parquet(str(tmp_path / "listing"))
+    rows = [(stem(i), ("bug0", "bug1", "bug2", "", None)[i % 5], hashlib.sha256(str(i).encode()).hexdigest()) for i in range(0, 3000, 2)] + [("q\u00e9", "bug1", "w"), ("\u00e9", "bug2", "w"), ("aaaaaaaa", "bug1", "w"), ("a" * 70, "bug1", "w"), ("", "bug1", "w")]
+    spark.createDataFrame(rows, "cause_card_id string, source_bug_id string, note string").write.parquet(str(tmp_path / "weights"))
+    by = lambda i, names: min((p for p in names if i and i in p.rsplit("/", 1)[-1] and p.endswith(".json")), default=None)
+    want = {(i, bug): (bug and by(i, [p for p in paths if p.startswith(f"{bug}/")])) or by(i, paths) for i, bug, _ in rows}
+    spark.conf.set("spark.sql.maxBroadcastTableSize", str(4 << 20))
+    try:
+        got = ar.find_cause_cards(spark.read.parquet(str(tmp_path / "weights")), spark.read.parquet(str(tmp_path / "listing"))).collect()
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert len(got) == len(rows) and {(r["cause_card_id"], r["source_bug_id"]): r["card_path"] for r in got} == want
+
+
 def test_selected_cards(spark):
     listed = spark.createDataFrame([("a/b.json",), ("/abs/c.json",), ("a/../a/./b.json",), ("gone.json",)], "path string")
     there = spark.createDataFrame([("/root/a/b.json",), ("/abs/c.json",), ("/root/z.json",)], "path string")
